@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ngram_join
+from . import ngram_join, packing
 
 
 def queries() -> dict[str, Callable]:
-    return {"op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join}
+    return {
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
