@@ -29,7 +29,7 @@ from ._common import stage, table
 
 CAPACITY, END_ID, SALTS = 4096, 1, 64
 #: Most pricing rounds, configurations taken from a round, and how near to the best price they must be.
-ROUNDS, COLUMNS, NEAR, ETA = 60, 256, 0.02, 3.0
+ROUNDS, COLUMNS, NEAR, ETA = 12, 256, 0.02, 3.0
 #: Words kept in a worker's cache.
 CACHE_WORDS = 400_000
 
@@ -125,18 +125,20 @@ def _cutter(path: str, capacity: int):
 
 def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Unbounded knapsack: best value for each space, and the last length put in (0: none)."""
-    value = np.full(capacity + 1, -1.0)
+    value = np.full(capacity + 1, -np.inf)
     value[lengths] = weights
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    # Reversed, so that both operands of a space are contiguous: down[capacity - c] is best[c].
+    down, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    own = np.empty(capacity + 1)
     for c in range(1, capacity + 1):
-        n = fit[c]
-        best[c] = best[c - 1]
-        if n:
-            own = weights[:n] + best[c - lengths[:n]]
-            k = int(own.argmax())
-            if own[k] > best[c]:
-                best[c], last[c] = own[k], lengths[k]
+        at = capacity - c
+        np.add(value[1 : c + 1], down[at + 1 :], out=own[:c])
+        k = int(own[:c].argmax())
+        if own[k] > down[at + 1]:
+            down[at], last[c] = own[k], k + 1
+        else:
+            down[at] = down[at + 1]
+    best = down[::-1]
     return best, last
 
 
