@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ngram_join, packing
+from . import ngram_join, ogg, packing, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op4_ogg_media_columns": ogg.op4_ogg_media_columns,
+        "op7_warc_seekable_bundles": warc.op7_warc_seekable_bundles,
         "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     }
 
