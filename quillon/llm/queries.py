@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ngram_join, ogg, packing, warc
+from . import line_dedup, ngram_join, ogg, packing, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_ogg_media_columns": ogg.op4_ogg_media_columns,
         "op7_warc_seekable_bundles": warc.op7_warc_seekable_bundles,
