@@ -21,6 +21,8 @@ from ._common import stage, unstage
 #: Members of a block; a task holds the payloads of two blocks at most (about 1.5 times that by chance).
 BLOCK = 256
 
+_LARGEST = np.iinfo(np.int64).max
+
 Verify = Callable[[list[np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -92,8 +94,14 @@ def _blocks(rows: dict, verify: Verify, decode, chance) -> Iterator[tuple[list,
         return None
     keys = rows["keys"]
     first = np.empty(len(i), bool)
-    step = max(1, (1 << 20) // keys.shape[1])
+    unordered = rows["band"] < 0  # keys are sets: the smallest common key is the first
+    step = max(1, (1 << 20) // keys.shape[1] ** (2 if unordered else 1))
     for x in range(0, len(i), step):
+        if unordered:
+            a = keys[i[x : x + step]]
+            common = (a[:, :, None] == keys[j[x : x + step]][:, None, :]).any(2)
+            first[x : x + step] = np.where(common, a, _LARGEST).min(1) == rows["key"]
+            continue
         same = keys[i[x : x + step]] == keys[j[x : x + step]]
         first[x : x + step] = same[:, rows["band"]] & ~same[:, : rows["band"]].any(1)
         if rows["prev"] is not None:
@@ -145,14 +153,14 @@ def _runner(verify: Verify, decode, with_prev: bool, chance):
             task = batch.column("task").to_numpy(zero_copy_only=False)
             cut = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])) if len(task) else np.array([], int)
             ends = np.append(cut[1:], len(task))
-            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "weight", "part", "i", "j", "band")}
+            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "weight", "part", "i", "j", "band", "key")}
             payload, keys = batch.column("payload"), batch.column("keys")
             prev = batch.column("prev") if with_prev else None
             out = []
             for x, y in zip(cut, ends):
                 if y - x < 2:
                     continue
-                rows = {"id": col["id"][x:y], "weight": col["weight"][x:y], "part": col["part"][x:y], "i": col["i"][x], "j": col["j"][x], "band": int(col["band"][x])}
+                rows = {"id": col["id"][x:y], "weight": col["weight"][x:y], "part": col["part"][x:y], "i": col["i"][x], "j": col["j"][x], "band": int(col["band"][x]), "key": col["key"][x]}
                 rows["keys"] = np.stack([np.frombuffer(k.as_buffer(), np.int64) for k in keys[x:y]])
                 rows["prev"] = np.stack([np.frombuffer(k.as_buffer(), np.int64) for k in prev[x:y]]) if with_prev else None
                 rows["payload"] = [p.as_buffer() for p in payload[x:y]]
@@ -180,24 +188,27 @@ def _runner(verify: Verify, decode, with_prev: bool, chance):
     return run
 
 
-def bucket_join(items: Callable[[DataFrame], DataFrame], verify: Verify, decode, keys: DataFrame, tag: str, with_prev: bool = False, chance=np.ones_like) -> DataFrame:
+def bucket_join(items: Callable[[DataFrame], DataFrame], verify: Verify, decode, keys: DataFrame, tag: str, with_prev: bool = False, chance=np.ones_like, unordered: bool = False) -> DataFrame:
     """Links of items that share a key and pass verify, as partial rows (id, root, links, need).
 
-    keys: id long (unique), key_list array<long>, a key for each band.
+    keys: id long (unique), key_list array<long>, a key for each band; unordered: a set of keys without bands.
     items: gives, for a table of the ids that met another, id, weight long, keys binary (key_list as int64),
     payload binary, and prev binary: with_prev, pairs that share a key of prev at one band were joined before.
     The result is staged; links must be summed by id, (id, root) are edges of a spanning forest; need is
     the links weighed by the inverse of their chance to be met.
     """
-    spread = keys.select("id", F.posexplode("key_list").alias("band", "key"))
+    if unordered:
+        spread = keys.select("id", F.lit(-1).alias("band"), F.explode("key_list").alias("key"))
+    else:
+        spread = keys.select("id", F.posexplode("key_list").alias("band", "key"))
     buckets = spread.groupBy("key", "band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("f2")).where("n > 1")
     # Buckets with the same members are one; the first band stands for them.
     kept = buckets.groupBy("n", "f1", "f2").agg(F.min(F.struct("band", "key")).alias("b")).select(F.col("b.band").alias("band"), F.col("b.key").alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
     members = stage(spread.join(kept, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("nb")).cast("int")), f"{tag}-members")
     dealt = members.select("id", "band", "part", "key", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     dealt = dealt.select("id", "band", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key")
-    dealt = dealt.select("id", "band", "part", "i", "j", F.xxhash64("key", "band", "i", "j").alias("task"))
-    columns = ["task", "id", "weight", "part", "i", "j", "band", "keys", "payload"] + ["prev"] * with_prev
+    dealt = dealt.select("id", "band", "part", "i", "j", "key", F.xxhash64("key", "band", "i", "j").alias("task"))
+    columns = ["task", "id", "weight", "part", "i", "j", "band", "key", "keys", "payload"] + ["prev"] * with_prev
     ready = dealt.join(items(members.select("id").distinct()), "id").select(*columns).repartition("task").sortWithinPartitions("task")
     found = stage(ready.mapInArrow(_runner(verify, decode, with_prev, chance), "id long, root long, links long, need double"), f"{tag}-links")
     unstage(members)
