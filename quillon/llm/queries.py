@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import embedding_dedup, line_dedup, ngram_join, ogg, packing, warc
+from . import embedding_dedup, line_dedup, ngram_join, ogg, packing, quality, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_ogg_media_columns": ogg.op4_ogg_media_columns,
         "op7_warc_seekable_bundles": warc.op7_warc_seekable_bundles,
+        "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
         "op10_embedding_near_dedup": embedding_dedup.op10_embedding_near_dedup,
     }
