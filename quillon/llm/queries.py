@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import embedding_dedup, line_dedup, ngram_join, ogg, packing, quality, warc
+from . import embedding_dedup, licenses, line_dedup, mixing, ngram_join, ogg, packing, quality, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_mixing_sources": mixing.op3_mixing_sources,
         "op4_ogg_media_columns": ogg.op4_ogg_media_columns,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_warc_seekable_bundles": warc.op7_warc_seekable_bundles,
         "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
@@ -20,4 +22,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing_sources": mixing.OP3_SQL, "op6_license_scan": licenses.license_sql()}
