@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import embedding_dedup, licenses, line_dedup, mixing, ngram_join, ogg, packing, quality, warc
+from . import embedding_dedup, licenses, line_dedup, mixing, ngram_join, ogg, packing, quality, style_tree, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_mixing_sources": mixing.op3_mixing_sources,
         "op4_ogg_media_columns": ogg.op4_ogg_media_columns,
+        "op5_site_style_tree": style_tree.op5_site_style_tree,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_warc_seekable_bundles": warc.op7_warc_seekable_bundles,
         "op8_quality_classifier": quality.op8_quality_classifier,
