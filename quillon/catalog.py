@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quillon.plans import aggregations, features, filters, graphs, joins, ledger, metrics, models, scalars, scans, splits, streams, topk, windows  # noqa: F401
+from quillon.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -1,0 +1,167 @@
+"""Linear models from mergeable sums: the data is aggregated on executors, only matrices of the columns' size are solved."""
+
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def ridge_two(data: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """(keys, bx, bz, b0) of y on x and z with an unpenalised intercept, for each group, by the normal equations."""
+    n = F.count("*")
+    s = data.groupBy(*keys).agg(*(F.avg(c).alias(f"m{c}") for c in "xzy"), *((F.covar_pop(a, b) * n).alias(f"s{a}{b}") for a, b in (("x", "x"), ("x", "z"), ("z", "z"), ("x", "y"), ("z", "y"))))
+    xx, zz, xz, xy, zy = F.col("sxx") + alpha, F.col("szz") + alpha, F.col("sxz"), F.col("sxy"), F.col("szy")
+    det = xx * zz - xz * xz
+    w = s.withColumns({"bx": (zz * xy - xz * zy) / det, "bz": (xx * zy - xz * xy) / det})
+    return w.select(*keys, "bx", "bz", (F.col("my") - F.col("bx") * F.col("mx") - F.col("bz") * F.col("mz")).alias("b0"))
+
+
+def design(loo: DataFrame) -> DataFrame:
+    """Six columns and y of the leave-one-out table."""
+    p, c, n = F.col("pred"), F.col("control_mean"), F.log(F.col("n_cells").cast("double"))
+    return loo.select(p.alias("pred"), c.alias("control"), n.alias("cells"), (p * c).alias("product"), (p * p).alias("square"), (c * c).alias("level"), F.col("delta").alias("y"))
+
+
+def gram(data: DataFrame) -> tuple[list[str], np.ndarray, int]:
+    """Columns, their covariance matrix and the number of rows, in one aggregation (columns x columns values)."""
+    names = data.columns
+    pairs = list(itertools.combinations_with_replacement(range(len(names)), 2))
+    row = data.agg(F.count("*"), *(F.covar_pop(names[i], names[j]) for i, j in pairs)).head()
+    m = np.zeros((len(names), len(names)))
+    for (i, j), x in zip(pairs, row[1:]):
+        m[i, j] = m[j, i] = x if x is not None else 0.0
+    return names, m, row[0]
+
+
+def _standard(data: DataFrame, y: str):
+    names, m, n = gram(data)
+    at = names.index(y)
+    own = [i for i in range(len(names)) if i != at]
+    sd = np.sqrt(np.diag(m))
+    sd[sd == 0] = 1.0
+    r = m / np.outer(sd, sd)
+    return [names[i] for i in own], r[np.ix_(own, own)], r[own, at], n
+
+
+def forward_path(data: DataFrame, y: str, alpha: float) -> DataFrame:
+    """(step, column, r): at each step the column that raises the fit most joins; ties by name."""
+    names, g, b, n = _standard(data, y)
+    chosen, rows = [], []
+    while len(chosen) < len(names):
+        best = None
+        for k in sorted(set(range(len(names))) - set(chosen), key=lambda i: names[i]):
+            idx = [*chosen, k]
+            w = np.linalg.solve(g[np.ix_(idx, idx)] + alpha / max(n, 1) * np.eye(len(idx)), b[idx])
+            den = w @ g[np.ix_(idx, idx)] @ w
+            r = float(w @ b[idx] / np.sqrt(den)) if den > 0 else 0.0
+            if best is None or r > best[0] + 1e-12:
+                best = (r, k)
+        chosen.append(best[1])
+        rows.append((len(rows) + 1, names[best[1]], round(best[0], 6)))
+    return data.sparkSession.createDataFrame(rows, "step int, column string, r double")
+
+
+def lasso_weights(g: np.ndarray, b: np.ndarray, lam: float, sweeps: int = 500) -> np.ndarray:
+    """Coordinate descent for 1/2 w'Gw - b'w + lam |w|."""
+    w = np.zeros(len(b))
+    for _ in range(sweeps):
+        before = w.copy()
+        for k in range(len(b)):
+            rho = b[k] - g[k] @ w + g[k, k] * w[k]
+            w[k] = np.sign(rho) * max(abs(rho) - lam, 0) / g[k, k] if g[k, k] > 0 else 0.0
+        if np.abs(w - before).max() < 1e-10:
+            break
+    return w
+
+
+def lasso_path(data: DataFrame, y: str, lambdas: list[float]) -> DataFrame:
+    """(lambda, column, weight) on standardised columns."""
+    names, g, b, _ = _standard(data, y)
+    rows = [(lam, c, round(float(x), 6)) for lam in lambdas for c, x in zip(names, lasso_weights(g, b, lam))]
+    return data.sparkSession.createDataFrame(rows, "lambda double, column string, weight double")
+
+
+def nnls(g: np.ndarray, b: np.ndarray, sweeps: int = 2000) -> np.ndarray:
+    """Non-negative least squares from G = X'X and b = X'y, by cyclic coordinate descent."""
+    w = np.zeros(len(b))
+    for _ in range(sweeps):
+        before = w.copy()
+        for k in range(len(b)):
+            if g[k, k] > 0:
+                w[k] = max(0.0, w[k] + (b[k] - g[k] @ w) / g[k, k])
+        if np.abs(w - before).max() < 1e-12:
+            break
+    return w
+
+
+def components(data: DataFrame) -> DataFrame:
+    """(component, column, loading, share) of the correlation matrix; the largest loading of a component is positive."""
+    names, m, _ = gram(data)
+    sd = np.sqrt(np.diag(m))
+    sd[sd == 0] = 1.0
+    values, vectors = np.linalg.eigh(m / np.outer(sd, sd))
+    order = np.argsort(-values)
+    rows = []
+    for n, k in enumerate(order):
+        v = vectors[:, k] * np.sign(vectors[np.abs(vectors[:, k]).argmax(), k])
+        rows += [(n, c, round(float(x), 6), round(float(max(values[k], 0) / max(values.sum(), 1e-300)), 6)) for c, x in zip(names, v)]
+    return data.sparkSession.createDataFrame(rows, "component int, column string, loading double, share double")
+
+
+def _group_matrix(delta: DataFrame) -> tuple[list[int], np.ndarray]:
+    """Kernel of the groups: inner products of their deltas, summed on executors (groups x groups values)."""
+    d = delta.select("pert", "gene", "delta")
+    k = d.selectExpr("pert as p", "gene", "delta as x").join(d.selectExpr("pert as q", "gene", "delta as y"), "gene").groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("k")).toPandas()
+    m = k.pivot(index="p", columns="q", values="k").fillna(0.0).sort_index().sort_index(axis=1)
+    return [int(i) for i in m.index], m.to_numpy()
+
+
+def kernel_ridge_loo(delta: DataFrame, lambdas: list[float]) -> DataFrame:
+    """(lambda, pert, error): closed-form leave-one-out residual norm of each group's profile from the other groups'."""
+    groups, k = _group_matrix(delta)
+    rows = []
+    for lam in lambdas:
+        h = k @ np.linalg.inv(k + lam * np.eye(len(k)))
+        e = (np.eye(len(k)) - h) / (1 - np.diag(h))[:, None]
+        norms = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", e, k, e), 0))
+        rows += [(lam, g, round(float(x), 6)) for g, x in zip(groups, norms)]
+    return delta.sparkSession.createDataFrame(rows, "lambda double, pert int, error double")
+
+
+def nested_loo(delta: DataFrame, lambdas: list[float]) -> DataFrame:
+    """(pert, lambda, r): one task a held-out group; the inner choice sees the other groups only.
+
+    Deltas are a groups x measures table, replicated to the held-out groups.
+    """
+    groups = delta.select("pert").distinct()
+    rows = delta.select("pert", "gene", "delta").crossJoin(F.broadcast(groups.select(F.col("pert").alias("held"))))  # one row a group
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = int(pdf["held"].iloc[0])
+        m = pdf.pivot(index="pert", columns="gene", values="delta").sort_index().sort_index(axis=1)
+        y, x = m.loc[held].to_numpy(), m.drop(index=held).to_numpy()
+
+        def fit(train, lam):
+            mean = train.mean(0)
+            u = train - mean
+            return mean, np.linalg.solve(u.T @ u + lam * np.eye(u.shape[1]), u.T @ u)
+
+        def score(lam):
+            total = 0.0
+            for i in range(len(x)):
+                mean, w = fit(np.delete(x, i, 0), lam)
+                total += float(np.sum((mean + (x[i] - mean) @ w * 0.5 - x[i]) ** 2))
+            return total
+
+        lam = min(lambdas, key=lambda v: (round(score(v), 12), -v))
+        mean, w = fit(x, lam)
+        p = mean
+        den = p.std() * y.std()
+        r = float(((p - p.mean()) * (y - y.mean())).mean() / den) if den > 0 else 0.0
+        return pd.DataFrame({"pert": [held], "lambda": [lam], "r": [round(r, 6)]})
+
+    return rows.groupBy("held").applyInPandas(one, "pert int, lambda double, r double")

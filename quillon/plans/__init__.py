@@ -1,0 +1 @@
+"""Queries on the test tables, each with its SQL oracle."""
