@@ -165,3 +165,82 @@ def nested_loo(delta: DataFrame, lambdas: list[float]) -> DataFrame:
         return pd.DataFrame({"pert": [held], "lambda": [lam], "r": [round(r, 6)]})
 
     return rows.groupBy("held").applyInPandas(one, "pert int, lambda double, r double")
+
+
+def derivability(data: DataFrame, new: str, fold: str, alpha: float = 1e-3) -> float:
+    """Out-of-fold R2 of column new from the other columns, their squares and products: one pass of sums for each fold.
+
+    data: the parent columns, new, and an integer fold. Only matrices of the basis' size reach the driver.
+    """
+    parents = [c for c in data.columns if c not in (new, fold)]
+    terms = [F.lit(1.0), *map(F.col, parents), *(F.col(a) * F.col(b) for a, b in itertools.combinations_with_replacement(parents, 2))]
+    names = [f"b{k}" for k in range(len(terms))]
+    basis = data.select(fold, F.col(new).alias("y"), *(t.alias(n) for t, n in zip(terms, names)))
+    everything = [*names, "y"]
+    pairs = list(itertools.combinations_with_replacement(everything, 2))
+    sums = basis.groupBy(fold).agg(F.count("*").alias("n"), *(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs)).collect()  # a row a fold
+    total, size = {}, len(everything)
+    for r in sums:
+        m = np.zeros((size, size))
+        for (i, j), x in zip(itertools.combinations_with_replacement(range(size), 2), (r[f"{a}_{b}"] for a, b in pairs)):
+            m[i, j] = m[j, i] = x or 0.0
+        total[r[fold]] = (m, r.n)
+    if not total:
+        return 1.0
+    whole, n = sum(m for m, _ in total.values()), sum(k for _, k in total.values())
+    residual = 0.0
+    for m, k in total.values():
+        train = whole - m
+        w = np.linalg.solve(train[:-1, :-1] + alpha * np.diag(np.maximum(np.diag(train[:-1, :-1]), 1e-12)), train[:-1, -1])
+        residual += m[-1, -1] - 2 * w @ m[:-1, -1] + w @ m[:-1, :-1] @ w
+    spread = whole[-1, -1] - whole[0, -1] ** 2 / max(n, 1)
+    return max(-1.0, 1 - residual / spread) if spread > 1e-12 else 1.0
+
+
+def low_rank(delta: DataFrame, targets: DataFrame, held: str, k: int = 4, lam: float = 0.1) -> DataFrame:
+    """(pert, gene, pred): measures embedded by the left singular vectors of the training deltas, a bilinear map from the
+    embedding of a group's targets to its response; groups without an embedded target get the mean response.
+
+    held: SQL condition of the held-out groups. The deltas are a groups x measures table; it is solved on the driver.
+    """
+    d = delta.select("pert", "gene", "delta", F.expr(held).alias("held")).toPandas()
+    genes = sorted(d["gene"].unique())
+    at = {g: i for i, g in enumerate(genes)}
+    y = d[~d["held"]].pivot(index="gene", columns="pert", values="delta").loc[genes]
+    b = y.mean(axis=1).to_numpy()
+    c = y.to_numpy() - b[:, None]
+    g = np.linalg.svd(c, full_matrices=False)[0][:, : min(k, *c.shape)]
+    own = targets.toPandas().groupby("pert")["gene"].apply(lambda s: [at[x] for x in s if x in at]).to_dict()
+    embed = {p: g[i].sum(0) for p, i in own.items() if i}
+    known = [n for n, p in enumerate(y.columns) if p in embed]
+    eye = lam * np.eye(g.shape[1])
+    p = np.array([embed[y.columns[n]] for n in known]).reshape(-1, g.shape[1])
+    w = np.linalg.solve(g.T @ g + eye, g.T @ c[:, known] @ p) @ np.linalg.inv(p.T @ p + eye)
+    rows = []
+    for pert in sorted(d.loc[d["held"], "pert"].unique()):
+        pred = b + g @ w @ embed[pert] if pert in embed else b
+        rows += [(int(pert), gene, round(float(x), 6)) for gene, x in zip(genes, pred)]
+    return delta.sparkSession.createDataFrame(rows, "pert int, gene string, pred double")
+
+
+def pair_kernel(pairs: DataFrame, features: list[str], y: str, lam: float = 1.0) -> DataFrame:
+    """(feature, weight): ridge from standardised pair features to response correlation, from sums."""
+    names, g, b, n = _standard(pairs.select(*features, y), y)
+    w = np.linalg.solve(g + lam / max(n, 1) * np.eye(len(names)), b)
+    return pairs.sparkSession.createDataFrame([(c, round(float(x), 6)) for c, x in zip(names, w)], "feature string, weight double")
+
+
+def compact_curve(data: DataFrame, y: str, alphas: list[float]) -> DataFrame:
+    """(size, columns, r): best fit over penalties for the first columns of the forward path."""
+    names, g, b, n = _standard(data, y)
+    order = [names.index(r.column) for r in forward_path(data, y, alphas[0]).orderBy("step").collect()]
+    rows = []
+    for size in range(1, len(order) + 1):
+        idx = order[:size]
+        best = 0.0
+        for alpha in alphas:
+            w = np.linalg.solve(g[np.ix_(idx, idx)] + alpha / max(n, 1) * np.eye(size), b[idx])
+            den = w @ g[np.ix_(idx, idx)] @ w
+            best = max(best, float(w @ b[idx] / np.sqrt(den)) if den > 0 else 0.0)
+        rows.append((size, ",".join(names[i] for i in idx), round(best, 6)))
+    return data.sparkSession.createDataFrame(rows, "size int, columns string, r double")

@@ -75,3 +75,61 @@ def template_choice(spark, sf_dir):
     """the first keyword that occurs decides."""
     t = F.lower("text")
     return v.table(spark, sf_dir, "documents").select("doc_id", F.when(F.contains(t, F.lit("license")), "license").when(F.contains(t, F.lit("http")), "link").when(F.contains(t, F.lit("the ")), "english").otherwise("other").alias("template"))
+
+
+@query(
+    "template_similar",
+    f"""WITH {v.DELTA}, {TARGETS}, c AS (SELECT a.gene AS g, b.gene AS h, abs({v.sql_pearson('a.delta', 'b.delta')}) AS r FROM delta a JOIN delta b ON a.pert = b.pert GROUP BY 1, 2),
+s AS (SELECT x.pert AS p, y.pert AS q, round(avg(c.r), 9) AS w FROM targets x JOIN targets y ON x.pert <> y.pert JOIN c ON c.g = x.gene AND c.h = y.gene WHERE x.pert <> 0 AND y.pert <> 0 GROUP BY 1, 2),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY w DESC, q) AS r FROM s) WHERE r <= 5)
+SELECT k.p AS pert, d.gene, round(sum((w + 1e-6) * d.delta) / sum(w + 1e-6), 6) AS value FROM k JOIN delta d ON d.pert = k.q GROUP BY 1, 2""",
+)
+def template_similar(spark, sf_dir):
+    """mean response of the five groups whose targets go most with one's own."""
+    from pyspark.sql import Window
+
+    from quillon.functions import stats
+
+    c = context(spark, sf_dir)
+    d, t = c.delta.select("pert", "gene", "delta"), c.targets.where("pert <> 0")
+    corr = d.selectExpr("gene as g", "pert", "delta as x").join(d.selectExpr("gene as h", "pert", "delta as y"), "pert").groupBy("g", "h").agg(F.abs(stats.pearson(F.col("x"), F.col("y"))).alias("r"))
+    s = t.selectExpr("pert as p", "gene as g").join(corr, "g").join(t.selectExpr("pert as q", "gene as h"), "h").where("p <> q").groupBy("p", "q").agg(F.round(F.avg("r"), 9).alias("w"))
+    k = s.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("w"), "q"))).where("r <= 5")
+    w = F.col("w") + 1e-6
+    return k.join(d.withColumnRenamed("pert", "q"), "q").groupBy(F.col("p").alias("pert"), "gene").agg(v.r6(F.sum(w * F.col("delta")) / F.sum(w)).alias("value"))
+
+
+@query(
+    "pair_prior_edge",
+    f"""WITH {EDGES}, p AS (SELECT l_orderkey AS pert, list_sort(list_distinct(list('Brand#' || (l_partkey % 5 + 1) || (l_suppkey % 5 + 1)))) AS t FROM lineitem GROUP BY 1 HAVING len(list_distinct(list('Brand#' || (l_partkey % 5 + 1) || (l_suppkey % 5 + 1)))) = 2),
+u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(weight) AS w FROM edges GROUP BY 1, 2)
+SELECT pert, round(coalesce(w, 0.0), 6) AS value FROM p LEFT JOIN u ON u.a = t[1] AND u.b = t[2]""",
+)
+def pair_prior_edge(spark, sf_dir):
+    """the weight of the edge between the two targets of a pair, 0 without one."""
+    brand = F.concat(F.lit("Brand#"), (F.col("l_partkey") % 5 + 1).cast("string"), (F.col("l_suppkey") % 5 + 1).cast("string"))
+    pairs = v.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pert")).agg(F.array_sort(F.collect_set(brand)).alias("t")).where(F.size("t") == 2)
+    u = context(spark, sf_dir).edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("w"))
+    return pairs.select("pert", F.col("t")[0].alias("a"), F.col("t")[1].alias("b")).join(u, ["a", "b"], "left").select("pert", v.r6(F.coalesce("w", F.lit(0.0))).alias("value"))
+
+
+@query("template_control_components")
+def template_control_components(spark, sf_dir):
+    """products of a target's and a measure's loadings on the first components of the measures' correlation."""
+    from quillon.operators import linear
+
+    c = context(spark, sf_dir)
+    wide = c.delta.groupBy("pert").pivot("gene").agg(F.first("delta")).drop("pert")  # measures are a small fixed dimension
+    load = linear.components(wide).where("component < 4").select("component", F.col("column").alias("gene"), "loading")
+    own = c.targets.join(load, "gene").select("pert", "component", F.col("loading").alias("target_loading"))
+    return own.join(load, "component").select("pert", "gene", F.col("component").alias("col"), v.r6(F.col("loading") * F.col("target_loading")).alias("value"))
+
+
+@query("smoke_checks")
+def smoke_checks(spark, sf_dir):
+    """every registered feature is finite, varies and repeats."""
+    from quillon.operators.features import smoke
+
+    c = context(spark, sf_dir)
+    rows = [(n, *smoke(n, Context(c.delta, c.targets, c.edges, c.sets)).values()) for n in ORACLES]  # the registered features
+    return spark.createDataFrame(rows, "feature string, finite boolean, varies boolean, deterministic boolean")

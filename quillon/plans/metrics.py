@@ -334,3 +334,56 @@ def number_traceability(spark, sf_dir):
     numbers = lambda t: v.table(spark, sf_dir, t).select(F.explode(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0))).alias("n")).distinct()
     a = numbers("benchmark").join(numbers("documents").withColumn("there", F.lit(1)), "n", "left")
     return a.agg(F.count("*").alias("numbers"), F.count_if(F.col("there").isNull()).alias("untraced"))
+
+
+@query("arm_rule")
+def arm_rule_query(spark, sf_dir):
+    """Verdict of an arm over its runs (needs a quantile of t)."""
+    from quillon.operators.inference import arm_rule
+
+    e = v.table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), (F.col("user_id") % 4).alias("run"), (F.col("value") - 48).alias("d"))
+    runs = e.groupBy("arm", "run").agg(F.avg("d").alias("g"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("s"), F.count_if(F.col("d") > 0).alias("wins_a"), F.count_if(F.col("d") < 0).alias("wins_b"), F.count("*").alias("pairs"))
+    return arm_rule(runs, "arm", 30)
+
+
+@query("welch_test")
+def welch_test(spark, sf_dir):
+    """Two-sided Welch test of two groups of runs."""
+    from quillon.operators.inference import welch
+
+    e = v.table(spark, sf_dir, "events").select("event_type", F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("side"), "value")
+    return welch(e, "event_type", "side", "value")
+
+
+@query(
+    "overlap_jackknife",
+    f"""WITH {PAIRED}, t AS (SELECT pert, pert % 4 AS gene, e FROM d), s AS (SELECT sum(e) AS se, count(*) AS n FROM t), j AS (SELECT gene, (max(s.se) - sum(e)) / (max(s.n) - count(*)) AS m, count(*) AS k FROM t, s GROUP BY 1)
+SELECT round(sqrt((count(*) - 1)::DOUBLE / count(*) * sum((m - a) * (m - a))), 6) AS se FROM j, (SELECT avg(m) AS a FROM j)""",
+)
+def overlap_jackknife(spark, sf_dir):
+    """Jackknife over shared targets: each target's groups left out together."""
+    d = paired_differences(spark, sf_dir).select((F.col("pert") % 4).alias("gene"), "e")
+    s = d.agg(F.sum("e").alias("se"), F.count("*").alias("n"))
+    j = d.groupBy("gene").agg(F.sum("e").alias("own"), F.count("*").alias("k")).crossJoin(F.broadcast(s)).select(((F.col("se") - F.col("own")) / (F.col("n") - F.col("k"))).alias("m"))  # one row
+    n = F.count("*")
+    return j.agg(v.r6(F.sqrt((n - 1) / n * F.var_pop("m") * n)).alias("se"))
+
+
+@query(
+    "candidate_package",
+    f"""WITH {v.LOO}, g AS (SELECT pert, sqrt(sum((pred - delta) * (pred - delta))) AS l2 FROM loo GROUP BY 1), k AS (SELECT pert, l2, row_number() OVER (ORDER BY round(l2, 9) DESC, pert) AS r FROM g)
+SELECT pert, r, round(l2, 6) AS l2, CASE WHEN r <= 5 THEN 'candidate' ELSE 'negative' END AS role FROM k WHERE r <= 10""",
+)
+def candidate_package(spark, sf_dir):
+    """The targets of largest disagreement and as many further ones (a top-k report)."""
+    e = F.col("pred") - F.col("delta")
+    g = loo(spark, sf_dir).groupBy("pert").agg(F.round(F.sqrt(F.sum(e * e)), 9).alias("l2")).orderBy(F.desc("l2"), "pert").limit(10)
+    r = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("l2"), "pert")).cast("long")  # ten rows
+    return g.select("pert", r.alias("r"), v.r6("l2").alias("l2")).withColumn("role", F.when(F.col("r") <= 5, "candidate").otherwise("negative"))
+
+
+@query("foreign_coverage", f"WITH {v.LOO} SELECT count(*) AS n, count(*) FILTER (pert % 6 = 1) AS missing, round({v.sql_pearson('CASE WHEN pert % 6 <> 1 THEN pred END', 'CASE WHEN pert % 6 <> 1 THEN delta END')}, 6) AS r FROM loo")
+def foreign_coverage(spark, sf_dir):
+    """Another model's rows, what they lack, and their score where they are."""
+    there = F.col("pert") % 6 != 1
+    return loo(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(~there).alias("missing"), v.r6(stats.pearson(F.when(there, F.col("pred")), F.when(there, F.col("delta")))).alias("r"))

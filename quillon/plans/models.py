@@ -212,3 +212,45 @@ def nested_memberships(spark, sf_dir):
 def fallback_prediction(spark, sf_dir):
     """The mean where a model has no answer."""
     return v.loo_mean(v.delta_view(spark, sf_dir)).select("pert", "gene", v.r6(F.coalesce(F.when(F.col("pert") % 3 > 0, F.col("pred")), F.col("control_mean"))).alias("pred"))
+
+
+@query("derivability")
+def derivability(spark, sf_dir):
+    """Is a column a transform of those the model has? Out of fold by group."""
+    d = v.loo_mean(v.delta_view(spark, sf_dir)).select(F.col("pred"), F.col("control_mean"), (F.col("pert") % 5).alias("fold"), (F.col("pred") * F.col("control_mean")).alias("product"), F.col("delta"))
+    rows = [(c, round(float(linear.derivability(d.select("pred", "control_mean", "fold", c), c, "fold")), 6)) for c in ("product", "delta")]  # two columns
+    return spark.createDataFrame(rows, "column string, r2 double")
+
+
+@query("low_rank_baseline")
+def low_rank_baseline(spark, sf_dir):
+    """Bilinear low-rank baseline on held-out groups."""
+    from quillon.plans.features import context
+
+    c = context(spark, sf_dir)
+    return linear.low_rank(c.delta, c.targets, "pert % 5 >= 3")
+
+
+@query("learned_pair_kernel")
+def learned_pair_kernel(spark, sf_dir):
+    """From pair features to the correlation of responses."""
+    d = v.delta_view(spark, sf_dir)
+    a = d.selectExpr("pert as a", "gene", "delta as x", "mean as ma")
+    pairs = a.join(d.selectExpr("pert as b", "gene", "delta as y", "mean as mb"), "gene").where("a < b").groupBy("a", "b").agg(stats.pearson(F.col("x"), F.col("y")).alias("r"), F.avg(F.abs(F.col("ma") - F.col("mb"))).alias("gap"), F.avg(F.col("ma") * F.col("mb")).alias("product"))
+    return linear.pair_kernel(pairs, ["gap", "product"], "r")
+
+
+@query("compact_curve")
+def compact_curve(spark, sf_dir):
+    """L28."""
+    return linear.compact_curve(linear.design(v.loo_mean(v.delta_view(spark, sf_dir))), "y", [0.1, 1.0, 10.0])
+
+
+@query("nested_blend", f"WITH {v.LOO}, o AS (SELECT unnest(range(3))::INT AS fold), w AS (SELECT fold, sum((pred - control_mean / 100) * (delta - control_mean / 100)) / sum((pred - control_mean / 100) * (pred - control_mean / 100)) AS w FROM loo, o WHERE pert % 3 <> fold GROUP BY 1) SELECT fold, round(least(1.0, greatest(0.0, max(w))), 6) AS weight, round(avg(pow(delta - control_mean / 100 - least(1.0, greatest(0.0, w)) * (pred - control_mean / 100), 2)), 7) AS mse FROM loo JOIN w ON w.fold = pert % 3 GROUP BY 1")
+def nested_blend(spark, sf_dir):
+    """The blend weight is learned outside the fold that it is read on."""
+    d = v.loo_mean(v.delta_view(spark, sf_dir)).withColumns({"e": F.col("pred") - F.col("control_mean") / 100, "y": F.col("delta") - F.col("control_mean") / 100})
+    folds = d.select("pert", "e", "y", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("fold")).where("pert % 3 <> fold")
+    w = folds.groupBy("fold").agg((F.sum(F.col("e") * F.col("y")) / F.sum(F.col("e") * F.col("e"))).alias("w")).select("fold", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("w"))).alias("w"))
+    gap = F.col("y") - F.col("w") * F.col("e")
+    return d.withColumn("fold", (F.col("pert") % 3).cast("int")).join(w, "fold").groupBy("fold").agg(v.r6(F.max("w")).alias("weight"), F.round(F.avg(gap * gap), 7).alias("mse"))
