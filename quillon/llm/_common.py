@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd base of the polynomial span hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -38,6 +40,19 @@ def stage(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """large joined with the rows of small (one a key), where a key may hold a large part of large: its rows go to `salts` tasks."""
+    a = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now, not at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a table that stage() returned, once nothing reads it any more."""
     jvm = df.sparkSession._jvm
@@ -53,12 +68,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
-    """Finalizer that spreads the span hashes over all 64 bits."""
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    """Finalizer that spreads the span hashes over all 64 bits (a bijection)."""
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -84,36 +100,53 @@ def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix64((prefix[ends] - prefix[starts]) * down[starts] + length * np.uint64(0xD6E8FEB86659FD93))
 
 
-def seeds(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint32)
+def window_hashes(units: np.ndarray, n: int) -> np.ndarray:
+    """span_hashes of all windows units[i:i + n]."""
+    up, down = powers(len(units) + 1)
+    prefix = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * up[: len(units)], out=prefix[1:])
+    h = prefix[n:] - prefix[:-n]
+    h *= down[: len(h)]
+    h += np.uint64(n * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+    return mix64(h)
+
+
+def seeds(k: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1)
 
 
 def minhash(h: np.ndarray, starts: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k minima for each run of shingle hashes h[starts[i]:starts[i + 1]]; runs are not empty."""
-    a, b = seeds(k, seed)
+    """k minima for each run of shingle hashes h[starts[i]:starts[i + 1]]; runs are not empty.
+
+    The k orders are products of the upper hash halves with odd numbers modulo 2**32. Runs are taken in
+    slices that fit the processor's cache; a run longer than a slice is a slice of its own.
+    """
+    factors = seeds(k, seed)
     low = (h >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(starts), k), np.uint32)
-    step = 1 << 15
-    if len(low) <= step:
-        for j in range(k):
-            out[:, j] = np.minimum.reduceat(low * a[j] + b[j], starts)
-        return out
-    # Cache-sized slices that end where runs end; a run longer than a slice is a slice of its own.
-    cuts, last = [0], 0
-    for i, s in enumerate(starts[1:], 1):
-        if s - starts[last] >= step:
-            cuts.append(i)
-            last = i
-    cuts.append(len(starts))
+    step = 1 << 14
+    cuts = [0]
+    while cuts[-1] < len(starts):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(starts, starts[cuts[-1]] + step))))
     for lo, hi in zip(cuts, cuts[1:]):
         x, y = starts[lo], starts[hi] if hi < len(starts) else len(low)
         part, runs = low[x:y], starts[lo:hi] - x
+        product = np.empty(len(part), np.uint32)
         for j in range(k):
-            out[lo:hi, j] = np.minimum.reduceat(part * a[j] + b[j], runs)
+            np.multiply(part, factors[j], out=product)
+            out[lo:hi, j] = np.minimum.reduceat(product, runs)
     return out
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (faster than numpy.unique on short arrays)."""
+    h = np.sort(h)
+    keep = np.empty(len(h), bool)
+    keep[:1] = True
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h[keep]
+
+
 def fold(sig: np.ndarray, salt: int) -> np.ndarray:
     """One signed 64-bit key for each row of a matrix of 32-bit values."""
     h = np.full(len(sig), salt * 2 + 1, np.uint64) * np.uint64(BASE)
@@ -122,7 +155,7 @@ def fold(sig: np.ndarray, salt: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def chunks(texts: list[str], most: int = 1 << 20):
+def chunks(texts: list[str], most: int = 1 << 18):
     """Ranges of texts of at most `most` characters together; a longer text is a range of its own."""
     lo, size = 0, 0
     for i, t in enumerate(texts):

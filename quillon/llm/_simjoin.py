@@ -34,7 +34,7 @@ def jaccard_verify(threshold: float) -> Verify:
         ok = (np.minimum(sizes[i], sizes[j]) > 0) & (np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9)
         at = np.flatnonzero(ok)
         out = np.full(len(i), -1.0)
-        if len(at) > 4 * len(sets) and len(at) > 64:
+        if len(at) > 4 * len(sets) and 16 < len(sets) <= 4 * BLOCK:
             return _dense(sets, sizes, i, j, ok, threshold)
         for p in at:
             a, b = sets[i[p]], sets[j[p]]
@@ -78,96 +78,97 @@ def _dense(sets, sizes, i, j, ok, threshold):
     return np.where(ok & (similar >= threshold - 1e-9), similar, -1.0)
 
 
-def _blocks(rows: dict, verify: Verify, decode, chance) -> Iterator[tuple[list, list, list]]:
-    """All pairs of one task: ids, smallest linked ids, weighted links."""
-    ids, part = rows["id"], rows["part"]
-    n = len(ids)
-    cross = rows["i"] != rows["j"]
-    if cross:
+def _pairs(rows: dict, unordered: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one task that this task must verify, as positions in its batch."""
+    n, at = rows["n"], rows["at"]
+    if rows["i"] != rows["j"]:
+        part = rows["part"]
         left, right = np.flatnonzero(part == rows["i"]), np.flatnonzero(part == rows["j"])
         i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-    elif n == 2:
-        i, j = np.array([0]), np.array([1])
+    elif n < len(_TRIANGLES):
+        i, j = _TRIANGLES[n]
     else:
         i, j = np.triu_indices(n, 1)
     if not len(i):
-        return None
+        return i, j
     keys = rows["keys"]
     first = np.empty(len(i), bool)
-    unordered = rows["band"] < 0  # keys are sets: the smallest common key is the first
     step = max(1, (1 << 20) // keys.shape[1] ** (2 if unordered else 1))
     for x in range(0, len(i), step):
-        if unordered:
-            a = keys[i[x : x + step]]
-            common = (a[:, :, None] == keys[j[x : x + step]][:, None, :]).any(2)
-            first[x : x + step] = np.where(common, a, _LARGEST).min(1) == rows["key"]
-            continue
-        same = keys[i[x : x + step]] == keys[j[x : x + step]]
-        first[x : x + step] = same[:, rows["band"]] & ~same[:, : rows["band"]].any(1)
+        a, b = keys[i[x : x + step]], keys[j[x : x + step]]
+        common = (a[:, :, None] == b[:, None, :]).any(2) if unordered else a == b
+        first[x : x + step] = np.where(common, a, _LARGEST).min(1) == rows["key"]
         if rows["prev"] is not None:
             first[x : x + step] &= ~(rows["prev"][i[x : x + step]] == rows["prev"][j[x : x + step]]).any(1)
-    i, j = i[first], j[first]
-    if not len(i):
-        return None
+    return i[first] + at, j[first] + at
+
+
+_TRIANGLES = [np.triu_indices(n, 1) for n in range(33)]
+
+
+def _linked(i: np.ndarray, j: np.ndarray, similar: np.ndarray, ids: np.ndarray, weight: np.ndarray, chance):
+    """Rows (id, smallest id reached, weighted links, weighted need) of the linked positions."""
     used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-    back = back.reshape(2, -1)
-    similar = verify([decode(rows["payload"][u]) for u in used], back[0], back[1])
-    ok = similar >= 0
-    i, j = i[ok], j[ok]
-    if not len(i):
-        return None
-    need = np.zeros(n)
-    odds = rows["weight"][i] * rows["weight"][j] / chance(similar[ok])
-    np.add.at(need, i, odds)
-    np.add.at(need, j, odds)
-    links = np.zeros(n, np.int64)
-    np.add.at(links, i, rows["weight"][j])
-    np.add.at(links, j, rows["weight"][i])
-    need /= rows["weight"]
-    root = np.arange(n)
+    i, j = back.reshape(2, -1)
+    ids, weight = ids[used], weight[used]
+    links, need = np.zeros(len(used), np.int64), np.zeros(len(used))
+    odds = 1 / chance(similar)
+    for a, b in ((i, j), (j, i)):
+        np.add.at(links, a, weight[b])
+        np.add.at(need, a, weight[b] * odds)
     order = np.argsort(ids, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    label = rank.copy()
+    label = np.empty(len(used), np.int64)
+    label[order] = np.arange(len(used))
     while True:  # smallest label of the neighbours, until nothing changes
         before = label.copy()
         np.minimum.at(label, i, before[j])
         np.minimum.at(label, j, before[i])
         label = np.minimum(label, label[order[label]])
         if (label == before).all():
-            break
-    root = ids[order[label]]
-    at = np.flatnonzero(links)
-    return ids[at], root[at], links[at], need[at]
+            return ids, ids[order[label]], links, need
 
 
 _OUT = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("need", pa.float64())])
 
 
-def _runner(verify: Verify, decode, with_prev: bool, chance):
+def _runner(verify: Verify, decode, with_prev: bool, chance, unordered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(batch: pa.RecordBatch):
-            """Groups of whole tasks: rows sorted by task."""
+            """Whole tasks: rows sorted by task. Small tasks are verified together, large ones alone."""
             task = batch.column("task").to_numpy(zero_copy_only=False)
             cut = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])) if len(task) else np.array([], int)
             ends = np.append(cut[1:], len(task))
-            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "weight", "part", "i", "j", "band", "key")}
-            payload, keys = batch.column("payload"), batch.column("keys")
-            prev = batch.column("prev") if with_prev else None
-            out = []
-            for x, y in zip(cut, ends):
+            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "weight", "part", "i", "j", "key")}
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(len(task), -1) if len(task) else None
+            prev = np.frombuffer(b"".join(batch.column("prev").to_pylist()), np.int64).reshape(len(task), -1) if with_prev and len(task) else None
+            payload = batch.column("payload")
+            small: list[tuple[np.ndarray, np.ndarray]] = []
+            held = 0
+            for x, y in zip(cut.tolist(), ends.tolist()):
                 if y - x < 2:
                     continue
-                rows = {"id": col["id"][x:y], "weight": col["weight"][x:y], "part": col["part"][x:y], "i": col["i"][x], "j": col["j"][x], "band": int(col["band"][x]), "key": col["key"][x]}
-                rows["keys"] = np.stack([np.frombuffer(k.as_buffer(), np.int64) for k in keys[x:y]])
-                rows["prev"] = np.stack([np.frombuffer(k.as_buffer(), np.int64) for k in prev[x:y]]) if with_prev else None
-                rows["payload"] = [p.as_buffer() for p in payload[x:y]]
-                if (r := _blocks(rows, verify, decode, chance)) is not None:
-                    out.append(r)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(4)], schema=_OUT)
+                rows = {"n": y - x, "at": x, "part": col["part"][x:y], "i": col["i"][x], "j": col["j"][x], "key": col["key"][x], "keys": keys[x:y], "prev": prev[x:y] if with_prev else None}
+                i, j = _pairs(rows, unordered)
+                if len(i) > 4096:
+                    yield from check(i, j, col, payload)
+                elif len(i):
+                    small.append((i, j))
+                    held += len(i)
+                    if held > 20_000:
+                        yield from check(*(np.concatenate([s[k] for s in small]) for k in (0, 1)), col, payload)
+                        small, held = [], 0
+            if small:
+                yield from check(*(np.concatenate([s[k] for s in small]) for k in (0, 1)), col, payload)
+
+        def check(i, j, col, payload):
+            used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+            back = back.reshape(2, -1)
+            similar = verify(decode([payload[u].as_buffer() for u in used.tolist()]), back[0], back[1])
+            ok = similar >= 0
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _linked(i[ok], j[ok], similar[ok], col["id"], col["weight"], chance)], schema=_OUT)
 
         for batch in batches:
             if not batch.num_rows:
@@ -188,29 +189,58 @@ def _runner(verify: Verify, decode, with_prev: bool, chance):
     return run
 
 
-def bucket_join(items: Callable[[DataFrame], DataFrame], verify: Verify, decode, keys: DataFrame, tag: str, with_prev: bool = False, chance=np.ones_like, unordered: bool = False) -> DataFrame:
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one partition's rows (id, key), once each those whose key another id has too.
+
+    Holds the partition as two integer columns, 24 bytes a row with their order.
+    """
+    parts = [(b.column("key").to_numpy(zero_copy_only=False), b.column("id").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if not parts:
+        return
+    keys, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    del parts
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = np.zeros(len(keys), bool)
+    same[1:] = keys[1:] == keys[:-1]
+    same[:-1] |= same[1:]
+    keys, ids = keys[same], ids[order[same]]
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    keys, ids = keys[new], ids[new]
+    same = np.zeros(len(keys), bool)
+    same[1:] = keys[1:] == keys[:-1]
+    same[:-1] |= same[1:]
+    yield pa.RecordBatch.from_arrays([pa.array(ids[same]), pa.array(keys[same])], schema=pa.schema([("id", pa.int64()), ("key", pa.int64())]))
+
+
+def bucket_join(items: Callable[[DataFrame], DataFrame], verify: Verify, decode, spread: DataFrame, tag: str, with_prev: bool = False, chance=np.ones_like, unordered: bool = False) -> DataFrame:
     """Links of items that share a key and pass verify, as partial rows (id, root, links, need).
 
-    keys: id long (unique), key_list array<long>, a key for each band; unordered: a set of keys without bands.
-    items: gives, for a table of the ids that met another, id, weight long, keys binary (key_list as int64),
-    payload binary, and prev binary: with_prev, pairs that share a key of prev at one band were joined before.
+    spread: (id long, key long), the keys of each item; rows may repeat. It is read once.
+    items: gives, for a table of the ids that met another, id (unique), weight long, keys binary (the item's
+    keys as int64; two items share a key only at the same position, unless unordered), payload
+    binary, and prev binary: with_prev, pairs that share a key of prev at one position were joined before.
+    decode: makes the objects verify compares from a list of payloads.
     The result is staged; links must be summed by id, (id, root) are edges of a spanning forest; need is
     the links weighed by the inverse of their chance to be met.
     """
-    if unordered:
-        spread = keys.select("id", F.lit(-1).alias("band"), F.explode("key_list").alias("key"))
-    else:
-        spread = keys.select("id", F.posexplode("key_list").alias("band", "key"))
-    buckets = spread.groupBy("key", "band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("f2")).where("n > 1")
-    # Buckets with the same members are one; the first band stands for them.
-    kept = buckets.groupBy("n", "f1", "f2").agg(F.min(F.struct("band", "key")).alias("b")).select(F.col("b.band").alias("band"), F.col("b.key").alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    members = stage(spread.join(kept, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("nb")).cast("int")), f"{tag}-members")
-    dealt = members.select("id", "band", "part", "key", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    dealt = dealt.select("id", "band", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key")
-    dealt = dealt.select("id", "band", "part", "i", "j", "key", F.xxhash64("key", "band", "i", "j").alias("task"))
-    columns = ["task", "id", "weight", "part", "i", "j", "band", "key", "keys", "payload"] + ["prev"] * with_prev
+    met = spread.select("id", "key").repartition("key").mapInArrow(_met, "id long, key long")
+    met = stage(met, f"{tag}-met")
+    buckets = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("f2"))
+    # Buckets with the same members are one. The smallest key stands for them: a pair is joined in the
+    # bucket of its smallest common key.
+    kept = buckets.groupBy("n", "f1", "f2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+    members = stage(met.join(kept, "key").withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("nb")).cast("int")), f"{tag}-members")
+    unstage(met)
+    dealt = members.select("id", "part", "key", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    dealt = dealt.select("id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key")
+    dealt = dealt.select("id", "part", "i", "j", "key", F.xxhash64("key", "i", "j").alias("task"))
+    columns = ["task", "id", "weight", "part", "i", "j", "key", "keys", "payload"] + ["prev"] * with_prev
     ready = dealt.join(items(members.select("id").distinct()), "id").select(*columns).repartition("task").sortWithinPartitions("task")
-    found = stage(ready.mapInArrow(_runner(verify, decode, with_prev, chance), "id long, root long, links long, need double"), f"{tag}-links")
+    found = stage(ready.mapInArrow(_runner(verify, decode, with_prev, chance, unordered), "id long, root long, links long, need double"), f"{tag}-links")
     unstage(members)
     return found
 
@@ -218,7 +248,7 @@ def bucket_join(items: Callable[[DataFrame], DataFrame], verify: Verify, decode,
 def connected_components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFrame:
     """Distributed union-find: (id, component) for every id of edges (a, b); component is the smallest id reached.
 
-    Alternates large-star and small-star steps; each round is staged, and nothing of it is collected
+    Alternates large-star and small-star steps; each round is staged, and nothing of it reaches the driver
     but a count and a checksum. An empty edge table gives an empty result.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{tag}-cc0")
@@ -232,10 +262,10 @@ def connected_components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFr
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small_low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(joined.select("u", F.col("m").alias("v"))).distinct()
-        nxt = stage(small, f"{tag}-cc{k}")
-        seen, mark_next = mark, _mark(nxt)
+        after = stage(small, f"{tag}-cc{k}")
+        seen, mark = mark, _mark(after)
         unstage(now)
-        now, mark = nxt, mark_next
+        now = after
         if mark == seen:
             break
     else:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BASE, mix64, stage, table
+from ._common import BASE, mix64, salted_join, stage, table
 from ._simjoin import bucket_join, connected_components
 
 THRESHOLD, PREFIX, HEAD, SHARED = 0.93, 10, 6, 3
@@ -72,8 +72,8 @@ def _describer(sample: list[list[float]], count: int):
     return run
 
 
-def _decode(buffer) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(buffer, np.int32, PREFIX), np.frombuffer(buffer, np.float64, offset=4 * PREFIX)
+def _decode(buffers) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(b, np.int32, PREFIX), np.frombuffer(b, np.float64, offset=4 * PREFIX)) for b in buffers]
 
 
 def _verifier(threshold: float, shared: int):
@@ -107,12 +107,12 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, shared: in
     def items(ids: DataFrame) -> DataFrame:
         return described.drop("key_list").join(ids, "id", "left_semi").join(classes.select(F.col("cls").alias("id"), "weight"), "id")
 
-    links = bucket_join(items, _verifier(threshold, shared), _decode, described.select("id", "key_list"), "op10", unordered=True)
+    links = bucket_join(items, _verifier(threshold, shared), _decode, described.select("id", F.explode("key_list").alias("key")), "op10", unordered=True)
     by_class = links.groupBy(F.col("id").alias("cls")).agg(F.sum("links").alias("links"))
     groups = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "op10").withColumnRenamed("id", "cls")
     per = classes.select("cls", "least", "weight").join(by_class, "cls", "left").join(groups, "cls", "left")
     per = per.select("cls", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
-    per = per.join(per.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cls", "n_links", "component_id")
+    per = salted_join(per, per.groupBy("component").agg(F.min("least").alias("component_id")), ["component"], "cls").select("cls", "n_links", "component_id")
     out = rows.select("vec_id", "cls").join(per, "cls", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -2,7 +2,7 @@
 
 Lines that are equal after lower-casing and after white space is folded are copies. Every different line
 becomes its set of SHINGLE-character shingles; BANDS bands of ROWS MinHash values propose pairs
-(a pair of similarity 0.8 is met with a chance above 0.998), the exact Jaccard similarity of the whole sets decides,
+(a pair of similarity 0.8 is met with a chance of 0.995), the exact Jaccard similarity of the whole sets decides,
 and a distributed union-find joins the links. Of each component the first line stays (smallest
 document id, then line number); every other occurrence goes.
 
@@ -17,145 +17,185 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from ._common import chunks, fold, minhash_rows, span_hashes, stage, table, unstage
+from ._common import chunks, distinct, fold, minhash_rows, release, salted_join, span_hashes, stage, table, unstage, window_hashes
 from ._simjoin import bucket_join, connected_components, jaccard_verify
 
-SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 8, 0.8, 12, 4, 77
+SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 8, 0.8, 10, 4, 77
+#: Line hashes a task remembers.
+SEEN = 300_000
 
 
 def folded(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def char_shingles(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes, their number for each line, and a hash of each line; lines are not empty."""
+def line_hash(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+
+
+def line_hashes(lines: list[str]) -> np.ndarray:
+    return np.fromiter(map(line_hash, lines), np.uint64, len(lines)).view(np.int64)
+
+
+def char_shingles(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, and their number for each line; lines are not empty."""
     units = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(lines) else np.zeros(0, np.int64)
     counts = np.maximum(sizes - n + 1, 1)
-    at = np.concatenate([[0], np.cumsum(counts)])
-    begin = np.repeat(first - at[:-1], counts) + np.arange(at[-1])
-    end = np.minimum(begin + n, np.repeat(first + sizes, counts))
-    return span_hashes(units, begin, end), counts, span_hashes(units, first, first + sizes).view(np.int64)
+    first = np.cumsum(sizes) - sizes
+    if len(units) < n or (sizes < n).any():
+        at = np.concatenate([[0], np.cumsum(counts)])
+        begin = np.repeat(first - at[:-1], counts) + np.arange(at[-1])
+        return span_hashes(units, begin, np.minimum(begin + n, np.repeat(first + sizes, counts))), counts
+    # All windows, less those that cross into the next line.
+    h = window_hashes(units, n)
+    inside = np.ones(len(h), bool)
+    ends = first[1:]
+    for back in range(1, n):
+        inside[ends - back] = False
+    return h[inside], counts
 
 
 def _lines(text: str | None) -> list[tuple[int, str]]:
     """Number and folded form of the lines that are not blank."""
-    return [(n, f) for n, line in enumerate((text or "").split("\n")) if (f := folded(line))]
+    return [(n, f) for n, line in enumerate((text or "").lower().split("\n")) if (f := " ".join(line.split()))]
 
 
-def _scan(bands: int, rows: int, n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("lid", pa.int64()), ("keys", pa.binary())])
+def _slices(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            docs, numbers, texts = [], [], []
+            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                for number, line in _lines(text):
+                    docs.append(doc)
+                    numbers.append(number)
+                    texts.append(line)
+            yield docs, numbers, texts
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                docs, numbers, texts = [], [], []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    for number, line in _lines(text):
-                        docs.append(doc)
-                        numbers.append(number)
-                        texts.append(line)
-                different = list(dict.fromkeys(texts))
-                lid, keys = {}, {}
-                for x, y in chunks(different):
-                    h, counts, ids = char_shingles(different[x:y], n)
-                    sig = minhash_rows(h, counts, bands * rows, SEED).reshape(-1, bands, rows)
-                    own = np.stack([fold(sig[:, b], b + 1) for b in range(bands)], axis=1)
-                    for line, i, k in zip(different[x:y], ids.tolist(), own):
-                        lid[line], keys[line] = i, k.tobytes()
-                # The keys go with the first occurrence here; the others only name the line.
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array([lid[t] for t in texts], pa.int64()), pa.array([keys.pop(t, None) for t in texts], pa.binary())], schema=schema)
 
-    return scan
+def _band_keys(lines: list[str], bands: int, rows: int, n: int) -> np.ndarray:
+    out = []
+    for short in (True, False):  # apart, as only lines of a shingle and more are cut by windows
+        own = [t for t in lines if (len(t) < n) == short]
+        h, counts = char_shingles(own, n)
+        sig = minhash_rows(h, counts, bands * rows, SEED).reshape(-1, bands, rows)
+        out.append(np.stack([fold(sig[:, b], b + 1) for b in range(bands)], axis=1))
+    is_short = np.fromiter((len(t) < n for t in lines), bool, len(lines))
+    keys = np.empty((len(lines), bands), np.int64)
+    keys[is_short], keys[~is_short] = out
+    return keys
 
 
-def _key_lists(bands: int):
-    schema = pa.schema([("id", pa.int64()), ("key_list", pa.list_(pa.int64()))])
+def _scan(bands: int, rows: int, n: int):
+    """Two kinds of rows in one pass: a line's place (lid, doc_id, line, first in its document), and its keys (lid, key)."""
+    schema = pa.schema([("lid", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("first", pa.bool_())])
 
-    def make(batches):
-        for b in batches:
-            if b.num_rows:
-                k = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(np.arange(0, len(k) + 1, bands, dtype=np.int32), pa.array(k))], schema=schema)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a frequent line gives its keys about once a task
+        for docs, numbers, texts in _slices(batches):
+            lids = line_hashes(texts)
+            own: set[tuple[int, int]] = set()
+            first, new = [], {}
+            for key, text in zip(zip(docs, lids.tolist()), texts):
+                first.append(key not in own)
+                own.add(key)
+                if key[1] not in seen:
+                    seen.add(key[1])
+                    new[text] = key[1]
+            yield pa.RecordBatch.from_arrays([pa.array(lids), pa.nulls(len(lids), pa.int64()), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(first, pa.bool_())], schema=schema)
+            if len(seen) > SEEN:
+                seen.clear()
+            lines = list(new)
+            for x, y in chunks(lines):
+                keys = _band_keys(lines[x:y], bands, rows, n).ravel()
+                ids = np.repeat(np.fromiter((new[t] for t in lines[x:y]), np.int64, y - x), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), *(pa.nulls(len(ids), schema.field(k).type) for k in (2, 3, 4))], schema=schema)
 
-    return make
+    return scan
 
 
-def _payloads(n: int):
-    schema = pa.schema([("id", pa.int64()), ("payload", pa.binary())])
+def _payloads(bands: int, rows: int, n: int):
+    schema = pa.schema([("id", pa.int64()), ("weight", pa.int64()), ("keys", pa.binary()), ("payload", pa.binary())])
 
     def make(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                wanted = {w["line"]: w["lid"] for w in batch.column("wanted")[row].as_py()}
-                lines = [(wanted[k], t) for k, t in _lines(batch.column("text")[row].as_py()) if k in wanted]
-                for x, y in chunks([t for _, t in lines]):
-                    h, counts, ids = char_shingles([t for _, t in lines[x:y]], n)
-                    sets = np.split(h, np.cumsum(counts)[:-1])
-                    # Of rows that repeat an id, only the text that holds the line counts.
-                    kept = [(i, np.unique(s).tobytes()) for s, i, (lid, _) in zip(sets, ids.tolist(), lines[x:y]) if i == lid]
-                    if kept:
-                        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary())], schema=schema)
+            for lo in range(0, batch.num_rows, 256):
+                part, found = batch.slice(lo, 256), []
+                for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
+                    lines = text.split("\n")
+                    for w in wanted:
+                        t = folded(lines[w["line"]]) if w["line"] < len(lines) else ""
+                        # Of rows that repeat an id, only the text that holds the line counts.
+                        if t and line_hashes([t])[0] == w["lid"]:
+                            found.append((w["lid"], t))
+                for x, y in chunks([t for _, t in found]):
+                    keys = _band_keys([t for _, t in found[x:y]], bands, rows, n)
+                    kept = [(i, 1, k.tobytes(), t.encode("utf-8", "surrogatepass")) for (i, t), k in zip(found[x:y], keys)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), schema)], schema=schema)
 
     return make
 
 
-def _decode(buffer) -> np.ndarray:
-    return np.frombuffer(buffer, np.uint64)
+def _decoder(n: int):
+    def decode(buffers) -> list[np.ndarray]:
+        lines = [str(b, "utf-8", "surrogatepass") for b in buffers]
+        out = []
+        for x, y in chunks(lines):
+            h, counts = char_shingles(lines[x:y], n)
+            out += [distinct(s) for s in np.split(h, np.cumsum(counts)[:-1])]
+        return out
+
+    return decode
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, removed array<int>, sorted): line numbers, from 0, that repeat an earlier line of the corpus."""
+    """(doc_id, removed array<int>): line numbers, from 0, that repeat an earlier line of the corpus."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    scanned = stage(docs.mapInArrow(_scan(bands, rows, shingle), "doc_id long, line int, lid long, keys binary"), "op1-lines")
-    known = stage(scanned.groupBy("lid").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.max("keys").alias("keys"), F.count("*").alias("n")), "op1-known")
-    keys = known.select(F.col("lid").alias("id"), "keys").mapInArrow(_key_lists(bands), "id long, key_list array<long>")
+    scanned = stage(docs.mapInArrow(_scan(bands, rows, shingle), "lid long, key long, doc_id long, line int, first boolean"), "op1-lines", "snappy")
+    places = scanned.where("key is null").select("lid", "doc_id", "line", "first")
+    first_here = F.when(F.col("first"), F.col("doc_id"))
+    known = stage(places.groupBy("lid").agg(F.min(first_here).alias("at_doc"), F.min_by("line", first_here).alias("at_line"), F.count("*").alias("n")), "op1-known")
 
     def items(ids: DataFrame) -> DataFrame:
         met = known.join(ids.withColumnRenamed("id", "lid"), "lid", "left_semi")
-        by_doc = met.groupBy(F.col("place.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "lid")).alias("wanted"))  # lines of one document
-        sets = docs.join(by_doc, "doc_id").select("text", "wanted").mapInArrow(_payloads(shingle), "id long, payload binary").dropDuplicates(["id"])
-        return sets.join(met.select(F.col("lid").alias("id"), F.lit(1).cast("long").alias("weight"), "keys"), "id")
+        by_doc = met.groupBy(F.col("at_doc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at_line").alias("line"), "lid")).alias("wanted"))  # lines of one document
+        return docs.join(by_doc.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(_payloads(bands, rows, shingle), "id long, weight long, keys binary, payload binary").dropDuplicates(["id"])
 
-    links = bucket_join(items, jaccard_verify(threshold), _decode, keys, "op1")
+    keys = scanned.where("key is not null").select(F.col("lid").alias("id"), "key")
+    links = bucket_join(items, jaccard_verify(threshold), _decoder(shingle), keys, "op1")
+    release(docs.sparkSession)
     groups = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "op1").withColumnRenamed("id", "lid")
-    repeated = known.select("lid", "place", "n").join(groups, "lid", "left").where("n > 1 or component is not null")
+    repeated = known.join(groups, "lid", "left").where("n > 1 or component is not null").withColumn("place", F.struct(F.col("at_doc").alias("doc_id"), F.col("at_line").alias("line")))
     repeated = repeated.withColumn("component", F.coalesce("component", "lid"))
     first = repeated.groupBy("component").agg(F.min("place").alias("stays"))
-    gone = stage(repeated.join(first, "component").select("lid", "stays"), "op1-gone")
-    out = scanned.select("doc_id", "line", "lid").join(gone, "lid").where("struct(doc_id, line) <> stays")
-    return out.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))  # lines of one document
-
-
-def _cut(text: pd.Series, removed: pd.Series) -> pd.Series:
-    out = []
-    for t, r in zip(text, removed):
-        if t is not None and r is not None:
-            gone = set(r.tolist())
-            t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-        out.append(t)
-    return pd.Series(out, dtype=object)
-
-
-_without = F.pandas_udf(_cut, StringType())
+    gone = stage(salted_join(repeated, first, ["component"], "lid").select("lid", "stays"), "op1-gone")
+    out = places.join(gone, "lid").where("struct(doc_id, line) <> stays")
+    lost = stage(out.groupBy("doc_id").agg(F.collect_set("line").alias("removed")), "op1-removed")  # lines of one document
+    for t in (scanned, known, links, gone):
+        unstage(t)
+    release(docs.sparkSession)
+    return lost
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with its columns, less the lines that repeat an earlier one, and the new columns n_lines and n_removed."""
     lost = removed_lines(docs, **options).select(F.col("doc_id").alias("_lost_of"), F.col("removed").alias("_lost"))
-    joined = docs.join(lost, docs["doc_id"].cast("long") == F.col("_lost_of"), "left")
-    n_lines = F.length(docs["text"]) - F.length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1
-    columns = [_without(docs["text"], F.col("_lost")).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*columns, F.coalesce(n_lines, F.lit(0)).alias("n_lines"), F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).alias("n_removed"))
+    joined = docs.join(lost.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_lost_of"), "left")
+    # The lines are a column of their own, or each access below would split the text again.
+    split = joined.select("*", F.split(docs["text"], "\n").alias("_lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
+    text = F.when(F.col("_lost").isNull(), docs["text"]).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
+    return split.select(*columns, F.when(docs["text"].isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"), F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).alias("n_removed"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """(doc_id, n_lines, n_removed, n_chars, text_sha256): the last two of the text that is left."""
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))

@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, fold, minhash_rows, stage, table, unstage, word_shingles
+from ._common import chunks, distinct, fold, minhash_rows, salted_join, stage, table, word_shingles
 from ._simjoin import bucket_join, connected_components, jaccard_verify
 
 TREES, DEPTH, WORDS, THRESHOLD, TARGET, SEED = 16, 8, 5, 0.8, 0.995, 20260
-LEVELS = "two 64-bit halves of an MD5 digest"
 
 
 def recall_at(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -68,13 +67,14 @@ def _keys(sig: list[bytes], trees: int, depth: int, prefix: int) -> np.ndarray:
 
 
 def _key_maker(trees: int, depth: int, prefix: int):
-    schema = pa.schema([("id", pa.int64()), ("key_list", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64())])
 
     def make(batches):
         for b in batches:
             if b.num_rows:
                 k = _keys(b.column("sig").to_pylist(), trees, depth, prefix)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(np.arange(0, k.size + 1, trees, dtype=np.int32), pa.array(k.ravel()))], schema=schema)
+                ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False), trees)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(k.ravel())], schema=schema)
 
     return make
 
@@ -93,14 +93,14 @@ def _payload_maker(trees: int, depth: int, prefix: int, before: int | None, word
                 sets: list[bytes] = []
                 for x, y in chunks(texts):
                     h, counts = word_shingles(texts[x:y], words)
-                    sets += [np.unique(s).tobytes() for s in np.split(h, np.cumsum(counts)[:-1])]
+                    sets += [distinct(s).tobytes() for s in np.split(h, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays([c.column("id"), c.column("weight"), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(sets, pa.binary()), pa.array([p.tobytes() for p in prev], pa.binary())], schema=schema)
 
     return make
 
 
-def _decode(buffer) -> np.ndarray:
-    return np.frombuffer(buffer, np.uint64)
+def _decode(buffers) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in buffers]
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> DataFrame:
@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         prefix -= 1
     found, before = None, None
     while True:
-        keys = reps.select("id", "sig").mapInArrow(_key_maker(trees, depth, prefix), "id long, key_list array<long>")
+        keys = reps.select("id", "sig").mapInArrow(_key_maker(trees, depth, prefix), "id long, key long")
         texts = docs.where("doc_id is not null").withColumnRenamed("doc_id", "class_id")
 
         def items(ids: DataFrame, prefix=prefix, before=before, texts=texts) -> DataFrame:
@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     per = classes.select("cls", "class_id", "weight").join(by_class.withColumnRenamed("id", "cls"), "cls", "left").join(groups.withColumnRenamed("id", "cls"), "cls", "left")
     per = per.select("cls", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
     smallest = per.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    per = per.join(smallest, "component").select("cls", "class_id", "n_links", "component_id")
+    per = salted_join(per, smallest, ["component"], "cls").select("cls", "class_id", "n_links", "component_id")
     rows = sigs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(per, "cls", "left")
     return rows.select(
         "doc_id",
