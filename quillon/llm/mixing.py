@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stage, table
+from ._common import salted_join, stage, table
 
 #: Target weights of the production query, by level, and the seed of the epochs' orders.
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
@@ -92,7 +92,7 @@ def _plan(docs: DataFrame, domain, share, epochs, weights, seed) -> tuple[DataFr
     leaves = counted.groupBy(*LEAF).agg(F.sum("_n").alias("tokens"))
     dealt = budgets(leaves, share, epochs, weights).where("tokens > 0")
     dealt = stage(dealt.select(*LEAF, F.expr("cast(budget div tokens as int)").alias("_full"), (F.col("budget") % F.col("tokens")).alias("_rest")), "op3-budgets")
-    placed = counted.join(dealt, LEAF).withColumn("_h", _order(F.col("_full"), seed)).withColumn("_part", F.substring("_h", 1, DIGITS))
+    placed = salted_join(counted, dealt, LEAF, "_id").withColumn("_h", _order(F.col("_full"), seed)).withColumn("_part", F.substring("_h", 1, DIGITS))
     parts = placed.groupBy(*LEAF, "_rest", "_part").agg(F.sum("_n").alias("n"))  # 16 ** DIGITS a leaf at most
     upto = parts.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEAF).orderBy("_part")))
     cut = upto.where("upto - n < _rest and upto >= _rest").select(*LEAF, F.col("_part").alias("_cut"), (F.col("upto") - F.col("n")).alias("_before"))
@@ -107,7 +107,7 @@ def take(docs: DataFrame, domain: Column | None = None, share: tuple[int, int] =
     """docs with _domain, _n (tokens), _full (whole epochs) and _some (tokens of the last, partial epoch)."""
     domain = domain_of(F.col("source")) if domain is None else domain
     cuts, begins = _plan(docs, domain, share, epochs, weights, seed)
-    rows = _marked(docs, domain).join(cuts, LEAF, "left").withColumn("_part", F.substring(_order(F.col("_full"), seed), 1, DIGITS))
+    rows = salted_join(_marked(docs, domain), cuts, LEAF, "_id", how="left").withColumn("_part", F.substring(_order(F.col("_full"), seed), 1, DIGITS))
     rows = rows.join(begins.withColumnsRenamed({"_id": "_b", "_domain": "_bd", "_lang": "_bl", "_source": "_bs"}), F.expr("_id <=> _b and _domain = _bd and _lang = _bl and _source = _bs"), "left")
     inside = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_rest") - F.col("_begin")))
     some = F.when(F.col("_cut").isNull(), 0).when(F.col("_part") < F.col("_cut"), F.col("_n")).when(F.col("_part") == F.col("_cut"), inside).otherwise(0)
