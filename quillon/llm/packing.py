@@ -265,7 +265,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("own", F.row_number().over(order) - 1).join(before, ["length", "salt"])
+    ranked = salted.withColumn("own", F.row_number().over(order) - 1).join(before.hint("shuffle_hash"), ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own")).alias("rank"))
     return ranked.mapInArrow(_placer(plan(solve(histogram, capacity))), fields + ", sequence_id long, offset long")
 
