@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir() and not (context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
         import tempfile
@@ -17,10 +17,10 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def chain_root(table: DataFrame, key: str, parent: str, rounds: int = 40) -> DataFrame:
     """(key, root): the end of each row's parent chain by pointer doubling; rows of a cycle get its smallest key they saw."""
-    now = _cut(table.select(F.col(key).alias("k"), F.coalesce(parent, key).alias("r")))
+    now = cut(table.select(F.col(key).alias("k"), F.coalesce(parent, key).alias("r")))
     for _ in range(rounds):
         ahead = now.selectExpr("k as r", "r as next")
-        after = _cut(now.join(ahead, "r", "left").select("k", F.coalesce("next", "r").alias("r")))
+        after = cut(now.join(ahead, "r", "left").select("k", F.coalesce("next", "r").alias("r")))
         if after.join(now.selectExpr("k", "r as was"), "k").where("r <> was").isEmpty():
             break
         now = after
@@ -29,13 +29,13 @@ def chain_root(table: DataFrame, key: str, parent: str, rounds: int = 40) -> Dat
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node of each connected component, by minimum labels and pointer jumping."""
-    both = _cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
+    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
     now = both.groupBy("u").agg(F.least("u", F.min("v")).alias("c"))
-    now = _cut(now.selectExpr("u as node", "c"))
+    now = cut(now.selectExpr("u as node", "c"))
     for _ in range(rounds):
         near = both.join(now.selectExpr("node as v", "c as w"), "v").groupBy("u").agg(F.min("w").alias("w"))
         low = now.join(near.selectExpr("u as node", "w"), "node").select("node", F.least("c", "w").alias("c"))
-        after = _cut(low.alias("x").join(low.selectExpr("node as c", "c as up"), "c", "left").select("node", F.least("c", F.coalesce("up", "c")).alias("c")))
+        after = cut(low.alias("x").join(low.selectExpr("node as c", "c as up"), "c", "left").select("node", F.least("c", F.coalesce("up", "c")).alias("c")))
         if after.join(now.selectExpr("node", "c as was"), "node").where("c <> was").isEmpty():
             break
         now = after
@@ -44,10 +44,10 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
 
 def closure(edges: DataFrame, child: str, parent: str, rounds: int = 40) -> DataFrame:
     """(child, ancestor): all ancestors by doubling; cycles end by themselves."""
-    now = _cut(edges.select(F.col(child).alias("c"), F.col(parent).alias("a")).where("c <> a").distinct())
+    now = cut(edges.select(F.col(child).alias("c"), F.col(parent).alias("a")).where("c <> a").distinct())
     n = now.count()
     for _ in range(rounds):
-        now = _cut(now.union(now.join(now.selectExpr("c as a", "a as b"), "a").select("c", "b").where("c <> b")).distinct())
+        now = cut(now.union(now.join(now.selectExpr("c as a", "a as b"), "a").select("c", "b").where("c <> b")).distinct())
         m = now.count()
         if m == n:
             break
