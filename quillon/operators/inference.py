@@ -25,12 +25,12 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
             step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         else:
             step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / max(1 + step * d, 1e-300) if 1 + step * d > 0 else 1 / (1 + step * d)
+        d = 1 / (1 + step * d)
         c = 1 + step / c
         out *= c * d
         if abs(c * d - 1) < 1e-14:
             break
-    return front * (out if out else 0.0)
+    return front * (out - 1)
 
 
 def t_two_sided(t: float, df: float) -> float:

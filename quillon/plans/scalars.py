@@ -105,7 +105,7 @@ def cells_needed(spark, sf_dir):
     x = v.normalised(v.counts(spark, sf_dir)).where("pert in (0, 1)")
     mean = lambda p: F.avg(F.when(F.col("pert") == p, F.col("x")))
     g = x.groupBy("gene").agg(F.stddev_pop(F.when(F.col("pert") == 0, F.col("x"))).alias("sd"), (mean(1) - mean(0)).alias("d"))
-    return g.select("gene", F.when(F.col("d") != 0, F.when(F.col("sd") == 0, 1).otherwise(F.ceil(F.round(2 * F.pow(2.8 * F.col("sd") / F.abs("d"), F.lit(2.0)), 6)))).cast("long").alias("cells"))
+    return g.where("d is not null and sd is not null").select("gene", F.when(F.col("d") != 0, F.when(F.col("sd") == 0, 1).otherwise(F.ceil(F.round(2 * F.pow(2.8 * F.col("sd") / F.abs("d"), F.lit(2.0)), 6)))).cast("long").alias("cells"))
 
 
 @query("grid_alpha", "SELECT p_partkey, arg_min(g, abs(log10(g) - log10(p_retailprice / 10)) * 1e6 - g / 1e9) AS alpha FROM part CROSS JOIN (VALUES (1.0::DOUBLE), (10.0), (100.0), (1000.0)) AS t(g) GROUP BY 1")
