@@ -97,7 +97,7 @@ def _plan(docs: DataFrame, domain, share, epochs, weights, seed) -> tuple[DataFr
     upto = parts.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEAF).orderBy("_part")))
     cut = upto.where("upto - n < _rest and upto >= _rest").select(*LEAF, F.col("_part").alias("_cut"), (F.col("upto") - F.col("n")).alias("_before"))
     cuts = stage(dealt.join(cut, LEAF, "left"), "op3-cuts")
-    inside = placed.join(cuts.select(*LEAF, F.col("_cut").alias("_part"), "_before"), [*LEAF, "_part"])
+    inside = salted_join(counted, cuts, LEAF, "_id").withColumn("_h", _order(F.col("_full"), seed)).where(F.substring("_h", 1, DIGITS) == F.col("_cut"))
     running = Window.partitionBy(*LEAF).orderBy("_h", "_id")
     begins = inside.withColumn("_begin", F.col("_before") + F.sum("_n").over(running) - F.col("_n")).groupBy(*LEAF, "_id").agg(F.min("_begin").alias("_begin"))
     return cuts, stage(begins, "op3-begins")
