@@ -4,8 +4,8 @@ Texts become token ids; those longer than a sequence are cut into full pieces an
 lengths of all pieces form a histogram of at most CAPACITY values. On it the driver solves the
 configuration linear program (fewest sequences that cover every length's count, a variable for
 each way to fill a sequence) by multiplicative weights: lengths covered less weigh more, and a
-knapsack dynamic program prices the best ways to fill a sequence under these weights. The fractional
-solution is rounded down and what is left is packed best fit, longest first. The result is a plan of
+knapsack dynamic program prices the best ways to fill a sequence under these weights. Configurations enter
+by whole sequences and hold no more pieces than are left; the rest is packed best fit, longest first. The result is a plan of
 rank ranges for each length, whose size depends on CAPACITY and ROUNDS and not on the documents;
 every piece finds its place from its rank among the pieces of its length.
 
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from ._common import stage, table
 
 CAPACITY, END_ID, SALTS = 4096, 1, 64
-#: Most pricing rounds, configurations taken from a round, and how near to the best price they must be.
-ROUNDS, COLUMNS, NEAR, ETA = 12, 256, 0.02, 3.0
+#: Most pricing rounds, how near to the best price a configuration must be at first, the share of the rest that a round should cover.
+ROUNDS, NEAR, PROGRESS = 12, 0.001, 0.01
+#: How fast weights fall, the power of a length in its weight, and the part of what is left that a configuration takes at once.
+ETA, LONG, PART = 2.0, 1.05, 2
 #: Words kept in a worker's cache.
 CACHE_WORDS = 400_000
 
@@ -142,55 +144,69 @@ def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.n
     return best, last
 
 
-def _trace(space: int, last: np.ndarray, into: dict[int, int]) -> None:
-    while space > 0:
-        if last[space]:
-            into[int(last[space])] += 1
-            space -= int(last[space])
-        else:
-            space -= 1
+def _fill(first: int, values: np.ndarray, best: np.ndarray, rest: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """The filling that the prices lead to, from `first` on, of no more pieces of a length than are left; and its worth."""
+    config: dict[int, int] = defaultdict(int)
+    left, space, worth, k = values.copy(), capacity, 0.0, first
+    while True:
+        config[k] += 1
+        space -= k
+        worth += values[k]
+        if config[k] >= rest[k]:
+            left[k] = -np.inf
+        if not space:
+            break
+        own = left[1 : space + 1] + best[space - 1 :: -1]
+        k = int(own.argmax()) + 1
+        if own[k - 1] == -np.inf:
+            break
+    return config, worth
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Configurations ((length, copies), ...) with how often to use each; together they hold every piece once."""
-    out: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    total = np.zeros(capacity + 1)
+def configure(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple[tuple[int, int], ...], int]:
+    """The linear program's configurations, each with how often to use it; what they leave is packed best fit."""
+    total = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
-        if length == capacity:
-            out.append((((capacity, 1),), n))
-        else:
-            total[length] = n
-    rest = total.copy()
-    fractions: dict[tuple, float] = defaultdict(float)
+        total[length] = n if length < capacity else 0
+    rest, near = total.copy(), NEAR
+    used: dict[tuple, int] = defaultdict(int)
     for _ in range(ROUNDS):
-        lengths = np.flatnonzero(rest >= 0.5)
-        if not len(lengths) or (lengths * rest[lengths]).sum() < capacity:
+        lengths = np.flatnonzero(rest)
+        before = int((lengths * rest[lengths]).sum())
+        if before < capacity:
             break
-        # Weights fall with the share of a length that is covered already.
-        weights = lengths * np.exp(-ETA * (1 - rest[lengths] / total[lengths])) / capacity
-        best, last = price(weights, lengths, capacity)
-        worth = weights + best[capacity - lengths]
-        near = np.argsort(-worth, kind="stable")
-        near = near[worth[near] >= (1 - NEAR) * worth[near[0]]][:COLUMNS]
-        for first in lengths[near].tolist():
-            config: dict[int, int] = defaultdict(int)
-            config[first] += 1
-            _trace(capacity - first, last, config)
-            step = min(rest[k] / a for k, a in config.items())
-            if step < 0.5:
+        # Weights fall with the share of a length that is covered already; of exact fillings that of long pieces is worth most.
+        values = np.full(capacity + 1, -np.inf)
+        values[lengths] = (lengths / capacity) ** LONG * np.exp(-ETA * (1 - rest[lengths] / total[lengths]))
+        best, _ = price(values[lengths], lengths, capacity)
+        least = (1 - near) * best[capacity]
+        for first in lengths[::-1].tolist():
+            if not rest[first] or values[first] + best[capacity - first] < least:
                 continue
-            # Half of what is left at first, so that other configurations of a length get their part.
-            step = step if step <= 2 else step / 2
-            fractions[tuple(sorted(config.items(), reverse=True))] += step
+            config, worth = _fill(first, values, best, rest, capacity)
+            if worth < least:
+                continue
+            # A part of what is left, so that other configurations of a length get theirs; whole sequences, so that rounding loses none.
+            step = max(1, min(int(rest[k]) // a for k, a in config.items()) // PART)
+            used[tuple(sorted(config.items(), reverse=True))] += step
             for k, a in config.items():
                 rest[k] -= a * step
+                if not rest[k]:
+                    values[k] = -np.inf
+        # Prices move on with what is covered; where a round covers little, worse configurations are let in.
+        if before - int((np.arange(capacity + 1) * rest).sum()) < PROGRESS * before:
+            near = min(1.0, near * 1.5)
+    return dict(used)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Configurations ((length, copies), ...) with how often to use each; together they hold every piece once."""
+    out: list[tuple[tuple[tuple[int, int], ...], int]] = [(((capacity, 1),), n) for length, n in histogram.items() if length == capacity]
     left = {k: n for k, n in histogram.items() if k != capacity}
-    for config, x in fractions.items():
-        n = min([int(x + 1e-9), *(left[k] // a for k, a in config)])
-        if n:
-            out.append((config, n))
-            for k, a in config:
-                left[k] -= n * a
+    for config, n in configure(histogram, capacity).items():
+        out.append((config, n))
+        for k, a in config:
+            left[k] -= n * a
     return out + _best_fit({k: n for k, n in left.items() if n}, capacity)
 
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
+from quillon.llm import packing
 from quillon.llm.packing import TokenBytes, default_tokenizer, pack, solve
 
 SCHEMA = "doc_id long, text string, length int"
@@ -40,6 +41,29 @@ def test_solution_holds_every_piece_and_is_near_the_bound():
     assert sum(n for _, n in solve({4095: 7, 1: 7})) == 7
 
 
+def share_of_configurations(histogram):
+    tokens = sum(k * a * n for config, n in packing.configure(histogram).items() for k, a in config)
+    return tokens / sum(k * n for k, n in histogram.items() if k < 4096)
+
+
+def test_configurations_enter_beside_short_pieces():
+    rng = random.Random(5)
+    histogram = defaultdict(int)
+    for _ in range(20000):
+        histogram[max(3, int(rng.lognormvariate(6, 1.2))) % 4096 or 4096] += 1
+    assert histogram[3] and share_of_configurations(dict(histogram)) > 0.3
+
+
+def test_fewer_sequences_than_best_fit():
+    rng = random.Random(6)
+    histogram = defaultdict(int)
+    for _ in range(100_000):
+        histogram[rng.randint(1030, 2048)] += 1
+    histogram |= {3: 40, 4: 9}
+    best_fit = sum(n for _, n in packing._best_fit(dict(histogram), 4096))
+    assert sum(n for _, n in solve(dict(histogram))) < 0.99 * best_fit
+
+
 def check(rows, got):
     plain = Tokenizer.from_file(default_tokenizer())
     pieces, places = defaultdict(list), defaultdict(list)
