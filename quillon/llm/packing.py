@@ -5,7 +5,8 @@ lengths of all pieces form a histogram of at most CAPACITY values. On it the dri
 configuration linear program (fewest sequences that cover every length's count, a variable for
 each way to fill a sequence) by multiplicative weights: lengths covered less weigh more, and a
 knapsack dynamic program prices the best ways to fill a sequence under these weights. Configurations enter
-by whole sequences and hold no more pieces than are left; the rest is packed best fit, longest first. The result is a plan of
+by whole sequences and hold no more pieces than are left; until at most TOLERANCE of the tokens is left
+for best fit, longest first. Best fit alone is taken if it needs fewer sequences. The result is a plan of
 rank ranges for each length, whose size depends on CAPACITY and ROUNDS and not on the documents;
 every piece finds its place from its rank among the pieces of its length.
 
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 from ._common import stage, table
 
 CAPACITY, END_ID, SALTS = 4096, 1, 64
-#: Most pricing rounds, how near to the best price a configuration must be at first, the share of the rest that a round should cover.
-ROUNDS, NEAR, PROGRESS = 12, 0.001, 0.01
+#: Share of the tokens that may be left to best fit, and rounds after which the search for it ends; how near to the best
+#: price a configuration must be at first, and the share of the rest that a round should cover.
+TOLERANCE, ROUNDS, NEAR, PROGRESS = 0.01, 400, 0.001, 0.01
 #: How fast weights fall, the power of a length in its weight, and the part of what is left that a configuration takes at once.
-ETA, LONG, PART = 2.0, 1.05, 2
+ETA, LONG, PART = 2.0, 1.05, 16
 #: Words kept in a worker's cache.
 CACHE_WORDS = 400_000
 
@@ -169,11 +171,12 @@ def configure(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple
     for length, n in histogram.items():
         total[length] = n if length < capacity else 0
     rest, near = total.copy(), NEAR
+    enough = max(capacity, TOLERANCE * int((np.arange(capacity + 1) * total).sum()))
     used: dict[tuple, int] = defaultdict(int)
     for _ in range(ROUNDS):
         lengths = np.flatnonzero(rest)
         before = int((lengths * rest[lengths]).sum())
-        if before < capacity:
+        if before < enough:
             break
         # Weights fall with the share of a length that is covered already; of exact fillings that of long pieces is worth most.
         values = np.full(capacity + 1, -np.inf)
@@ -201,13 +204,16 @@ def configure(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Configurations ((length, copies), ...) with how often to use each; together they hold every piece once."""
-    out: list[tuple[tuple[tuple[int, int], ...], int]] = [(((capacity, 1),), n) for length, n in histogram.items() if length == capacity]
+    full: list[tuple[tuple[tuple[int, int], ...], int]] = [(((capacity, 1),), n) for length, n in histogram.items() if length == capacity]
     left = {k: n for k, n in histogram.items() if k != capacity}
-    for config, n in configure(histogram, capacity).items():
-        out.append((config, n))
+    alone = _best_fit(dict(left), capacity)
+    out = list(configure(histogram, capacity).items())
+    for config, n in out:
         for k, a in config:
             left[k] -= n * a
-    return out + _best_fit({k: n for k, n in left.items() if n}, capacity)
+    out += _best_fit({k: n for k, n in left.items() if n}, capacity)
+    # Where best fit reaches the bound, rounding may cost a sequence more.
+    return full + min(out, alone, key=lambda x: sum(n for _, n in x))
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:

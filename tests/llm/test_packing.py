@@ -64,6 +64,17 @@ def test_fewer_sequences_than_best_fit():
     assert sum(n for _, n in solve(dict(histogram))) < 0.99 * best_fit
 
 
+def test_rounds_go_on_until_the_configurations_cover_the_histogram():
+    rng = random.Random(8)
+    for least, most, gap in ((700, 2048, 1.006), (1030, 2048, 1.06)):
+        histogram = defaultdict(int)
+        for _ in range(200_000):
+            histogram[rng.randint(least, most)] += 1
+        bound = math.ceil(sum(k * n for k, n in histogram.items()) / 4096)
+        assert share_of_configurations(dict(histogram)) >= 0.99 - 1e-3
+        assert sum(n for _, n in solve(dict(histogram))) <= gap * bound
+
+
 def check(rows, got):
     plain = Tokenizer.from_file(default_tokenizer())
     pieces, places = defaultdict(list), defaultdict(list)
