@@ -2,7 +2,7 @@
 
 Lines that are equal after lower-casing and after white space is folded are copies. Every different line
 becomes its set of SHINGLE-character shingles; BANDS bands of ROWS MinHash values propose pairs
-(a pair of similarity 0.8 is met with a chance of 0.995), the exact Jaccard similarity of the whole sets decides,
+(a pair of similarity 0.8 is met with a chance of 0.998), the exact Jaccard similarity of the whole sets decides,
 and a distributed union-find joins the links. Of each component the first line stays (smallest
 document id, then line number); every other occurrence goes.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._common import chunks, distinct, fold, minhash_rows, release, salted_join, span_hashes, stage, table, unstage, window_hashes
 from ._simjoin import bucket_join, connected_components, jaccard_verify
 
-SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 8, 0.8, 10, 4, 77
+SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 8, 0.8, 12, 4, 77
 #: Line hashes a task remembers.
 SEEN = 300_000
 

@@ -1,6 +1,6 @@
 import random
 
-from quillon.llm.line_dedup import dedup_lines, folded
+from quillon.llm.line_dedup import BANDS, ROWS, dedup_lines, folded
 
 SCHEMA = "doc_id long, text string, lid int, removed string"
 
@@ -63,3 +63,7 @@ def test_odd_rows(spark):
     texts = {(r.doc_id, r.text) for r in got}
     assert {(1, None), (2, ""), (3, "\n\n \n"), (None, "same line"), (4, "Same  line\nab"), (5, "")} <= texts
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_bands_meet_pairs_at_the_threshold():
+    assert 1 - (1 - 0.8**ROWS) ** BANDS >= 0.998
