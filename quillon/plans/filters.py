@@ -144,7 +144,7 @@ def expressed_stratum(spark, sf_dir):
 def source_reads(spark, sf_dir):
     """Which inputs a text names."""
     found = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda x: x.isin("the", "and", "der", "los"))
-    return v.table(spark, sf_dir, "documents").where("n_chars < 3000").select("doc_id", F.size(found).cast("long").alias("reads"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("names"))
+    return v.table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("reads"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("names"))
 
 
 @query("unread_mentions", "SELECT item_id, w AS word, contains(' ' || regexp_replace(lower(text), '[^a-z]+', ' ', 'g') || ' ', ' ' || w || ' ') AS mentioned FROM benchmark CROSS JOIN (VALUES ('the'), ('of'), ('und'), ('que')) AS t(w)")

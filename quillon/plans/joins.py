@@ -64,7 +64,7 @@ FROM l LEFT JOIN (SELECT doc_id, count(*) AS n FROM t JOIN g USING (tok) GROUP B
 )
 def match_labels(spark, sf_dir):
     """Labels resolved by their tokens to control, single, multi or other."""
-    toks = F.split(F.lower(F.substring("text", 1, 60)), r"[+_|,;\s]+")
+    toks = F.split(F.lower("text"), r"[+_|,;\s]+")
     rows = v.table(spark, sf_dir, "documents").select("doc_id", toks.alias("toks"))
     n = F.size(F.filter(F.array_distinct("toks"), lambda t: F.length(t) == 4))
     kind = F.when(F.array_contains("toks", "the"), "control").when(n == 0, "other").when(n == 1, "single").otherwise("multi")

@@ -14,7 +14,7 @@ from .registry import query
 @query("parse_labels", "WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(substr(text, 1, 80), '[+_|,;\\s]+'), lambda x: x <> '') AS toks FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(toks, lambda x: length(x) <= 3))), '+') AS targets, len(list_distinct(list_filter(toks, lambda x: length(x) > 3)))::INT AS unknown FROM p")
 def parse_labels(spark, sf_dir):
     """Distinct sorted targets of a label, and how many tokens are unknown."""
-    toks = t.label_tokens(F.substring("text", 1, 80))
+    toks = t.label_tokens(F.col("text"))
     known = F.filter(toks, lambda x: F.length(x) <= 3)
     return v.table(spark, sf_dir, "documents").select("doc_id", t.canonical_key(known).alias("targets"), F.size(F.array_distinct(F.filter(toks, lambda x: F.length(x) > 3))).alias("unknown"))
 
@@ -72,7 +72,7 @@ SELECT doc_id, round(len(regexp_extract_all(s, '[GC]'))::DOUBLE / nullif(length(
 )
 def sequence_features(spark, sf_dir):
     """GC share, CpG and ATG counts, reverse complement."""
-    s = v.table(spark, sf_dir, "documents").where("n_chars < 4000").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s"))
+    s = v.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s"))
     n = lambda p: F.regexp_count("s", F.lit(p)).cast("long")
     return s.select("doc_id", v.r6(n("[GC]") / F.nullif(F.length("s"), F.lit(0))).alias("gc"), n("CG").alias("cpg"), n("ATG").alias("atg"), F.md5(F.reverse(F.translate("s", "ACGT", "TGCA"))).alias("revcomp"))
 
