@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._common import stage, table
 
-CAPACITY, END_ID, SALTS = 4096, 1, 64
+CAPACITY, END_ID, SALTS, PART_ROWS = 4096, 1, 64, 200_000
 #: Share of the tokens that may be left to best fit, and rounds after which the search for it ends; how near to the best
 #: price a configuration must be at first, and the share of the rest that a round should cover.
 TOLERANCE, ROUNDS, NEAR, PROGRESS = 0.01, 400, 0.001, 0.01
@@ -281,12 +281,13 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     path = tokenizer_path or default_tokenizer()
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(path, capacity), fields), "op2-pieces")
-    # A length may hold a large part of all pieces: ranks are counted in SALTS parts of each length.
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
+    # A length may hold a large part of all pieces: ranks are counted in parts of each length, of PART_ROWS pieces or so.
+    salts = max(SALTS, max(histogram.values(), default=0) // PART_ROWS)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     counts = stage(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "op2-counts")
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("own", F.row_number().over(order) - 1).join(before.hint("shuffle_hash"), ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own")).alias("rank"))
     return ranked.mapInArrow(_placer(plan(solve(histogram, capacity))), fields + ", sequence_id long, offset long")
