@@ -4,7 +4,8 @@ A document is a bag of passages of PASSAGE words (white-space runs; the last may
 encoded from character and word statistics by a small tanh layer; gated attention weighs the passages and a
 logistic unit scores their weighted sum. Document labels alone train all layers (Adam, on the
 driver) on a bounded sample: the TRAIN_DOCS labelled documents that come first by a hash of their id, of those that
-are not held out and have at most TRAIN_WORDS words. Scoring reads every passage of every whole text.
+are not held out, whatever their length; of a document with more than TRAIN_PASSAGES passages the fit uses that many,
+spread evenly over the whole text. Scoring reads every passage of every whole text.
 
 Defined cases: a null or empty text is one passage of zeros, scored like any other. A row with a null id is
 scored, and held_out is false. Labels other than 0 and 1 are not used. Without labels of both classes
@@ -25,7 +26,7 @@ from pyspark.sql.types import DoubleType
 from ._common import chunks, span_hashes, table
 
 PASSAGE, HASHED = 64, 24
-TRAIN_DOCS, TRAIN_WORDS = 4000, 4000
+TRAIN_DOCS, TRAIN_PASSAGES = 4000, 64
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY, SEED = 16, 8, 25, 128, 0.01, 1e-4, 13
 FEATURES = 16 + HASHED
 
@@ -182,24 +183,48 @@ def _remainder(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spread(passages: np.ndarray, most: int) -> np.ndarray:
+    """At most `most` of the rows, evenly spaced from the first to the last."""
+    return passages if len(passages) <= most else passages[np.arange(most) * (len(passages) - 1) // (most - 1)]
+
+
+def _encoder(most: int):
     schema = pa.schema([("quality", pa.int32()), ("x", pa.binary())])
-    for b in batches:
-        x, counts = passage_features([t or "" for t in b.column("text").to_pylist()])
-        parts = np.split(x, np.cumsum(counts)[:-1]) if len(counts) else []
-        yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                x, counts = passage_features([t or "" for t in part.column("text").to_pylist()])
+                bags = np.split(x, np.cumsum(counts)[:-1])
+                yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array([spread(p, most).tobytes() for p in bags], pa.binary())], schema=schema)
+
+    return encode
+
+
+def _with_id(encode):
+    """encode, with the column doc_id put back beside each row."""
+
+    def run(batches):
+        for b in batches:
+            made = pa.Table.from_batches(list(encode([b]))) if b.num_rows else None
+            if made is not None:
+                yield from made.append_column("doc_id", [b.column("doc_id")]).combine_chunks().to_batches()
+
+    return run
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> AttentionBag:
-    """Fit on at most train_docs labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES) -> AttentionBag:
+    """Fit on at most train_docs labelled documents that are not held out, and at most train_passages (2 or more) passages of each."""
     marked = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = marked.where(_remainder(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(SEED))
-    # Twice the sample: labels may name documents that are absent or too long. Bounded by the parameter.
+    # Twice the sample: labels may name documents that are absent. Bounded by the parameter.
     wanted = usable.orderBy(order, "doc_id").limit(2 * train_docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
-    own = own.where(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")) <= train_words).orderBy(order, "doc_id").limit(train_docs)
-    got = own.select("quality", "text").mapInArrow(_encode, "quality int, x binary").collect()  # train_docs rows at most
+    # Passages are encoded before the order is made, so that no whole text is sorted or sent.
+    coded = own.select("quality", "text", "doc_id").mapInArrow(_with_id(_encoder(train_passages)), "quality int, x binary, doc_id long")
+    got = coded.orderBy(order, "doc_id", "x").limit(train_docs).collect()  # train_docs rows of train_passages passages at most
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
     x = np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32)
     return AttentionBag().fit(x, np.array([len(b) for b in bags], np.int64), np.array([r.quality for r in got], np.float64))
