@@ -1,20 +1,24 @@
 """License scans with a positional rare-token index (operator 6), in DataFrame operations only.
 
 Every text is lower-cased and cut into words. A staged table keeps, of each text, the words of the licence vocabulary
-with their positions. Inverse document frequencies of that vocabulary are counted over all texts. For each
-template whose mandatory key phrase can be in a file, the file's highest-IDF words of that phrase are looked up in the
-template postings; places where all of them agree on one relative position are candidates. At a
-candidate the whole key phrase is verified, and the share of the template's words that stand in place must reach LEAST.
+with their positions. Inverse document frequencies of that vocabulary are counted over all texts. The index has a
+posting (word, template, position) for each of the RARE rarest words of a template's mandatory key phrase. Of each file its
+highest-IDF licence words, down to the commonest word that has a posting, are looked up there; every posting names
+the place where its template would start, and places on which all of a template's postings agree are candidates.
+Templates none of whose rare words a file holds are never looked at. At a candidate the whole key
+phrase is verified, and the share of the template's words that stand in place must reach LEAST.
 
 The key phrases contain the base phrases, so the method's labels include the base labels.
 
 Defined cases: a null text is an empty one (no words, no labels, score 0). Null ids and repeated rows give their own
-rows. An empty table gives none. Lower-casing covers all letters; this finds the same ASCII words and as many words
-as lower-casing A-Z, since no other letter of a phrase has a non-ASCII capital. Other columns are not read.
+rows. An empty table gives none. Letters beyond A-Z are no part of a licence word: the two that lower-case to an
+ASCII letter (the kelvin sign and the dotted capital I) are replaced before the text is lower-cased. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ from ._common import stage, table
 #: The words of a text, and the base phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+#: The letters beyond ASCII whose lower case holds an ASCII letter.
+LIKE_ASCII = ["\u212a", "\u0130"]
 #: Label, template, mandatory key phrase (a part of the template).
 TEMPLATES = [
     ("mit", "mit license", "mit license"),
@@ -45,7 +51,10 @@ RARE, LEAST = 3, 0.6
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    own = F.coalesce(text, F.lit(""))
+    for letter in LIKE_ASCII:
+        own = F.replace(own, F.lit(letter), F.lit("ÿ"))
+    return F.regexp_extract_all(F.lower(own), F.lit(WORD), F.lit(0))
 
 
 def _strings(values) -> Column:
@@ -91,8 +100,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, rare: int = RARE, least: float =
     seen = stage(seen, "op6-words")
     total = seen.count()
     frequency = {r.w: r.n for r in seen.select(F.explode("kinds").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # the vocabulary's words at most
-    idf = lambda w: -(frequency.get(w, 0) / max(total, 1))  # noqa: E731  the order of log(total / frequency)
-    found = _templates(seen.where(F.size("hits") > 0).select("rid", "hits", "kinds"), templates, rare, least, idf)
+    idf = {w: math.log((total + 1) / (frequency.get(w, 0) + 1)) for w in vocabulary}
+    found = _templates(seen.where(F.size("hits") > 0).select("rid", "hits"), templates, rare, least, idf)
     starts = F.concat(*(F.col(f"b{k}") for k in range(len(BASE))))
     base_labels = F.array_compact(F.array(*(F.when(F.size(f"b{k}") > 0, F.lit(v)) for k, v in enumerate(BASE.values()))))
     joined = seen.drop("hits", "kinds").join(found, "rid", "left")
@@ -108,22 +117,40 @@ def scan(docs: DataFrame, templates=TEMPLATES, rare: int = RARE, least: float =
     )
 
 
-def _templates(rows: DataFrame, templates, rare: int, least: float, idf) -> DataFrame:
+def postings(templates, rare: int, idf: dict[str, float]) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
+    """The index: word -> (template, position) of the rarest key words; and how many postings each template has."""
+    index, sizes = {}, []
+    for k, (_, text, key) in enumerate(templates):
+        own, phrase = text.split(), key.split()
+        at = _key_at(own, phrase)
+        chosen = sorted(set(phrase), key=lambda w: (-idf[w], w))[:rare]
+        places = [i for i in range(at, at + len(phrase)) if own[i] in chosen]
+        for i in places:
+            index.setdefault(own[i], []).append((k, i))
+        sizes.append(len(places))
+    return index, sizes
+
+
+def _key_at(own: list[str], phrase: list[str]) -> int:
+    return next(i for i in range(len(own)) if own[i : i + len(phrase)] == phrase)
+
+
+def _templates(rows: DataFrame, templates, rare: int, least: float, idf: dict[str, float]) -> DataFrame:
     """(rid, more array<string>, score) of the rows in which a template is found."""
-    # The index: for each template the positions of its rarest key words, and all its words in order.
+    index, sizes = postings(templates, rare, idf)
+    pairs = [c for w, own in sorted(index.items()) for c in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("at")) for t, i in own)))]
+    lookup = F.create_map(*pairs)
+    # The file's rare words: those that have postings.
+    found = F.filter("hits", lambda h: h["w"].isin(sorted(index)))
+    votes = F.flatten(F.transform(found, lambda h: F.transform(F.element_at(lookup, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["p"] - p["at"]).alias("start")))))
+    voted = rows.select("rid", F.explode(votes).alias("v")).select("rid", "v.t", "v.start")
+    need = F.array(*(F.lit(n) for n in sizes))
+    agreed = voted.groupBy("rid", "t", "start").agg(F.count("*").alias("n")).where(F.col("n") == F.get(need, F.col("t")))
     entries = []
-    for k, (label, text, key) in enumerate(templates):
+    for label, text, key in templates:
         own, phrase = text.split(), key.split()
-        at = next(i for i in range(len(own)) if own[i : i + len(phrase)] == phrase)
-        chosen = sorted(set(phrase), key=lambda w: (-idf(w), w))[:rare]
-        postings = [F.struct(F.lit(w).alias("w"), F.lit(i).alias("at")) for i, w in enumerate(own) if w in chosen and at <= i < at + len(phrase)]
-        entries.append(F.struct(F.lit(k).alias("t"), F.lit(label).alias("label"), _strings(own).alias("own"), F.lit(at).alias("key_at"), F.lit(len(phrase)).alias("key_n"), _strings(sorted(set(phrase))).alias("key"), F.array(*postings).alias("postings")))
-    eligible = rows.select("rid", "hits", F.explode(F.filter(F.array(*entries), lambda t: F.size(F.array_except(t["key"], F.col("kinds"))) == 0)).alias("t"))
-    # Every occurrence of a chosen word votes for the position that the template's start would have.
-    votes = F.flatten(F.transform("t.postings", lambda p: F.transform(F.filter("hits", lambda h: h["w"] == p["w"]), lambda h: h["p"] - p["at"])))
-    voted = eligible.select("rid", "hits", "t", F.posexplode(votes).alias("_", "start"))
-    agreed = voted.groupBy(F.col("rid").alias("vid"), F.col("t.t").alias("tid"), "start").agg(F.count("*").alias("n"))
-    places = eligible.join(agreed, F.expr("rid = vid and t.t = tid")).where(F.col("n") == F.size("t.postings")).select("rid", "hits", "t", "start")
+        entries.append(F.struct(F.lit(label).alias("label"), _strings(own).alias("own"), F.lit(_key_at(own, phrase)).alias("key_at"), F.lit(len(phrase)).alias("key_n")))
+    places = rows.join(agreed, "rid").select("rid", "hits", F.get(F.array(*entries), F.col("t")).alias("t"), "start")
     stands = lambda i: F.array_contains("hits", F.struct(F.get("t.own", i).alias("w"), (F.col("start") + i).alias("p")))
     key = F.forall(F.sequence("t.key_at", F.col("t.key_at") + F.col("t.key_n") - 1), stands)
     share = F.size(F.filter(F.sequence(F.lit(0), F.size("t.own") - 1), stands)) / F.size("t.own")
@@ -140,7 +167,7 @@ def license_sql(templates=TEMPLATES, least: float = LEAST) -> str:
     rows = []
     for k, (label, text, key) in enumerate(templates):
         own, phrase = text.split(), key.split()
-        at = next(i for i in range(len(own)) if own[i : i + len(phrase)] == phrase)
+        at = _key_at(own, phrase)
         rows += [f"({k}, '{label}', {i}, '{w}', {str(at <= i < at + len(phrase)).lower()})" for i, w in enumerate(own)]
     base = " UNION ALL ".join(
         f"SELECT a.doc_id, a.p, '{label}' AS label FROM words a " + " ".join(f"JOIN words w{i} ON w{i}.doc_id = a.doc_id AND w{i}.p = a.p + {i} AND w{i}.w = '{w}'" for i, w in enumerate(phrase.split()) if i) + f" WHERE a.w = '{phrase.split()[0]}'"
