@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,14 @@ INVERSE = pow(BASE, -1, 1 << 64)
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests in local mode) a temporary folder is used.
+    Where that is unset a temporary folder serves, in local mode only; on a cluster this is an error.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -40,10 +43,22 @@ def stage(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def salted_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """large joined with the rows of small (one a key), where a key may hold a large part of large: its rows go to `salts` tasks."""
-    a = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def salted_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """large joined with small, which has one row a key and in `weight` the number of rows of large with that key.
+
+    The rows of a key that has more than half a task's fair share are dealt to as many tasks as it has such
+    halves; so a key may hold any part of large. Fewer than two keys a shuffle partition can have that many
+    rows: the list of them is broadcast. small is read twice, and a third time where its total weight is not given.
+    """
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if total is None:
+        total = small.agg(F.sum(weight).alias("n")).head().n or 0
+    share = total // (2 * parts) + 1
+    salts = F.ceil(F.col(weight) / share).cast("int")
+    hot = small.where(F.col(weight) > share).select(*(F.col(k).alias(f"_hot_{k}") for k in keys), salts.alias("_salts"))
+    a = large.join(F.broadcast(hot), [large[k] == hot[f"_hot_{k}"] for k in keys], "left")
+    a = a.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts", *(f"_hot_{k}" for k in keys))
+    b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop(weight)
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -5,6 +5,7 @@ is dealt out over square blocks of member pairs; each block verifies its pairs
 in one task and returns one row per linked member: its links in that block and
 the smallest member of its group there.  Rows are therefore linear in members,
 no bucket is capped, and each pair is verified in the first bucket that holds it.
+The pairs of one bucket are the square of its members, as exact link counts need; rows and memory are not.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage, unstage
+from ._common import salted_join, stage, unstage
 
 #: Members of a block; a task holds the payloads of two blocks at most (about 1.5 times that by chance).
 BLOCK = 256
+#: Rows of keys that a task holds before it lets go of those it has settled.
+CHUNK = 4_000_000
 
 _LARGEST = np.iinfo(np.int64).max
 
@@ -106,16 +109,14 @@ def _pairs(rows: dict, unordered: bool) -> tuple[np.ndarray, np.ndarray]:
 _TRIANGLES = [np.triu_indices(n, 1) for n in range(33)]
 
 
-def _linked(i: np.ndarray, j: np.ndarray, similar: np.ndarray, ids: np.ndarray, weight: np.ndarray, chance):
-    """Rows (id, smallest id reached, weighted links, weighted need) of the linked positions."""
+def _linked(i: np.ndarray, j: np.ndarray, ids: np.ndarray, weight: np.ndarray):
+    """Rows (id, smallest id reached, weighted links) of the linked positions."""
     used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
     i, j = back.reshape(2, -1)
     ids, weight = ids[used], weight[used]
-    links, need = np.zeros(len(used), np.int64), np.zeros(len(used))
-    odds = 1 / chance(similar)
+    links = np.zeros(len(used), np.int64)
     for a, b in ((i, j), (j, i)):
         np.add.at(links, a, weight[b])
-        np.add.at(need, a, weight[b] * odds)
     order = np.argsort(ids, kind="stable")
     label = np.empty(len(used), np.int64)
     label[order] = np.arange(len(used))
@@ -125,13 +126,13 @@ def _linked(i: np.ndarray, j: np.ndarray, similar: np.ndarray, ids: np.ndarray,
         np.minimum.at(label, j, before[i])
         label = np.minimum(label, label[order[label]])
         if (label == before).all():
-            return ids, ids[order[label]], links, need
+            return ids, ids[order[label]], links
 
 
-_OUT = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("need", pa.float64())])
+_OUT = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
 
-def _runner(verify: Verify, decode, with_prev: bool, chance, unordered: bool):
+def _runner(verify: Verify, decode, with_prev: bool, unordered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -168,7 +169,11 @@ def _runner(verify: Verify, decode, with_prev: bool, chance, unordered: bool):
             similar = verify(decode([payload[u].as_buffer() for u in used.tolist()]), back[0], back[1])
             ok = similar >= 0
             if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _linked(i[ok], j[ok], similar[ok], col["id"], col["weight"], chance)], schema=_OUT)
+                i, j, percent = i[ok], j[ok], np.floor(similar[ok] * 100 + 1e-6).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _linked(i, j, col["id"], col["weight"])], schema=_OUT)
+                bins = np.unique(percent)
+                pairs = [int((col["weight"][i] * col["weight"][j])[percent == b].sum()) for b in bins]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(bins), pa.int64()), pa.array(bins), pa.array(pairs, pa.int64())], schema=_OUT)
 
         for batch in batches:
             if not batch.num_rows:
@@ -189,58 +194,86 @@ def _runner(verify: Verify, decode, with_prev: bool, chance, unordered: bool):
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition's rows (id, key), once each those whose key another id has too.
+def _met(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Of one partition's rows (id, key, ...), those whose key another id has too; a row may come twice.
 
-    Holds the partition as two integer columns, 24 bytes a row with their order.
+    Whenever `chunk` rows have gathered, the rows of keys that two ids share are given out and one of them is kept in
+    their place. So the memory follows the number of different keys and not the rows of one key.
     """
-    parts = [(b.column("key").to_numpy(zero_copy_only=False), b.column("id").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-    if not parts:
-        return
-    keys, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    del parts
-    order = np.argsort(keys)
-    keys = keys[order]
-    same = np.zeros(len(keys), bool)
-    same[1:] = keys[1:] == keys[:-1]
-    same[:-1] |= same[1:]
-    keys, ids = keys[same], ids[order[same]]
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    keys, ids = keys[new], ids[new]
-    same = np.zeros(len(keys), bool)
-    same[1:] = keys[1:] == keys[:-1]
-    same[:-1] |= same[1:]
-    yield pa.RecordBatch.from_arrays([pa.array(ids[same]), pa.array(keys[same])], schema=pa.schema([("id", pa.int64()), ("key", pa.int64())]))
-
-
-def bucket_join(items: Callable[[DataFrame], DataFrame], verify: Verify, decode, spread: DataFrame, tag: str, with_prev: bool = False, chance=np.ones_like, unordered: bool = False) -> DataFrame:
-    """Links of items that share a key and pass verify, as partial rows (id, root, links, need).
-
-    spread: (id long, key long), the keys of each item; rows may repeat. It is read once.
+    schema, held, fresh, kept = None, [], 0, 0
+
+    def settle():
+        """Rows to give out, and rows to keep: for a key without a second id that row, else one to mark the key."""
+        columns = [np.concatenate([h[k] for h in held]) for k in range(len(held[0]))]
+        order = np.argsort(columns[1])
+        keys = columns[1][order]
+        same = np.zeros(len(keys), bool)
+        same[1:] = keys[1:] == keys[:-1]
+        same[:-1] |= same[1:]
+        alone = [c[order[~same]] for c in columns]
+        order = order[same]
+        order = order[np.lexsort((~columns[-1][order], columns[0][order], columns[1][order]))]  # of equal rows the mark first
+        ids, keys, *_, mark = (c[order] for c in columns)
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        order, keys, mark = order[new], keys[new], mark[new]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(first)
+        sizes = np.diff(np.append(at, len(keys)))
+        shared = (sizes > 1) | np.logical_or.reduceat(mark, at) if len(at) else np.zeros(0, bool)
+        out = np.repeat(shared, sizes) & ~mark
+        keep = [c[order[at]] for c in columns]
+        keep[-1] = shared
+        return [c[order[out]] for c in columns[:-1]], [np.concatenate([a, k]) for a, k in zip(alone, keep)]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        schema = b.schema
+        held.append([*(c.to_numpy(zero_copy_only=False) for c in b.columns), np.zeros(b.num_rows, bool)])
+        fresh += b.num_rows
+        if fresh >= max(chunk, kept):
+            out, keep = settle()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], schema=schema)
+            held, fresh, kept = [keep], 0, len(keep[0])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in settle()[0]], schema=schema)
+
+
+def meeting(spread: DataFrame, tag: str) -> DataFrame:
+    """The rows of spread (id long, key long, perhaps child long) whose key another id has too, once each, staged."""
+    columns = [c for c in ("id", "key", "child") if c in spread.columns]
+    met = spread.select(*columns).repartition("key").mapInArrow(_met, ", ".join(f"{c} long" for c in columns))
+    return stage(met.distinct(), f"{tag}-met")
+
+
+def bucket_join(items: Callable[[DataFrame], DataFrame], verify: Verify, decode, met: DataFrame, tag: str, with_prev: bool = False, unordered: bool = False) -> DataFrame:
+    """Links of items that share a key and pass verify, as partial rows (id, root, links).
+
+    met: what meeting() returns. With a column child, a bucket whose rows have one child alone is left out: its
+    pairs share the child, a longer key, and were joined there.
     items: gives, for a table of the ids that met another, id (unique), weight long, keys binary (the item's
     keys as int64; two items share a key only at the same position, unless unordered), payload
     binary, and prev binary: with_prev, pairs that share a key of prev at one position were joined before.
     decode: makes the objects verify compares from a list of payloads.
-    The result is staged; links must be summed by id, (id, root) are edges of a spanning forest; need is
-    the links weighed by the inverse of their chance to be met.
+    The result is staged; links must be summed by id, and (id, root) are edges of a spanning forest. Rows with a null id
+    count the linked pairs of a hundredth of similarity: root is the hundredth, links the pairs.
     """
-    met = spread.select("id", "key").repartition("key").mapInArrow(_met, "id long, key long")
-    met = stage(met, f"{tag}-met")
-    buckets = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("f2"))
+    counted = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("f2"), *([F.min("child").alias("lo"), F.max("child").alias("hi")] if "child" in met.columns else []))
+    buckets = counted.where("lo <> hi") if "child" in met.columns else counted
     # Buckets with the same members are one. The smallest key stands for them: a pair is joined in the
     # bucket of its smallest common key.
-    kept = buckets.groupBy("n", "f1", "f2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    members = stage(met.join(kept, "key").withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("nb")).cast("int")), f"{tag}-members")
+    kept = stage(buckets.groupBy("n", "f1", "f2").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), f"{tag}-buckets")
+    members = stage(salted_join(met.select("id", "key"), kept, ["key"], "id", "n").withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("nb")).cast("int")), f"{tag}-members")
     unstage(met)
+    unstage(kept)
     dealt = members.select("id", "part", "key", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     dealt = dealt.select("id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key")
     dealt = dealt.select("id", "part", "i", "j", "key", F.xxhash64("key", "i", "j").alias("task"))
     columns = ["task", "id", "weight", "part", "i", "j", "key", "keys", "payload"] + ["prev"] * with_prev
     ready = dealt.join(items(members.select("id").distinct()), "id").select(*columns).repartition("task").sortWithinPartitions("task")
-    found = stage(ready.mapInArrow(_runner(verify, decode, with_prev, chance, unordered), "id long, root long, links long, need double"), f"{tag}-links")
+    found = stage(ready.mapInArrow(_runner(verify, decode, with_prev, unordered), "id long, root long, links long"), f"{tag}-links")
     unstage(members)
     return found
 
@@ -257,10 +290,11 @@ def connected_components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFr
         if mark[0] == 0:
             break
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_low, "u")
+        # A root has a row for each member it meets: the joins deal its rows to many tasks.
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n").where("n > 0")
+        large = salted_join(both.where("v > u"), low, ["u"], "v", "n", total=mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small_low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = salted_join(large, small_low, ["u"], "v", "n", total=mark[0])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(joined.select("u", F.col("m").alias("v"))).distinct()
         after = stage(small, f"{tag}-cc{k}")
         seen, mark = mark, _mark(after)

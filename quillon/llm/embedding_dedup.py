@@ -9,7 +9,7 @@ precision. The index is approximate only in what it retrieves (recall is measure
 Defined cases: equal vectors of a label are one class, whose members link with each other. Vectors that are null, empty,
 zero, or hold null or non-finite components, and rows with a null label, link with nothing, and so do vectors
 of different lengths. Rows with a null id count as vectors; their own component is null unless they link, and they are not kept.
-Repeated rows count as vectors of their own. An empty table gives no rows. Other columns are not read.
+Repeated rows count as vectors of their own. Components may have any finite size, from the smallest double to the largest. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,29 +20,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import BASE, mix64, salted_join, stage, table
-from ._simjoin import bucket_join, connected_components
+from ._simjoin import bucket_join, connected_components, meeting
 
 THRESHOLD, PREFIX, HEAD, SHARED = 0.93, 10, 6, 3
 LEAST_PIVOTS, MOST_PIVOTS, SEED = 128, 4096, 5
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are first scaled by their largest component, as squares of huge or tiny ones do not fit a double."""
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def _pivots(sample: list[list[float]], length: int, count: int) -> np.ndarray:
     """Unit pivots of one vector length; lengths that the sample lacks get seeded random ones."""
     own = [v for v in sample if len(v) == length]
     m = np.array(own, np.float64) if own else np.random.default_rng(SEED).standard_normal((count, length))
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    return _unit(m)
 
 
 def _describer(sample: list[list[float]], count: int):
     schema = pa.schema([("id", pa.int64()), ("key_list", pa.list_(pa.int64())), ("keys", pa.binary()), ("payload", pa.binary())])
     pivots: dict[int, np.ndarray] = {}
 
-    def describe(vectors: np.ndarray, label: np.ndarray):
-        n, length = vectors.shape
+    def describe(unit: np.ndarray, label: np.ndarray):
+        n, length = unit.shape
         if length not in pivots:
             pivots[length] = _pivots(sample, length, count)
         p = pivots[length]
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         near = unit @ p.T
         m = min(PREFIX, len(p))
         top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(p) else np.tile(np.arange(m), (n, 1))
@@ -63,7 +68,7 @@ def _describer(sample: list[list[float]], count: int):
                 vectors = c.column("embedding").to_pylist()
                 for length in sorted({len(v) for v in vectors}):
                     at = np.array([k for k, v in enumerate(vectors) if len(v) == length])
-                    m = np.array([vectors[k] for k in at], np.float64)
+                    m = _unit(np.array([vectors[k] for k in at], np.float64))
                     top, keys = describe(m, labels[at])
                     payload = [t.tobytes() + v.tobytes() for t, v in zip(top, m)]
                     lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(keys).ravel()))
@@ -79,8 +84,7 @@ def _decode(buffers) -> list[tuple[np.ndarray, np.ndarray]]:
 def _verifier(threshold: float, shared: int):
     def verify(members, i, j):
         tops = np.stack([m[0] for m in members])
-        vectors = np.stack([m[1] for m in members])
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = np.stack([m[1] for m in members])
         out = np.full(len(i), -1.0)
         for x in range(0, len(i), 1 << 14):
             a, b = tops[i[x : x + (1 << 14)]], tops[j[x : x + (1 << 14)]]
@@ -107,15 +111,17 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, shared: in
     def items(ids: DataFrame) -> DataFrame:
         return described.drop("key_list").join(ids, "id", "left_semi").join(classes.select(F.col("cls").alias("id"), "weight"), "id")
 
-    links = bucket_join(items, _verifier(threshold, shared), _decode, described.select("id", F.explode("key_list").alias("key")), "op10", unordered=True)
+    links = bucket_join(items, _verifier(threshold, shared), _decode, meeting(described.select("id", F.explode("key_list").alias("key")), "op10"), "op10", unordered=True).where("id is not null")
     by_class = links.groupBy(F.col("id").alias("cls")).agg(F.sum("links").alias("links"))
     groups = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "op10").withColumnRenamed("id", "cls")
     per = classes.select("cls", "least", "weight").join(by_class, "cls", "left").join(groups, "cls", "left")
-    per = per.select("cls", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
-    per = salted_join(per, per.groupBy("component").agg(F.min("least").alias("component_id")), ["component"], "cls").select("cls", "n_links", "component_id")
-    out = rows.select("vec_id", "cls").join(per, "cls", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    per = per.select("cls", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"), "weight")
+    per = stage(per, "op10-per")
+    per = stage(salted_join(per, per.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), ["component"], "cls", "n").select("cls", "n_links", "component_id", "weight"), "op10-classed")
+    own = F.col("vec_id")
+    linked = salted_join(rows.where("cls is not null").select("vec_id", "cls"), per, ["cls"], "vec_id", "weight").select("vec_id", "n_links", F.coalesce("component_id", own).alias("component_id"))
+    out = linked.unionAll(rows.where("cls is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), own.alias("component_id")))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(own == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op10_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,12 +4,12 @@ Lines that are equal after lower-casing and after white space is folded are copi
 becomes its set of SHINGLE-character shingles; BANDS bands of ROWS MinHash values propose pairs
 (a pair of similarity 0.8 is met with a chance of 0.998), the exact Jaccard similarity of the whole sets decides,
 and a distributed union-find joins the links. Of each component the first line stays (smallest
-document id, then line number); every other occurrence goes.
+document id, then text, then line number); every other occurrence goes.
 
 Defined cases: blank lines always stay and are compared with nothing. A line shorter than a shingle is one
-shingle. A null or empty text stays as it is, as do the lines of a row with a null id. Rows with the same id
-count as one document: where their texts repeat, each keeps what the first keeps. A document may lose all of its lines;
-its text is then empty. Line identity is a 64-bit hash of the folded line. Columns besides doc_id and text pass through.
+shingle. A null or empty text stays as it is, as do the lines of a row with a null id. Rows with the same id and text
+count as one document: each keeps what the first keeps. Rows with the same id and other texts are other documents; of
+a line that several of them begin with, one of them keeps it. A document may lose all of its lines; its text is then empty. Line identity is a 64-bit hash of the folded line. Columns besides doc_id and text pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import chunks, distinct, fold, minhash_rows, release, salted_join, span_hashes, stage, table, unstage, window_hashes
-from ._simjoin import bucket_join, connected_components, jaccard_verify
+from ._simjoin import bucket_join, connected_components, jaccard_verify, meeting
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 8, 0.8, 12, 4, 77
 #: Line hashes a task remembers.
@@ -70,13 +70,14 @@ def _slices(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            docs, numbers, texts = [], [], []
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+            docs, txts, numbers, texts = [], [], [], []
+            for doc, txt, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "txt", "text"))):
                 for number, line in _lines(text):
                     docs.append(doc)
+                    txts.append(txt)
                     numbers.append(number)
                     texts.append(line)
-            yield docs, numbers, texts
+            yield docs, txts, numbers, texts
 
 
 def _band_keys(lines: list[str], bands: int, rows: int, n: int) -> np.ndarray:
@@ -93,29 +94,29 @@ def _band_keys(lines: list[str], bands: int, rows: int, n: int) -> np.ndarray:
 
 
 def _scan(bands: int, rows: int, n: int):
-    """Two kinds of rows in one pass: a line's place (lid, doc_id, line, first in its document), and its keys (lid, key)."""
-    schema = pa.schema([("lid", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("first", pa.bool_())])
+    """Two kinds of rows in one pass: a line's place (lid, doc_id, txt, line, first in its document), and its keys (lid, key)."""
+    schema = pa.schema([("lid", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("txt", pa.int64()), ("line", pa.int32()), ("first", pa.bool_())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a frequent line gives its keys about once a task
-        for docs, numbers, texts in _slices(batches):
+        for docs, txts, numbers, texts in _slices(batches):
             lids = line_hashes(texts)
             own: set[tuple[int, int]] = set()
             first, new = [], {}
-            for key, text in zip(zip(docs, lids.tolist()), texts):
+            for key, text in zip(zip(txts, lids.tolist()), texts):
                 first.append(key not in own)
                 own.add(key)
                 if key[1] not in seen:
                     seen.add(key[1])
                     new[text] = key[1]
-            yield pa.RecordBatch.from_arrays([pa.array(lids), pa.nulls(len(lids), pa.int64()), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(first, pa.bool_())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(lids), pa.nulls(len(lids), pa.int64()), pa.array(docs, pa.int64()), pa.array(txts, pa.int64()), pa.array(numbers, pa.int32()), pa.array(first, pa.bool_())], schema=schema)
             if len(seen) > SEEN:
                 seen.clear()
             lines = list(new)
             for x, y in chunks(lines):
                 keys = _band_keys(lines[x:y], bands, rows, n).ravel()
                 ids = np.repeat(np.fromiter((new[t] for t in lines[x:y]), np.int64, y - x), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), *(pa.nulls(len(ids), schema.field(k).type) for k in (2, 3, 4))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), *(pa.nulls(len(ids), schema.field(k).type) for k in (2, 3, 4, 5))], schema=schema)
 
     return scan
 
@@ -129,11 +130,7 @@ def _payloads(bands: int, rows: int, n: int):
                 part, found = batch.slice(lo, 256), []
                 for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
                     lines = text.split("\n")
-                    for w in wanted:
-                        t = folded(lines[w["line"]]) if w["line"] < len(lines) else ""
-                        # Of rows that repeat an id, only the text that holds the line counts.
-                        if t and line_hashes([t])[0] == w["lid"]:
-                            found.append((w["lid"], t))
+                    found += [(w["lid"], folded(lines[w["line"]])) for w in wanted]
                 for x, y in chunks([t for _, t in found]):
                     keys = _band_keys([t for _, t in found[x:y]], bands, rows, n)
                     kept = [(i, 1, k.tobytes(), t.encode("utf-8", "surrogatepass")) for (i, t), k in zip(found[x:y], keys)]
@@ -155,29 +152,30 @@ def _decoder(n: int):
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, removed array<int>): line numbers, from 0, that repeat an earlier line of the corpus."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    scanned = stage(docs.mapInArrow(_scan(bands, rows, shingle), "lid long, key long, doc_id long, line int, first boolean"), "op1-lines", "snappy")
-    places = scanned.where("key is null").select("lid", "doc_id", "line", "first")
+    """(doc_id, txt, removed array<int>): line numbers, from 0, that repeat an earlier line of the corpus, of the text with the hash txt."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("txt")).where("doc_id is not null and text is not null")
+    scanned = stage(docs.mapInArrow(_scan(bands, rows, shingle), "lid long, key long, doc_id long, txt long, line int, first boolean"), "op1-lines", "snappy")
+    places = scanned.where("key is null").select("lid", "doc_id", "txt", "line", "first")
+    # Both minima meet the same rows in the same order, so they are of one row. Primitive values keep this a hash aggregation.
     first_here = F.when(F.col("first"), F.col("doc_id"))
-    known = stage(places.groupBy("lid").agg(F.min(first_here).alias("at_doc"), F.min_by("line", first_here).alias("at_line"), F.count("*").alias("n")), "op1-known")
+    known = stage(places.groupBy("lid").agg(F.min(first_here).alias("at_doc"), F.min_by("txt", first_here).alias("at_txt"), F.min_by("line", first_here).alias("at_line"), F.count("*").alias("n")), "op1-known")
 
     def items(ids: DataFrame) -> DataFrame:
         met = known.join(ids.withColumnRenamed("id", "lid"), "lid", "left_semi")
-        by_doc = met.groupBy(F.col("at_doc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at_line").alias("line"), "lid")).alias("wanted"))  # lines of one document
-        return docs.join(by_doc.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(_payloads(bands, rows, shingle), "id long, weight long, keys binary, payload binary").dropDuplicates(["id"])
+        by_doc = met.groupBy(F.col("at_doc").alias("doc_id"), F.col("at_txt").alias("txt")).agg(F.collect_list(F.struct(F.col("at_line").alias("line"), "lid")).alias("wanted"))  # lines of one document
+        return docs.join(by_doc.hint("shuffle_hash"), ["doc_id", "txt"]).select("text", "wanted").mapInArrow(_payloads(bands, rows, shingle), "id long, weight long, keys binary, payload binary").dropDuplicates(["id"])
 
     keys = scanned.where("key is not null").select(F.col("lid").alias("id"), "key")
-    links = bucket_join(items, jaccard_verify(threshold), _decoder(shingle), keys, "op1")
+    links = bucket_join(items, jaccard_verify(threshold), _decoder(shingle), meeting(keys, "op1"), "op1").where("id is not null")
     release(docs.sparkSession)
     groups = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "op1").withColumnRenamed("id", "lid")
-    repeated = known.join(groups, "lid", "left").where("n > 1 or component is not null").withColumn("place", F.struct(F.col("at_doc").alias("doc_id"), F.col("at_line").alias("line")))
-    repeated = repeated.withColumn("component", F.coalesce("component", "lid"))
-    first = repeated.groupBy("component").agg(F.min("place").alias("stays"))
-    gone = stage(salted_join(repeated, first, ["component"], "lid").select("lid", "stays"), "op1-gone")
-    out = places.join(gone, "lid").where("struct(doc_id, line) <> stays")
-    lost = stage(out.groupBy("doc_id").agg(F.collect_set("line").alias("removed")), "op1-removed")  # lines of one document
-    for t in (scanned, known, links, gone):
+    repeated = known.join(groups, "lid", "left").where("n > 1 or component is not null")
+    repeated = stage(repeated.select("lid", "n", F.coalesce("component", "lid").alias("component"), F.struct(F.col("at_doc").alias("doc_id"), F.col("at_txt").alias("txt"), F.col("at_line").alias("line")).alias("place")), "op1-repeated")
+    first = repeated.groupBy("component").agg(F.min("place").alias("stays"), F.count("*").alias("lines"))
+    gone = stage(salted_join(repeated, first, ["component"], "lid", "lines").select("lid", "n", "stays"), "op1-gone")
+    out = salted_join(places, gone, ["lid"], "txt", "n").where("struct(doc_id, txt, line) <> stays")
+    lost = stage(out.groupBy("doc_id", "txt").agg(F.collect_set("line").alias("removed")), "op1-removed")  # lines of one document
+    for t in (scanned, known, links, repeated, gone):
         unstage(t)
     release(docs.sparkSession)
     return lost
@@ -185,8 +183,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with its columns, less the lines that repeat an earlier one, and the new columns n_lines and n_removed."""
-    lost = removed_lines(docs, **options).select(F.col("doc_id").alias("_lost_of"), F.col("removed").alias("_lost"))
-    joined = docs.join(lost.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_lost_of"), "left")
+    lost = removed_lines(docs, **options).select(F.col("doc_id").alias("_lost_of"), F.col("txt").alias("_lost_txt"), F.col("removed").alias("_lost"))
+    joined = docs.join(lost.hint("shuffle_hash"), (docs["doc_id"].cast("long") == F.col("_lost_of")) & (F.xxhash64(docs["text"]) == F.col("_lost_txt")), "left")
     # The lines are a column of their own, or each access below would split the text again.
     split = joined.select("*", F.split(docs["text"], "\n").alias("_lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))

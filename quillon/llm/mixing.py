@@ -26,8 +26,9 @@ DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
 LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 2}
 SOURCE_WEIGHTS = {"src0": 2}
 SHARE, EPOCHS, SEED = (3, 5), 2, 17
-#: Hexadecimal digits of the order's hash that form the parts in which a leaf is counted.
-DIGITS = 3
+#: Hexadecimal digits of the order's hash that form the parts in which a leaf is counted, at least; and the rows of a
+#: leaf's part beyond which there are more.
+DIGITS, PART_ROWS = 3, 50_000
 LEAF = ["_domain", "_lang", "_source"]
 
 
@@ -74,7 +75,7 @@ def budgets(leaves: DataFrame, share: tuple[int, int], epochs: int, weights: tup
     langs = leaves.groupBy("_domain", "_lang").agg(F.sum("cap").alias("cap")).join(domains, "_domain").withColumn("w", _weight("_lang", weights[1]))
     langs = _deal(langs, ["_domain"], "_lang").select("_domain", "_lang", F.col("share").alias("budget"))
     sources = leaves.join(langs, ["_domain", "_lang"]).withColumn("w", _weight("_source", weights[2]))
-    return _deal(sources, ["_domain", "_lang"], "_source").select(*LEAF, "tokens", F.col("share").alias("budget"))
+    return _deal(sources, ["_domain", "_lang"], "_source").select(*LEAF, *(c for c in ("tokens", "rows") if c in leaves.columns), F.col("share").alias("budget"))
 
 
 def _order(epoch: Column, seed: int) -> Column:
@@ -86,28 +87,31 @@ def _marked(docs: DataFrame, domain: Column) -> DataFrame:
     return docs.withColumns({"_id": F.col("doc_id"), "_domain": F.coalesce(domain, empty), "_lang": F.coalesce("lang", empty), "_source": F.coalesce("source", empty), "_n": count_tokens(F.col("text"))})
 
 
-def _plan(docs: DataFrame, domain, share, epochs, weights, seed) -> tuple[DataFrame, DataFrame]:
-    """Cuts of the leaves, and where the documents of the part that holds the cut begin."""
+def _plan(docs: DataFrame, domain, share, epochs, weights, seed) -> tuple[DataFrame, DataFrame, int]:
+    """Cuts of the leaves, where the documents of the part that holds the cut begin, and the digits that name a part."""
     counted = stage(_marked(docs, domain).select("_id", *LEAF, "_n"), "op3-counted")
-    leaves = counted.groupBy(*LEAF).agg(F.sum("_n").alias("tokens"))
+    leaves = counted.groupBy(*LEAF).agg(F.sum("_n").alias("tokens"), F.count("*").alias("rows"))
     dealt = budgets(leaves, share, epochs, weights).where("tokens > 0")
-    dealt = stage(dealt.select(*LEAF, F.expr("cast(budget div tokens as int)").alias("_full"), (F.col("budget") % F.col("tokens")).alias("_rest")), "op3-budgets")
-    placed = salted_join(counted, dealt, LEAF, "_id").withColumn("_h", _order(F.col("_full"), seed)).withColumn("_part", F.substring("_h", 1, DIGITS))
-    parts = placed.groupBy(*LEAF, "_rest", "_part").agg(F.sum("_n").alias("n"))  # 16 ** DIGITS a leaf at most
+    dealt = stage(dealt.select(*LEAF, "rows", F.expr("cast(budget div tokens as int)").alias("_full"), (F.col("budget") % F.col("tokens")).alias("_rest")), "op3-budgets")
+    # A part of a leaf is sorted by one task: parts are made so small that it holds PART_ROWS rows or so.
+    largest = dealt.agg(F.max("rows").alias("n")).head().n or 0
+    digits = next(d for d in range(DIGITS, 17) if largest <= PART_ROWS * 16**d)
+    placed = salted_join(counted, dealt, LEAF, "_id", "rows").withColumn("_h", _order(F.col("_full"), seed)).withColumn("_part", F.substring("_h", 1, digits))
+    parts = placed.groupBy(*LEAF, "_rest", "_part").agg(F.sum("_n").alias("n"))  # 16 ** digits a leaf at most
     upto = parts.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEAF).orderBy("_part")))
     cut = upto.where("upto - n < _rest and upto >= _rest").select(*LEAF, F.col("_part").alias("_cut"), (F.col("upto") - F.col("n")).alias("_before"))
     cuts = stage(dealt.join(cut, LEAF, "left"), "op3-cuts")
-    inside = salted_join(counted, cuts, LEAF, "_id").withColumn("_h", _order(F.col("_full"), seed)).where(F.substring("_h", 1, DIGITS) == F.col("_cut"))
+    inside = salted_join(counted, cuts, LEAF, "_id", "rows").withColumn("_h", _order(F.col("_full"), seed)).where(F.substring("_h", 1, digits) == F.col("_cut"))
     running = Window.partitionBy(*LEAF).orderBy("_h", "_id")
     begins = inside.withColumn("_begin", F.col("_before") + F.sum("_n").over(running) - F.col("_n")).groupBy(*LEAF, "_id").agg(F.min("_begin").alias("_begin"))
-    return cuts, stage(begins, "op3-begins")
+    return cuts, stage(begins, "op3-begins"), digits
 
 
 def take(docs: DataFrame, domain: Column | None = None, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, weights=(DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS), seed: int = SEED) -> DataFrame:
     """docs with _domain, _n (tokens), _full (whole epochs) and _some (tokens of the last, partial epoch)."""
     domain = domain_of(F.col("source")) if domain is None else domain
-    cuts, begins = _plan(docs, domain, share, epochs, weights, seed)
-    rows = salted_join(_marked(docs, domain), cuts, LEAF, "_id", how="left").withColumn("_part", F.substring(_order(F.col("_full"), seed), 1, DIGITS))
+    cuts, begins, digits = _plan(docs, domain, share, epochs, weights, seed)
+    rows = salted_join(_marked(docs, domain), cuts, LEAF, "_id", "rows", how="left").withColumn("_part", F.substring(_order(F.col("_full"), seed), 1, digits))
     rows = rows.join(begins.withColumnsRenamed({"_id": "_b", "_domain": "_bd", "_lang": "_bl", "_source": "_bs"}), F.expr("_id <=> _b and _domain = _bd and _lang = _bl and _source = _bs"), "left")
     inside = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_rest") - F.col("_begin")))
     some = F.when(F.col("_cut").isNull(), 0).when(F.col("_part") < F.col("_cut"), F.col("_n")).when(F.col("_part") == F.col("_cut"), inside).otherwise(0)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage, table
+from ._common import salted_join, stage, table
 
 FRAME, BUNDLE, LEVEL = 1 << 17, 1 << 23, 3
 #: Fixed values of the seekable format.
@@ -188,10 +188,10 @@ def write_bundles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     size = F.octet_length(F.coalesce("html", F.lit("")))
-    hashed = pages.where("page_id is not null").where(size >= min_bytes).select("page_id", sha.alias("sha"), size.alias("size"))
-    first = hashed.groupBy("sha", "size").agg(F.min("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1")
+    hashed = stage(pages.where("page_id is not null").where(size >= min_bytes).select("page_id", sha.alias("sha"), size.alias("size")), "op7-hashed")
+    first = stage(hashed.groupBy("sha", "size").agg(F.min("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1"), "op7-first")
     # Only rows that revisit another one: the pages themselves are shuffled only if these are many.
-    again = stage(hashed.join(first, ["sha", "size"]).where("page_id <> response_id").select("page_id", "sha", "response_id").distinct(), "op7-again")
+    again = stage(salted_join(hashed, first, ["sha", "size"], "page_id", "n").where("page_id <> response_id").select("page_id", "sha", "response_id").distinct(), "op7-again")
     marked = pages.withColumn("sha", sha).join(again, ["page_id", "sha"], "left").select("page_id", "url", "html", "response_id")
     return stage(marked.mapInArrow(_writer, "bundle string, archive binary, index array<struct<record_id:string,frame:int,offset:bigint>>"), "op7-bundles", "none")
 
