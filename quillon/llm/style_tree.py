@@ -1,15 +1,26 @@
 """Main text of web pages by a site style tree (operator 5).
 
-Pages of a host are merged into one tree of style nodes: the path of block elements with their classes and ids.
-A node that m different pages of the host show has the importance 1 - (mean entropy of its content features) to
-base m: text that one page alone shows counts 1, text that all show counts 0. Presentation sets the
-rest: elements and class names of menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments have
-importance 0 with all below them; an article or main element holds the page's content, and where a page has one
-with text only its branches are candidates. Branches of low importance are removed from each page; inside an article
-only nodes other than paragraphs and headings that many pages show can be.
+The DOMs of a host are merged into one tree. Its nodes are chains of block elements with their classes and ids,
+apart for the inside of articles and for presentation. A node that shows text has an importance from 0 to 1,
 
-Equal pages of a host count once. Node counts are aggregated before they are joined, and only the nodes to
-remove (a short list a host) meet the pages.
+    prior * (LAYOUT * presentation + (1 - LAYOUT) * content).
+
+Presentation: the entropy, to base m, of the child sequences that its parent has on the m different pages that show it; a
+container that all pages lay out alike counts 0. Content: 1 minus the mean entropy, to base m, of the node's texts over
+these pages: a text that one page alone shows has entropy 0, one that all show 1. Prior: 1, or WEAK for presentation by its
+markup, which are elements, roles and class names of menus, headers, footers, sidebars, notices, adverts, forms and
+comments, with all below them; and for all outside an article or main element that has text. A class name counts as such
+only if every word of it is one of NOISE_WORDS or STRUCTURE: side-effects and comments-on-war are content.
+
+Branches of low importance are removed from each page; of a branch whose prior is 1 only the texts that are of low
+importance themselves, so that what few pages show never goes with its node. A heading stays if the block after it does.
+A branch on fewer than PAGES different pages has content and presentation 1. Inside articles the bounds are stricter.
+
+Pages are different by their main content: the texts of the node that has most characters on the page. Mirrors that
+differ only in title, menu or advert are one page. The contexts in which a text is shown are counted
+by that too, less the text itself.
+
+Counts are aggregated before they are joined; neither a host's pages nor its nodes are gathered in one task.
 
 Defined cases: a null html is an empty one and gives the empty text. A null url is the host ''. Null ids and repeated
 rows give their own rows. An unclosed element ends with its parent, a tag cut by the end of the page is dropped.
@@ -18,20 +29,23 @@ A line break element is white space. An empty table gives no rows. Other columns
 
 from __future__ import annotations
 
-import hashlib
 import re
-import struct
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage, table
+from ._common import salted_join, stage, table
 
-#: Least importance of a branch; and of a branch inside an article, with the pages that must show it.
-LEAST, LEAST_INSIDE, PAGES, PAGES_INSIDE = 0.3, 0.15, 4, 12
+#: Prior of presentation, and the weight of presentation in an importance.
+WEAK, LAYOUT = 0.2, 0.25
+#: Least importance of a branch and the different pages that must show it; and the same inside an article.
+LEAST, PAGES, LEAST_INSIDE, PAGES_INSIDE = 0.3, 4, 0.15, 12
 
 #: Fixed values of HTML: elements that begin and end blocks, void elements, raw text, and elements that a tag closes.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -43,7 +57,10 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 NOISE = set("nav footer aside form menu dialog head select button svg object audio video canvas fieldset".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NOISE_WORDS = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login search social share sharing related recommended recommendations comment comments commentlist disqus reply replies respond reactions pagination pager toolbar widget widgets skip hidden".split())
+#: Words that a class name of presentation may hold beside them.
+STRUCTURE = set("area articles bar block bottom box button buttons column container form global group icon icons inner item items left link links list main module outer page panel posts primary right row secondary section site slot thread top unit wrap wrapper".split())
 CONTENT = {"article", "main"}
+HEADING = set("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>|<[a-zA-Z/!?][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"']+)""")
@@ -57,8 +74,15 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _is_noise(name: str) -> bool:
+    """Whether a class name or id is one of presentation, in all its words."""
+    words = [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", name))]
+    return not NOISE_WORDS.isdisjoint(words) and all(w in NOISE_WORDS or w in STRUCTURE for w in words)
+
+
+@lru_cache(maxsize=10_000)
 def _style(tag: str, raw: str) -> tuple[str, bool]:
-    """Name of an element in the tree, and whether its presentation has no importance."""
+    """Name of an element in the tree, and whether it is presentation."""
     noise = tag in NOISE
     if not raw or "=" not in raw and "hidden" not in raw.lower():
         return tag, noise
@@ -67,9 +91,10 @@ def _style(tag: str, raw: str) -> tuple[str, bool]:
         key = (m[1] or m[5]).lower()
         value = next((v for v in m.group(2, 3, 4) if v is not None), "")
         if key in ("class", "id"):
-            words = sorted(w.lower() for w in _WORD.findall(_CAMEL.sub(" ", unescape(value))))
+            value = unescape(value)
+            words = sorted(w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value)))
             name += f"{'.' if key == 'class' else '#'}{' '.join(words)}"
-            noise = noise or tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(words)
+            noise = noise or tag not in ("html", "body") and any(map(_is_noise, value.split()))
         elif key == "role":
             noise = noise or value.strip().lower() in NOISE_ROLES
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -77,11 +102,25 @@ def _style(tag: str, raw: str) -> tuple[str, bool]:
     return name, noise
 
 
-def blocks(html: str) -> list[tuple[str, bool, str]]:
-    """(style path, inside an article, text) of every block with importance of presentation, in page order."""
-    out: list[tuple[str, bool, str]] = []
-    # Open elements: tag, path, noise, content.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+def _hash(text: str) -> int:
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+class _Open:
+    """An open element: its tag, node, presentation, inside an article, and the names of its children (of its block, if it is inline)."""
+
+    __slots__ = ("tag", "node", "parent", "noise", "content", "kids")
+
+    def __init__(self, tag: str, node: int, parent: int, noise: bool, content: bool, kids: list[str]):
+        self.tag, self.node, self.parent, self.noise, self.content, self.kids = tag, node, parent, noise, content, kids
+
+
+def parse(html: str) -> tuple[list[tuple[int, int, bool, bool, bool, str]], dict[int, list[str]]]:
+    """(node, parent, presentation, inside an article, heading, text) of every block in page order; and the child sequences of nodes."""
+    out: list[tuple[int, int, bool, bool, bool, str]] = []
+    layouts: dict[int, list[str]] = {0: []}
+    stack = [_Open("", 0, 0, False, False, layouts[0])]
     held: list[str] = []
 
     def flush():
@@ -89,7 +128,9 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                out.append((stack[-1][1], stack[-1][3], text))
+                top = stack[-1]
+                block = next((e.tag for e in reversed(stack) if e.tag in BLOCK), "")
+                out.append((top.node, top.parent, top.noise, top.content, block in HEADING, text))
 
     def close(index: int):
         flush()
@@ -99,7 +140,7 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
     while at < size:
         m = _TAG.search(html, at)
         begin = m.start() if m else size
-        if begin > at and not stack[-1][2]:
+        if begin > at:
             part = html[at:begin]
             held.append(unescape(part) if "&" in part else part)
         if not m:
@@ -111,13 +152,13 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
         tag = tag.lower()
         if m[1] or m[4]:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag in BLOCK or any(e[0] in BLOCK for e in stack[k:]) or stack[k][2] != stack[k - 1][2]:
+                if stack[k].tag == tag:
+                    if tag in BLOCK or any(e.tag in BLOCK for e in stack[k:]) or stack[k].noise != stack[k - 1].noise:
                         close(k)
                     else:
                         del stack[k:]
                     break
-                if stack[k][0] in ("td", "th", "table", "article", "main", "section", "div", "nav", "aside", "footer", "header", "form", "body") and tag not in BLOCK:
+                if stack[k].tag in ("td", "th", "table", "article", "main", "section", "div", "nav", "aside", "footer", "header", "form", "body") and tag not in BLOCK:
                     break  # a stray end of an inline element closes nothing outside
             continue
         if tag in RAW:
@@ -131,103 +172,127 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
             # A block ends an open paragraph, and items end their like within their list.
             ends = CLOSED_BY.get(tag)
             for k in range(len(stack) - 1, 0, -1):
-                open_tag = stack[k][0]
+                open_tag = stack[k].tag
                 if open_tag == "p" or open_tag == "head" and tag != "head" or ends and open_tag in ends:
                     close(k)
                 elif open_tag in BLOCK and not (ends and open_tag not in SCOPE[tag]):
                     break
             flush()
-        if tag in VOID or (m[3] or m[6] or "").endswith("/") and tag not in BLOCK:
+        raw = m[3] or m[6] or ""
+        if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             continue
-        _, path, noise, content = stack[-1]
-        name, own = _style(tag, m[3] or m[6] or "")
+        above = stack[-1]
+        name, own = _style(tag, raw)
         # A heading group inside an article belongs to it.
-        own = own or tag == "header" and not content
-        if tag in BLOCK:
-            path = f"{path}/{name}"
-        if own and not noise:
+        own = own or tag == "header" and not above.content
+        noise, content = above.noise or own, above.content or tag in CONTENT and not own
+        if tag not in BLOCK:
+            if own and not above.noise:
+                flush()
+            stack.append(_Open(tag, above.node, above.parent, noise, content, above.kids))
+            continue
+        if own and not above.noise:
             flush()
-        stack.append((tag, path, noise or own, content or tag in CONTENT and not own))
+        above.kids.append(name)
+        # Presentation and the inside of articles are branches of their own.
+        node = _hash(f"{above.node}/{name}/{noise:d}{content:d}")
+        stack.append(_Open(tag, node, above.node, noise, content, layouts.setdefault(node, [])))
+        stack[-1].kids.append("<")
     flush()
-    return out
-
-
-def _hash(text: str) -> int:
-    return struct.unpack("<q", hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())[0]
+    return out, layouts
+
+
+def blocks(html: str) -> list[tuple[int, bool, str]]:
+    """(node, inside an article, text) of every block that is not presentation by its markup, in page order."""
+    return [(node, inside, text) for node, _, noise, inside, _, text in parse(html)[0] if not noise]
+
+
+_BLOCK = pa.struct([("node", pa.int64()), ("weak", pa.bool_()), ("inside", pa.bool_()), ("heading", pa.bool_()), ("layout", pa.int64()), ("feature", pa.int64()), ("context", pa.int64()), ("text", pa.string())])
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("rid", pa.int64()), ("host", pa.string()), ("page", pa.int64()), ("blocks", pa.list_(_BLOCK))])
+PARSED = "page_id long, url string, rid long, host string, page long, blocks array<struct<node:bigint,weak:boolean,inside:boolean,heading:boolean,layout:bigint,feature:bigint,context:bigint,text:string>>"
+
+
+def describe(html: str) -> tuple[int, list[tuple]]:
+    """A page's main content as a hash, and its blocks in page order as rows for the tree."""
+    found, layouts = parse(html)
+    article = any(inside and not noise for _, _, noise, inside, _, _ in found)
+    weak = [noise or article and not inside for _, _, noise, inside, _, _ in found]
+    size: Counter[int] = Counter()
+    for b, w in zip(found, weak):
+        if not w:
+            size[b[0]] += len(b[5])
+    main = max(size, key=size.get, default=None)
+    texts = [(b[5], _hash(b[5])) for b, w in zip(found, weak) if not w and b[0] == main]
+    whole = _hash(" ".join(str(h) for _, h in texts))
+    shapes = {k: _hash("/".join(v)) for k, v in layouts.items()}
+    rows = []
+    for (node, parent, _, inside, heading, text), w in zip(found, weak):
+        feature = 0 if w else _hash(text)
+        # What else the main content holds; for a text outside of it that is all of it.
+        context = 0 if w else _hash(" ".join(str(h) for t, h in texts if t != text)) if node == main else whole
+        rows.append((node if not w else _hash(f"{node}/weak"), w, inside and not w, heading, shapes[parent], feature, context, None if w else text))
+    return whole, rows
+
+
+def _describer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            rows = []
+            for page_id, url, html, rid in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "rid"))):
+                page, found = describe(html or "")
+                rows.append((page_id, url, rid, host_of(url), page, [dict(zip(_BLOCK.names, b)) for b in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PARSED)], schema=_PARSED)
 
 
-def candidates(html: str) -> list[tuple[str, bool, str]]:
-    """The blocks among which importance decides: those of an article, where there is one with text."""
-    found = blocks(html)
-    inside = [b for b in found if b[1]]
-    return inside or found
+NODE = ["host", "node"]
 
 
-_NODES = pa.schema([("host", pa.string()), ("node", pa.int64()), ("inside", pa.bool_()), ("feature", pa.int64()), ("page", pa.int64())])
+def merged_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The host's nodes that show text (host, node, weak, inside, m, rows, importance), and their texts (host, node, feature, k, rows)."""
+    b = parsed.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.*")
+    shown = b.groupBy(*NODE, "weak", "inside", "layout", "page").agg(F.count("*").alias("rows")).groupBy(*NODE, "weak", "inside", "layout").agg(F.count("*").alias("c"), F.sum("rows").alias("rows"))
+    nodes = shown.groupBy(*NODE, "weak", "inside").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.ln("c")).alias("spread"), F.sum("rows").alias("rows"))
+    own = b.where("not weak").groupBy(*NODE, "feature", "context").agg(F.count("*").alias("rows"))
+    texts = stage(own.groupBy(*NODE, "feature").agg(F.count("*").alias("k"), F.sum("rows").alias("rows")), "op5-texts")
+    content = texts.groupBy(*NODE).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.ln("k")).alias("e"))
+    enough = F.col("m") >= F.when(F.col("inside"), PAGES_INSIDE).otherwise(PAGES)
+    presentation = F.when(enough, 1 - F.col("spread") / F.col("m") / F.ln("m")).otherwise(1.0)
+    own_content = F.when(enough & ~F.col("weak"), 1 - F.col("e") / F.col("n") / F.ln("m")).otherwise(1.0)
+    importance = F.when(F.col("weak"), WEAK).otherwise(1.0) * (LAYOUT * presentation + (1 - LAYOUT) * own_content)
+    return nodes.join(content, NODE, "left").select(*NODE, "weak", "inside", "m", "rows", importance.alias("importance")), texts
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            rows = set()
-            for url, html in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
-                host, page = host_of(url), _hash(html or "")
-                for path, inside, text in candidates(html or ""):
-                    node = _hash(path)
-                    rows.add((host, node, _removable(path, inside), 0, page))  # the node itself
-                    rows.add((host, node, _removable(path, inside), _hash(text), page))
-            rows = [r[:2] + (r[2] == "inside",) + r[3:] for r in rows if r[2] != "never"]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _NODES)], schema=_NODES)
-
-
-def _removable(path: str, inside: bool) -> str:
-    if not inside:
-        return "outside"
-    tag = re.match(r"[a-z0-9]*", path.rsplit("/", 1)[-1])[0]
-    return "never" if tag in ("p", "article", "main", "pre", "blockquote") or re.fullmatch(r"h[1-6]", tag) else "inside"
-
-
-def unimportant_nodes(pages: DataFrame) -> DataFrame:
-    """(host, nodes array<long>): the style nodes to remove from the host's pages."""
-    rows = pages.select("url", "html").mapInArrow(_nodes, "host string, node long, inside boolean, feature long, page long")
-    shown = rows.groupBy("host", "node", "inside", "feature", "page").agg(F.lit(1).alias("one"))  # equal pages once
-    counted = shown.groupBy("host", "node", "inside", "feature").agg(F.count("*").alias("k"))
-    content = F.col("feature") != 0
-    tree = counted.groupBy("host", "node", "inside").agg(
-        F.max(F.when(~content, F.col("k"))).alias("m"),
-        F.sum(F.when(content, F.col("k"))).alias("n"),
-        F.sum(F.when(content, F.col("k") * F.ln("k"))).alias("e"),
-    )
-    importance = F.when(F.col("m") > 1, 1 - F.col("e") / F.col("n") / F.ln("m")).otherwise(1.0)
-    low = F.when(F.col("inside"), (importance < LEAST_INSIDE) & (F.col("m") >= PAGES_INSIDE)).otherwise((importance < LEAST) & (F.col("m") >= PAGES))
-    return tree.where(low).groupBy("host").agg(F.collect_set("node").alias("nodes"))
-
-
-_TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64()), ("n_removed", pa.int64())])
-
-
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            rows = []
-            for page, url, html, nodes in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "nodes"))):
-                found, gone = candidates(html or ""), set(nodes or ())
-                kept = [b[2] for b in found if not gone or _removable(b[0], b[1]) == "never" or _hash(b[0]) not in gone]
-                text = "\n".join(kept)
-                rows.append((page, url, text, len(text), len(kept), len(found) - len(kept)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TEXTS)], schema=_TEXTS)
+def unimportant(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What to remove from a host's pages: whole nodes (host, node, rows), and texts of a node (host, node, feature, rows)."""
+    nodes, texts = merged_tree(parsed)
+    least = F.when(F.col("inside"), LEAST_INSIDE).otherwise(LEAST)
+    low = stage(nodes.where(F.col("importance") < least), "op5-low")
+    own = texts.join(low.where("not weak").select(*NODE, "m", "inside"), NODE)
+    gone = stage(own.where(1 - F.ln("k") / F.ln("m") < least).select(*NODE, "feature", "rows"), "op5-gone")
+    return low.where("weak").select(*NODE, "rows"), gone
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars, n_blocks, n_removed) for every row of pages (page_id, url, html)."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    gone = stage(unimportant_nodes(pages), "op5-nodes")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = pages.withColumn("host", host).join(gone, "host", "left").select("page_id", "url", "html", "nodes")
-    return joined.mapInArrow(_cutter, "page_id long, url string, text string, n_chars long, n_blocks long, n_removed long")
+    """(page_id, url, text, n_chars, n_blocks, n_removed) for every row of pages (page_id, url, html).
+
+    n_blocks: the blocks that are left; n_removed: those that went, presentation by markup included.
+    """
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(F.col("page_id").cast("long"), "url", "html").alias("rid"))
+    parsed = stage(pages.mapInArrow(_describer, PARSED), "op5-parsed")
+    nodes, texts = unimportant(parsed)
+    rows = parsed.select("rid", "host", F.posexplode("blocks").alias("at", "b")).select("rid", "host", "at", "b.node", "b.feature")
+    hit = salted_join(rows, nodes, NODE, "rid", "rows").select("rid", "at").unionAll(salted_join(rows, texts, [*NODE, "feature"], "rid", "rows").select("rid", "at"))
+    gone = hit.groupBy(F.col("rid").alias("of")).agg(F.collect_set("at").alias("gone"))  # blocks of one page
+    joined = parsed.join(gone.hint("shuffle_hash"), F.col("rid") == F.col("of"), "left")
+    left = lambda i: ~F.coalesce(F.array_contains("gone", i), F.lit(False))
+    block = lambda i: F.get("blocks", i)
+    # A heading that the tree removes stays with the block after it.
+    stays = lambda i: block(i)["text"].isNotNull() & (left(i) | block(i)["heading"] & (i + 1 < F.size("blocks")) & left(i + 1))
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("blocks"), F.lit(1)) - 1), lambda i: (i < F.size("blocks")) & stays(i))
+    kept = joined.select("page_id", "url", F.size("blocks").alias("all"), F.transform(at, lambda i: block(i)["text"]).alias("texts"))
+    text = F.array_join("texts", "\n")
+    return kept.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("texts").cast("long").alias("n_blocks"), (F.col("all") - F.size("texts")).cast("long").alias("n_removed"))
 
 
 def op5_site_style_tree(spark, sf_dir: str) -> DataFrame:

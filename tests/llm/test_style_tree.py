@@ -1,5 +1,9 @@
+import math
+import random
 import re
+from collections import Counter, defaultdict
 from html import unescape
+from html.parser import HTMLParser
 
 from quillon.llm.style_tree import blocks, extract, host_of
 
@@ -61,3 +65,138 @@ def test_odd_rows(spark):
     got = extract(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1), (3, 999_999)]
     assert extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+class Dom(HTMLParser):
+    """Blocks of a page whose tags are all closed: (path, parent, weak by markup, inside an article, heading, text), and child sequences."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.open, self.blocks, self.kids, self.text = [("", False, False)], [], defaultdict(list), ""
+        self.feed(html)
+        self.flush()
+
+    def flush(self):
+        text, self.text = " ".join(self.text.split()), ""
+        if text:
+            names = [e[0] for e in self.open]
+            self.blocks.append(("/".join(names), "/".join(names[:-1]), self.open[-1][1], self.open[-1][2], names[-1] in ("h1", "h2"), text))
+
+    def handle_starttag(self, tag, attrs):
+        self.flush()
+        name = tag + "".join(f".{c}" for _, c in attrs)
+        self.kids["/".join(e[0] for e in self.open)].append(name)
+        weak = self.open[-1][1] or tag in ("nav", "footer", "aside") or any(c in ("ad", "cookie-banner", "site-menu", "comments") for _, c in attrs)
+        self.open.append((name, weak, self.open[-1][2] or tag in ("article", "main")))
+        self.kids["/".join(e[0] for e in self.open)].append("<")
+
+    def handle_endtag(self, tag):
+        self.flush()
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.text += data
+
+
+def brute_tree(rows):
+    """The text of every page, by the formulas of the tree over all pages of its host."""
+    pages = defaultdict(list)
+    for page_id, url, html, *_ in rows:
+        dom = Dom(html)
+        article = any(i and not w for _, _, w, i, _, _ in dom.blocks)
+        found = [((path, w or article and not i), parent, w or article and not i, i, h, t) for path, parent, w, i, h, t in dom.blocks]
+        size = Counter()
+        for node, _, w, _, _, t in found:
+            if not w:
+                size[node] += len(t)
+        main = max(size, key=size.get, default=None)
+        whole = tuple(t for node, _, w, _, _, t in found if node == main and not w)
+        pages[host_of(url)].append((page_id, found, dom.kids, main, whole))
+    out = {}
+    for own in pages.values():
+        layouts, contexts = defaultdict(set), defaultdict(lambda: defaultdict(set))
+        for _, found, kids, main, whole in own:
+            for node, parent, w, inside, _, t in found:
+                layouts[node].add((tuple(kids[parent]), whole))
+                if not w:
+                    contexts[node][t].add(tuple(x for x in whole if x != t) if node == main else whole)
+        for page_id, found, _, _, _ in own:
+            go = []
+            for node, _, w, inside, _, t in found:
+                m = len(layouts[node])
+                shapes = Counter(x for x, _ in layouts[node])
+                shown = {x: len(c) for x, c in contexts[node].items()}
+                s = c = 1.0
+                if m >= (12 if inside and not w else 4):
+                    s = -sum(n / m * math.log(n / m, m) for n in shapes.values())
+                    if not w:
+                        c = 1 - sum(k * math.log(k, m) for k in shown.values()) / sum(shown.values())
+                least = 0.15 if inside and not w else 0.3
+                low = (0.2 if w else 1) * (0.25 * s + 0.75 * c) < least
+                go.append(low and (w or 1 - math.log(shown[t], m) < least))
+            stay = [not g or h and not found[k][2] and k + 1 < len(found) and not go[k + 1] for k, ((_, _, _, _, h, _), g) in enumerate(zip(found, go))]
+            out[page_id] = "\n".join(b[5] for b, x in zip(found, stay) if x)
+    return out
+
+
+def mixed_pages(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = []
+    for site in range(12):
+        fixed, pool = [say(4) for _ in range(8)], [say(rng.randint(5, 30)) for _ in range(6)]
+        story = [say(25) for _ in range(3)]
+        for _ in range((1, 3, 9, 40)[site % 4]):
+            body = []
+            if rng.random() < 0.2:
+                body = [f"<p>{t}</p>" for t in story]  # a mirror: title, menu and advert differ
+            else:
+                for _ in range(rng.randint(1, 5)):
+                    body.append(f"<h2>{say(3)}</h2>" if rng.random() < 0.3 else f"<p>{say(rng.randint(4, 40))}</p>")
+                body.insert(rng.randrange(len(body) + 1), f"<p>{rng.choice(pool)}</p>")
+                if rng.random() < 0.5:
+                    body.append(f"<div class='side-effects'><p>{say(9)}</p></div><section id='comments-on-war'>{say(5)}</section>")
+            wrap = ("<article>", "</article>") if site % 3 == 0 else ("<main>", "</main>") if site % 3 == 1 and rng.random() < 0.9 else ("<div class='q7'>", "</div>")
+            menu = "".join(f"<li>{t}</li>" for t in rng.sample(fixed, rng.choice([5, 6])))
+            inner = f"<div class='zz'>{fixed[0]}</div>" if site % 2 else ""
+            ad = f"<div class='{rng.choice(['ad', 'k9'])}'>{rng.choice(pool)} {rng.choice(words)}</div>"
+            page = f"<html><body><div class='x1'><ul>{menu}</ul></div>{ad}<h1>{say(4)}</h1>{wrap[0]}{''.join(body)}{inner}{wrap[1]}<div class='x2'>{fixed[7]}</div><footer>{say(3)}</footer></body></html>"
+            rows.append((len(rows), f"http://s{site}.org/{len(rows)}", page, 1))
+    return rows
+
+
+def test_tree_matches_brute_force(spark):
+    rows = mixed_pages(3)
+    want = brute_tree(rows)
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+    # Menus and lines with neutral names go on larger hosts without an article; what only few pages show stays.
+    large = [k for k, n in Counter(r[1].split("/")[2] for r in rows).items() if n >= 30 and int(k[1:-4]) % 3 == 2]
+    assert large
+    for _, url, page, _ in rows:
+        if url.split("/")[2] in large:
+            k = int(url.rsplit("/", 1)[1])
+            menu = re.findall("<li>(.*?)</li>", page)
+            assert not set(menu) & set(got[k].split("\n"))
+            assert all(t in got[k] for t in re.findall("<div class='side-effects'><p>([^<]*)", page))
+
+
+def test_class_names_of_content(spark):
+    page = "<main><div class='side-effects'><p>Drug text</p></div><section id='comments-on-war'>x</section><div class='comments-area'>first!</div><div class='cookieBanner'>ok</div><p class='notice'>n</p></main>"
+    got = extract(spark.createDataFrame([(1, "http://h/", page, 1)], SCHEMA)).collect()
+    assert got[0].text == "Drug text\nx"
+
+
+def test_mirrors_keep_their_text(spark):
+    text = "".join(f"<p>{w} paragraph of one and the same story, told in many words</p>" for w in ("First", "Second", "Third"))
+    page = lambda k, body: f"<body><h1>Title {k}</h1><ul><li>Menu {k % 3}</li></ul><div class='z'>Buy {k}</div>{body}</body>"
+    four = [(k, "http://four.org/", page(k, text), 1) for k in range(4)]
+    ten = [(10 + k, "http://ten.org/", page(k, text if k < 8 else f"<p>Own story {k}</p><p>and its end {k}</p>"), 1) for k in range(10)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(four + ten, SCHEMA)).collect()}
+    assert all("First paragraph" in got[k] and "Third paragraph" in got[k] for k in [*range(4), *range(10, 18)])
+    assert all(f"Own story {k}" in got[10 + k] and f"and its end {k}" in got[10 + k] for k in (8, 9))
+
+
+def test_deep_nesting():
+    assert len(text_of("<div>" * 20_000 + "deep" + "</div>" * 20_000)) == 1
