@@ -241,11 +241,14 @@ def _met(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in settle()[0]], schema=schema)
 
 
-def meeting(spread: DataFrame, tag: str) -> DataFrame:
-    """The rows of spread (id long, key long, perhaps child long) whose key another id has too, once each, staged."""
+def meeting(spread: DataFrame, tag: str, once: bool = False) -> DataFrame:
+    """The rows of spread (id long, key long, perhaps child long) whose key another id has too, once each, staged.
+
+    once: no row of spread comes twice.
+    """
     columns = [c for c in ("id", "key", "child") if c in spread.columns]
     met = spread.select(*columns).repartition("key").mapInArrow(_met, ", ".join(f"{c} long" for c in columns))
-    return stage(met.distinct(), f"{tag}-met")
+    return stage(met if once else met.distinct(), f"{tag}-met", compact=True)
 
 
 def bucket_join(items: Callable[[DataFrame], DataFrame], verify: Verify, decode, met: DataFrame, tag: str, with_prev: bool = False, unordered: bool = False) -> DataFrame:
@@ -264,16 +267,16 @@ def bucket_join(items: Callable[[DataFrame], DataFrame], verify: Verify, decode,
     buckets = counted.where("lo <> hi") if "child" in met.columns else counted
     # Buckets with the same members are one. The smallest key stands for them: a pair is joined in the
     # bucket of its smallest common key.
-    kept = stage(buckets.groupBy("n", "f1", "f2").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), f"{tag}-buckets")
-    members = stage(salted_join(met.select("id", "key"), kept, ["key"], "id", "n").withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("nb")).cast("int")), f"{tag}-members")
+    kept = buckets.groupBy("n", "f1", "f2").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+    members = salted_join(met.select("id", "key"), kept, ["key"], "id", "n", total=met.count())
+    members = stage(members.withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("nb")).cast("int")), f"{tag}-members", compact=True)
     unstage(met)
-    unstage(kept)
     dealt = members.select("id", "part", "key", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     dealt = dealt.select("id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key")
     dealt = dealt.select("id", "part", "i", "j", "key", F.xxhash64("key", "i", "j").alias("task"))
     columns = ["task", "id", "weight", "part", "i", "j", "key", "keys", "payload"] + ["prev"] * with_prev
     ready = dealt.join(items(members.select("id").distinct()), "id").select(*columns).repartition("task").sortWithinPartitions("task")
-    found = stage(ready.mapInArrow(_runner(verify, decode, with_prev, unordered), "id long, root long, links long"), f"{tag}-links")
+    found = stage(ready.mapInArrow(_runner(verify, decode, with_prev, unordered), "id long, root long, links long"), f"{tag}-links", compact=True)
     unstage(members)
     return found
 
@@ -284,7 +287,7 @@ def connected_components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFr
     Alternates large-star and small-star steps; each round is staged, and nothing of it reaches the driver
     but a count and a checksum. An empty edge table gives an empty result.
     """
-    now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{tag}-cc0")
+    now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{tag}-cc0", compact=True)
     mark = _mark(now)
     for k in range(1, rounds + 1):
         if mark[0] == 0:
@@ -296,7 +299,7 @@ def connected_components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFr
         small_low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         joined = salted_join(large, small_low, ["u"], "v", "n", total=mark[0])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(joined.select("u", F.col("m").alias("v"))).distinct()
-        after = stage(small, f"{tag}-cc{k}")
+        after = stage(small, f"{tag}-cc{k}", compact=True)
         seen, mark = mark, _mark(after)
         unstage(now)
         now = after

@@ -111,13 +111,13 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, shared: in
     def items(ids: DataFrame) -> DataFrame:
         return described.drop("key_list").join(ids, "id", "left_semi").join(classes.select(F.col("cls").alias("id"), "weight"), "id")
 
-    links = bucket_join(items, _verifier(threshold, shared), _decode, meeting(described.select("id", F.explode("key_list").alias("key")), "op10"), "op10", unordered=True).where("id is not null")
+    links = bucket_join(items, _verifier(threshold, shared), _decode, meeting(described.select("id", F.explode(F.array_distinct("key_list")).alias("key")), "op10", once=True), "op10", unordered=True).where("id is not null")
     by_class = links.groupBy(F.col("id").alias("cls")).agg(F.sum("links").alias("links"))
     groups = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "op10").withColumnRenamed("id", "cls")
     per = classes.select("cls", "least", "weight").join(by_class, "cls", "left").join(groups, "cls", "left")
     per = per.select("cls", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"), "weight")
-    per = stage(per, "op10-per")
-    per = stage(salted_join(per, per.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), ["component"], "cls", "n").select("cls", "n_links", "component_id", "weight"), "op10-classed")
+    per = stage(per, "op10-per", compact=True)
+    per = stage(salted_join(per, per.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), ["component"], "cls", "n", total=n).select("cls", "n_links", "component_id", "weight"), "op10-classed", compact=True)
     own = F.col("vec_id")
     linked = salted_join(rows.where("cls is not null").select("vec_id", "cls"), per, ["cls"], "vec_id", "weight").select("vec_id", "n_links", F.coalesce("component_id", own).alias("component_id"))
     out = linked.unionAll(rows.where("cls is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), own.alias("component_id")))

@@ -3,14 +3,14 @@
 Every text becomes its set of five-word shingles. Its MinHash values are its paths through TREES prefix tries of
 DEPTH levels. A trie is held by the hashes of its nodes, level by level, dealt and sorted by node; texts
 below one node are candidates. The join starts from the whole signatures and shortens the matched prefixes
-by a level at a time. At each level only nodes that branch there bring new pairs, and only pairs that no longer
+step by step. At each step only nodes that branch since the last one bring new pairs, and only pairs that no longer
 prefix has matched are verified, by the exact Jaccard similarity of their whole shingle sets.
 
-After each level the recall is estimated from the links found so far: those of the lowest stratum of similarity (STRATUM
-above the threshold), which are lost most easily, each weighed by the inverse of its chance to be met at that level.
-The shortening ends where the estimate reaches the target; if that stratum has shown no link, where a pair
-at the threshold itself would be met with that chance. A join has no number of neighbours after which a
-text could stop, so all texts shorten together.
+After each step the recall is estimated from the links found so far: those of the lowest stratum of similarity (STRATUM
+above the threshold), which are lost most easily, each weighed by the inverse of its chance to be met at that depth.
+The shortening ends where the estimate reaches the target; else the next depth is the longest one at which these links
+would reach it. As long as that stratum has shown no link, the estimate is the chance of a pair at the
+threshold itself. A join has no number of neighbours after which a text could stop, so all texts shorten together.
 
 Defined cases: words are runs of non-white characters, lower-cased. Texts with equal words are one
 class and linked with each other. 1 to 4 words make one shingle. A null or empty text, and a row with
@@ -82,8 +82,8 @@ def _nodes(sig: list[bytes], trees: int, depth: int, prefix: int) -> np.ndarray:
     return np.stack([fold(m[:, t, :prefix], t + 1) for t in range(trees)], axis=1)
 
 
-def _node_maker(trees: int, depth: int, prefix: int):
-    """Rows (id, key, child): a node of the depth and the node below it, which at the last level is the text itself."""
+def _node_maker(trees: int, depth: int, prefix: int, before: int):
+    """Rows (id, key, child): a node of the depth `prefix` and the node of the depth `before` below it; beyond the last level that is the text itself."""
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("child", pa.int64())])
 
     def make(batches):
@@ -91,7 +91,7 @@ def _node_maker(trees: int, depth: int, prefix: int):
             if b.num_rows:
                 sig = b.column("sig").to_pylist()
                 ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False), trees)
-                child = _nodes(sig, trees, depth, prefix + 1).ravel() if prefix < depth else ids
+                child = _nodes(sig, trees, depth, before).ravel() if before <= depth else ids
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, _nodes(sig, trees, depth, prefix).ravel(), child)], schema=schema)
 
     return make
@@ -114,14 +114,14 @@ def _set_maker(words: int):
     return make
 
 
-def _keyed(trees: int, depth: int, prefix: int):
+def _keyed(trees: int, depth: int, prefix: int, before: int):
     schema = pa.schema([("id", pa.int64()), ("weight", pa.int64()), ("keys", pa.binary()), ("payload", pa.binary()), ("prev", pa.binary())])
 
     def make(batches):
         for b in batches:
             if b.num_rows:
                 sig = b.column("sig").to_pylist()
-                both = [pa.array([k.tobytes() for k in _nodes(sig, trees, depth, p)] if p <= depth else [b""] * len(sig), pa.binary()) for p in (prefix, prefix + 1)]
+                both = [pa.array([k.tobytes() for k in _nodes(sig, trees, depth, p)] if p <= depth else [b""] * len(sig), pa.binary()) for p in (prefix, before)]
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("weight"), both[0], b.column("payload"), both[1]], schema=schema)
 
     return make
@@ -138,43 +138,42 @@ def _joined(docs: DataFrame, threshold: float, words: int, trees: int, depth: in
     sigs = stage(docs.mapInArrow(_signer(trees, depth, words), "doc_id long, txt long, cls long, sig binary"), "op9-sig")
     live = sigs.where("doc_id is not null and cls is not null")
     classes = live.groupBy("cls").agg(F.min(F.struct("doc_id", "txt")).alias("first"), F.count("*").alias("weight"))
-    classes = stage(classes.select("cls", F.col("first.doc_id").alias("class_id"), F.col("first.txt").alias("class_txt"), "weight"), "op9-classes")
+    classes = stage(classes.select("cls", F.col("first.doc_id").alias("class_id"), F.col("first.txt").alias("class_txt"), "weight"), "op9-classes", compact=True)
     # One row of each class; of repeated rows, one.
     own = (live.cls == classes.cls) & (live.doc_id == classes.class_id) & (live.txt == classes.class_txt)
-    reps = stage(live.join(classes, own).select(classes.cls.alias("id"), "weight", "class_id", "class_txt", "sig").dropDuplicates(["id"]), "op9-reps")
+    reps = stage(live.join(classes, own).select(classes.cls.alias("id"), "weight", "class_id", "class_txt", "sig").dropDuplicates(["id"]), "op9-reps", compact=True)
 
-    def nodes(prefix: int) -> DataFrame:
-        return meeting(reps.select("id", "sig").mapInArrow(_node_maker(trees, depth, prefix), "id long, key long, child long"), "op9")
+    def nodes(signed: DataFrame, prefix: int, before: int) -> DataFrame:
+        return meeting(signed.select("id", "sig").mapInArrow(_node_maker(trees, depth, prefix, before), "id long, key long, child long"), "op9", once=True)
 
     # The texts that the join can come to need: those that meet another at the depth where even a pair at the threshold is met.
     floor = next((p for p in range(depth, 1, -1) if recall_at(threshold, p, trees) >= target), 1)
-    at_floor = nodes(floor)
-    ids = at_floor.select("id").distinct()
+    ids = nodes(reps, floor, depth + 1).select("id").distinct()
     wanted = reps.join(ids, "id", "left_semi").select("id", "weight", "sig", F.col("class_id").alias("doc_id"), F.col("class_txt").alias("txt"))
-    sets = stage(docs.join(wanted, ["doc_id", "txt"]).select("id", "weight", "sig", "text").dropDuplicates(["id"]).mapInArrow(_set_maker(words), "id long, weight long, sig binary, payload binary"), "op9-sets")
-    found, seen = None, Counter()
-    for prefix in range(depth, floor - 1, -1):
-        shape = "id long, weight long, keys binary, payload binary, prev binary"
-        items = lambda some, p=prefix: sets.join(some, "id", "left_semi").mapInArrow(_keyed(trees, depth, p), shape)
-        links = bucket_join(items, jaccard_verify(threshold), _decode, at_floor if prefix == floor else nodes(prefix), "op9", with_prev=prefix < depth)
+    sets = stage(docs.join(wanted.hint("shuffle_hash"), ["doc_id", "txt"]).select("id", "weight", "sig", "text").dropDuplicates(["id"]).mapInArrow(_set_maker(words), "id long, weight long, sig binary, payload binary"), "op9-sets", compact=True)
+    unstage(reps)
+    found, seen, prefix, before = None, Counter(), depth, depth + 1
+    while True:
+        items = lambda _, p=prefix, b=before: sets.mapInArrow(_keyed(trees, depth, p, b), "id long, weight long, keys binary, payload binary, prev binary")
+        links = bucket_join(items, jaccard_verify(threshold), _decode, nodes(sets, prefix, before), "op9", with_prev=before <= depth)
         release(docs.sparkSession)
         found = links if found is None else found.union(links)
         here = {r.root: r.n for r in links.where("id is null").groupBy("root").agg(F.sum("links").alias("n")).collect()}  # a row a hundredth
         seen.update(here)
-        recall = estimate(seen, prefix, trees, threshold)
         if levels is not None:
-            levels.append((prefix, sum(here.values()), recall))
-        if recall >= target:
+            levels.append((prefix, sum(here.values()), estimate(seen, prefix, trees, threshold)))
+        if prefix == floor or estimate(seen, prefix, trees, threshold) >= target:
             break
+        prefix, before = next((p for p in range(prefix - 1, floor, -1) if estimate(seen, p, trees, threshold) >= target), floor), prefix
     unstage(sets)
     found = found.where("id is not null")
     by_class = found.groupBy(F.col("id").alias("cls")).agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "op9").withColumnRenamed("id", "cls")
     per = classes.join(by_class, "cls", "left").join(groups, "cls", "left")
-    per = stage(per.select("cls", "class_id", "class_txt", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"), "weight"), "op9-per")
+    per = stage(per.select("cls", "class_id", "class_txt", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"), "weight"), "op9-per", compact=True)
     smallest = per.groupBy("component").agg(F.min(F.struct("class_id", "cls")).alias("least"), F.count("*").alias("n"))
-    per = salted_join(per, smallest, ["component"], "cls", "n").select("cls", "class_id", "class_txt", "n_links", F.col("least.class_id").alias("component_id"), (F.col("least.cls") == F.col("cls")).alias("first"), "weight")
-    per = stage(per, "op9-classed")
+    per = salted_join(per, smallest, ["component"], "cls", "n", total=per.count()).select("cls", "class_id", "class_txt", "n_links", F.col("least.class_id").alias("component_id"), (F.col("least.cls") == F.col("cls")).alias("first"), "weight")
+    per = stage(per, "op9-classed", compact=True)
     stays = F.col("first") & (F.col("doc_id") == F.col("class_id")) & (F.col("txt") == F.col("class_txt"))
     linked = salted_join(live.select("doc_id", "txt", "cls"), per, ["cls"], "doc_id", "weight").select("doc_id", "txt", "cls", "class_id", "n_links", "component_id", stays.alias("stays"))
     own = F.col("doc_id")

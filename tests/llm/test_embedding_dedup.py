@@ -66,3 +66,24 @@ def test_odd_rows(spark):
     assert [by[k].component_id for k in (1, 2, 10, None)] == [1, 1, 1, 1]
     assert {k for k, r in by.items() if r.n_links == 0 and r.kept} == {3, 4, 5, 6, 7, 8, 9, 11, 12, 13}
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_huge_and_tiny_vectors(spark):
+    rows = [(1, [1e200, 2e200], 1, 0), (2, [1e200, 2e200], 1, 0), (3, [2e200, 4e200], 1, 0), (4, [1e-200, 2e-200], 2, 0), (5, [2e-200, 4e-200], 2, 0), (6, [5e-324, 0.0], 3, 0), (7, [1e-323, 0.0], 3, 0), (8, [1.7e308, 1.7e308], 4, 0), (9, [1.0, 1.0], 4, 0)]
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()}
+    assert [got[k].n_links for k in range(1, 10)] == [2, 2, 2, 1, 1, 1, 1, 1, 1]
+    assert [got[k].component_id for k in range(1, 10)] == [1, 1, 1, 4, 4, 6, 6, 8, 8]
+
+
+def test_components_match_brute_force(spark):
+    rows = corpus(400, seed=7)
+    links = brute(rows)
+    want = {r[0]: r[0] for r in rows}
+    while True:
+        after = {k: min([want[k], *(want[o] for o in links.get(k, ()))]) for k in want}
+        if after == want:
+            break
+        want = after
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.vec_id: r.component_id for r in got} == want and all(r.kept == (want[r.vec_id] == r.vec_id) for r in got)
+    assert {r.vec_id: r.n_links for r in got} == {k: len(links.get(k, ())) for k in want}

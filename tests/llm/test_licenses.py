@@ -1,6 +1,6 @@
 import re
 
-from quillon.llm.licenses import BASE, TEMPLATES, scan
+from quillon.llm.licenses import BASE, TEMPLATES, postings, scan
 
 SCHEMA = "doc_id long, text string, hits string, w int"
 
@@ -28,6 +28,7 @@ TEXTS = [
     "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Élan MIT licence", "license", "license license mit license",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following", "redistribution and use in source and binary forms",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "GNU Lesser General Public License", "by cc nc by", "x " * 30_000 + "apache license " + "the of " * 20_000,
+    "this wor\u212a is licensed under a Creative Commons Attribution 4.0 International License", "M\u0130T license, M\u0130T mit license", "cc by nc and cc by sa license", "GNU LESSER GENERAL PUBLIC LICENSE and the mozilla public license",
     "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; apache license",
 ]
 
@@ -40,3 +41,12 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rare_words_choose_the_templates():
+    idf = {w: 1.0 for _, t, _ in TEMPLATES for w in t.split()} | {"mozilla": 9.0, "the": 0.1, "license": 0.2}
+    index, sizes = postings(TEMPLATES, 3, idf)
+    assert ("mozilla" in index and len(index["mozilla"]) == 1) and len(sizes) == len(TEMPLATES) and all(sizes)
+    for k, (_, text, key) in enumerate(TEMPLATES):
+        own = [(w, at) for w, places in index.items() for t, at in places if t == k]
+        assert len(own) == sizes[k] and all(text.split()[at] == w and w in key.split() for w, at in own)

@@ -67,3 +67,10 @@ def test_odd_rows(spark):
 
 def test_bands_meet_pairs_at_the_threshold():
     assert 1 - (1 - 0.8**ROWS) ** BANDS >= 0.998
+
+
+def test_repeated_ids_keep_their_own_lines(spark):
+    a, b = "a line that both of them share in full\nonly the first text holds this", "something else stands here at the top\nonly the second text has that one"
+    rows = [(5, a, 1, None), (5, b, 1, None), (6, "a line that both of them share in full\nown words of six", 1, None), (5, b, 1, None)]
+    got = sorted(r.text for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted([a, b, b, "own words of six"])

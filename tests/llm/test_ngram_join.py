@@ -71,3 +71,44 @@ def test_empty_table(spark):
 
 def test_recall_bound():
     assert recall_at(0.8, 5) > 0.995 > recall_at(0.8, 6)
+
+
+def near_threshold(n):
+    """Pairs of similarities from just above the threshold to almost 1."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(n):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        other = list(base)
+        for at in rng.sample(range(2, 148), rng.randint(1, 4)):
+            other[at] = f"x{rng.randrange(5000)}"
+        rows += [(2 * k, " ".join(base), 0), (2 * k + 1, " ".join(other), 0)]
+    return rows
+
+
+def test_prefixes_are_shortened_until_the_target(spark):
+    rows = near_threshold(150)
+    want = brute(rows)
+    levels = []
+    got = {r.doc_id: r.n_links for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), trees=6, target=0.9, levels=levels).collect()}
+    depths = [d for d, _, _ in levels]
+    assert len(levels) >= 2 and depths == sorted(depths, reverse=True) and depths[0] == 8 and depths[-1] <= 6
+    assert levels[0][1] > 0 and len({n for _, n, _ in levels}) > 1 and levels[0][2] < 0.9 <= levels[-1][2]
+    assert sum(n for _, n, _ in levels) == sum(got.values()) / 2 and sum(got.values()) > 0.9 * sum(map(len, want.values()))
+    assert all(got[rows[k][0]] <= len(v) for k, v in want.items())
+
+
+def test_whole_signatures_can_be_enough(spark):
+    rows = [(k, " ".join(f"w{k // 2}-{i}" for i in range(300)) + (" end" if k % 2 else ""), 0) for k in range(60)]
+    levels = []
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), trees=16, target=0.9, levels=levels).collect()
+    assert all(r.n_links == 1 for r in got) and [d for d, _, _ in levels] == [8]
+
+
+def test_repeated_ids_keep_their_own_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(9, a, 1), (9, b, 1), (3, a + " more", 1), (9, b, 1), (10, "", 1), (10, "", 1)]
+    left = one_of_each_group(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([(3, a + " more"), (9, b), (10, ""), (10, "")])
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_links, r.component_id) for r in got) == [(3, 1, 3), (9, 1, 3), (9, 1, 9), (9, 1, 9), (10, 0, 10), (10, 0, 10)]

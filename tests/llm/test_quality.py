@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from quillon.llm.quality import FEATURES, AttentionBag, accept, passage_features, score_documents, train
+from quillon.llm.quality import FEATURES, AttentionBag, accept, passage_features, score_documents, spread, train
 
 SCHEMA = "doc_id long, text string, score double, quality string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -85,3 +85,19 @@ def test_odd_rows(spark):
     assert {r.score for r in score_documents(docs, train(docs, odd)).collect()} <= {0.5, 2 / 3}
     empty = spark.createDataFrame([], SCHEMA)
     assert score_documents(empty, train(docs, none)).count() == 0
+
+
+def test_long_documents_are_in_the_fit(spark):
+    x = np.arange(1000.0)[:, None]
+    assert spread(x, 64)[[0, -1], 0].tolist() == [0, 999] and len(spread(x, 64)) == 64 and len(spread(x[:10], 64)) == 10
+    rng = random.Random(3)
+    rows, labels = [], []
+    for k in range(60):  # all labelled documents are long; junk stands near the end
+        words = [rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(6000)]
+        if k % 2:
+            words[4500:] = [w.upper() + "!!" for w in words[4500:]]
+        rows.append((k, " ".join(words), 0.0, "x"))
+        labels.append((k, 1 - k % 2, 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.score for r in score_documents(docs, train(docs, spark.createDataFrame(labels, LABELS))).collect()}
+    assert all((got[k] >= 0.5) == (k % 2 == 0) for k in got)

@@ -39,3 +39,13 @@ def test_components(spark):
         parent[y] = x
     assert got == {x: find(x) for x in list(parent) if any(find(x) == find(y) for y in parent if y != x)}
     assert connected_components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+def test_met_lets_settled_rows_go():
+    rng = random.Random(2)
+    for _ in range(300):
+        rows = [(rng.randrange(6), rng.randrange(9)) for _ in range(rng.randrange(60))]
+        batches = [pa.RecordBatch.from_arrays([pa.array([i for _, i in rows[lo : lo + 5]], pa.int64()), pa.array([k for k, _ in rows[lo : lo + 5]], pa.int64())], names=["id", "key"]) for lo in range(0, len(rows), 5)]
+        got = {(k, i) for b in _met(iter(batches), chunk=7) for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        own = Counter(k for k, _ in set(rows))
+        assert got == {(k, i) for k, i in set(rows) if own[k] > 1}, rows
