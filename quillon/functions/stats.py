@@ -70,3 +70,17 @@ def normal_sf(z: Column) -> Column:
 def verdict(gain: Column, se: Column, wins: Column, n: Column) -> Column:
     """'a' or 'b' when the mean gain exceeds twice its error and most pairs agree; 'none'; NULL below three pairs."""
     return F.when(n < 3, F.lit(None).cast("string")).when((gain > 2 * se) & (wins > n / 2), "a").when((-gain > 2 * se) & (wins < n / 2), "b").otherwise("none")
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1, by Stirling's series eight places on (error below 1e-12)."""
+    y = x.cast("double") + 8
+    below = F.lit(0.0)
+    for k in range(8):
+        below = below + F.log(x.cast("double") + k)
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - below
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)

@@ -1,30 +1,57 @@
-"""Iterative graph operators on edge tables. Every round is checkpointed, so lineage stays short and lost executors are harmless."""
+"""Iterative graph operators on edge tables. Every round is checkpointed, so lineage stays short and lost executors are harmless.
+
+A round limit that is reached is an error: no operator returns a table that has not converged.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir() and not (context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+def shared_checkpoint_dir(spark) -> str:
+    """spark.checkpoint.dir; where that is unset a temporary folder, in local mode only."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
-        context.setCheckpointDir(tempfile.mkdtemp())
+        folder = tempfile.mkdtemp()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    shared_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def chain_root(table: DataFrame, key: str, parent: str, rounds: int = 40) -> DataFrame:
-    """(key, root): the end of each row's parent chain by pointer doubling; rows of a cycle get its smallest key they saw."""
-    now = cut(table.select(F.col(key).alias("k"), F.coalesce(parent, key).alias("r")))
-    for _ in range(rounds):
-        ahead = now.selectExpr("k as r", "r as next")
-        after = cut(now.join(ahead, "r", "left").select("k", F.coalesce("next", "r").alias("r")))
-        if after.join(now.selectExpr("k", "r as was"), "k").where("r <> was").isEmpty():
+def chain_ends(table: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, root, depth): the last row of each row's parent chain and the steps to it, by pointer doubling.
+
+    A parent that is no key ends the chain before it. Rows whose chain runs into a cycle have no root: NULL, and depth NULL.
+    """
+    rows = table.select(F.col(key).alias("k"), F.col(parent).alias("p"))
+    there = rows.select(F.col("k").alias("p"), F.lit(1).cast("long").alias("d"))
+    now = cut(rows.join(there, "p", "left").select("k", F.when(F.col("d").isNull(), F.col("k")).otherwise(F.col("p")).alias("r"), F.coalesce("d", F.lit(0).cast("long")).alias("d"), (F.coalesce("d", F.lit(0)) > 0).alias("moved")))
+    # No chain without a cycle has more steps than there are rows.
+    for _ in range(now.count().bit_length()):
+        if now.where("moved").isEmpty():
             break
-        now = after
-    return now.select(F.col("k").alias(key), F.col("r").alias("root"))
+        ahead = now.select(F.col("k").alias("r"), F.col("r").alias("next"), F.col("d").alias("more"))
+        now = cut(now.join(ahead, "r").select("k", F.col("next").alias("r"), (F.col("d") + F.col("more")).alias("d"), (F.col("more") > 0).alias("moved")))
+    end = lambda c: F.when(~F.col("moved"), F.col(c))
+    return now.select(F.col("k").alias(key), end("r").alias("root"), end("d").alias("depth"))
+
+
+def chain_root(table: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, root) of chain_ends()."""
+    return chain_ends(table, key, parent).drop("depth")
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -39,17 +66,25 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         if after.join(now.selectExpr("node", "c as was"), "node").where("c <> was").isEmpty():
             break
         now = after
+    else:
+        raise RuntimeError(f"no convergence in {rounds} rounds")
     return now.select("node", F.col("c").alias("component"))
 
 
-def closure(edges: DataFrame, child: str, parent: str, rounds: int = 40) -> DataFrame:
-    """(child, ancestor): all ancestors by doubling; cycles end by themselves."""
-    now = cut(edges.select(F.col(child).alias("c"), F.col(parent).alias("a")).where("c <> a").distinct())
-    n = now.count()
+def closure(edges: DataFrame, child: str, parent: str, rounds: int = 1000) -> DataFrame:
+    """(child, ancestor): all ancestors, a generation a round; only pairs that are new go on, so cycles end by themselves.
+
+    A generation joins with the direct edges alone: that meets a pair once for each way to it, where doubling
+    would meet it once for each ancestor between.
+    """
+    step = cut(edges.select(F.col(child).alias("x"), F.col(parent).alias("b")).where("x <> b").distinct())
+    now = fresh = step.select(F.col("x").alias("c"), F.col("b").alias("a"))
     for _ in range(rounds):
-        now = cut(now.union(now.join(now.selectExpr("c as a", "a as b"), "a").select("c", "b").where("c <> b")).distinct())
-        m = now.count()
-        if m == n:
+        grown = fresh.join(step, F.col("a") == F.col("x")).select("c", F.col("b").alias("a")).where("c <> a").distinct()
+        fresh = cut(grown.join(now, ["c", "a"], "left_anti"))
+        if fresh.isEmpty():
             break
-        n = m
+        now = cut(now.union(fresh))
+    else:
+        raise RuntimeError(f"more than {rounds} generations")
     return now.select(F.col("c").alias(child), F.col("a").alias("ancestor"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,10 +22,10 @@ def ridge_two(data: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     return w.select(*keys, "bx", "bz", (F.col("my") - F.col("bx") * F.col("mx") - F.col("bz") * F.col("mz")).alias("b0"))
 
 
-def design(loo: DataFrame) -> DataFrame:
-    """Six columns and y of the leave-one-out table."""
+def design(loo: DataFrame, *keys: str) -> DataFrame:
+    """Six columns and y of the leave-one-out table, after its keys."""
     p, c, n = F.col("pred"), F.col("control_mean"), F.log(F.col("n_cells").cast("double"))
-    return loo.select(p.alias("pred"), c.alias("control"), n.alias("cells"), (p * c).alias("product"), (p * p).alias("square"), (c * c).alias("level"), F.col("delta").alias("y"))
+    return loo.select(*keys, p.alias("pred"), c.alias("control"), n.alias("cells"), (p * c).alias("product"), (p * p).alias("square"), (c * c).alias("level"), F.col("delta").alias("y"))
 
 
 def gram(data: DataFrame) -> tuple[list[str], np.ndarray, int]:
@@ -112,59 +114,258 @@ def components(data: DataFrame) -> DataFrame:
     return data.sparkSession.createDataFrame(rows, "component int, column string, loading double, share double")
 
 
+#: Cells of a groups x measures matrix that may be brought to the driver (a gigabyte of doubles).
+MOST_CELLS = 125_000_000
+
+
+def bounded_matrix(delta: DataFrame, value: str = "delta", most: int = MOST_CELLS) -> tuple[list, list, np.ndarray]:
+    """Groups, measures and their matrix, for algorithms that need it whole; a larger one is an error and not collected."""
+    size = delta.agg(F.count_distinct("pert").alias("p"), F.count_distinct("gene").alias("g")).head()
+    if size.p * size.g > most:
+        raise ValueError(f"a matrix of {size.p} groups and {size.g} measures has more than {most} cells")
+    rows = delta.select("pert", "gene", value).toPandas()
+    m = rows.pivot(index="pert", columns="gene", values=value).sort_index().sort_index(axis=1).fillna(0.0)
+    return m.index.tolist(), m.columns.tolist(), m.to_numpy(np.float64)
+
+
+#: Groups of one side of a block of inner products.
+GROUP_BLOCK = 256
+
+
+def group_products(delta: DataFrame, block: int = GROUP_BLOCK) -> DataFrame:
+    """(p, q, k): inner products of the groups' deltas over the measures, both orders and a group with itself.
+
+    Groups are dealt to square blocks, and a task multiplies the two matrices of one block: each delta is read
+    once a block of groups, not once a group.
+    """
+    d = delta.select("pert", "gene", F.col("delta").cast("double").alias("x"))
+    parts = d.select("pert").distinct().agg(F.count("*").alias("n")).head().n // block + 1
+    rows = d.withColumn("part", F.pmod(F.xxhash64("pert"), F.lit(parts)).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
+    rows = rows.select("pert", "gene", "x", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot(index=["part", "pert"], columns="gene", values="x").fillna(0.0)
+        part, names = (m.index.get_level_values(k).to_numpy() for k in (0, 1))
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        k = m.to_numpy()[left] @ m.to_numpy()[right].T
+        out = pd.DataFrame({"p": np.repeat(names[left], len(right)), "q": np.tile(names[right], len(left)), "k": k.ravel()})
+        return out if i == j else pd.concat([out, out.rename(columns={"p": "q", "q": "p"})[["p", "q", "k"]]])
+
+    kind = delta.schema["pert"].dataType.simpleString()
+    return rows.groupBy("i", "j").applyInPandas(multiply, f"p {kind}, q {kind}, k double")
+
+
 def _group_matrix(delta: DataFrame) -> tuple[list[int], np.ndarray]:
-    """Kernel of the groups: inner products of their deltas, summed on executors (groups x groups values)."""
-    d = delta.select("pert", "gene", "delta")
-    k = d.selectExpr("pert as p", "gene", "delta as x").join(d.selectExpr("pert as q", "gene", "delta as y"), "gene").groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("k")).toPandas()
-    m = k.pivot(index="p", columns="q", values="k").fillna(0.0).sort_index().sort_index(axis=1)
+    """Kernel of the groups: inner products of their deltas, multiplied on executors; groups x groups values, checked, reach the driver."""
+    n = delta.agg(F.count_distinct("pert").alias("n")).head().n
+    if n * n > MOST_CELLS:
+        raise ValueError(f"{n} groups have more than {MOST_CELLS} pairs")
+    k = group_products(delta).toPandas()
+    m = k.pivot(index="p", columns="q", values="k").sort_index().sort_index(axis=1)
     return [int(i) for i in m.index], m.to_numpy()
 
 
 def kernel_ridge_loo(delta: DataFrame, lambdas: list[float]) -> DataFrame:
-    """(lambda, pert, error): closed-form leave-one-out residual norm of each group's profile from the other groups'."""
+    """(lambda, pert, error, best): closed-form leave-one-out residual norm of each group's profile from the other groups'.
+
+    best marks the penalty of the smallest mean squared error; of equal ones the largest.
+    """
     groups, k = _group_matrix(delta)
-    rows = []
+    rows, mean = [], {}
     for lam in lambdas:
         h = k @ np.linalg.inv(k + lam * np.eye(len(k)))
         e = (np.eye(len(k)) - h) / (1 - np.diag(h))[:, None]
-        norms = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", e, k, e), 0))
-        rows += [(lam, g, round(float(x), 6)) for g, x in zip(groups, norms)]
-    return delta.sparkSession.createDataFrame(rows, "lambda double, pert int, error double")
+        squares = np.maximum(np.einsum("ij,jk,ik->i", e, k, e), 0)
+        mean[lam] = squares.mean()
+        rows += [(lam, g, round(float(x), 6)) for g, x in zip(groups, np.sqrt(squares))]
+    best = min(lambdas, key=lambda v: (round(mean[v], 12), -v))
+    return delta.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "lambda double, pert int, error double, best boolean")
+
 
+def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of the products of 1, the columns and y: all that a linear fit needs, and they add up."""
+    z = np.column_stack([np.ones(len(x)), x, y])
+    return z.T @ z
 
-def nested_loo(delta: DataFrame, lambdas: list[float]) -> DataFrame:
-    """(pert, lambda, r): one task a held-out group; the inner choice sees the other groups only.
 
-    Deltas are a groups x measures table, replicated to the held-out groups.
+def solve(m: np.ndarray, kind: str, alpha: float, l1_ratio: float = 0.5) -> tuple[float, np.ndarray]:
+    """Intercept and weights on raw columns of a model fitted on columns of mean 0 and deviation 1, from their moments.
+
+    ridge: squared error plus alpha times the squared weights. lasso and elasticnet: half the mean squared error plus alpha times
+    the penalty, of which elasticnet gives l1_ratio to the absolute values and half the rest to the squares. ols: no penalty, and
+    the smallest weights where columns depend on each other. Constant columns weigh 0.
     """
-    groups = delta.select("pert").distinct()
-    rows = delta.select("pert", "gene", "delta").crossJoin(F.broadcast(groups.select(F.col("pert").alias("held"))))  # one row a group
+    n, p = m[0, 0], len(m) - 2
+    mean = m[0, 1:] / n
+    c = m[1:, 1:] - n * np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(c)[:p] / n, 0))
+    live = sd > 1e-12 * np.maximum(1, np.abs(mean[:p]))
+    sd = np.where(live, sd, 1.0)
+    g, b = c[:p, :p] / np.outer(sd, sd) * np.outer(live, live), c[:p, p] / sd * live
+    if kind == "ridge":
+        w = np.linalg.solve(g + alpha * np.eye(p), b) if alpha > 0 else np.linalg.lstsq(g, b, rcond=None)[0]
+    elif kind == "ols":
+        w = np.linalg.lstsq(g, b, rcond=None)[0]
+    elif kind in ("lasso", "elasticnet"):
+        share = 1.0 if kind == "lasso" else l1_ratio
+        w = lasso_weights(g / n + alpha * (1 - share) * np.eye(p), b / n, alpha * share, 5000)
+    else:
+        raise ValueError(f"{kind!r} is none of ridge, lasso, elasticnet, ols")
+    w = w / sd
+    return float(mean[p] - w @ mean[:p]), w
+
+
+def grouped_moments(data: DataFrame, key: str, columns: list[str], y: str) -> dict:
+    """Moments of each value of key, summed on executors: a row of columns x columns numbers a value reaches the driver."""
+    names = ["_1", *columns, y]
+    pairs = list(itertools.combinations_with_replacement(range(len(names)), 2))
+    rows = data.withColumn("_1", F.lit(1.0)).groupBy(key).agg(*(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"m{i}_{j}") for i, j in pairs)).collect()
+    out = {}
+    for r in rows:
+        m = np.zeros((len(names), len(names)))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"m{i}_{j}"] or 0.0
+        out[r[key]] = m
+    return out
+
+
+def fit_models(data: DataFrame, columns: list[str], y: str, specs: list[tuple[str, float]]) -> DataFrame:
+    """(kind, alpha, column, weight) of every model, the intercept as column (intercept)."""
+    m = sum(grouped_moments(data.withColumn("_all", F.lit(0)), "_all", columns, y).values())
+    rows = []
+    for kind, alpha in specs:
+        b0, w = solve(m, kind, alpha)
+        rows += [(kind, alpha, c, round(float(x), 6)) for c, x in zip(["(intercept)", *columns], [b0, *w])]
+    return data.sparkSession.createDataFrame(rows, "kind string, alpha double, column string, weight double")
+
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = int(pdf["held"].iloc[0])
-        m = pdf.pivot(index="pert", columns="gene", values="delta").sort_index().sort_index(axis=1)
-        y, x = m.loc[held].to_numpy(), m.drop(index=held).to_numpy()
+def fold_weights(data: DataFrame, fold: str, columns: list[str], y: str, specs: list[tuple[str, float]]) -> DataFrame:
+    """(fold, kind, alpha, b0, w array): each model fitted on all other folds, from the total less the fold's own moments."""
+    own = grouped_moments(data, fold, columns, y)
+    total = sum(own.values())
+    rows = []
+    for f, m in sorted(own.items()):
+        for kind, alpha in specs:
+            b0, w = solve(total - m, kind, alpha)
+            rows.append((f, kind, alpha, b0, [float(x) for x in w]))
+    return data.sparkSession.createDataFrame(rows, f"{fold} {data.schema[fold].dataType.simpleString()}, kind string, alpha double, b0 double, w array<double>")
 
-        def fit(train, lam):
-            mean = train.mean(0)
-            u = train - mean
-            return mean, np.linalg.solve(u.T @ u + lam * np.eye(u.shape[1]), u.T @ u)
 
-        def score(lam):
-            total = 0.0
-            for i in range(len(x)):
-                mean, w = fit(np.delete(x, i, 0), lam)
-                total += float(np.sum((mean + (x[i] - mean) @ w * 0.5 - x[i]) ** 2))
-            return total
+def pearson(x: np.ndarray, y: np.ndarray) -> float:
+    """0 where either side is constant."""
+    x, y = x - x.mean(), y - y.mean()
+    den = np.sqrt((x * x).sum() * (y * y).sum())
+    return float((x * y).sum() / den) if den > 0 else 0.0
 
-        lam = min(lambdas, key=lambda v: (round(score(v), 12), -v))
-        mean, w = fit(x, lam)
-        p = mean
-        den = p.std() * y.std()
-        r = float(((p - p.mean()) * (y - y.mean())).mean() / den) if den > 0 else 0.0
-        return pd.DataFrame({"pert": [held], "lambda": [lam], "r": [round(r, 6)]})
 
-    return rows.groupBy("held").applyInPandas(one, "pert int, lambda double, r double")
+def loo_columns(i: int, free: np.ndarray, d: np.ndarray, similar: np.ndarray, k: int) -> np.ndarray:
+    """Columns of group i from the groups that are free: their mean response, and the mean of the k most similar by their weight."""
+    mean = d[free].mean(0)
+    w = np.where(free, similar[i], 0.0)
+    near = np.argsort(-w, kind="stable")[:k]
+    near = near[w[near] > 0]
+    return np.column_stack([mean, w[near] @ d[near] / w[near].sum() if len(near) else mean])
+
+
+def nested_loo(delta: DataFrame, similarity: DataFrame, alphas: list[float], k: int = 5, hidden: DataFrame | None = None) -> DataFrame:
+    """(pert, alpha, r, r_mean, r_neighbours): every group held out once, predicted by a ridge stack of the columns of loo_columns().
+
+    Its penalty is chosen among the other groups, each left out of the fit and of the columns in turn, by their mean
+    correlation; of equal ones the first. A held-out group, and the groups that hidden (pert, other) names for it, have no
+    part in any column, fit or choice of its own. similarity: (a, b, w) of groups, both orders.
+    The matrix of the groups is sent to the tasks, after a check of its size; a task takes one held-out group at a time.
+    """
+    groups, _, d = bounded_matrix(delta)
+    at, n = {g: i for i, g in enumerate(groups)}, len(groups)
+    if n < 3:
+        raise ValueError("three groups are the least to leave one out")
+    similar, hide = np.zeros((n, n)), np.eye(n, dtype=bool)
+    for r in similarity.toPandas().itertuples():  # groups x groups values
+        if r.a in at and r.b in at:
+            similar[at[r.a], at[r.b]] = r.w
+    if hidden is not None:
+        for r in hidden.toPandas().itertuples():
+            if r.pert in at and r.other in at:
+                hide[at[r.pert], at[r.other]] = True
+
+    def one(i: int) -> tuple:
+        free = ~hide[i]
+        train = np.flatnonzero(free)
+        columns = {q: loo_columns(q, free & ~hide[q], d, similar, k) for q in train if (free & ~hide[q]).any()}
+        own = {q: moments(x, d[q]) for q, x in columns.items()}
+        total = sum(own.values())
+        best = None
+        for alpha in alphas:
+            score = 0.0
+            for q, x in columns.items():
+                b0, w = solve(total - own[q], "ridge", alpha)
+                score += pearson(b0 + x @ w, d[q])
+            score = round(score / len(columns), 12)
+            if best is None or score > best[0]:
+                best = (score, alpha)
+        b0, w = solve(total, "ridge", best[1])
+        x = loo_columns(i, free, d, similar, k)
+        return (groups[i], best[1], *(round(pearson(p, d[i]), 6) for p in (b0 + x @ w, x[:, 0], x[:, 1])))
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([one(i) for i in b["i"]], columns=["pert", "alpha", "r", "r_mean", "r_neighbours"])
+
+    spark = delta.sparkSession
+    tasks = spark.range(n).withColumnRenamed("id", "i").repartition(min(n, spark.sparkContext.defaultParallelism))
+    kind = delta.schema["pert"].dataType.simpleString()
+    return tasks.mapInPandas(run, f"pert {kind}, alpha double, r double, r_mean double, r_neighbours double")
+
+
+def mix_ceilings(delta: DataFrame) -> DataFrame:
+    """(pert, single, non_negative, free): correlation of each group with its best single other group, and with the best non-negative
+    and the best free linear mix of the others and a constant. Hindsight: the group's own response chooses the mix."""
+    groups, _, d = bounded_matrix(delta)
+
+    def one(i: int) -> tuple:
+        y, x = d[i], np.delete(d, i, 0).T
+        single = max(pearson(c, y) for c in x.T)
+        xc, yc = x - x.mean(0), y - y.mean()
+        free = np.linalg.lstsq(xc, yc, rcond=None)[0]
+        return (groups[i], *(round(v, 6) for v in (single, pearson(xc @ nnls(xc.T @ xc, xc.T @ yc), y), pearson(xc @ free, y))))
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([one(i) for i in b["i"]], columns=["pert", "single", "non_negative", "free"])
+
+    spark = delta.sparkSession
+    tasks = spark.range(len(groups)).withColumnRenamed("id", "i").repartition(min(len(groups), spark.sparkContext.defaultParallelism))
+    return tasks.mapInPandas(run, f"pert {delta.schema['pert'].dataType.simpleString()}, single double, non_negative double, free double")
+
+
+@lru_cache(maxsize=4)
+def hash_permutations(names: tuple, replicates: int) -> np.ndarray:
+    """Row b: the positions of names in the order of sha256(b:name), a permutation that any engine can repeat."""
+    return np.array([sorted(range(len(names)), key=lambda k: hashlib.sha256(f"{b}:{names[k]}".encode()).hexdigest()) for b in range(replicates)]).reshape(replicates, len(names))
+
+
+def permutation_null(rows: DataFrame, pred: str, truth: str, replicates: int = 999) -> DataFrame:
+    """(pert, observed, null_mean, null_sd, p): the product sum of prediction and truth of each group against those of predictions
+    permuted over the measures. Only this cross term changes with a permutation, the rest of a correlation does not.
+    p = (1 + replicates at least as large) / (1 + replicates). A task holds one group's measures and a slice of the replicates."""
+    own = rows.groupBy("pert").agg(F.array_sort(F.collect_list(F.struct("gene", F.col(pred).cast("double").alias("x"), F.col(truth).cast("double").alias("y")))).alias("m"))  # the measures of one group
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for pert, m in zip(b["pert"], b["m"]):
+                x, y = (np.array([r[c] for r in m]) for c in ("x", "y"))
+                order = hash_permutations(tuple(str(r["gene"]) for r in m), replicates)
+                step = max(1, 4_000_000 // max(1, len(x)))
+                null = np.concatenate([x[order[lo : lo + step]] @ y for lo in range(0, replicates, step)])
+                seen = float(x @ y)
+                sd = null.std(ddof=1) if replicates > 1 else 0.0
+                out.append((pert, round(seen, 6), round(float(null.mean()), 6), round(float(sd), 6), round((1 + int((null >= seen - 1e-12).sum())) / (1 + replicates), 6)))
+            yield pd.DataFrame(out, columns=["pert", "observed", "null_mean", "null_sd", "p"])
+
+    return own.mapInPandas(run, f"pert {rows.schema['pert'].dataType.simpleString()}, observed double, null_mean double, null_sd double, p double")
 
 
 def derivability(data: DataFrame, new: str, fold: str, alpha: float = 1e-3) -> float:
@@ -201,23 +402,24 @@ def low_rank(delta: DataFrame, targets: DataFrame, held: str, k: int = 4, lam: f
     """(pert, gene, pred): measures embedded by the left singular vectors of the training deltas, a bilinear map from the
     embedding of a group's targets to its response; groups without an embedded target get the mean response.
 
-    held: SQL condition of the held-out groups. The deltas are a groups x measures table; it is solved on the driver.
+    held: SQL condition of the held-out groups. The deltas are a groups x measures matrix, checked for its size; it is solved on the driver.
     """
-    d = delta.select("pert", "gene", "delta", F.expr(held).alias("held")).toPandas()
-    genes = sorted(d["gene"].unique())
+    groups, genes, m = bounded_matrix(delta)
+    apart = {r.pert for r in delta.select("pert").distinct().where(held).collect()}
     at = {g: i for i, g in enumerate(genes)}
-    y = d[~d["held"]].pivot(index="gene", columns="pert", values="delta").loc[genes]
-    b = y.mean(axis=1).to_numpy()
-    c = y.to_numpy() - b[:, None]
+    seen = [k for k, p in enumerate(groups) if p not in apart]
+    y = m[seen].T
+    b = y.mean(axis=1)
+    c = y - b[:, None]
     g = np.linalg.svd(c, full_matrices=False)[0][:, : min(k, *c.shape)]
     own = targets.toPandas().groupby("pert")["gene"].apply(lambda s: [at[x] for x in s if x in at]).to_dict()
     embed = {p: g[i].sum(0) for p, i in own.items() if i}
-    known = [n for n, p in enumerate(y.columns) if p in embed]
+    known = [n for n, k in enumerate(seen) if groups[k] in embed]
     eye = lam * np.eye(g.shape[1])
-    p = np.array([embed[y.columns[n]] for n in known]).reshape(-1, g.shape[1])
+    p = np.array([embed[groups[seen[n]]] for n in known]).reshape(-1, g.shape[1])
     w = np.linalg.solve(g.T @ g + eye, g.T @ c[:, known] @ p) @ np.linalg.inv(p.T @ p + eye)
     rows = []
-    for pert in sorted(d.loc[d["held"], "pert"].unique()):
+    for pert in sorted(apart):
         pred = b + g @ w @ embed[pert] if pert in embed else b
         rows += [(int(pert), gene, round(float(x), 6)) for gene, x in zip(genes, pred)]
     return delta.sparkSession.createDataFrame(rows, "pert int, gene string, pred double")

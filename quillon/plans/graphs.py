@@ -15,23 +15,26 @@ from .registry import query
 
 @query(
     "ontology_closure",
-    "WITH RECURSIVE e AS (SELECT o_orderkey AS c, o_orderkey // 2 AS p FROM orders WHERE o_orderkey BETWEEN 2 AND 600 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey BETWEEN 3 AND 600), a AS (SELECT c, p FROM e UNION SELECT a.c, e.p FROM a JOIN e ON e.c = a.p) SELECT c, p AS ancestor FROM a WHERE c <> p",
+    "WITH RECURSIVE e AS (SELECT o_orderkey AS c, o_orderkey // 8 AS p FROM orders WHERE o_orderkey >= 8 UNION SELECT o_orderkey, o_orderkey // 12 FROM orders WHERE o_orderkey >= 12), a AS (SELECT c, p FROM e UNION SELECT a.c, e.p FROM a JOIN e ON e.c = a.p) SELECT c, p AS ancestor FROM a WHERE c <> p",
 )
 def ontology_closure(spark, sf_dir):
-    """All ancestors over several parents, by doubling."""
-    o = v.table(spark, sf_dir, "orders").where("o_orderkey between 2 and 600").select(F.col("o_orderkey").alias("c"))
-    edges = o.selectExpr("c", "c div 2 as p").union(o.where("c >= 3").selectExpr("c", "c div 3 as p"))
+    """All ancestors over several parents; a term's parents are its key by 8 and by 12."""
+    o = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("c"))
+    edges = o.where("c >= 8").selectExpr("c", "c div 8 as p").union(o.where("c >= 12").selectExpr("c", "c div 12 as p"))
     return closure(edges, "c", "p")
 
 
 @query(
     "connected_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_orderkey + 1 + l_suppkey % 3 AS b FROM lineitem WHERE l_orderkey < 900 AND l_partkey % 6 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    """WITH RECURSIVE n AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, epoch(lead(o_orderdate) OVER w) - epoch(o_orderdate) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+e AS (SELECT a, b FROM n WHERE gap <= 60 * 86400), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY 1""",
 )
 def connected_components(spark, sf_dir):
-    """The smallest node of each component."""
-    e = v.table(spark, sf_dir, "lineitem").where("l_orderkey < 900 and l_partkey % 6 = 0").select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 1 + F.col("l_suppkey") % 3).alias("b")).distinct()
+    """The smallest node of each component; a customer's next order within 60 days is a neighbour."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    e = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"), (F.lead(at).over(w) - at).alias("gap")).where(F.col("gap") <= 60 * 86400 * 1_000_000)
     return components(e, "a", "b")
 
 
@@ -59,10 +62,10 @@ def weakest_link(spark, sf_dir):
     return e.where("a < b").groupBy("grp", "a", "b").agg(F.max("w").alias("w")).groupBy("grp").applyInPandas(_weakest, "grp int, nodes int, weakest double")
 
 
-@query("neighbour_groups", "WITH e AS (SELECT DISTINCT l_suppkey % 40 AS a, l_partkey % 40 AS b FROM lineitem WHERE l_quantity > 44), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS node, count(*) AS size FROM u WHERE a <> b GROUP BY 1 HAVING count(*) >= 5")
+@query("neighbour_groups", "WITH e AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'P' || l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS node, count(*) AS size FROM u WHERE a <> b GROUP BY 1 HAVING count(*) >= 5")
 def neighbour_groups(spark, sf_dir):
     """Neighbour sets over both edge directions."""
-    e = v.table(spark, sf_dir, "lineitem").where("l_quantity > 44").select((F.col("l_suppkey") % 40).alias("a"), (F.col("l_partkey") % 40).alias("b"))
+    e = v.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("a"), F.concat(F.lit("P"), F.col("l_partkey")).alias("b")).distinct()
     u = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
     return u.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("size")).where("size >= 5")
 
@@ -74,18 +77,18 @@ def paralog_pairs(spark, sf_dir):
     return v.table(spark, sf_dir, "lineitem").where(a != b).groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.max("l_quantity").alias("identity"), F.min("l_shipdate").cast("date").cast("string").alias("first"))
 
 
-@query("class_membership", "SELECT p_type AS set_name, count(*) AS size FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_partkey IN (3, 5)) AND regexp_matches(p_type, '^[A-Z]') GROUP BY 1")
+@query("class_membership", "SELECT p_type AS set_name, count(*) AS size FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_size = 50) AND regexp_matches(p_type, '^[A-Z]') GROUP BY 1")
 def class_membership(spark, sf_dir):
-    """Sets that hold a panel target."""
+    """Sets that hold a panel target (the parts of the largest size)."""
     part = v.table(spark, sf_dir, "part")
-    held = part.where("p_partkey in (3, 5)").select("p_type")
+    held = part.where("p_size = 50").select("p_type")
     return part.join(held, "p_type", "left_semi").where(F.col("p_type").rlike("^[A-Z]")).groupBy(F.col("p_type").alias("set_name")).agg(F.count("*").alias("size"))
 
 
-@query("target_extraction", "SELECT DISTINCT l_partkey AS target FROM lineitem WHERE l_orderkey < 3000")
+@query("target_extraction", "SELECT DISTINCT l_partkey AS target FROM lineitem")
 def target_extraction(spark, sf_dir):
     """G08."""
-    return v.table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select(F.col("l_partkey").alias("target")).distinct()
+    return v.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("target")).distinct()
 
 
 @query("target_coexpression", f"WITH {v.DELTA} SELECT a.gene AS a, b.gene AS b, round(abs({v.sql_pearson('a.delta', 'b.delta')}), 6) AS r FROM delta a JOIN delta b ON a.pert = b.pert AND a.gene < b.gene GROUP BY 1, 2")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import stats
-from quillon.operators.graph import chain_root
+from quillon.operators.graph import chain_ends, chain_root
 from quillon.operators.joins import interval_neighbours, jaccard_of_members, priority_lookup, strict_one_to_one
 
 from . import views as v
@@ -57,7 +57,7 @@ def priority_lookup_query(spark, sf_dir):
 
 @query(
     "match_labels",
-    """WITH l AS (SELECT doc_id, regexp_split_to_array(lower(substr(text, 1, 60)), '[+_|,;\\s]+') AS toks FROM documents),
+    """WITH l AS (SELECT doc_id, regexp_split_to_array(lower(text), '[+_|,;\\s]+') AS toks FROM documents),
 t AS (SELECT doc_id, unnest(list_distinct(toks)) AS tok FROM l), g AS (SELECT DISTINCT tok FROM t WHERE length(tok) = 4)
 SELECT l.doc_id, CASE WHEN list_contains(toks, 'the') THEN 'control' WHEN coalesce(n, 0) = 0 THEN 'other' WHEN n = 1 THEN 'single' ELSE 'multi' END AS kind, coalesce(n, 0)::BIGINT AS n
 FROM l LEFT JOIN (SELECT doc_id, count(*) AS n FROM t JOIN g USING (tok) GROUP BY 1) c USING (doc_id)""",
@@ -85,14 +85,13 @@ def semi_join_labels(spark, sf_dir):
 
 @query(
     "jaccard_pairs",
-    """WITH m AS (SELECT DISTINCT s_nationkey AS a, l_partkey % 97 AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45),
+    """WITH m AS (SELECT DISTINCT s_nationkey AS a, l_partkey AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 s AS (SELECT a, count(*) AS n FROM m GROUP BY 1), i AS (SELECT p.a, q.a AS b, count(*) AS k FROM m p JOIN m q ON p.x = q.x AND p.a < q.a GROUP BY 1, 2)
 SELECT i.a, i.b, round(k::DOUBLE / (s.n + t.n - k), 6) AS jaccard FROM i JOIN s ON s.a = i.a JOIN s t ON t.a = i.b""",
 )
 def jaccard_pairs(spark, sf_dir):
     """Jaccard similarity of member sets, through shared members (pairs without one are 0 and left out)."""
-    line = v.table(spark, sf_dir, "lineitem").where("l_quantity > 45")
-    m = line.join(v.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("a"), (F.col("l_partkey") % 97).alias("x")).distinct()
+    m = v.table(spark, sf_dir, "lineitem").join(v.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("a"), F.col("l_partkey").alias("x")).distinct()
     return jaccard_of_members(m, "a", "x").select("a", "b", v.r6("jaccard").alias("jaccard"))
 
 
@@ -114,10 +113,10 @@ def loo_exclude(spark, sf_dir):
     return v.loo_mean(v.delta_view(spark, sf_dir)).select("pert", "gene", v.r6("pred").alias("pred"))
 
 
-@query("hide_rule", "SELECT s.l_orderkey AS pert, f.fold FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey < 500) s CROSS JOIN (SELECT unnest(range(5))::INT AS fold) f WHERE NOT EXISTS (SELECT 1 FROM lineitem h WHERE h.l_orderkey = s.l_orderkey AND h.l_partkey % 5 = f.fold)")
+@query("hide_rule", "SELECT s.l_orderkey AS pert, f.fold FROM (SELECT DISTINCT l_orderkey FROM lineitem) s CROSS JOIN (SELECT unnest(range(5))::INT AS fold) f WHERE NOT EXISTS (SELECT 1 FROM lineitem h WHERE h.l_orderkey = s.l_orderkey AND h.l_partkey % 5 = f.fold)")
 def hide_rule(spark, sf_dir):
     """Per fold, the groups none of whose targets the fold hides."""
-    line = v.table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
+    line = v.table(spark, sf_dir, "lineitem")
     folds = line.select(F.col("l_orderkey").alias("pert")).distinct().select("pert", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
     hidden = line.select(F.col("l_orderkey").alias("pert"), (F.col("l_partkey") % 5).cast("int").alias("fold")).distinct()
     return folds.join(hidden, ["pert", "fold"], "left_anti")
@@ -125,13 +124,13 @@ def hide_rule(spark, sf_dir):
 
 @query(
     "all_or_nothing_sum",
-    """WITH t AS (SELECT l_orderkey AS pert, l_partkey AS target FROM lineitem WHERE l_orderkey < 3000),
+    """WITH t AS (SELECT l_orderkey AS pert, l_partkey AS target FROM lineitem),
 e AS (SELECT p_partkey AS target, CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_retailprice END AS delta, p_size AS cells FROM part WHERE p_size > 5)
 SELECT pert, round(CASE WHEN count(*) FILTER (e.delta IS NULL) = 0 THEN sum(e.delta) END, 4) AS delta, min(e.cells) AS cells FROM t LEFT JOIN e USING (target) GROUP BY pert HAVING count(e.target) = count(*)""",
 )
 def all_or_nothing_sum(spark, sf_dir):
     """A group only if every target has a row; a NULL part makes the sum NULL."""
-    t = v.table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("pert"), F.col("l_partkey").alias("target"))
+    t = v.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pert"), F.col("l_partkey").alias("target"))
     e = v.table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("target"), F.when(F.col("p_size") % 9 != 0, F.col("p_retailprice")).alias("delta"), F.col("p_size").alias("cells"), F.lit(1).alias("there"))
     g = t.join(e, "target", "left").groupBy("pert").agg(F.count("there").alias("have"), F.count("*").alias("n"), F.count("delta").alias("known"), F.sum("delta").alias("s"), F.min("cells").alias("cells"))
     return g.where("have = n").select("pert", F.round(F.when(F.col("known") == F.col("n"), F.col("s")), 4).alias("delta"), "cells")
@@ -139,54 +138,53 @@ def all_or_nothing_sum(spark, sf_dir):
 
 @query(
     "interval_neighbours",
-    """WITH e AS (SELECT event_id AS id, event_type AS chrom, floor(epoch(ts))::BIGINT AS pos, user_id % 2 AS strand FROM events WHERE user_id < 20)
-SELECT a.id, count(b.id) AS near, count(b.id) FILTER (b.strand <> a.strand AND abs(a.pos - b.pos) <= 600) AS opposite, min(abs(a.pos - b.pos)) AS nearest FROM e a LEFT JOIN e b ON a.chrom = b.chrom AND a.id <> b.id AND abs(a.pos - b.pos) <= 6000 GROUP BY 1""",
+    """WITH e AS (SELECT event_id AS id, user_id AS chrom, floor(epoch(ts))::BIGINT AS pos, length(event_type) % 2 AS strand FROM events)
+SELECT a.id, count(b.id) AS near, count(b.id) FILTER (b.strand <> a.strand AND abs(a.pos - b.pos) <= 14400) AS opposite, min(abs(a.pos - b.pos)) AS nearest FROM e a LEFT JOIN e b ON a.chrom = b.chrom AND a.id <> b.id AND abs(a.pos - b.pos) <= 86400 GROUP BY 1""",
 )
 def interval_neighbours_query(spark, sf_dir):
     """Neighbours within a distance, by binned positions; opposite strand close by; the nearest."""
-    e = v.table(spark, sf_dir, "events").where("user_id < 20").select(F.col("event_id").alias("id"), F.col("event_type").alias("chrom"), F.unix_timestamp("ts").alias("pos"), (F.col("user_id") % 2).alias("strand"))
-    return interval_neighbours(e, 6000, 600)
+    e = v.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("chrom"), F.unix_timestamp("ts").alias("pos"), (F.length("event_type") % 2).alias("strand"))
+    return interval_neighbours(e, 86400, 14400)
 
 
-@query("two_sided_lookup", "SELECT a.n_name AS src, b.n_name AS dst, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation b ON b.n_nationkey = c_nationkey WHERE l_quantity > 40 GROUP BY 1, 2")
+@query("two_sided_lookup", "SELECT a.n_name AS src, b.n_name AS dst, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation b ON b.n_nationkey = c_nationkey GROUP BY 1, 2")
 def two_sided_lookup(spark, sf_dir):
     """Names on both ends of an edge."""
     nation = v.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")  # a fixed dimension
-    line = v.table(spark, sf_dir, "lineitem").where("l_quantity > 40").join(v.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    line = v.table(spark, sf_dir, "lineitem").join(v.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     both = line.join(v.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(v.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     edges = both.groupBy("s_nationkey", "c_nationkey").agg(F.count("*").alias("n"))
     return edges.join(nation.selectExpr("n_nationkey as s_nationkey", "n_name as src"), "s_nationkey").join(nation.selectExpr("n_nationkey as c_nationkey", "n_name as dst"), "c_nationkey").select("src", "dst", "n")
 
 
-@query("overlap_pairs", "SELECT DISTINCT a.l_orderkey AS p, b.l_orderkey AS q FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey WHERE a.l_orderkey < 2000 AND b.l_orderkey < 2000")
+@query("overlap_pairs", "SELECT DISTINCT a.l_orderkey AS p, b.l_orderkey AS q FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey")
 def overlap_pairs(spark, sf_dir):
     """Groups that share a target, through the targets."""
-    t = v.table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_partkey").distinct()
+    t = v.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     return t.selectExpr("l_orderkey as p", "l_partkey").join(t.selectExpr("l_orderkey as q", "l_partkey"), "l_partkey").where("p < q").select("p", "q").distinct()
 
 
 @query(
     "lineage_recursive",
-    """WITH RECURSIVE t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey < 8 THEN NULL ELSE o_orderkey // 2 END AS parent FROM orders WHERE o_orderkey <= 2000),
+    """WITH RECURSIVE t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey < 8 THEN NULL ELSE o_orderkey // 2 END AS parent FROM orders),
 w AS (SELECT id, id AS node, parent, 0 AS depth FROM t UNION ALL SELECT w.id, t.id, t.parent, depth + 1 FROM w JOIN t ON t.id = w.parent)
-SELECT id, max(depth)::INT AS depth, arg_max(node, depth) AS root FROM w GROUP BY 1""",
+SELECT id, max(depth)::BIGINT AS depth, arg_max(node, depth) AS root FROM w GROUP BY 1""",
 )
 def lineage_recursive(spark, sf_dir):
-    """Depth and root of the parent chain of every row (recursive SQL)."""
-    v.table(spark, sf_dir, "orders").where("o_orderkey <= 2000").select(F.col("o_orderkey").alias("id"), F.expr("case when o_orderkey % 7 = 0 or o_orderkey < 8 then null else o_orderkey div 2 end").alias("parent")).createOrReplaceTempView("quillon_lineage")
-    return spark.sql("""WITH RECURSIVE w AS (SELECT id, id AS at, parent, 0 AS depth FROM quillon_lineage UNION ALL SELECT w.id, t.id, t.parent, depth + 1 FROM w JOIN quillon_lineage t ON t.id = w.parent)
-        SELECT id, max(depth) AS depth, max_by(at, depth) AS root FROM w GROUP BY id""")
+    """Depth and root of the parent chain of every row, by pointer doubling."""
+    t = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("case when o_orderkey % 7 = 0 or o_orderkey < 8 then null else o_orderkey div 2 end").alias("parent"))
+    return chain_ends(t, "id", "parent")
 
 
 @query(
     "duplicate_chain",
-    """WITH RECURSIVE t AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 AND doc_id > 0 THEN doc_id - 3 WHEN doc_id % 5 = 0 AND doc_id > 0 THEN doc_id - 1 END AS dup FROM documents WHERE doc_id < 300),
+    """WITH RECURSIVE t AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 AND doc_id > 0 THEN doc_id - 3 WHEN doc_id % 5 = 0 AND doc_id > 0 THEN doc_id - 1 END AS dup FROM documents),
 w AS (SELECT id, id AS node, dup, 0 AS d FROM t UNION ALL SELECT w.id, t.id, t.dup, d + 1 FROM w JOIN t ON t.id = w.dup) SELECT id, arg_max(node, d) AS origin FROM w GROUP BY 1""",
 )
 def duplicate_chain(spark, sf_dir):
-    """Follow duplicate-of links to the record itself, by pointer doubling (cycle safe)."""
+    """Follow duplicate-of links to the record itself, by pointer doubling."""
     d = F.col("doc_id")
-    t = v.table(spark, sf_dir, "documents").where(d < 300).select(d.alias("id"), F.when((d % 3 == 0) & (d > 0), d - 3).when((d % 5 == 0) & (d > 0), d - 1).alias("dup"))
+    t = v.table(spark, sf_dir, "documents").select(d.alias("id"), F.when((d % 3 == 0) & (d > 0), d - 3).when((d % 5 == 0) & (d > 0), d - 1).alias("dup"))
     return chain_root(t, "id", "dup").select("id", F.col("root").alias("origin"))
 
 
@@ -215,14 +213,14 @@ def run_alignment(spark, sf_dir):
 
 @query(
     "one_to_one_mapping",
-    "WITH m AS (SELECT DISTINCT c_mktsegment AS old, 'S' || (c_nationkey % 2 + length(c_mktsegment)) AS new FROM customer WHERE c_nationkey < 20), u AS (SELECT old, min(new) AS new, count(*) AS n FROM m GROUP BY 1) SELECT c_custkey, CASE WHEN n = 1 THEN new END AS symbol FROM customer LEFT JOIN u ON u.old = c_mktsegment",
+    "WITH m AS (SELECT DISTINCT c_mktsegment AS old, 'S' || (CASE WHEN c_mktsegment > 'F' THEN c_nationkey % 2 ELSE 0 END + length(c_mktsegment)) AS new FROM customer), u AS (SELECT old, min(new) AS new, count(*) AS n FROM m GROUP BY 1) SELECT c_custkey, CASE WHEN n = 1 THEN new END AS symbol FROM customer LEFT JOIN u ON u.old = c_mktsegment",
 )
 def one_to_one_mapping(spark, sf_dir):
     """A mapping is used only where it is not one to many."""
     c = v.table(spark, sf_dir, "customer")
-    new = F.concat(F.lit("S"), (F.col("c_nationkey") % 2 + F.length("c_mktsegment")).cast("string"))
-    u = c.where("c_nationkey < 20").groupBy("c_mktsegment").agg(F.collect_set(new).alias("to")).where(F.size("to") == 1)
-    return c.join(u, "c_mktsegment", "left").select("c_custkey", F.col("to")[0].alias("symbol"))
+    new = F.concat(F.lit("S"), (F.when(F.col("c_mktsegment") > "F", F.col("c_nationkey") % 2).otherwise(0) + F.length("c_mktsegment")).cast("string"))
+    u = c.groupBy("c_mktsegment").agg(F.min(new).alias("to"), F.max(new).alias("last")).where("to = last")
+    return c.join(u, "c_mktsegment", "left").select("c_custkey", F.col("to").alias("symbol"))
 
 
 @query("pick_longest", "SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")

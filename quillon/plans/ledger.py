@@ -40,10 +40,10 @@ def mix_priorities(spark, sf_dir):
     return o.groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("k")).crossJoin(F.broadcast(total)).select("category", v.r6(10 * (0.2 - F.col("k") / F.col("n"))).alias("priority"))  # one row
 
 
-@query("sweep_expansion", "SELECT p_partkey, unnest(list_slice(range(p_size), 1, 8))::BIGINT AS value FROM part WHERE p_partkey <= 400")
+@query("sweep_expansion", "SELECT p_partkey, unnest(list_slice(range(p_size), 1, 8))::BIGINT AS value FROM part")
 def sweep_expansion(spark, sf_dir):
     """One configuration a value, eight at most."""
-    p = v.table(spark, sf_dir, "part").where("p_partkey <= 400")
+    p = v.table(spark, sf_dir, "part")
     return p.select("p_partkey", F.explode(F.slice(F.sequence(F.lit(0).cast("long"), F.col("p_size").cast("long") - 1), 1, 8)).alias("value"))
 
 
@@ -54,12 +54,12 @@ def exploit_candidates(spark, sf_dir):
     return t.select(F.col("f").alias("a")).join(t.select(F.col("f").alias("b")), F.col("a") < F.col("b"))  # eight rows
 
 
-@query("warm_start", "WITH RECURSIVE d AS (SELECT o_orderkey AS f, o_orderkey // 2 AS needs FROM orders WHERE o_orderkey BETWEEN 2 AND 300), bad AS (SELECT o_orderkey AS f FROM orders WHERE o_orderkey <= 300 AND o_orderkey % 29 = 0 UNION SELECT d.f FROM d JOIN bad ON d.needs = bad.f) SELECT o_orderkey AS f FROM orders WHERE o_orderkey <= 300 AND o_orderkey NOT IN (SELECT f FROM bad)")
+@query("warm_start", "WITH RECURSIVE d AS (SELECT o_orderkey AS f, o_orderkey // 2 AS needs FROM orders WHERE o_orderkey >= 2), bad AS (SELECT o_orderkey AS f FROM orders WHERE o_orderkey % 29 = 0 UNION SELECT d.f FROM d JOIN bad ON d.needs = bad.f) SELECT o_orderkey AS f FROM orders WHERE o_orderkey NOT IN (SELECT f FROM bad)")
 def warm_start(spark, sf_dir):
     """Features are taken over unless they need, directly or not, a refused one."""
     from quillon.operators.graph import closure
 
-    o = v.table(spark, sf_dir, "orders").where("o_orderkey <= 300").select(F.col("o_orderkey").alias("f"))
+    o = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("f"))
     needs = closure(o.where("f >= 2").selectExpr("f", "f div 2 as needs"), "f", "needs")
     refused = needs.where("ancestor % 29 = 0 and ancestor > 0").join(o.withColumnRenamed("f", "ancestor"), "ancestor", "left_semi").select("f").union(o.where("f % 29 = 0"))
     return o.join(refused, "f", "left_anti")

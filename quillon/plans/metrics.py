@@ -169,38 +169,38 @@ def spearman_table(spark, sf_dir):
 SELECT source, hit, round((SELECT sum(exp(lgamma(m + 1) - lgamma(x + 1) - lgamma(m - x + 1) + lgamma(n - m + 1) - lgamma(k - x + 1) - lgamma(n - m - k + x + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1))) FROM (SELECT unnest(range(hit, least(m, k) + 1)) AS x) WHERE k - x <= n - m), 5) AS p FROM g, t WHERE hit >= 3""",
 )
 def hypergeometric_tail(spark, sf_dir):
-    """P(X >= hit), by a running product of the ratio of neighbouring terms (no gamma function needed)."""
+    """P(X >= hit), a row a term of the tail, from the logarithm of the gamma function."""
     d = v.table(spark, sf_dir, "documents")
     g = d.groupBy("source").agg(F.count("*").alias("m"), F.count_if(F.col("n_chars") > 3000).alias("hit")).where("hit >= 3")
     t = d.agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 3000).alias("k"))
-    rows = g.crossJoin(F.broadcast(t))  # one row
-    n, k, m = F.col("n"), F.col("k"), F.col("m")
-    low, high = F.greatest(F.lit(0).cast("long"), k + m - n), F.least(m, k)
-    # Terms relative to the first, in logarithms; the tail is their share of all.
-    step = lambda x: F.log((m - x) * (k - x) / ((x + 1) * (n - m - k + x + 1)))
-    terms = F.aggregate(F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>")), F.array(F.struct(low.alias("x"), F.lit(0.0).alias("l"))), lambda acc, x: F.concat(acc, F.array(F.struct((x + 1).alias("x"), (F.element_at(acc, -1)["l"] + step(x.cast("double"))).alias("l")))))
-    rows = rows.withColumn("terms", terms).withColumn("top", F.array_max(F.transform("terms", lambda e: e["l"])))
-    total = lambda keep: F.aggregate(F.filter("terms", keep), F.lit(0.0), lambda acc, e: acc + F.exp(e["l"] - F.col("top")))
-    return rows.select("source", "hit", F.round(total(lambda e: e["x"] >= F.col("hit")) / total(lambda e: F.lit(True)), 5).alias("p"))
+    rows = g.crossJoin(F.broadcast(t)).withColumn("x", F.explode(F.sequence(F.greatest("hit", F.col("k") + F.col("m") - F.col("n")), F.least("m", "k"))))  # one row
+    n, k, m, x = (F.col(c) for c in "nkmx")
+    term = stats.log_choose(m, x) + stats.log_choose(n - m, k - x) - stats.log_choose(n, k)
+    return rows.groupBy("source", "hit").agg(F.round(F.sum(F.exp(term)), 5).alias("p"))
 
 
 @query(
     "split_half_reliability",
-    f"""WITH {v.NORM}, h AS (SELECT *, substr(sha256(cell::VARCHAR || ':1'), 1, 1) < '8' AS half FROM norm), n AS (SELECT pert, half, count(DISTINCT cell) AS n FROM h GROUP BY 1, 2),
-m AS (SELECT pert, gene, sum(CASE WHEN half THEN x ELSE 0 END) AS a, sum(CASE WHEN NOT half THEN x ELSE 0 END) AS b FROM h GROUP BY 1, 2),
-p AS (SELECT m.pert, gene, a / x.n AS a, b / y.n AS b FROM m JOIN n x ON x.pert = m.pert AND x.half JOIN n y ON y.pert = m.pert AND NOT y.half),
-c AS (SELECT gene, (a + b) / 2 AS c FROM p WHERE pert = 0), r AS (SELECT pert, {v.sql_pearson('a - c', 'b - c')} AS r FROM p JOIN c USING (gene) WHERE pert <> 0 GROUP BY 1)
-SELECT pert, round(r, 5) AS r, round(CASE WHEN 1 + r > 0 THEN 2 * r / (1 + r) ELSE -1.0 END, 5) AS reliability FROM r""",
+    f"""WITH {v.NORM}, h AS (SELECT norm.*, rep, substr(sha256(cell::VARCHAR || ':' || rep), 1, 1) < '8' AS half FROM norm, (SELECT unnest(range(1, 6)) AS rep)), n AS (SELECT rep, pert, half, count(DISTINCT cell) AS n FROM h GROUP BY 1, 2, 3),
+m AS (SELECT rep, pert, gene, sum(CASE WHEN half THEN x ELSE 0 END) AS a, sum(CASE WHEN NOT half THEN x ELSE 0 END) AS b FROM h GROUP BY 1, 2, 3),
+p AS (SELECT m.rep, m.pert, gene, a / x.n AS a, b / y.n AS b FROM m JOIN n x ON x.rep = m.rep AND x.pert = m.pert AND x.half JOIN n y ON y.rep = m.rep AND y.pert = m.pert AND NOT y.half),
+c AS (SELECT rep, gene, (a + b) / 2 AS c FROM p WHERE pert = 0), r AS (SELECT rep, pert, {v.sql_pearson('a - c', 'b - c')} AS r FROM p JOIN c USING (rep, gene) WHERE pert <> 0 GROUP BY 1, 2)
+SELECT pert, round(avg(r), 5) AS r, round(avg(CASE WHEN 1 + r > 0 THEN 2 * r / (1 + r) ELSE -1.0 END), 5) AS reliability FROM r GROUP BY 1""",
 )
 def split_half_reliability(spark, sf_dir):
-    """Correlation of half means by a hash half, stepped up to full length."""
-    x = v.normalised(v.counts(spark, sf_dir)).withColumn("half", F.substring(F.sha2(F.concat(F.col("cell").cast("string"), F.lit(":1")), 256), 1, 1) < "8")
-    n = x.groupBy("pert").agg(F.count_distinct(F.when(F.col("half"), F.col("cell"))).alias("na"), F.count_distinct(F.when(~F.col("half"), F.col("cell"))).alias("nb"))
-    m = x.groupBy("pert", "gene").agg(F.sum(F.when(F.col("half"), F.col("x")).otherwise(0.0)).alias("a"), F.sum(F.when(~F.col("half"), F.col("x")).otherwise(0.0)).alias("b"))
-    p = m.join(n, "pert").select("pert", "gene", (F.col("a") / F.col("na")).alias("a"), (F.col("b") / F.col("nb")).alias("b"))
-    c = p.where("pert = 0").select("gene", ((F.col("a") + F.col("b")) / 2).alias("c"))
-    r = p.where("pert <> 0").join(c, "gene").groupBy("pert").agg(stats.pearson(F.col("a") - F.col("c"), F.col("b") - F.col("c")).alias("r"))
-    return r.select("pert", F.round("r", 5).alias("r"), F.round(stats.spearman_brown(F.col("r"), 2), 5).alias("reliability"))
+    """Mean correlation of half means over five hash halves, stepped up to full length."""
+    reps = range(1, 6)
+    x = v.normalised(v.counts(spark, sf_dir))
+    half = {k: F.substring(F.sha2(F.concat(F.col("cell").cast("string"), F.lit(f":{k}")), 256), 1, 1) < "8" for k in reps}
+    cells = x.select("pert", "cell").distinct()
+    # One pass for all halves: a pair of sums each.
+    n = cells.groupBy("pert").agg(*(F.count_if(c == side).alias(f"n{k}{side}") for k, c in half.items() for side in (True, False)))
+    m = x.groupBy("pert", "gene").agg(*(F.sum(F.when(c == side, F.col("x")).otherwise(0.0)).alias(f"s{k}{side}") for k, c in half.items() for side in (True, False)))
+    sides = F.array(*(F.struct(F.lit(k).alias("rep"), (F.col(f"s{k}True") / F.col(f"n{k}True")).alias("a"), (F.col(f"s{k}False") / F.col(f"n{k}False")).alias("b")) for k in reps))
+    p = m.join(n, "pert").select("pert", "gene", F.inline(sides))
+    c = p.where("pert = 0").select("rep", "gene", ((F.col("a") + F.col("b")) / 2).alias("c"))
+    r = p.where("pert <> 0").join(c, ["rep", "gene"]).groupBy("rep", "pert").agg(stats.pearson(F.col("a") - F.col("c"), F.col("b") - F.col("c")).alias("r"))
+    return r.groupBy("pert").agg(F.round(F.avg("r"), 5).alias("r"), F.round(F.avg(stats.spearman_brown(F.col("r"), 2)), 5).alias("reliability"))
 
 
 @query("ceiling_gap", f"WITH {v.LOO}, a AS (SELECT pert, {v.sql_pearson('pred', 'delta')} AS r, {v.sql_pearson('mean', 'control_mean')} AS c FROM loo GROUP BY 1) SELECT pert, round(c - r, 6) AS gap, round(CASE WHEN c > 0 THEN r / c END, 6) AS share FROM a")
@@ -218,6 +218,14 @@ def best_neighbour(spark, sf_dir):
     return w.groupBy(F.col("p").alias("pert")).agg(v.r6(F.max("r")).alias("best"))
 
 
+@query("mix_ceilings")
+def mix_ceilings(spark, sf_dir):
+    """Hindsight ceilings of the best single group, the best non-negative mix and the best free mix."""
+    from quillon.operators import linear
+
+    return linear.mix_ceilings(v.delta_view(spark, sf_dir))
+
+
 @query(
     "metric_calibration",
     f"""WITH {v.LOO}, u AS (SELECT 'delta' AS def, pert, pred AS p, delta AS t FROM loo UNION ALL SELECT 'level', pert, pred + control_mean, mean FROM loo UNION ALL SELECT 'log', pert, ln(1 + abs(pred)), ln(1 + abs(delta)) FROM loo)
@@ -321,11 +329,11 @@ def verdict_table(spark, sf_dir):
     return f.select("f", F.when(F.col("n") < 40, "unstable").when(F.col("m") > 52, "kept").when(F.col("m") < 46, "harmful").when(F.col("x") < 99, "redundant").otherwise("no_gain").alias("verdict"))
 
 
-@query("normal_p_values", f"WITH {PAIRED}, s AS (SELECT (pert % 4)::INT AS part, avg(e) AS m, stddev_samp(e) / sqrt(count(*)) AS se FROM d GROUP BY 1) SELECT part, round(m / se, 5) AS z FROM s")
+@query("normal_p_values", f"WITH {PAIRED}, s AS (SELECT (pert % 4)::INT AS part, avg(e) / (stddev_samp(e) / sqrt(count(*))) AS z FROM d GROUP BY 1), t AS (SELECT part, z, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0::DOUBLE)) AS t FROM s) SELECT part, round(z, 5) AS z, round(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2), 6) AS p FROM t")
 def normal_p_values(spark, sf_dir):
-    """Score of a mean against its error (the two-sided p is stats.normal_sf, tested apart)."""
-    s = paired_differences(spark, sf_dir).groupBy((F.col("pert") % 4).cast("int").alias("part")).agg(F.avg("e").alias("m"), (F.stddev_samp("e") / F.sqrt(F.count("*"))).alias("se"))
-    return s.select("part", F.round(F.col("m") / F.col("se"), 5).alias("z"))
+    """Score of a mean against its error, and its two-sided p."""
+    s = paired_differences(spark, sf_dir).groupBy((F.col("pert") % 4).cast("int").alias("part")).agg((F.avg("e") / (F.stddev_samp("e") / F.sqrt(F.count("*")))).alias("z"))
+    return s.select("part", F.round("z", 5).alias("z"), v.r6(2 * stats.normal_sf(F.abs("z"))).alias("p"))
 
 
 @query("number_traceability", "WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\d+')) AS n FROM benchmark), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\d+')) AS n FROM documents) SELECT (SELECT count(*) FROM a) AS numbers, (SELECT count(*) FROM a WHERE n NOT IN (SELECT n FROM b)) AS untraced")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import stats
@@ -123,21 +122,66 @@ def kernel_ridge_loo(spark, sf_dir):
     return linear.kernel_ridge_loo(v.delta_view(spark, sf_dir), [0.1, 1.0, 10.0])
 
 
+def _similarity(spark, sf_dir):
+    """(a, b, w): Jaccard similarity of the sets that the groups' targets are in, both orders."""
+    from quillon.operators.joins import jaccard_of_members
+    from quillon.plans.features import context
+
+    c = context(spark, sf_dir)
+    members = c.targets.join(c.sets, "gene").select("pert", "set_name").distinct()
+    pairs = jaccard_of_members(members, "pert", "set_name").withColumnRenamed("jaccard", "w")
+    return pairs.unionByName(pairs.selectExpr("b as a", "a as b", "w"))
+
+
+ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0]
+
+
 @query("nested_loo_protocol")
 def nested_loo_protocol(spark, sf_dir):
-    """Every group held out once; its penalty is chosen by leave-one-out among the others."""
-    return linear.nested_loo(v.delta_view(spark, sf_dir), [0.1, 1.0, 10.0])
+    """Every group held out once; the stack's penalty is chosen by leave-one-out among the others."""
+    return linear.nested_loo(v.delta_view(spark, sf_dir), _similarity(spark, sf_dir), ALPHAS)
+
+
+@query("nested_loo_hidden")
+def nested_loo_hidden(spark, sf_dir):
+    """The same, where a held-out group hides the groups of its region as well."""
+    nation = v.table(spark, sf_dir, "nation")
+    hidden = nation.select(F.col("n_nationkey").alias("pert"), (F.col("n_regionkey") * 10 + F.col("n_nationkey") % 2).alias("r")).join(nation.select(F.col("n_nationkey").alias("other"), (F.col("n_regionkey") * 10 + F.col("n_nationkey") % 2).alias("r")), "r").select("pert", "other")
+    return linear.nested_loo(v.delta_view(spark, sf_dir), _similarity(spark, sf_dir), ALPHAS, hidden=hidden)
+
+
+#: The models of the factory with their penalties.
+SPECS = [("ridge", 1.0), ("lasso", 0.001), ("elasticnet", 0.001), ("ols", 0.0)]
+
+
+@query("model_factory")
+def model_factory(spark, sf_dir):
+    """Ridge, lasso, elastic net and least squares over all columns of the design, from one pass of sums."""
+    d = linear.design(v.loo_mean(v.delta_view(spark, sf_dir)))
+    return linear.fit_models(d, [c for c in d.columns if c != "y"], "y", SPECS)
+
+
+@query("kfold_models")
+def kfold_models(spark, sf_dir):
+    """The models of the factory, each predicting the folds that its fit leaves out."""
+    loo = v.loo_mean(v.delta_view(spark, sf_dir))
+    d = linear.design(loo.withColumn("fold", (F.col("pert") % 4).cast("int")), "fold")
+    columns = [c for c in d.columns if c not in ("y", "fold")]
+    w = linear.fold_weights(d, "fold", columns, "y", SPECS)
+    fit = F.col("b0") + sum((F.col(c) * F.col("w")[k] for k, c in enumerate(columns)), F.lit(0.0))
+    e = F.col("y") - fit
+    return d.join(w, "fold").groupBy("fold", "kind").agg(v.r6(F.sqrt(F.avg(e * e))).alias("rmse"), v.r6(stats.pearson(fit, F.col("y"))).alias("r"))
 
 
 @query(
     "additive_rule",
-    """WITH t AS (SELECT DISTINCT l_orderkey AS pert, l_suppkey % 20 AS target FROM lineitem WHERE l_orderkey < 2000), k AS (SELECT pert, count(*) AS n FROM t GROUP BY 1),
+    """WITH t AS (SELECT DISTINCT l_orderkey AS pert, l_suppkey AS target FROM lineitem), k AS (SELECT pert, count(*) AS n FROM t GROUP BY 1),
 m AS (SELECT t.target, avg(o_totalprice / 1000) AS d FROM t JOIN k USING (pert) JOIN orders ON o_orderkey = t.pert WHERE n = 1 GROUP BY 1), f AS (SELECT avg(d) AS fill FROM m)
 SELECT t.pert, round(sum(coalesce(m.d, fill)), 6) AS pred FROM t LEFT JOIN m USING (target), f GROUP BY 1""",
 )
 def additive_rule(spark, sf_dir):
     """Sum of the single changes of the targets, filled by the mean single change."""
-    t = v.table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("pert"), (F.col("l_suppkey") % 20).alias("target")).distinct()
+    t = v.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pert"), F.col("l_suppkey").alias("target")).distinct()
     single = t.groupBy("pert").agg(F.count("*").alias("n"), F.first("target").alias("target")).where("n = 1")
     price = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pert"), (F.col("o_totalprice") / 1000).alias("d"))
     m = single.join(price, "pert").groupBy("target").agg(F.avg("d").alias("d"))
@@ -161,18 +205,14 @@ def refit_with_visible(spark, sf_dir):
 
 @query(
     "permutation_null_fast",
-    f"""WITH {v.LOO}, r AS (SELECT unnest(range(20))::INT AS b), o AS (SELECT *, row_number() OVER (PARTITION BY pert ORDER BY gene) - 1 AS i, count(*) OVER (PARTITION BY pert) AS n FROM loo),
-c AS (SELECT x.pert, b, sum(x.pred * y.delta) AS xy FROM o x CROSS JOIN r JOIN o y ON y.pert = x.pert AND y.i = (x.i + b + 1) % x.n GROUP BY 1, 2), s AS (SELECT pert, sum(pred * delta) AS obs FROM loo GROUP BY 1)
-SELECT pert, round((1 + count(*) FILTER (xy >= obs))::DOUBLE / 21, 6) AS p FROM c JOIN s USING (pert) GROUP BY 1""",
+    f"""WITH {v.LOO}, o AS (SELECT pert, gene, pred, delta, row_number() OVER (PARTITION BY pert ORDER BY gene) AS i FROM loo),
+t AS (SELECT pert, gene, i, b, row_number() OVER (PARTITION BY pert, b ORDER BY sha256(b || ':' || gene)) AS j FROM o, (SELECT unnest(range(999)) AS b)),
+c AS (SELECT t.pert, b, sum(o.pred * y.delta) AS xy FROM t JOIN o ON o.pert = t.pert AND o.i = t.i JOIN o y ON y.pert = t.pert AND y.i = t.j GROUP BY 1, 2), s AS (SELECT pert, sum(pred * delta) AS obs FROM loo GROUP BY 1)
+SELECT pert, round(any_value(obs), 6) AS observed, round((1 + count(*) FILTER (xy >= obs - 1e-12))::DOUBLE / 1000, 6) AS p FROM c JOIN s USING (pert) GROUP BY 1""",
 )
 def permutation_null_fast(spark, sf_dir):
-    """Only the cross term is recomputed for a replicate; replicates are a column."""
-    w = Window.partitionBy("pert")
-    o = v.loo_mean(v.delta_view(spark, sf_dir)).select("pert", "pred", "delta", (F.row_number().over(w.orderBy("gene")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    x = o.select("pert", F.col("pred").alias("x"), "n", "i", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b")).withColumn("j", ((F.col("i") + F.col("b") + 1) % F.col("n")).cast("int"))
-    c = x.join(o.select("pert", F.col("i").alias("j"), F.col("delta").alias("y")), ["pert", "j"]).groupBy("pert", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    s = o.groupBy("pert").agg(F.sum(F.col("pred") * F.col("delta")).alias("obs"))
-    return c.join(s, "pert").groupBy("pert").agg(v.r6((1 + F.count_if(F.col("xy") >= F.col("obs"))) / F.lit(21.0)).alias("p"))
+    """999 permutations of the measures in hash order; only the cross term is recomputed."""
+    return linear.permutation_null(v.loo_mean(v.delta_view(spark, sf_dir)), "pred", "delta", 999).select("pert", "observed", "p")
 
 
 COEF = [("m1", 0.7, "pred", 0.0, 0.05, 1.2), ("m1", 0.7, "control_mean", 0.5, 0.2, -0.1), ("m2", 0.3, "pred", 0.01, 0.04, 0.9)]
@@ -201,10 +241,10 @@ def feature_pool(spark, sf_dir):
     return g.where("gain > 95 or f < 3").select("f", "first")
 
 
-@query("nested_memberships", "SELECT c_custkey, a AS outer_fold, b AS inner_fold, c_custkey % 5 <> a AND c_custkey % 3 <> b AS train FROM customer, (SELECT unnest(range(5))::INT AS a), (SELECT unnest(range(3))::INT AS b) WHERE c_custkey < 200")
+@query("nested_memberships", "SELECT c_custkey, a AS outer_fold, b AS inner_fold, c_custkey % 5 <> a AND c_custkey % 3 <> b AS train FROM customer, (SELECT unnest(range(5))::INT AS a), (SELECT unnest(range(3))::INT AS b)")
 def nested_memberships(spark, sf_dir):
     """L31."""
-    folds = v.table(spark, sf_dir, "customer").where("c_custkey < 200").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("outer_fold")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("inner_fold"))
+    folds = v.table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("outer_fold")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("inner_fold"))
     return folds.withColumn("train", (F.col("c_custkey") % 5 != F.col("outer_fold")) & (F.col("c_custkey") % 3 != F.col("inner_fold")))
 
 

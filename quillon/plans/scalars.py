@@ -11,7 +11,7 @@ from . import views as v
 from .registry import query
 
 
-@query("parse_labels", "WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(substr(text, 1, 80), '[+_|,;\\s]+'), lambda x: x <> '') AS toks FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(toks, lambda x: length(x) <= 3))), '+') AS targets, len(list_distinct(list_filter(toks, lambda x: length(x) > 3)))::INT AS unknown FROM p")
+@query("parse_labels", "WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[+_|,;\\s]+'), lambda x: x <> '') AS toks FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(toks, lambda x: length(x) <= 3))), '+') AS targets, len(list_distinct(list_filter(toks, lambda x: length(x) > 3)))::INT AS unknown FROM p")
 def parse_labels(spark, sf_dir):
     """Distinct sorted targets of a label, and how many tokens are unknown."""
     toks = t.label_tokens(F.col("text"))
@@ -67,7 +67,7 @@ def numeric_parse(spark, sf_dir):
 
 @query(
     "sequence_features",
-    """WITH s AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents WHERE n_chars < 4000)
+    """WITH s AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents)
 SELECT doc_id, round(len(regexp_extract_all(s, '[GC]'))::DOUBLE / nullif(length(s), 0), 6) AS gc, len(regexp_extract_all(s, 'CG'))::BIGINT AS cpg, len(regexp_extract_all(s, 'ATG'))::BIGINT AS atg, md5(reverse(translate(s, 'ACGT', 'TGCA'))) AS revcomp FROM s""",
 )
 def sequence_features(spark, sf_dir):
@@ -134,11 +134,11 @@ def first_json_object(spark, sf_dir):
     return v.table(spark, sf_dir, "events").select("event_id", F.regexp_extract(F.concat(F.lit("text ```json "), "props", F.lit(" ``` more")), r"\{[\s\S]*\}", 0).alias("object"))
 
 
-@query("alias_pairs", "SELECT c_custkey, c_mktsegment || '=' || c_nationkey AS raw, c_nationkey::VARCHAR AS new FROM customer WHERE c_custkey < 100")
+@query("alias_pairs", "SELECT c_custkey, c_mktsegment || '=' || c_nationkey AS raw, c_nationkey::VARCHAR AS new FROM customer")
 def alias_pairs(spark, sf_dir):
     """OLD=NEW pairs."""
     raw = F.concat("c_mktsegment", F.lit("="), F.col("c_nationkey").cast("string"))
-    return v.table(spark, sf_dir, "customer").where("c_custkey < 100").select("c_custkey", raw.alias("raw"), F.str_to_map(raw, F.lit(","), F.lit("="))[F.col("c_mktsegment")].alias("new"))
+    return v.table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"), F.str_to_map(raw, F.lit(","), F.lit("="))[F.col("c_mktsegment")].alias("new"))
 
 
 @query("arm_label", "SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderstatus = 'F' THEN ', continued' ELSE '' END || CASE WHEN o_custkey % 4 = 0 THEN ', external' ELSE '' END AS arm FROM orders")

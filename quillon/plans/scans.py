@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.operators.numbering import runs
 from quillon.sources import formats
 
 from . import views as v
@@ -48,24 +49,19 @@ def symbol_choice(spark, sf_dir):
     return part.select("p_partkey", formats.symbol_column(part, "p_brand", "p_name").alias("symbol"))
 
 
-@query("stream_sums", "WITH t AS (SELECT l_orderkey, sum(l_quantity) AS tot FROM lineitem GROUP BY 1) SELECT l_returnflag, l_suppkey, round(sum(ln(1 + l_quantity * 1e4 / tot)), 4) AS s FROM lineitem JOIN t USING (l_orderkey) WHERE l_suppkey < 30 GROUP BY 1, 2")
+@query("stream_sums", "WITH t AS (SELECT l_orderkey, sum(l_quantity) AS tot FROM lineitem GROUP BY 1) SELECT l_returnflag, l_suppkey, round(sum(ln(1 + l_quantity * 1e4 / tot)), 4) AS s FROM lineitem JOIN t USING (l_orderkey) GROUP BY 1, 2")
 def stream_sums(spark, sf_dir):
     """S07, ST1: normalised sums of the needed columns by group; totals need all columns."""
     line = v.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_quantity")
     totals = line.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("tot"))
     x = F.log1p(F.col("l_quantity") * 1e4 / F.col("tot"))
-    return line.where("l_suppkey < 30").join(totals, "l_orderkey").groupBy("l_returnflag", "l_suppkey").agg(F.round(F.sum(x), 4).alias("s"))
+    return line.join(totals, "l_orderkey").groupBy("l_returnflag", "l_suppkey").agg(F.round(F.sum(x), 4).alias("s"))
 
 
-@query("consecutive_runs", "WITH d AS (SELECT DISTINCT l_partkey AS c FROM lineitem WHERE l_quantity > 48), g AS (SELECT c, c - row_number() OVER (ORDER BY c) AS island FROM d) SELECT min(c) AS first, max(c) AS last, count(*) AS n FROM g GROUP BY island")
+@query("consecutive_runs", "WITH g AS (SELECT p_type, p_partkey AS c, p_partkey - row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS island FROM part) SELECT p_type, min(c) AS first, max(c) AS last, count(*) AS n FROM g GROUP BY p_type, island")
 def consecutive_runs(spark, sf_dir):
-    """Maximal runs of consecutive columns: a run starts where the value before is absent."""
-    from pyspark.sql import Window
-
-    d = v.table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("c")).distinct()
-    # By blocks of columns, so that no single task holds all; blocks are joined at their edges.
-    w = Window.partitionBy(F.lit(0)).orderBy("c")
-    return d.withColumn("island", F.col("c") - F.row_number().over(w)).groupBy("island").agg(F.min("c").alias("first"), F.max("c").alias("last"), F.count("*").alias("n")).drop("island")
+    """Maximal runs of consecutive columns of a kind."""
+    return runs(v.table(spark, sf_dir, "part"), ["p_type"], "p_partkey").select("p_type", "first", "last", "n")
 
 
 @query("value_sampler", "WITH t AS (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_suppkey LIMIT 5) SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_suppkey IN (SELECT l_suppkey FROM t) OR l_orderkey % 101 = 0) AND l_quantity <> 0")
@@ -92,19 +88,19 @@ def public_context(spark, sf_dir):
     return x.crossJoin(F.broadcast(n)).groupBy("gene").agg(v.r6(mean).alias("control_mean"), v.r6(F.sqrt(F.greatest(F.lit(0.0), var))).alias("control_sd"))  # one row
 
 
-@query("gmt_reader", "SELECT DISTINCT p_type AS set_name, p_brand AS member FROM part WHERE p_size < 20")
+@query("gmt_reader", "SELECT DISTINCT 'O' || l_orderkey AS set_name, l_partkey::VARCHAR AS member FROM lineitem")
 def gmt_reader(spark, sf_dir):
     """Gene-set lines written and read again."""
-    part = v.table(spark, sf_dir, "part").where("p_size < 20")
-    member = F.concat("p_brand", F.lit(",1.0"))
-    lines = part.groupBy("p_type").agg(F.concat_ws("\t", "p_type", F.lit("desc"), F.array_join(F.collect_set(member), "\t")).alias("value"))
+    name = F.concat(F.lit("O"), F.col("l_orderkey"))
+    member = F.concat(F.col("l_partkey"), F.lit(",1.0"))
+    lines = v.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat_ws("\t", name, F.lit("desc"), F.array_join(F.collect_set(member), "\t")).alias("value"))
     return formats.gmt(lines.select("value"))
 
 
-@query("obo_reader", "SELECT 'T:' || o_orderkey AS id, 'T:' || (o_orderkey // 2) AS parent FROM orders WHERE o_orderkey BETWEEN 2 AND 400 AND o_orderstatus <> 'P'")
+@query("obo_reader", "SELECT 'T:' || o_orderkey AS id, 'T:' || (o_orderkey // 2) AS parent FROM orders WHERE o_orderkey >= 2 AND o_orderstatus <> 'P'")
 def obo_reader(spark, sf_dir):
     """Ontology stanzas; obsolete terms are dropped."""
-    o = v.table(spark, sf_dir, "orders").where("o_orderkey between 2 and 400")
+    o = v.table(spark, sf_dir, "orders").where("o_orderkey >= 2")
     key = F.col("o_orderkey")
     body = F.concat(F.lit("\nid: T:"), key.cast("string"), F.lit("\nname: x\nalt_id: A:"), key.cast("string"), F.lit("\nis_a: T:"), F.expr("cast(o_orderkey div 2 as string)"), F.lit(" ! parent"), F.when(F.col("o_orderstatus") == "P", F.lit("\nis_obsolete: true")).otherwise(F.lit("")), F.lit("\n\n[Typedef]\nid: part_of"))
     return formats.obo(o.select(body.alias("value")))[0]
@@ -118,11 +114,11 @@ def gaf_reader(spark, sf_dir):
     return formats.gaf(v.table(spark, sf_dir, "customer").select(line.alias("value")), ["IDA", "IMP"])
 
 
-@query("gtf_reader", "SELECT l_returnflag AS chrom, (l_partkey * 10) AS start, (l_partkey * 10 + l_quantity)::BIGINT AS \"end\", 'g' || l_suppkey AS gene FROM lineitem WHERE l_orderkey < 200")
+@query("gtf_reader", "SELECT l_returnflag AS chrom, (l_partkey * 10) AS start, (l_partkey * 10 + l_quantity)::BIGINT AS \"end\", 'g' || l_suppkey AS gene FROM lineitem")
 def gtf_reader(spark, sf_dir):
     """Feature lines with attributes as a map."""
     line = F.concat_ws("\t", "l_returnflag", F.lit("src"), F.lit("exon"), (F.col("l_partkey") * 10).cast("string"), (F.col("l_partkey") * 10 + F.col("l_quantity")).cast("long").cast("string"), F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit('gene_id "g'), F.col("l_suppkey").cast("string"), F.lit('"; tag "a"; tag "b";')))
-    return formats.gtf(v.table(spark, sf_dir, "lineitem").where("l_orderkey < 200").select(line.alias("value"))).select("chrom", "start", "end", F.col("attributes")["gene_id"].alias("gene"))
+    return formats.gtf(v.table(spark, sf_dir, "lineitem").select(line.alias("value"))).select("chrom", "start", "end", F.col("attributes")["gene_id"].alias("gene"))
 
 
 @query("sequence_access", "WITH s AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS s FROM documents) SELECT doc_id AS id, upper(substr(s, 50, 2500)) AS seq FROM s WHERE length(s) >= 60")
@@ -154,19 +150,19 @@ def run_loader(spark, sf_dir):
     return c.join(o, "run", "left").join(e, "run", "left")
 
 
-@query("coverage_errors", "SELECT p_partkey AS missing FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)")
+@query("coverage_errors", "SELECT p_partkey AS missing FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def coverage_errors(spark, sf_dir):
     """Keys a prediction lacks."""
-    return v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("missing")).join(v.table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("missing")), "missing", "left_anti")
+    return v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("missing")).join(v.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("missing")), "missing", "left_anti")
 
 
-@query("evaluator_cells", f"WITH {v.LOO} SELECT pert, gene, k, round(greatest(0, control_mean + pred), 6) AS x FROM loo CROSS JOIN (SELECT unnest(range(1, 4))::INT AS k) WHERE pert < 6 UNION ALL SELECT 0, gene, 0, round(control_mean, 6) FROM loo WHERE pert = 1")
+@query("evaluator_cells", f"WITH {v.LOO} SELECT pert, gene, k, round(greatest(0, control_mean + pred), 6) AS x FROM loo CROSS JOIN (SELECT unnest(range(1, 4))::INT AS k) UNION ALL SELECT DISTINCT 0, gene, 0, round(control_mean, 6) FROM loo")
 def evaluator_cells(spark, sf_dir):
     """Predicted cells, clipped at 0 and repeated, with the controls."""
     loo = v.loo_mean(v.delta_view(spark, sf_dir))
     x = F.greatest(F.lit(0.0), F.col("control_mean") + F.col("pred"))
-    cells = loo.where("pert < 6").select("pert", "gene", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"), v.r6(x).alias("x"))
-    return cells.unionAll(loo.where("pert = 1").select(F.lit(0).alias("pert"), "gene", F.lit(0).alias("k"), v.r6("control_mean").alias("x")))
+    cells = loo.select("pert", "gene", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"), v.r6(x).alias("x"))
+    return cells.unionAll(loo.select(F.lit(0).alias("pert"), "gene", F.lit(0).alias("k"), v.r6("control_mean").alias("x")).distinct())
 
 
 @query("guarded_columns", "SELECT c_custkey, c_mktsegment FROM customer")

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from quillon.operators.graph import shared_checkpoint_dir
 from quillon.streaming import events as s
 
 from . import views as v
 from .registry import query
 
 
-def _folder(spark) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-
-
 def _events(spark, sf_dir):
     return s.read_events(spark, f"{sf_dir}/events.parquet")
 
@@ -23,22 +18,22 @@ def _events(spark, sf_dir):
 @query("stream_kind_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_kind_counts(spark, sf_dir):
     """ST6."""
-    return s.run_once(s.kind_counts(_events(spark, sf_dir)), "complete", _folder(spark))
+    return s.run_once(s.kind_counts(_events(spark, sf_dir)), "complete", shared_checkpoint_dir(spark))
 
 
 @query("stream_running_best", "WITH b AS (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) SELECT user_id, event_id, round(value, 6) AS best FROM b WHERE before IS NULL OR value > before")
 def stream_running_best(spark, sf_dir):
     """ST7."""
-    return s.run_once(s.running_best(_events(spark, sf_dir)), "append", _folder(spark)).select("user_id", "event_id", v.r6("best").alias("best"))
+    return s.run_once(s.running_best(_events(spark, sf_dir)), "append", shared_checkpoint_dir(spark)).select("user_id", "event_id", v.r6("best").alias("best"))
 
 
 @query("stream_breaker")
 def stream_breaker(spark, sf_dir):
     """ST3: a keyed state machine."""
-    return s.run_once(s.breaker(_events(spark, sf_dir)), "append", _folder(spark))
+    return s.run_once(s.breaker(_events(spark, sf_dir)), "append", shared_checkpoint_dir(spark))
 
 
 @query("stream_windowed_counts")
 def stream_windowed_counts(spark, sf_dir):
     """Hourly windows behind a watermark: windows that the watermark has not passed yet are not out."""
-    return s.run_once(s.windowed_counts(_events(spark, sf_dir)), "append", _folder(spark)).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return s.run_once(s.windowed_counts(_events(spark, sf_dir)), "append", shared_checkpoint_dir(spark)).select("start", "event_type", "n", F.round("total", 4).alias("total"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import stats
+from quillon.operators.numbering import numbered
 
 from . import views as v
 from .registry import query
@@ -116,7 +117,8 @@ def next_id(spark, sf_dir):
     """Sequential ids after the largest one in use."""
     top = v.table(spark, sf_dir, "customer").agg(F.max(F.substring("c_name", 10, 20).cast("long")).alias("top"))
     new = v.table(spark, sf_dir, "supplier").where("s_acctbal < 0").crossJoin(F.broadcast(top))  # one row
-    n = F.col("top") + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("s_suppkey"))
+    new = numbered(new, "s_suppkey", "k")
+    n = F.col("top") + F.col("k")
     return new.select("s_suppkey", F.concat(F.lit("EXP_"), F.lpad(n.cast("string"), 6, "0")).alias("id"))
 
 

@@ -12,7 +12,7 @@ def gmt(lines: DataFrame) -> DataFrame:
     lines: a DataFrame with a column value, as spark.read.text gives (plain or gzip).
     """
     parts = F.split("value", "\t")
-    members = F.filter(F.transform(F.slice(parts, 3, 100_000), lambda x: F.trim(F.split(x, ",")[0])), lambda x: x != "")
+    members = F.filter(F.transform(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), lambda x: F.trim(F.split(x, ",")[0])), lambda x: x != "")
     return lines.where(F.size(parts) >= 3).select(parts[0].alias("set_name"), F.explode(members).alias("member")).distinct()
 
 
