@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import aggregations, features, filters, graphs, joins, ledger, metrics, models, scalars, scans, splits, streams, topk, windows  # noqa: F401
+from quillon.plans import aggregations, features, filters, graphs, joins, ledger, metrics, models, scalars, scans, splits, stores, streams, topk, windows  # noqa: F401
 from quillon.plans.registry import ORACLES, QUERIES
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +29,73 @@ def verify_bundle(spark: SparkSession, path: str) -> DataFrame:
     return kept.join(rows, "part", "full_outer").where("not (rows <=> r and digest <=> d)").select("part")
 
 
-def export_public(spark: SparkSession, path: str, dest: str) -> None:
-    """Only the training part, and the manifest without digests."""
-    spark.read.parquet(f"{path}/profiles").where("part = 'train'").drop("part").write.mode("overwrite").parquet(f"{dest}/profiles")
-    spark.read.parquet(f"{path}/manifest").where("part = 'train'").drop("digest").write.mode("overwrite").parquet(f"{dest}/manifest")
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _replace(spark: SparkSession, made: str, dest: str) -> None:
+    """Put a finished folder in the place of another; a reader finds the old one or the new one, never a part."""
+    (new, fs), (old, _), (aside, _) = _files(spark, made), _files(spark, dest), _files(spark, f"{made}-old")
+    if fs.exists(old):
+        fs.rename(old, aside)
+    fs.mkdirs(old.getParent())
+    if not fs.rename(new, old):
+        raise OSError(f"{made} could not be moved to {dest}")
+    fs.delete(aside, True)
+
+
+def export_public(spark: SparkSession, path: str, dest: str) -> str:
+    """Only the training part, and the manifest without digests. Returns 'unchanged' where dest holds these rows already, else 'written'.
+
+    Written beside dest and moved there when it is whole. A folder that is no bundle is refused.
+    """
+    for part in ("profiles", "manifest"):
+        p, fs = _files(spark, f"{path}/{part}")
+        if not fs.exists(p):
+            raise ValueError(f"{path} has no {part}")
+    rows = spark.read.parquet(f"{path}/profiles").where("part = 'train'").drop("part")
+    manifest = spark.read.parquet(f"{path}/manifest").where("part = 'train'").drop("digest")
+    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("pert", "gene", "mean"))).head()
+    old, fs = _files(spark, f"{dest}/profiles")
+    if fs.exists(old) and mark(spark.read.parquet(f"{dest}/profiles")) == mark(rows):
+        return "unchanged"
+    made = f"{dest.rstrip('/')}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{made}/profiles")
+    manifest.write.parquet(f"{made}/manifest")
+    _replace(spark, made, dest)
+    return "written"
+
+
+def export_training(matrix: DataFrame, split: DataFrame, path: str) -> DataFrame:
+    """The cells of the training groups and of the control, for another model; returns the receipt (kind, perts, rows, digest) with the groups held out."""
+    rows = matrix.join(split.where("part = 'train'").select("pert"), "pert", "left_semi")
+    rows.write.mode("overwrite").parquet(f"{path}/cells")
+    digest = F.bit_xor(F.xxhash64("cell", "pert", "gene", "cnt")).alias("digest")
+    made = matrix.sparkSession.read.parquet(f"{path}/cells").agg(F.lit("cells").alias("kind"), F.count_distinct("pert").alias("perts"), F.count("*").alias("rows"), digest)
+    held = split.where("part <> 'train'").agg(F.lit("held out").alias("kind"), F.count("*").alias("perts"), F.lit(0).cast("long").alias("rows"), F.lit(None).cast("long").alias("digest"))
+    made.unionByName(held).write.mode("overwrite").parquet(f"{path}/receipt")
+    return matrix.sparkSession.read.parquet(f"{path}/receipt")
+
+
+def with_knowledge(spark: SparkSession, path: str, knowledge: DataFrame, dest: str) -> DataFrame:
+    """A copy of a bundle with the same labels and other knowledge; fails if the copy's labels differ. Returns its knowledge."""
+    rows = spark.read.parquet(f"{path}/profiles")
+    rows.write.mode("overwrite").partitionBy("part").parquet(f"{dest}/profiles")
+    spark.read.parquet(f"{path}/manifest").write.mode("overwrite").parquet(f"{dest}/manifest")
+    knowledge.write.mode("overwrite").parquet(f"{dest}/knowledge")
+    bad = [r.part for r in verify_bundle(spark, dest).collect()]  # three parts at most
+    if bad:
+        raise ValueError(f"labels changed: {bad}")
+    return spark.read.parquet(f"{dest}/knowledge")
+
+
+def kept(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at path; where it is absent it is built, written and read back."""
+    p, fs = _files(spark, f"{path}/_SUCCESS")
+    if not fs.exists(p):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
