@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keys of a block. One task sorts one block; the list of blocks is as much smaller than the table.
@@ -33,3 +33,51 @@ def runs(df: DataFrame, groups: list[str], key: str, block: int = BLOCK) -> Data
     opens = F.when(F.coalesce(F.lag("last").over(order) + 1 == F.col("first"), F.lit(False)), 0).otherwise(1)
     outer = parts.where(edge).withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order)).groupBy(*groups, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     return inner.unionByName(outer.drop("_run"))
+
+
+#: Parts into which the values of a group are cut before they are ranked, and the accuracy of the cuts (they need not be even).
+CUTS, ACCURACY = 64, 2000
+
+
+def _blocked(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """df with _block: how many of CUTS - 1 approximate quantiles of its group lie below the value. Any cuts give right ranks; even ones give even tasks."""
+    shares = F.array(*(F.lit(k / CUTS) for k in range(1, CUTS)))
+    cuts = df.groupBy(*groups).agg(F.percentile_approx(value, shares, ACCURACY).alias("_cuts"))
+    return df.join(cuts, groups).withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
+def _before(rows: DataFrame, groups: list[str], sums: dict) -> DataFrame:
+    """Totals of the blocks before each block: CUTS rows a group at most."""
+    order = Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*groups, "_block").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
+    return totals.select(*groups, "_block", *(F.coalesce(F.sum(f"_t_{c}").over(order), F.lit(0)).alias(f"_b_{c}") for c in sums))
+
+
+def value_ranks(df: DataFrame, groups: list[str], value: str, **sums: Column) -> DataFrame:
+    """(groups, value, n, mid, sums, sums_upto): each different value of a group once, with its rows, their average rank, and each
+    sum over its rows and over all rows up to it. NULL values are left out.
+
+    Equal values are counted before anything is ordered, and a task orders a part of a group.
+    """
+    sums = {"n": F.lit(1).cast("long")} | sums
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(*(F.sum(e).alias(c) for c, e in sums.items()))
+    rows = _blocked(counted, groups, value)
+    upto = Window.partitionBy(*groups, "_block").orderBy(value)
+    rows = rows.join(_before(rows, groups, sums), [*groups, "_block"]).withColumns({f"{c}_upto": F.col(f"_b_{c}") + F.sum(c).over(upto) for c in sums})
+    mid = F.col("n_upto") - (F.col("n") - 1) / 2
+    return rows.withColumn("mid", mid).drop("_block", *(f"_b_{c}" for c in sums))
+
+
+def row_ranks(df: DataFrame, groups: list[str], value: str, tie: str, name: str) -> DataFrame:
+    """df with the row's number from 1 in its group by value and then tie, which does not repeat; a task orders a part of a group."""
+    rows = _blocked(df, groups, value).withColumn("_one", F.lit(1).cast("long"))
+    own = F.row_number().over(Window.partitionBy(*groups, "_block").orderBy(value, tie))
+    return rows.withColumn("_own", own).join(_before(rows, groups, {"_one": None}), [*groups, "_block"]).withColumn(name, F.col("_b__one") + F.col("_own")).drop("_block", "_one", "_own", "_b__one")
+
+
+def running_total(df: DataFrame, groups: list[str], key: str, tie: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """df with the sum of value over its group up to the row, in the order of an integer key and tie; a task orders a block of keys."""
+    rows = df.withColumn("_block", F.floor(F.col(key) / block)).withColumn("_x", value)
+    before = _before(rows, groups, {"_x": None})
+    own = F.sum("_x").over(Window.partitionBy(*groups, "_block").orderBy(key, tie).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_own", own).join(before, [*groups, "_block"]).withColumn(name, F.col("_b__x") + F.col("_own")).drop("_block", "_x", "_own", "_b__x")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillon.operators.numbering import running_total
 from quillon.sources.bundles import merge
 
 from . import views as v
@@ -138,8 +139,8 @@ def run_inventory(spark, sf_dir):
 @query("spend_against_cap", "WITH s AS (SELECT conv_id, turn, role, sum(length(text)) OVER (PARTITION BY role ORDER BY conv_id, turn) AS used FROM conversations) SELECT conv_id, turn, role, used::BIGINT AS used, used > 20000 AS over_cap FROM s")
 def spend_against_cap(spark, sf_dir):
     """O19, ST4: running spend of a role against its cap."""
-    used = F.sum(F.length("text")).over(Window.partitionBy("role").orderBy("conv_id", "turn"))
-    return v.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", used.alias("used"), (used > 20000).alias("over_cap"))
+    rows = v.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
+    return running_total(rows, ["role"], "conv_id", "turn", F.col("n"), "used").select("conv_id", "turn", "role", "used", (F.col("used") > 20000).alias("over_cap"))
 
 
 @query("spec_projection", "SELECT o_orderkey, o_orderpriority AS priority, year(o_orderdate)::INT AS year, o_custkey % 7 AS seed FROM orders")

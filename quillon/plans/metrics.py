@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import stats
+from quillon.operators.numbering import value_ranks
 
 from . import views as v
 from .registry import query
@@ -89,13 +90,14 @@ def auroc_auprc(spark, sf_dir):
     """By mid-ranks and by precision at every distinct threshold; NULL for one class."""
     d, lab = v.table(spark, sf_dir, "documents"), v.table(spark, sf_dir, "labels").where("quality is not null")
     b = d.join(lab, "doc_id").select(F.col("lang").alias("grp"), F.col("quality").alias("y"), F.col("n_chars").cast("double").alias("s"), (F.col("n_chars") > 1500).alias("yhat"))
-    r = b.withColumn("mid", stats.mid_rank(Window.partitionBy("grp").orderBy("s"), Window.partitionBy("grp", "s")))
-    y = F.col("y") == 1
-    m = r.groupBy("grp").agg(F.count_if(y).alias("p"), F.count_if(~y).alias("n"), F.sum(F.when(y, F.col("mid"))).alias("rs"), F.count_if(F.col("yhat") & y).alias("tp"), F.count_if("yhat").alias("pp"), F.count_if(F.col("yhat") == y).alias("ok"), F.count("*").alias("al"))
-    w = Window.partitionBy("grp").orderBy(F.desc("s"))
-    u = b.groupBy("grp", "s").agg(F.count("*").alias("c"), F.sum("y").alias("pos"))
-    u = u.withColumns({"cn": F.sum("c").over(w), "cp": F.sum("pos").over(w), "all_p": F.sum("pos").over(Window.partitionBy("grp"))})
-    ap = u.groupBy("grp").agg(F.sum(F.expr("try_divide(pos, all_p)") * F.col("cp") / F.col("cn")).alias("ap"))
+    y, hat = F.col("y") == 1, F.col("yhat")
+    one = lambda c: c.cast("long")
+    # Every different score once, with its rows and those up to it.
+    u = value_ranks(b, ["grp"], "s", p=one(y), tp=one(hat & y), pp=one(hat), ok=one(hat == y))
+    m = u.groupBy("grp").agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("n"), F.sum(F.when(F.col("p") > 0, F.col("p") * F.col("mid"))).alias("rs"), *(F.sum(c).alias(c) for c in ("tp", "pp", "ok")), F.sum("n").alias("al"))
+    from_top = lambda c: F.col(f"all_{c}") - F.col(f"{c}_upto") + F.col(c)
+    whole = m.select("grp", F.col("p").alias("all_p"), F.col("al").alias("all_n"))
+    ap = u.join(whole, "grp").groupBy("grp").agg(F.sum(F.expr("try_divide(p, all_p)") * from_top("p") / from_top("n")).alias("ap"))
     two = (F.col("p") > 0) & (F.col("n") > 0)
     share = lambda a, c: v.r6(F.expr(f"try_divide(cast({a} as double), {c})"))
     return m.join(ap, "grp").select("grp", v.r6(F.when(two, (F.col("rs") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n")))).alias("auroc"), v.r6(F.when(two, F.col("ap"))).alias("auprc"), share("ok", "al").alias("accuracy"), share("tp", "pp").alias("precision"), share("tp", "p").alias("recall"))
@@ -118,8 +120,8 @@ SELECT gene, n1, n2, round(rs - n1 * (n1 + 1) / 2.0::DOUBLE, 4) AS u, round((rs
 def ranksum_de(spark, sf_dir):
     """Mann-Whitney U and its normal score without tie correction."""
     x = v.table(spark, sf_dir, "lineitem").where("l_returnflag in ('A', 'R')").select(F.col("l_returnflag").alias("g"), (F.col("l_suppkey") % 10).alias("gene"), (F.col("l_quantity") + F.col("l_discount")).alias("x"))
-    r = x.withColumn("mid", stats.mid_rank(Window.partitionBy("gene").orderBy("x"), Window.partitionBy("gene", "x")))
-    s = r.groupBy("gene").agg(F.count_if(F.col("g") == "A").alias("n1"), F.count_if(F.col("g") == "R").alias("n2"), F.sum(F.when(F.col("g") == "A", F.col("mid"))).alias("rs"))
+    r = value_ranks(x, ["gene"], "x", n1=(F.col("g") == "A").cast("long"))
+    s = r.groupBy("gene").agg(F.sum("n1").alias("n1"), F.sum(F.col("n") - F.col("n1")).alias("n2"), F.sum(F.col("n1") * F.col("mid")).alias("rs"))
     n1, n2 = F.col("n1"), F.col("n2")
     u = F.col("rs") - n1 * (n1 + 1) / 2
     return s.select("gene", "n1", "n2", F.round(u, 4).alias("u"), v.r6((u - n1 * n2 / 2) / F.sqrt(n1.cast("double") * n2 * (n1 + n2 + 1) / 12)).alias("z"))
@@ -157,9 +159,9 @@ def overlap_se(spark, sf_dir):
 @query("spearman_table", "WITH r AS (SELECT p_type, rank() OVER (PARTITION BY p_type ORDER BY p_size) + (count(*) OVER (PARTITION BY p_type, p_size) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY p_type ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_type, p_retailprice) - 1) / 2.0::DOUBLE AS b FROM part) SELECT p_type, round(CASE WHEN count(*) >= 3 THEN corr(a, b) END, 6) AS rho FROM r GROUP BY 1")
 def spearman_table(spark, sf_dir):
     """M15."""
-    w = Window.partitionBy("p_type")
-    rank = lambda c: stats.mid_rank(w.orderBy(c), Window.partitionBy("p_type", c))
-    r = v.table(spark, sf_dir, "part").select("p_type", rank("p_size").alias("a"), rank("p_retailprice").alias("b"))
+    part = v.table(spark, sf_dir, "part").select("p_type", "p_size", "p_retailprice")
+    rank = lambda c, name: value_ranks(part, ["p_type"], c).select("p_type", c, F.col("mid").alias(name))
+    r = part.join(rank("p_size", "a"), ["p_type", "p_size"]).join(rank("p_retailprice", "b"), ["p_type", "p_retailprice"])
     return r.groupBy("p_type").agg(v.r6(F.when(F.count("*") >= 3, stats.pearson(F.col("a"), F.col("b")))).alias("rho"))
 
 

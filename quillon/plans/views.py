@@ -38,7 +38,7 @@ def profiles(matrix: DataFrame) -> DataFrame:
     cells = matrix.groupBy("pert").agg(F.count_distinct("cell").alias("n_cells"))
     genes = matrix.select("gene").distinct()
     sums = matrix.groupBy("pert", "gene").agg(F.sum("x").alias("total"))
-    grid = cells.crossJoin(F.broadcast(genes))  # the groups times the measures, both small dimensions
+    grid = cells.crossJoin(genes)  # the groups times the measures, the size of the result; Spark broadcasts a side that is small
     return grid.join(sums, ["pert", "gene"], "left").select("pert", "gene", "n_cells", (F.coalesce("total", F.lit(0.0)) / F.col("n_cells")).alias("mean"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import stats
-from quillon.operators.numbering import numbered
+from quillon.operators.numbering import numbered, row_ranks, value_ranks
 
 from . import views as v
 from .registry import query
@@ -101,8 +101,9 @@ def dry_rounds(spark, sf_dir):
 @query("deciles", "SELECT p_partkey, p_brand, (10 * (row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) - 1) // count(*) OVER (PARTITION BY p_brand))::BIGINT AS decile FROM part")
 def deciles(spark, sf_dir):
     """floor(10 rank / n), ties by id."""
-    w = Window.partitionBy("p_brand")
-    return v.table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.floor(10 * (F.row_number().over(w.orderBy("p_retailprice", "p_partkey")) - 1) / F.count("*").over(w)).alias("decile"))
+    part = v.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    sizes = part.groupBy("p_brand").agg(F.count("*").alias("n"))
+    return row_ranks(part, ["p_brand"], "p_retailprice", "p_partkey", "k").join(sizes, "p_brand").select("p_partkey", "p_brand", F.floor(10 * (F.col("k") - 1) / F.col("n")).alias("decile"))
 
 
 @query("first_seen", "SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
@@ -136,7 +137,8 @@ def hash_draw(spark, sf_dir):
 @query("mid_ranks", "SELECT p_partkey, rank() OVER (PARTITION BY p_type ORDER BY p_size)::DOUBLE + (count(*) OVER (PARTITION BY p_type, p_size) - 1) / 2.0::DOUBLE AS mid FROM part")
 def mid_ranks(spark, sf_dir):
     """Average ranks."""
-    return v.table(spark, sf_dir, "part").select("p_partkey", stats.mid_rank(Window.partitionBy("p_type").orderBy("p_size"), Window.partitionBy("p_type", "p_size")).alias("mid"))
+    part = v.table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
+    return part.join(value_ranks(part, ["p_type"], "p_size"), ["p_type", "p_size"]).select("p_partkey", "mid")
 
 
 @query("sliding_failures", "SELECT event_id, count(*) FILTER (value < 20) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) AS failures FROM events")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon import catalog
 from quillon.operators import linear
 from quillon.operators.graph import chain_ends, closure
-from quillon.operators.numbering import numbered, runs
+from quillon.operators.numbering import numbered, row_ranks, running_total, runs, value_ranks
 from quillon.plans import views as v
 
 SF = "/root/testdata/sf0.001"
@@ -299,3 +299,25 @@ def test_weakest_link_by_removal(spark):
                 parent[find(e.a)] = find(e.b)
                 weakest = min(weakest, e.w)
         assert got[grp].weakest == pytest.approx(weakest, abs=1e-6) and got[grp].nodes == len(parent)
+
+
+def test_ranks_and_totals_in_blocks(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), k, rng.choice([None, *range(40)]) if k % 3 else rng.random() * 40, rng.randrange(3)) for k in range(600)]
+    rows = [(g, k, None if x is None else float(x), y) for g, k, x, y in rows]
+    df = spark.createDataFrame(rows, "g string, k long, x double, y int")
+    got = {(r.g, r.x): (r.n, r.mid, r.s, r.s_upto) for r in value_ranks(df, ["g"], "x", s=F.col("y").cast("long")).collect()}
+    want = {}
+    for g in "ab":
+        own = sorted(x for h, _, x, _ in rows if h == g and x is not None)
+        for x in set(own):
+            at = [i + 1 for i, z in enumerate(own) if z == x]
+            s = lambda f: sum(y for h, _, z, y in rows if h == g and z is not None and f(z))  # noqa: B023, E731
+            want[g, x] = (len(at), sum(at) / len(at), s(lambda z: z == x), s(lambda z: z <= x))  # noqa: B023
+    assert got == want
+    full = df.where("x is not null")
+    got = {r.k: r.n for r in row_ranks(full, ["g"], "x", "k", "n").collect()}
+    want = {k: i for g in "ab" for i, (_, k) in enumerate(sorted((x, k) for h, k, x, _ in rows if h == g and x is not None), 1)}
+    assert got == want
+    got = {r.k: r.t for r in running_total(df, ["g"], "k", "y", F.col("y").cast("long"), "t", block=50).collect()}
+    assert got == {k: sum(y for h, j, _, y in rows if h == g and j <= k) for g, k, _, _ in rows}
