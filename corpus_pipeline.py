@@ -25,27 +25,46 @@ def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null or empty text is scored like any other, as is a row with a null id; repeated rows stay or go together. Without labels of both
+    classes all have one score. An empty table gives an empty one.
+    """
     return accept(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that repeat, exactly or nearly, the first stays; no document goes."""
+    """Of lines that repeat, exactly or nearly, the first stays; no document goes.
+
+    Null and empty texts and rows with a null id stay as they are; rows with the same id and text keep the same lines, and rows
+    with the same id and other texts are other documents. A text that loses all of its lines is empty. n_chars follows the text.
+    """
     return _sized(dedup_lines(docs), docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    Of repeated rows one stays. Rows without words and rows with a null id link with nothing and all stay. Rows with the same id and
+    other texts belong to the groups of their texts.
+    """
     return one_of_each_group(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources by their target weights, each document at most once."""
+    """Sources by their target weights, each document at most once.
+
+    Texts without tokens are not taken. A null lang or source is a node of its own, a null id counts as ''. The document
+    at a leaf's cut is cut there, and n_chars follows the text.
+    """
     return _sized(mix(docs, share=(4, 5), epochs=1), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences.
+
+    A null text is an empty one, which holds the end token alone; null ids and repeated rows are packed like others.
+    """
     return pack(docs)
 
 
