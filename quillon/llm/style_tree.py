@@ -20,7 +20,8 @@ Pages are different by their main content: the texts of the node that has most c
 differ only in title, menu or advert are one page. The contexts in which a text is shown are counted
 by that too, less the text itself.
 
-Counts are aggregated before they are joined; neither a host's pages nor its nodes are gathered in one task.
+Counts are aggregated before they are joined; neither a host's pages nor its nodes are gathered in one task. A page drops
+presentation at once, as WEAK is below every bound; its texts are looked up in the tree.
 
 Defined cases: a null html is an empty one and gives the empty text. A null url is the host ''. Null ids and repeated
 rows give their own rows. An unclosed element ends with its parent, a tag cut by the end of the page is dropped.
@@ -254,7 +255,7 @@ def merged_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     shown = b.groupBy(*NODE, "weak", "inside", "layout", "page").agg(F.count("*").alias("rows")).groupBy(*NODE, "weak", "inside", "layout").agg(F.count("*").alias("c"), F.sum("rows").alias("rows"))
     nodes = shown.groupBy(*NODE, "weak", "inside").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.ln("c")).alias("spread"), F.sum("rows").alias("rows"))
     own = b.where("not weak").groupBy(*NODE, "feature", "context").agg(F.count("*").alias("rows"))
-    texts = stage(own.groupBy(*NODE, "feature").agg(F.count("*").alias("k"), F.sum("rows").alias("rows")), "op5-texts")
+    texts = stage(own.groupBy(*NODE, "feature").agg(F.count("*").alias("k"), F.sum("rows").alias("rows")), "op5-texts", compact=True)
     content = texts.groupBy(*NODE).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.ln("k")).alias("e"))
     enough = F.col("m") >= F.when(F.col("inside"), PAGES_INSIDE).otherwise(PAGES)
     presentation = F.when(enough, 1 - F.col("spread") / F.col("m") / F.ln("m")).otherwise(1.0)
@@ -263,14 +264,15 @@ def merged_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.join(content, NODE, "left").select(*NODE, "weak", "inside", "m", "rows", importance.alias("importance")), texts
 
 
-def unimportant(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What to remove from a host's pages: whole nodes (host, node, rows), and texts of a node (host, node, feature, rows)."""
-    nodes, texts = merged_tree(parsed)
+def unimportant(parsed: DataFrame) -> DataFrame:
+    """The texts of a node (host, node, feature, rows) to remove from a host's pages.
+
+    Presentation is not among them: its prior alone is below every bound, so a page drops it without a look at the tree.
+    """
+    nodes, texts = merged_tree(parsed.withColumn("blocks", F.filter("blocks", lambda b: ~b["weak"])))
     least = F.when(F.col("inside"), LEAST_INSIDE).otherwise(LEAST)
-    low = stage(nodes.where(F.col("importance") < least), "op5-low")
-    own = texts.join(low.where("not weak").select(*NODE, "m", "inside"), NODE)
-    gone = stage(own.where(1 - F.ln("k") / F.ln("m") < least).select(*NODE, "feature", "rows"), "op5-gone")
-    return low.where("weak").select(*NODE, "rows"), gone
+    low = nodes.where(F.col("importance") < least).select(*NODE, "m", "inside")
+    return stage(texts.join(low, NODE).where(1 - F.ln("k") / F.ln("m") < least).select(*NODE, "feature", "rows"), "op5-gone", compact=True)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -280,15 +282,15 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(F.col("page_id").cast("long"), "url", "html").alias("rid"))
     parsed = stage(pages.mapInArrow(_describer, PARSED), "op5-parsed")
-    nodes, texts = unimportant(parsed)
-    rows = parsed.select("rid", "host", F.posexplode("blocks").alias("at", "b")).select("rid", "host", "at", "b.node", "b.feature")
-    hit = salted_join(rows, nodes, NODE, "rid", "rows").select("rid", "at").unionAll(salted_join(rows, texts, [*NODE, "feature"], "rid", "rows").select("rid", "at"))
-    gone = hit.groupBy(F.col("rid").alias("of")).agg(F.collect_set("at").alias("gone"))  # blocks of one page
-    joined = parsed.join(gone.hint("shuffle_hash"), F.col("rid") == F.col("of"), "left")
-    left = lambda i: ~F.coalesce(F.array_contains("gone", i), F.lit(False))
+    rows = parsed.select("rid", "host", F.posexplode("blocks").alias("at", "b")).where("not b.weak").select("rid", "host", "at", "b.node", "b.feature")
+    hit = salted_join(rows, unimportant(parsed), [*NODE, "feature"], "rid", "rows")
+    # Staged, so that the join below knows the size: the pages are shuffled only if many of them lose something.
+    gone = stage(hit.groupBy(F.col("rid").alias("of")).agg(F.collect_set("at").alias("gone")), "op5-hit", compact=True)  # blocks of one page
+    joined = parsed.join(gone, F.col("rid") == F.col("of"), "left")
+    left = lambda i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)) & ~block(i)["weak"]
     block = lambda i: F.get("blocks", i)
     # A heading that the tree removes stays with the block after it.
-    stays = lambda i: block(i)["text"].isNotNull() & (left(i) | block(i)["heading"] & (i + 1 < F.size("blocks")) & left(i + 1))
+    stays = lambda i: left(i) | ~block(i)["weak"] & block(i)["heading"] & (i + 1 < F.size("blocks")) & left(i + 1)
     at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("blocks"), F.lit(1)) - 1), lambda i: (i < F.size("blocks")) & stays(i))
     kept = joined.select("page_id", "url", F.size("blocks").alias("all"), F.transform(at, lambda i: block(i)["text"]).alias("texts"))
     text = F.array_join("texts", "\n")
