@@ -1,7 +1,7 @@
 """Embedding near-duplicates by a pivot-permutation index (operator 10).
 
 Reference points (pivots) are vectors of the table itself, the first by a hash: a documented sample of
-4 sqrt(n), between LEAST_PIVOTS and MOST_PIVOTS. Every vector is described by its PREFIX nearest pivots in
+4 sqrt(n), between LEAST_PIVOTS and MOST_PIVOTS, without those near an earlier one. Every vector is described by its PREFIX nearest pivots in
 order. It enters an inverted list for each pair of its first HEAD pivots (and its label); vectors that meet in a
 list and share at least SHARED of their PREFIX pivots are candidates, verified by the cosine in double
 precision. The index is approximate only in what it retrieves (recall is measured in the tests); no list is capped.
@@ -23,7 +23,7 @@ from ._common import BASE, mix64, salted_join, stage, table
 from ._simjoin import bucket_join, connected_components, meeting
 
 THRESHOLD, PREFIX, HEAD, SHARED = 0.93, 10, 6, 3
-LEAST_PIVOTS, MOST_PIVOTS, SEED = 128, 4096, 5
+LEAST_PIVOTS, MOST_PIVOTS, APART, SEED = 128, 4096, 0.8, 5
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -33,10 +33,21 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _pivots(sample: list[list[float]], length: int, count: int) -> np.ndarray:
-    """Unit pivots of one vector length; lengths that the sample lacks get seeded random ones."""
+    """Unit pivots of one vector length: the sample's, without those that lie APART or nearer to an earlier one, and seeded random ones up to LEAST_PIVOTS.
+
+    So a large group of near copies has one pivot and not a share of them, whose order among each other would say nothing.
+    """
     own = [v for v in sample if len(v) == length]
-    m = np.array(own, np.float64) if own else np.random.default_rng(SEED).standard_normal((count, length))
-    return _unit(m)
+    kept = np.zeros((0, length))
+    if own:
+        m = _unit(np.array(own, np.float64))
+        near, stay = m @ m.T, np.ones(len(m), bool)
+        for k in range(len(m)):
+            if stay[k]:
+                stay[k + 1 :] &= near[k, k + 1 :] < APART
+        kept = m[stay]
+    more = max(0, min(count, LEAST_PIVOTS) - len(kept))
+    return np.concatenate([kept, _unit(np.random.default_rng(SEED).standard_normal((more, length)))]) if more else kept
 
 
 def _describer(sample: list[list[float]], count: int):
@@ -96,15 +107,15 @@ def _verifier(threshold: float, shared: int):
     return verify
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, shared: int = SHARED) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of embeddings (vec_id, embedding, label)."""
+def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, shared: int = SHARED, pivots: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row of embeddings (vec_id, embedding, label). pivots: their number, if not by the table's size."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     valid = F.col("label").isNotNull() & F.coalesce(F.forall("embedding", number) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.select("vec_id", "embedding", "label", F.when(valid, F.xxhash64("label", "embedding")).alias("cls"))
     classes = stage(rows.where("cls is not null").groupBy("cls", "label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight")), "op10-classes")
     n = classes.count()
-    count = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 4 * n**0.5)))
+    count = pivots or int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 4 * n**0.5)))
     sample = [r.embedding for r in classes.orderBy(F.xxhash64("cls", F.lit(SEED)), "cls").select("embedding").limit(count).collect()]  # MOST_PIVOTS rows at most
     described = stage(classes.select(F.col("cls").alias("id"), "label", "embedding").mapInArrow(_describer(sample, count), "id long, key_list array<long>, keys binary, payload binary"), "op10-index")
 

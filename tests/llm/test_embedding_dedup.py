@@ -76,7 +76,7 @@ def test_huge_and_tiny_vectors(spark):
 
 
 def test_components_match_brute_force(spark):
-    rows = corpus(400, seed=7)
+    rows = corpus(400, spread=(0.005, 0.02), seed=7)
     links = brute(rows)
     want = {r[0]: r[0] for r in rows}
     while True:
@@ -87,3 +87,31 @@ def test_components_match_brute_force(spark):
     got = near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.vec_id: r.component_id for r in got} == want and all(r.kept == (want[r.vec_id] == r.vec_id) for r in got)
     assert {r.vec_id: r.n_links for r in got} == {k: len(links.get(k, ())) for k in want}
+
+
+def test_recall_with_the_most_pivots(spark):
+    """At 4,096 pivots, which a table of a million vectors gets, on pairs just above the threshold."""
+    rng = np.random.default_rng(21)
+    a, b = rng.standard_normal((2, 2600, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= a * (a * b).sum(1, keepdims=True)
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    rows = []
+    for k in range(2600):
+        rows += [(2 * k, a[k].tolist(), 1, 0), (2 * k + 1, (0.935 * a[k] + math.sqrt(1 - 0.935**2) * b[k]).tolist(), 1, 0)]
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA), pivots=4096).collect()
+    found = sum(r.n_links for r in got) / len(rows)
+    assert 0.9 <= found <= 1.01, found
+
+
+def test_recall_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(14)
+    base = rng.standard_normal(64)
+    group = base + rng.standard_normal((1200, 64)) * 0.2
+    rest = rng.standard_normal((2400, 64))
+    rows = [(k, [float(x) for x in v.astype(np.float32)], 1, 0) for k, v in enumerate(np.concatenate([group, rest]))]
+    want = brute(rows)
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    there = sum(map(len, want.values()))
+    assert there > 1_000_000 and sum(r.n_links for r in got.values()) / there >= 0.9
+    assert sum(r.kept for r in got.values()) == 1 + 2400
