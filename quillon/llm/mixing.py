@@ -118,13 +118,17 @@ def take(docs: DataFrame, domain: Column | None = None, share: tuple[int, int] =
     return rows.withColumns({"_some": F.coalesce(some, F.lit(0)).cast("long"), "_full": F.coalesce("_full", F.lit(0))})
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, domain: Column | None = None, **options) -> DataFrame:
     """The selected documents with their columns: a row for each whole epoch, and the prefix taken in the last one."""
-    rows = take(docs, **options)
+    # The columns travel as one, so that none of them can be taken for a column of this plan.
+    domain = domain_of(docs["source"]) if domain is None else domain
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), "doc_id", "text", "lang", "source", domain.alias("_dom"))
+    rows = take(whole, F.col("_dom"), **options)
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.when(F.col("_n") > 0, F.col("_full")).otherwise(0)), F.when(F.col("_some") > 0, F.array("_some")).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("_take", F.explode(copies))
-    text = F.when((F.col("_take") < 0) | (F.col("_take") >= F.col("_n")), docs["text"]).otherwise(token_prefix(docs["text"], F.col("_take")))
-    return rows.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
+    own = lambda c: F.col("_doc").getField(c)
+    text = F.when((F.col("_take") < 0) | (F.col("_take") >= F.col("_n")), own("text")).otherwise(token_prefix(own("text"), F.col("_take")))
+    return rows.select(*(text.alias("text") if c == "text" else own(c).alias(c) for c in docs.columns))
 
 
 def op3_mixing_sources(spark, sf_dir: str) -> DataFrame:

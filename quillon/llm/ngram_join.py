@@ -199,10 +199,10 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, words: int
     with nothing, because the id is null or the text is null or empty, all stay. Columns pass through.
     """
     rows = _joined(docs, threshold, words, trees, depth, target, None)
-    stay = rows.where("stays and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("txt").alias("_txt"), F.col("cls").isNull().alias("_all")).distinct()
-    kept = docs.join(stay, (docs["doc_id"].cast("long") == stay["_id"]) & (F.xxhash64(docs["text"]) == stay["_txt"]))
+    stay = rows.where("stays and doc_id is not null").select(F.col("doc_id").alias("_quillon_id"), F.col("txt").alias("_quillon_txt"), F.col("cls").isNull().alias("_quillon_all")).distinct()
+    kept = docs.join(stay, (docs["doc_id"].cast("long") == stay["_quillon_id"]) & (F.xxhash64(docs["text"]) == stay["_quillon_txt"]))
     # Of repeated rows one stays, unless they have no words.
-    kept = kept.withColumn("_row", F.when(~F.col("_all"), 0).otherwise(F.monotonically_increasing_id())).dropDuplicates(["_id", "_txt", "_row"])
+    kept = kept.withColumn("_quillon_row", F.when(~F.col("_quillon_all"), 0).otherwise(F.monotonically_increasing_id())).dropDuplicates(["_quillon_id", "_quillon_txt", "_quillon_row"])
     return kept.select(*(docs[c] for c in docs.columns)).unionByName(docs.where(docs["doc_id"].cast("long").isNull()))
 
 
