@@ -446,3 +446,95 @@ def compact_curve(data: DataFrame, y: str, alphas: list[float]) -> DataFrame:
             best = max(best, float(w @ b[idx] / np.sqrt(den)) if den > 0 else 0.0)
         rows.append((size, ",".join(names[i] for i in idx), round(best, 6)))
     return data.sparkSession.createDataFrame(rows, "size int, columns string, r double")
+
+
+def redundancy(data: DataFrame, least: float = 0.9) -> DataFrame:
+    """(column, kind, cluster): 'constant', 'duplicate' (correlation 1 or -1 with an earlier column), 'clustered' (in one component
+    of |r| >= least with others) or 'single'; cluster is the first column of its component, in the order of the columns."""
+    names, m, _ = gram(data)
+    sd = np.sqrt(np.diag(m))
+    live = sd > 1e-12
+    r = np.where(np.outer(live, live), m / np.outer(np.where(live, sd, 1), np.where(live, sd, 1)), 0)
+    label = np.arange(len(names))
+    while True:
+        after = np.array([min(label[j] for j in range(len(names)) if j == i or abs(r[i, j]) >= least) for i in range(len(names))])
+        if (after == label).all():
+            break
+        label = after
+    rows = []
+    for i, name in enumerate(names):
+        same = any(live[i] and live[j] and abs(r[i, j]) >= 1 - 1e-9 for j in range(i))
+        kind = "constant" if not live[i] else "duplicate" if same else "clustered" if (label == label[i]).sum() > 1 else "single"
+        rows.append((name, kind, names[label[i]]))
+    return data.sparkSession.createDataFrame(rows, "column string, kind string, cluster string")
+
+
+def merge_clusters(data: DataFrame, training: str, least: float = 0.9) -> DataFrame:
+    """(cluster, column, mean, sd, weight): every cluster of redundancy() as its first principal component, from the training rows alone.
+
+    training: SQL condition of these rows. The component is the sum of weight (x - mean) / sd; its largest weight is positive.
+    """
+    columns = [c for c in data.columns]
+    train = data.where(training)
+    kinds = {r.column: r for r in redundancy(train, least).collect()}  # a row a column
+    means = train.agg(*(F.avg(c).alias(c) for c in columns)).head()
+    names, m, _ = gram(train)
+    rows = []
+    for cluster in sorted({r.cluster for r in kinds.values() if r.kind == "clustered"}):
+        idx = [k for k, c in enumerate(names) if kinds[c].cluster == cluster]
+        sd = np.sqrt(np.diag(m)[idx])
+        values, vectors = np.linalg.eigh(m[np.ix_(idx, idx)] / np.outer(sd, sd))
+        w = vectors[:, -1] * np.sign(vectors[np.abs(vectors[:, -1]).argmax(), -1])
+        rows += [(cluster, names[k], float(means[names[k]]), float(s), round(float(x), 6)) for k, s, x in zip(idx, sd, w)]
+    return data.sparkSession.createDataFrame(rows, "cluster string, column string, mean double, sd double, weight double")
+
+
+def residual_spectrum(rows: DataFrame, pred: str, truth: str, replicates: int = 99) -> DataFrame:
+    """(component, value, null_p95, p): singular values of what a prediction leaves, against those of residuals whose measures are
+    permuted in each group by a hash. The matrix of the groups is checked for its size; the replicates are dealt to tasks."""
+    groups, genes, r = bounded_matrix(rows.select("pert", "gene", (F.col(truth) - F.col(pred)).alias("residual")), "residual")
+    size = min(r.shape)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for rep in b["rep"]:
+                own = r
+                if rep >= 0:
+                    own = np.array([row[sorted(range(len(genes)), key=lambda k: hashlib.sha256(f"{rep}:{g}:{genes[k]}".encode()).hexdigest())] for g, row in zip(groups, r)])  # noqa: B023
+                out += [(int(rep), k, float(s)) for k, s in enumerate(np.linalg.svd(own, compute_uv=False)[:size])]
+            yield pd.DataFrame(out, columns=["rep", "component", "value"])
+
+    spark = rows.sparkSession
+    made = spark.range(-1, replicates).withColumnRenamed("id", "rep").repartition(min(replicates + 1, spark.sparkContext.defaultParallelism)).mapInPandas(run, "rep long, component int, value double")
+    null = made.where("rep >= 0").select("component", F.col("value").alias("x"))
+    seen = made.where("rep < 0").select("component", "value")
+    p = (1 + F.count_if(F.col("x") >= F.col("value"))) / F.lit(1.0 + replicates)
+    return seen.join(null, "component").groupBy("component", "value").agg(F.percentile("x", F.lit(0.95)).alias("null_p95"), p.alias("p")).select("component", *(F.round(c, 6).alias(c) for c in ("value", "null_p95", "p")))
+
+
+def null_false_positives(rows: DataFrame, truth: str, features: int = 200, replicates: int = 199, level: float = 0.05) -> DataFrame:
+    """(features, rejected, rate): how often a feature that means nothing is called significant, by the permutation null of the measures.
+
+    A feature is a number for each measure from a hash; its score is the mean correlation with the groups, its null the scores of
+    its permutations. The matrix of the groups is checked for its size; the features are dealt to tasks.
+    """
+    _, genes, d = bounded_matrix(rows, truth)
+    unit = d - d.mean(1, keepdims=True)
+    norm = np.linalg.norm(unit, axis=1, keepdims=True)
+    profile = (unit / np.where(norm > 0, norm, 1)).mean(0)  # scores are linear in it
+    order = hash_permutations(tuple(map(str, genes)), replicates)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for f in b["f"]:
+                x = np.array([int(hashlib.sha256(f"feature {f}:{g}".encode()).hexdigest()[:13], 16) / 2**52 for g in genes])
+                x = (x - x.mean()) / np.linalg.norm(x - x.mean())
+                seen, null = abs(x @ profile), np.abs(x[order] @ profile)
+                out.append((1 + int((null >= seen - 1e-12).sum())) / (1 + replicates) <= level)
+            yield pd.DataFrame({"rejected": out})
+
+    spark = rows.sparkSession
+    made = spark.range(features).withColumnRenamed("id", "f").repartition(min(features, spark.sparkContext.defaultParallelism)).mapInPandas(run, "rejected boolean")
+    return made.agg(F.count("*").alias("features"), F.count_if("rejected").alias("rejected")).withColumn("rate", F.round(F.col("rejected") / F.col("features"), 6))

@@ -98,9 +98,40 @@ def redundancy(spark, sf_dir):
     return row.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.abs(f"{i}-{j}") >= 0.9).alias("clustered"), v.r6(F.col(f"{i}-{j}")).alias("r")) for i, j in pairs))))
 
 
+def _columns(spark, sf_dir):
+    """The design with a copy, a mirrored scale and a constant among its columns, and the group."""
+    d = linear.design(v.loo_mean(v.delta_view(spark, sf_dir)), "pert").drop("y")
+    return d.withColumns({"copy": F.col("pred"), "scaled": 3 - 2 * F.col("control"), "fixed": F.lit(1.5)})
+
+
+@query("column_clusters")
+def column_clusters(spark, sf_dir):
+    """Constant, duplicate, clustered and single columns of a design, from one Gram matrix."""
+    return linear.redundancy(_columns(spark, sf_dir).drop("pert"))
+
+
+@query("cluster_merge")
+def cluster_merge(spark, sf_dir):
+    """Clusters of columns merged to their first principal component, fitted on the training groups."""
+    d = _columns(spark, sf_dir)
+    return linear.merge_clusters(d.withColumn("pert", F.col("pert").cast("double")), "pert % 5 < 3").where("column <> 'pert'")
+
+
+@query("residual_spectrum")
+def residual_spectrum(spark, sf_dir):
+    """Components of the residuals against a permutation null."""
+    return linear.residual_spectrum(v.loo_mean(v.delta_view(spark, sf_dir)), "pred", "delta")
+
+
+@query("null_false_positives")
+def null_false_positives(spark, sf_dir):
+    """The false-positive rate of the permutation null over meaningless features."""
+    return linear.null_false_positives(v.delta_view(spark, sf_dir), "delta")
+
+
 @query("principal_components")
 def principal_components(spark, sf_dir):
-    """Components of the design's covariance with their shares, signs fixed by the largest loading."""
+    """Components of the design's covariance with their shares, signs fixed by the largest loading."""
     return linear.components(linear.design(v.loo_mean(v.delta_view(spark, sf_dir))).drop("y"))
 
 

@@ -321,3 +321,30 @@ def test_ranks_and_totals_in_blocks(spark):
     assert got == want
     got = {r.k: r.t for r in running_total(df, ["g"], "k", "y", F.col("y").cast("long"), "t", block=50).collect()}
     assert got == {k: sum(y for h, j, _, y in rows if h == g and j <= k) for g, k, _, _ in rows}
+
+
+def test_clusters_and_their_components(spark):
+    rng = np.random.default_rng(12)
+    a, b = rng.standard_normal((2, 300))
+    x = {"a": a, "near": a + rng.standard_normal(300) * 0.2, "copy": -a, "b": b, "fixed": np.full(300, 2.0), "chain": a + rng.standard_normal(300) * 0.25}
+    df = spark.createDataFrame([tuple(float(c[k]) for c in x.values()) + (float(k),) for k in range(300)], ", ".join(f"{n} double" for n in [*x, "row"]))
+    got = {r.column: (r.kind, r.cluster) for r in linear.redundancy(df.drop("row")).collect()}
+    assert got == {"a": ("clustered", "a"), "near": ("clustered", "a"), "copy": ("duplicate", "a"), "b": ("single", "b"), "fixed": ("constant", "fixed"), "chain": ("clustered", "a")}
+    w = {r.column: r for r in linear.merge_clusters(df, "row < 200").collect()}
+    train = np.column_stack([x[c][:200] for c in ("a", "near", "copy", "chain")])
+    z = (train - train.mean(0)) / train.std(0)
+    vec = np.linalg.svd(z, full_matrices=False)[2][0]
+    vec *= np.sign(vec[np.abs(vec).argmax()])
+    assert np.allclose([w[c].weight for c in ("a", "near", "copy", "chain")], vec, atol=1e-5) and np.allclose([w[c].mean for c in ("a", "near")], train.mean(0)[:2])
+
+
+def test_spectrum_and_false_positives(spark):
+    d, similar = screen(8, 30)
+    rows = frames(spark, d, similar)[0].withColumn("zero", F.lit(0.0))
+    got = sorted(linear.residual_spectrum(rows, "zero", "delta", 39).collect())
+    assert np.allclose([r.value for r in got], np.linalg.svd(d, compute_uv=False), atol=2e-6)
+    # Profiles stand behind the first components; noise is the rest.
+    assert [r.p <= 0.05 for r in got[:2]] == [True] * 2 and got[5].p > 0.5
+    noise = spark.createDataFrame([(p, f"g{j:02d}", float(x)) for p, r in enumerate(np.random.default_rng(2).standard_normal((6, 30))) for j, x in enumerate(r)], "pert int, gene string, delta double")
+    rate = linear.null_false_positives(noise, "delta", 300, 99).head()
+    assert rate.features == 300 and 0.02 <= rate.rate <= 0.09
