@@ -85,7 +85,7 @@ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY w DESC
 SELECT k.p AS pert, d.gene, round(sum((w + 1e-6) * d.delta) / sum(w + 1e-6), 6) AS value FROM k JOIN delta d ON d.pert = k.q GROUP BY 1, 2""",
 )
 def template_similar(spark, sf_dir):
-    """mean response of the five groups whose targets go most with one's own."""
+    """mean response of the five groups whose targets go most with one's own."""
     from pyspark.sql import Window
 
     from quillon.functions import stats
@@ -99,6 +99,51 @@ def template_similar(spark, sf_dir):
     return k.join(d.withColumnRenamed("pert", "q"), "q").groupBy(F.col("p").alias("pert"), "gene").agg(v.r6(F.sum(w * F.col("delta")) / F.sum(w)).alias("value"))
 
 
+EXTERNAL = f"""{v.DELTA}, s AS (SELECT norm.* FROM norm JOIN orders ON o_orderkey = cell WHERE o_orderstatus = 'F'), eg AS (SELECT pert, count(DISTINCT cell) AS n FROM s GROUP BY 1),
+ex AS (SELECT g.pert, n.gene, coalesce(t.t, 0) / g.n AS mean FROM eg g CROSS JOIN (SELECT DISTINCT gene FROM s) n LEFT JOIN (SELECT pert, gene, sum(x) AS t FROM s GROUP BY 1, 2) t ON t.pert = g.pert AND t.gene = n.gene),
+external AS (SELECT a.pert, a.gene, a.mean - c.mean AS e FROM ex a JOIN ex c ON c.pert = 0 AND c.gene = a.gene WHERE a.pert <> 0)"""
+
+
+def external(spark, sf_dir):
+    """(pert, gene, e): the deltas of another screen of the same groups, against its own control."""
+    done = v.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("cell"))
+    x = v.normalised(v.counts(spark, sf_dir)).join(done, "cell", "left_semi")
+    return v.deltas(v.profiles(x)).select("pert", "gene", F.col("delta").alias("e"))
+
+
+@query(
+    "template_external_knn",
+    f"""WITH {EXTERNAL}, w AS (SELECT a.pert AS p, b.pert AS q, round({v.sql_pearson('a.e', 'b.e')}, 9) AS w FROM external a JOIN external b ON a.gene = b.gene AND a.pert <> b.pert GROUP BY 1, 2),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY w DESC, q) AS r FROM w WHERE w > 0) WHERE r <= 5)
+SELECT k.p AS pert, d.gene, round(sum(w * d.delta) / sum(w), 6) AS value FROM k JOIN delta d ON d.pert = k.q GROUP BY 1, 2""",
+)
+def template_external_knn(spark, sf_dir):
+    """mean response of the five groups that are most alike in another screen."""
+    from pyspark.sql import Window
+
+    from quillon.functions import stats
+
+    e, d = external(spark, sf_dir), v.delta_view(spark, sf_dir).select("pert", "gene", "delta")
+    w = e.selectExpr("pert as p", "gene", "e as x").join(e.selectExpr("pert as q", "gene", "e as y"), "gene").where("p <> q").groupBy("p", "q").agg(F.round(stats.pearson(F.col("x"), F.col("y")), 9).alias("w"))
+    k = w.where("w > 0").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("w"), "q"))).where("r <= 5")
+    return k.join(d.withColumnRenamed("pert", "q"), "q").groupBy(F.col("p").alias("pert"), "gene").agg(v.r6(F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("value"))
+
+
+@query("template_external_direct", f"WITH {EXTERNAL}, m AS (SELECT pert, gene, (sum(delta) OVER (PARTITION BY gene) - delta) / (count(*) OVER (PARTITION BY gene) - 1) AS pred FROM delta) SELECT m.pert, m.gene, round(coalesce(e, pred), 6) AS value FROM m LEFT JOIN external USING (pert, gene)")
+def template_external_direct(spark, sf_dir):
+    """the group's own row of another screen, the mean response where it has none."""
+    loo = v.loo_mean(v.delta_view(spark, sf_dir))
+    return loo.join(external(spark, sf_dir), ["pert", "gene"], "left").select("pert", "gene", v.r6(F.coalesce("e", "pred")).alias("value"))
+
+
+@query("template_external_kernel")
+def template_external_kernel(spark, sf_dir):
+    """kernel ridge from the groups' rows of another screen to their responses, each group left out."""
+    from quillon.operators import linear
+
+    return linear.external_kernel(external(spark, sf_dir).withColumnRenamed("e", "delta"), v.delta_view(spark, sf_dir), [0.1, 1.0, 10.0])
+
+
 @query(
     "pair_prior_edge",
     f"""WITH {EDGES}, p AS (SELECT l_orderkey AS pert, list_sort(list_distinct(list('Brand#' || (l_partkey % 5 + 1) || (l_suppkey % 5 + 1)))) AS t FROM lineitem GROUP BY 1 HAVING len(list_distinct(list('Brand#' || (l_partkey % 5 + 1) || (l_suppkey % 5 + 1)))) = 2),

@@ -115,6 +115,28 @@ def residual_evidence(spark, sf_dir):
     return g.orderBy(F.desc("rmse"), "pert").limit(6)
 
 
+@query(
+    "residual_kinds",
+    f"""WITH {v.LOO}, r AS (SELECT *, pred - delta AS e FROM loo), g AS (SELECT pert, round(sqrt(avg(e * e)), 9) AS x FROM r GROUP BY 1), h AS (SELECT gene, sqrt(avg(e * e)) AS x, any_value(control_mean) AS c FROM r GROUP BY 1),
+o AS (SELECT a.gene AS i, b.gene AS j, round(abs({v.sql_pearson('a.e', 'b.e')}), 9) AS x FROM r a JOIN r b ON a.pert = b.pert AND a.gene < b.gene GROUP BY 1, 2)
+SELECT * FROM (SELECT 'worst group' AS kind, pert::VARCHAR AS item, round(x, 5) AS value FROM g ORDER BY x DESC, pert LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'goes together', i || ' ' || j, round(x, 5) FROM o ORDER BY x DESC, i, j LIMIT 5)
+UNION ALL SELECT 'error with level', 'control mean', round({v.sql_pearson('x', 'c')}, 5) FROM h
+UNION ALL SELECT 'sign', 'mean residual', round(avg(e), 5) FROM r""",
+)
+def residual_kinds(spark, sf_dir):
+    """Kinds of evidence in the residuals: the worst groups, measures that err together, errors that go with the level, and their sign."""
+    r = v.loo_mean(v.delta_view(spark, sf_dir)).withColumn("e", F.col("pred") - F.col("delta"))
+    rmse = F.sqrt(F.avg(F.col("e") * F.col("e")))
+    row = lambda kind, item, value: (F.lit(kind).alias("kind"), item.cast("string").alias("item"), F.round(value, 5).alias("value"))
+    worst = r.groupBy("pert").agg(F.round(rmse, 9).alias("x")).orderBy(F.desc("x"), "pert").limit(5).select(*row("worst group", F.col("pert"), F.col("x")))
+    pairs = r.selectExpr("gene as i", "pert", "e as a").join(r.selectExpr("gene as j", "pert", "e as b"), "pert").where("i < j").groupBy("i", "j").agg(F.round(F.abs(stats.pearson(F.col("a"), F.col("b"))), 9).alias("x"))
+    together = pairs.orderBy(F.desc("x"), "i", "j").limit(5).select(*row("goes together", F.concat_ws(" ", "i", "j"), F.col("x")))
+    level = r.groupBy("gene").agg(rmse.alias("x"), F.first("control_mean").alias("c")).agg(stats.pearson(F.col("x"), F.col("c")).alias("r")).select(*row("error with level", F.lit("control mean"), F.col("r")))
+    sign = r.agg(F.avg("e").alias("m")).select(*row("sign", F.lit("mean residual"), F.col("m")))
+    return worst.unionAll(together).unionAll(level).unionAll(sign)
+
+
 @query("unread_inputs", "WITH c AS (SELECT event_type AS input, count(*) FILTER (value > 99.5) AS reads, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT input, reads, users, reads = 0 AS unread FROM c")
 def unread_inputs(spark, sf_dir):
     """G12."""

@@ -55,6 +55,23 @@ def exploit_candidates(spark, sf_dir):
     return t.select(F.col("f").alias("a")).join(t.select(F.col("f").alias("b")), F.col("a") < F.col("b"))  # eight rows
 
 
+@query(
+    "exploit_moves",
+    """WITH g AS (SELECT user_id AS f, row_number() OVER (ORDER BY max(value) DESC, user_id) AS r FROM events GROUP BY 1), m AS (SELECT f FROM g WHERE r <= 3), c AS (SELECT f FROM g WHERE r BETWEEN 4 AND 8)
+SELECT 'add' AS move, f::VARCHAR AS arg FROM c UNION ALL SELECT 'add two', a.f || '+' || b.f FROM c a JOIN c b ON a.f < b.f UNION ALL SELECT 'drop', f::VARCHAR FROM m
+UNION ALL SELECT 'alpha', unnest(['0.1', '0.5', '2.0', '10.0']) UNION ALL SELECT 'model', unnest(['lasso', 'elasticnet', 'ols'])""",
+)
+def exploit_moves(spark, sf_dir):
+    """The moves from the best model: add one or two of the next five features, drop one of its three, another penalty, another kind of model."""
+    ranked = v.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("f")).agg(F.max("value").alias("x")).orderBy(F.desc("x"), "f").limit(8)
+    r = ranked.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("x"), "f")))  # eight rows
+    model, rest = r.where("r <= 3").select(F.col("f").cast("string").alias("arg")), r.where("r > 3")
+    two = rest.select(F.col("f").alias("a")).join(rest.select(F.col("f").alias("b")), F.col("a") < F.col("b")).select(F.concat_ws("+", "a", "b").alias("arg"))  # five rows
+    fixed = spark.createDataFrame([("alpha", str(0.1 * k)) for k in (1, 5)] + [("alpha", "2.0"), ("alpha", "10.0"), ("model", "lasso"), ("model", "elasticnet"), ("model", "ols")], "move string, arg string")
+    parts = [rest.select(F.lit("add").alias("move"), F.col("f").cast("string").alias("arg")), two.select(F.lit("add two").alias("move"), "arg"), model.select(F.lit("drop").alias("move"), "arg"), fixed]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
 @query("warm_start", "WITH RECURSIVE d AS (SELECT o_orderkey AS f, o_orderkey // 2 AS needs FROM orders WHERE o_orderkey >= 2), bad AS (SELECT o_orderkey AS f FROM orders WHERE o_orderkey % 29 = 0 UNION SELECT d.f FROM d JOIN bad ON d.needs = bad.f) SELECT o_orderkey AS f FROM orders WHERE o_orderkey NOT IN (SELECT f FROM bad)")
 def warm_start(spark, sf_dir):
     """Features are taken over unless they need, directly or not, a refused one."""

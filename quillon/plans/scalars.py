@@ -174,3 +174,19 @@ def pair_key(spark, sf_dir):
     targets = F.array_sort(F.collect_set(F.col("l_partkey").cast("string")))
     g = v.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(targets.alias("t"))
     return g.select("l_orderkey", F.when(F.size("t") == 1, F.concat(F.col("t")[0], F.lit("+ctrl"))).otherwise(F.array_join("t", "+")).alias("condition"))
+
+
+@query("classify_shapes", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'screen' WHEN 1 THEN 'table' WHEN 2 THEN 'sets' WHEN 3 THEN 'network' WHEN 4 THEN 'list' ELSE 'other' END AS shape FROM events")
+def classify_shapes(spark, sf_dir):
+    """The six kinds of a JSON document, by the types of what it holds."""
+    k = F.col("event_id").cast("string")
+    forms = [
+        F.concat(F.lit('{"genes":["a"],"perts":{"p'), k, F.lit('":{"delta":[1.5]}}}')),
+        F.concat(F.lit('{"r'), k, F.lit('":{"x":1},"s":{"y":"z"}}')),
+        F.concat(F.lit('{"s'), k, F.lit('":["a","b"],"t":[]}')),
+        F.concat(F.lit('[["a","g'), k, F.lit('",1.0],["b","a",-1.0]]')),
+        F.concat(F.lit('["a","g'), k, F.lit('"]')),
+        k,
+    ]
+    doc = F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int"))
+    return v.table(spark, sf_dir, "events").select("event_id", t.json_shape(doc).alias("shape"))

@@ -29,6 +29,21 @@ def gene_group_split(spark, sf_dir):
     return v.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max(F.when(digit < "8", 0).when(digit < "c", 1).otherwise(2)).alias("part"))
 
 
+@query(
+    "gene_group_seen",
+    """WITH p AS (SELECT DISTINCT l_orderkey, l_partkey, CASE WHEN substr(sha256('2:' || l_partkey), 1, 1) < '8' THEN 0 WHEN substr(sha256('2:' || l_partkey), 1, 1) < 'c' THEN 1 ELSE 2 END AS part FROM lineitem),
+g AS (SELECT l_orderkey, max(part) AS part, count(*) AS n, count(*) FILTER (part = 0) AS seen FROM p GROUP BY 1)
+SELECT l_orderkey, CASE WHEN part = 0 AND n >= 2 AND substr(sha256('5:' || l_orderkey), 1, 1) < '4' THEN 1 ELSE part END::INT AS part, CASE WHEN n = 1 THEN 'single' ELSE 'combination_seen' || seen END AS category FROM g""",
+)
+def gene_group_seen(spark, sf_dir):
+    """As gene_group_split; of the combinations whose genes are all in training a quarter is held out, by hash order, and each group has a category."""
+    digit = F.substring(hash_order(2, "l_partkey"), 1, 1)
+    p = v.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct().withColumn("part", F.when(digit < "8", 0).when(digit < "c", 1).otherwise(2))
+    g = p.groupBy("l_orderkey").agg(F.max("part").alias("part"), F.count("*").alias("n"), F.count_if(F.col("part") == 0).alias("seen"))
+    out = (F.col("part") == 0) & (F.col("n") >= 2) & (F.substring(hash_order(5, "l_orderkey"), 1, 1) < "4")
+    return g.select("l_orderkey", F.when(out, 1).otherwise(F.col("part")).alias("part"), F.when(F.col("n") == 1, "single").otherwise(F.concat(F.lit("combination_seen"), F.col("seen").cast("string"))).alias("category"))
+
+
 @query("kfold_predict_hide", "WITH f AS (SELECT l_orderkey, list_sort(list_distinct(list((l_partkey % 5)::INT))) AS folds FROM lineitem GROUP BY 1) SELECT l_orderkey, folds[1] AS predict_fold, array_to_string(folds, ',') AS hidden_in FROM f")
 def kfold_predict_hide(spark, sf_dir):
     """Predicted in its lowest gene fold, hidden in every fold that holds one of its genes."""

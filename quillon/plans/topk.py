@@ -42,12 +42,12 @@ def knn_transfer(spark, sf_dir):
     return k.join(d.withColumnRenamed("pert", "b"), "b").groupBy(F.col("a").alias("pert"), "gene").agg(v.r6(F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("pred"))
 
 
-@query("hvg_union_targets", "WITH s AS (SELECT p_brand AS gene, var_pop(p_retailprice) AS x FROM part GROUP BY 1), t AS (SELECT gene FROM (SELECT gene, row_number() OVER (ORDER BY round(x, 6) DESC, gene) AS r FROM s) WHERE r <= 8) SELECT gene FROM t UNION SELECT p_brand FROM part WHERE p_partkey < 12")
+@query("hvg_union_targets", "WITH s AS (SELECT p_brand AS gene, var_pop(p_retailprice) AS x FROM part GROUP BY 1), t AS (SELECT gene FROM (SELECT gene, row_number() OVER (ORDER BY round(x, 6) DESC, gene) AS r FROM s) WHERE r <= 8) SELECT gene FROM t UNION SELECT p_brand FROM part WHERE p_size = 50")
 def hvg_union_targets(spark, sf_dir):
     """The most variable measures and all targets."""
     part = v.table(spark, sf_dir, "part")
     top = part.groupBy(F.col("p_brand").alias("gene")).agg(F.round(F.var_pop("p_retailprice"), 6).alias("x")).orderBy(F.desc("x"), "gene").limit(8)
-    return top.select("gene").union(part.where("p_partkey < 12").select("p_brand")).distinct()
+    return top.select("gene").union(part.where("p_size = 50").select("p_brand")).distinct()
 
 
 @query("worst_best_groups", "WITH s AS (SELECT p_brand AS g, round(avg(p_retailprice), 6) AS x FROM part GROUP BY 1) SELECT * FROM (SELECT 'worst' AS kind, g, x FROM s ORDER BY x, g LIMIT 5) UNION ALL SELECT * FROM (SELECT 'best' AS kind, g, x FROM s ORDER BY x DESC, g LIMIT 3)")

@@ -348,3 +348,30 @@ def test_spectrum_and_false_positives(spark):
     noise = spark.createDataFrame([(p, f"g{j:02d}", float(x)) for p, r in enumerate(np.random.default_rng(2).standard_normal((6, 30))) for j, x in enumerate(r)], "pert int, gene string, delta double")
     rate = linear.null_false_positives(noise, "delta", 300, 99).head()
     assert rate.features == 300 and 0.02 <= rate.rate <= 0.09
+
+
+def test_external_kernel_matches_refitting(spark):
+    d, similar = screen(8, 12)
+    e = np.random.default_rng(5).standard_normal((8, 9)) + np.repeat(d[:, :1], 9, 1)
+    e[6] = 0
+    ext = spark.createDataFrame([(p, f"e{j}", float(x)) for p, r in enumerate(e) if p != 7 for j, x in enumerate(r)], "pert int, gene string, delta double")
+    got = linear.external_kernel(ext, frames(spark, d, similar)[0], [0.1, 1.0, 10.0]).toPandas()
+    z = e[:6] / np.linalg.norm(e[:6], axis=1, keepdims=True)
+    for i in range(8):
+        own = got[got.pert == i].sort_values("gene")
+        free = [j for j in range(6) if j != i]
+        if i >= 6:
+            assert own["lambda"].isna().all() and np.allclose(own.value, np.delete(d, i, 0).mean(0), atol=1e-6)
+            continue
+        y, k = d[free] - d[free].mean(0), z[free] @ z[free].T
+
+        def error(lam):
+            out = 0.0
+            for a in range(5):  # the intercept is the mean of all five, as in the closed form
+                rest = [b for b in range(5) if b != a]
+                out += ((y[a] - k[a, rest] @ np.linalg.solve(k[np.ix_(rest, rest)] + lam * np.eye(4), y[rest])) ** 2).sum()  # noqa: B023
+            return out
+
+        lam = min([0.1, 1.0, 10.0], key=error)
+        want = d[free].mean(0) + z[i] @ z[free].T @ np.linalg.solve(k + lam * np.eye(5), y)
+        assert (own["lambda"] == lam).all() and np.allclose(own.value, want, atol=2e-6)
