@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing_sources": mixing.OP3_SQL, "op6_license_scan": licenses.license_sql()}
+    return {"op3_mixing_sources": mixing.OP3_SQL, "op6_license_scan": licenses.license_sql(), "op7_warc_seekable_bundles": warc.OP7_SQL}

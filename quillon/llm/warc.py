@@ -202,4 +202,13 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
 
 
 def op7_warc_seekable_bundles(spark, sf_dir: str) -> DataFrame:
-    return read_bundles(write_bundles(table(spark, sf_dir, "pages")))
+    """The records as read back through the index; where each stands (bundle, frame, frame_offset) is in read_bundles()."""
+    return read_bundles(write_bundles(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The same rows in SQL. Five hexadecimal digits are four of the digest's letters.
+OP7_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), h AS (SELECT page_id, body, strlen(body)::BIGINT AS size, upper(sha1(body)) AS sha FROM p),
+f AS (SELECT sha, size, min(page_id) AS first FROM h WHERE page_id IS NOT NULL GROUP BY 1, 2)
+SELECT page_id, h.size AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h.sha, (i // 4 * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h LEFT JOIN f ON f.sha = h.sha AND f.size = h.size"""
