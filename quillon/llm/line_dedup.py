@@ -94,29 +94,31 @@ def _band_keys(lines: list[str], bands: int, rows: int, n: int) -> np.ndarray:
 
 
 def _scan(bands: int, rows: int, n: int):
-    """Two kinds of rows in one pass: a line's place (lid, doc_id, txt, line, first in its document), and its keys (lid, key)."""
-    schema = pa.schema([("lid", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("txt", pa.int64()), ("line", pa.int32()), ("first", pa.bool_())])
+    """A row for each line's place (lid, doc_id, txt, line, first in its document); where a task meets a line first, with its band keys."""
+    schema = pa.schema([("lid", pa.int64()), ("keys", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("txt", pa.int64()), ("line", pa.int32()), ("first", pa.bool_())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a frequent line gives its keys about once a task
         for docs, txts, numbers, texts in _slices(batches):
             lids = line_hashes(texts)
             own: set[tuple[int, int]] = set()
-            first, new = [], {}
-            for key, text in zip(zip(txts, lids.tolist()), texts):
+            first, new, at = [], [], []
+            for k, key in enumerate(zip(txts, lids.tolist())):
                 first.append(key not in own)
                 own.add(key)
                 if key[1] not in seen:
                     seen.add(key[1])
-                    new[text] = key[1]
-            yield pa.RecordBatch.from_arrays([pa.array(lids), pa.nulls(len(lids), pa.int64()), pa.array(docs, pa.int64()), pa.array(txts, pa.int64()), pa.array(numbers, pa.int32()), pa.array(first, pa.bool_())], schema=schema)
+                    new.append(texts[k])
+                    at.append(k)
             if len(seen) > SEEN:
                 seen.clear()
-            lines = list(new)
-            for x, y in chunks(lines):
-                keys = _band_keys(lines[x:y], bands, rows, n).ravel()
-                ids = np.repeat(np.fromiter((new[t] for t in lines[x:y]), np.int64, y - x), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), *(pa.nulls(len(ids), schema.field(k).type) for k in (2, 3, 4, 5))], schema=schema)
+            keys = [_band_keys(new[x:y], bands, rows, n).ravel() for x, y in chunks(new)]
+            counts = np.zeros(len(texts) + 1, np.int64)
+            counts[np.array(at, np.int64) + 1] = bands
+            has = counts[1:] > 0
+            offsets = pa.array(np.cumsum(counts).astype(np.int32), mask=np.append(~has, False)) if len(texts) else pa.array([0], pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(lids), lists, pa.array(docs, pa.int64()), pa.array(txts, pa.int64()), pa.array(numbers, pa.int32()), pa.array(first, pa.bool_())], schema=schema)
 
     return scan
 
@@ -154,8 +156,8 @@ def _decoder(n: int):
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, txt, removed array<int>): line numbers, from 0, that repeat an earlier line of the corpus, of the text with the hash txt."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("txt")).where("doc_id is not null and text is not null")
-    scanned = stage(docs.mapInArrow(_scan(bands, rows, shingle), "lid long, key long, doc_id long, txt long, line int, first boolean"), "op1-lines", "snappy")
-    places = scanned.where("key is null").select("lid", "doc_id", "txt", "line", "first")
+    scanned = stage(docs.mapInArrow(_scan(bands, rows, shingle), "lid long, keys array<long>, doc_id long, txt long, line int, first boolean"), "op1-lines", "snappy")
+    places = scanned.select("lid", "doc_id", "txt", "line", "first")
     # Both minima meet the same rows in the same order, so they are of one row. Primitive values keep this a hash aggregation.
     first_here = F.when(F.col("first"), F.col("doc_id"))
     known = stage(places.groupBy("lid").agg(F.min(first_here).alias("at_doc"), F.min_by("txt", first_here).alias("at_txt"), F.min_by("line", first_here).alias("at_line"), F.count("*").alias("n")), "op1-known")
@@ -165,7 +167,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
         by_doc = met.groupBy(F.col("at_doc").alias("doc_id"), F.col("at_txt").alias("txt")).agg(F.collect_list(F.struct(F.col("at_line").alias("line"), "lid")).alias("wanted"))  # lines of one document
         return docs.join(by_doc.hint("shuffle_hash"), ["doc_id", "txt"]).select("text", "wanted").mapInArrow(_payloads(bands, rows, shingle), "id long, weight long, keys binary, payload binary").dropDuplicates(["id"])
 
-    keys = scanned.where("key is not null").select(F.col("lid").alias("id"), "key")
+    keys = scanned.where("keys is not null").select(F.col("lid").alias("id"), F.explode("keys").alias("key"))
     links = bucket_join(items, jaccard_verify(threshold), _decoder(shingle), meeting(keys, "op1"), "op1").where("id is not null")
     release(docs.sparkSession)
     groups = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "op1").withColumnRenamed("id", "lid")
@@ -183,14 +185,14 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with its columns, less the lines that repeat an earlier one, and the new columns n_lines and n_removed."""
-    lost = removed_lines(docs, **options).select(F.col("doc_id").alias("_lost_of"), F.col("txt").alias("_lost_txt"), F.col("removed").alias("_lost"))
-    joined = docs.join(lost.hint("shuffle_hash"), (docs["doc_id"].cast("long") == F.col("_lost_of")) & (F.xxhash64(docs["text"]) == F.col("_lost_txt")), "left")
+    lost = removed_lines(docs, **options).select(F.col("doc_id").alias("_quillon_of"), F.col("txt").alias("_quillon_txt"), F.col("removed").alias("_quillon_lost"))
+    joined = docs.join(lost.hint("shuffle_hash"), (docs["doc_id"].cast("long") == F.col("_quillon_of")) & (F.xxhash64(docs["text"]) == F.col("_quillon_txt")), "left")
     # The lines are a column of their own, or each access below would split the text again.
-    split = joined.select("*", F.split(docs["text"], "\n").alias("_lines"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
-    text = F.when(F.col("_lost").isNull(), docs["text"]).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    split = joined.select("*", F.split(docs["text"], "\n").alias("_quillon_lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_quillon_lines") - 1), F.col("_quillon_lost"))
+    text = F.when(F.col("_quillon_lost").isNull(), docs["text"]).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_quillon_lines", i)), "\n"))
     columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return split.select(*columns, F.when(docs["text"].isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"), F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).alias("n_removed"))
+    return split.select(*columns, F.when(docs["text"].isNull(), 0).otherwise(F.size("_quillon_lines")).alias("n_lines"), F.when(F.col("_quillon_lost").isNull(), 0).otherwise(F.size("_quillon_lost")).alias("n_removed"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
