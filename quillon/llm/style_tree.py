@@ -250,18 +250,18 @@ NODE = ["host", "node"]
 
 
 def merged_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The host's nodes that show text (host, node, weak, inside, m, rows, importance), and their texts (host, node, feature, k, rows)."""
+    """The host's nodes that show text (host, node, weak, inside, m, rows, texts, importance), and their texts (host, node, feature, k, rows)."""
     b = parsed.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.*")
     shown = b.groupBy(*NODE, "weak", "inside", "layout", "page").agg(F.count("*").alias("rows")).groupBy(*NODE, "weak", "inside", "layout").agg(F.count("*").alias("c"), F.sum("rows").alias("rows"))
     nodes = shown.groupBy(*NODE, "weak", "inside").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.ln("c")).alias("spread"), F.sum("rows").alias("rows"))
     own = b.where("not weak").groupBy(*NODE, "feature", "context").agg(F.count("*").alias("rows"))
     texts = stage(own.groupBy(*NODE, "feature").agg(F.count("*").alias("k"), F.sum("rows").alias("rows")), "op5-texts", compact=True)
-    content = texts.groupBy(*NODE).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.ln("k")).alias("e"))
+    content = texts.groupBy(*NODE).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.ln("k")).alias("e"), F.count("*").alias("texts"))
     enough = F.col("m") >= F.when(F.col("inside"), PAGES_INSIDE).otherwise(PAGES)
     presentation = F.when(enough, 1 - F.col("spread") / F.col("m") / F.ln("m")).otherwise(1.0)
     own_content = F.when(enough & ~F.col("weak"), 1 - F.col("e") / F.col("n") / F.ln("m")).otherwise(1.0)
     importance = F.when(F.col("weak"), WEAK).otherwise(1.0) * (LAYOUT * presentation + (1 - LAYOUT) * own_content)
-    return nodes.join(content, NODE, "left").select(*NODE, "weak", "inside", "m", "rows", importance.alias("importance")), texts
+    return nodes.join(content, NODE, "left").select(*NODE, "weak", "inside", "m", "rows", "texts", importance.alias("importance")), texts
 
 
 def unimportant(parsed: DataFrame) -> DataFrame:
@@ -271,8 +271,8 @@ def unimportant(parsed: DataFrame) -> DataFrame:
     """
     nodes, texts = merged_tree(parsed.withColumn("blocks", F.filter("blocks", lambda b: ~b["weak"])))
     least = F.when(F.col("inside"), LEAST_INSIDE).otherwise(LEAST)
-    low = nodes.where(F.col("importance") < least).select(*NODE, "m", "inside")
-    return stage(texts.join(low, NODE).where(1 - F.ln("k") / F.ln("m") < least).select(*NODE, "feature", "rows"), "op5-gone", compact=True)
+    low = stage(nodes.where(F.col("importance") < least).select(*NODE, "m", "inside", "texts"), "op5-low", compact=True)
+    return stage(salted_join(texts, low, NODE, "feature", "texts").where(1 - F.ln("k") / F.ln("m") < least).select(*NODE, "feature", "rows"), "op5-gone", compact=True)
 
 
 def extract(pages: DataFrame) -> DataFrame:

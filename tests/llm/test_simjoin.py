@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from quillon.llm._common import salted_join
 from quillon.llm._simjoin import _met, connected_components
 
 
@@ -49,3 +50,15 @@ def test_met_lets_settled_rows_go():
         got = {(k, i) for b in _met(iter(batches), chunk=7) for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
         own = Counter(k for k, _ in set(rows))
         assert got == {(k, i) for k, i in set(rows) if own[k] > 1}, rows
+
+
+def test_salted_join_with_a_hot_key(spark):
+    rng = random.Random(5)
+    large = [(k, "hot" if k % 3 else f"k{rng.randrange(40)}", f"g{rng.randrange(2)}") for k in range(3000)] + [(4000, None, "g0"), (4001, "absent", "g0")]
+    count = Counter((k, g) for _, k, g in large if k not in (None, "absent"))
+    small = [(k, g, n, f"{k}-{g}") for (k, g), n in count.items()]
+    a, b = spark.createDataFrame(large, "id long, k string, g string"), spark.createDataFrame(small, "k string, g string, n long, v string")
+    got = salted_join(a, b, ["k", "g"], "id", "n")
+    assert got.columns == ["k", "g", "id", "v"] and sorted(r.id for r in got.collect()) == list(range(3000)) and all(r.v == f"{r.k}-{r.g}" for r in got.collect())
+    assert salted_join(a, b, ["k", "g"], "id", "n", how="left").count() == 3002
+    assert salted_join(a, b.limit(0), ["k", "g"], "id", "n").count() == 0
