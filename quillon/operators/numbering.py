@@ -81,3 +81,10 @@ def running_total(df: DataFrame, groups: list[str], key: str, tie: str, value: C
     before = _before(rows, groups, {"_x": None})
     own = F.sum("_x").over(Window.partitionBy(*groups, "_block").orderBy(key, tie).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_own", own).join(before, [*groups, "_block"]).withColumn(name, F.col("_b__x") + F.col("_own")).drop("_block", "_x", "_own", "_b__x")
+
+
+def hash_ranks(df: DataFrame, groups: list[str], order: Column, name: str) -> DataFrame:
+    """df with the row's number from 1 in its group by a hexadecimal hash, which does not repeat; a task orders the rows of one group whose hashes begin alike."""
+    rows = df.withColumn("_h", order).withColumn("_block", F.substring("_h", 1, 2)).withColumn("_one", F.lit(1).cast("long"))
+    own = F.row_number().over(Window.partitionBy(*groups, "_block").orderBy("_h"))
+    return rows.withColumn("_own", own).join(_before(rows, groups, {"_one": None}), [*groups, "_block"]).withColumn(name, F.col("_b__one") + F.col("_own")).drop("_h", "_block", "_one", "_own", "_b__one")

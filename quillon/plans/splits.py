@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.operators.numbering import hash_ranks, row_ranks
+
 from . import views as v
 from .registry import query
 
@@ -17,9 +19,10 @@ def hash_order(seed: int | str, key: str) -> Column:
 @query("hash_split", "WITH r AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('1:' || c_custkey)) - 1 AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) SELECT c_custkey, CASE WHEN k < 0.6 * n THEN 'train' WHEN k < 0.8 * n THEN 'val1' ELSE 'val2' END AS part FROM r")
 def hash_split(spark, sf_dir):
     """60/20/20 by hash order within strata."""
-    w = Window.partitionBy("c_nationkey")
-    k, n = F.row_number().over(w.orderBy(hash_order(1, "c_custkey"))) - 1, F.count("*").over(w)
-    return v.table(spark, sf_dir, "customer").select("c_custkey", F.when(k < 0.6 * n, "train").when(k < 0.8 * n, "val1").otherwise("val2").alias("part"))
+    c = v.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    sizes = c.groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    k, n = F.col("k") - 1, F.col("n")
+    return hash_ranks(c, ["c_nationkey"], hash_order(1, "c_custkey"), "k").join(sizes, "c_nationkey").select("c_custkey", F.when(k < 0.6 * n, "train").when(k < 0.8 * n, "val1").otherwise("val2").alias("part"))
 
 
 @query("gene_group_split", "WITH s AS (SELECT l_orderkey, max(CASE WHEN substr(sha256('2:' || l_partkey), 1, 1) < '8' THEN 0 WHEN substr(sha256('2:' || l_partkey), 1, 1) < 'c' THEN 1 ELSE 2 END)::INT AS part FROM lineitem GROUP BY 1) SELECT l_orderkey, part FROM s")
@@ -55,8 +58,8 @@ def kfold_predict_hide(spark, sf_dir):
 @query("disjoint_controls", "WITH r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('3:' || o_orderkey)) AS k FROM orders) SELECT o_orderkey, CASE WHEN k <= 100 THEN 'public' ELSE 'evaluation' END AS sample FROM r WHERE k <= 150")
 def disjoint_controls(spark, sf_dir):
     """Two disjoint samples of fixed size a stratum, by hash order (sampling is the feature)."""
-    k = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(hash_order(3, "o_orderkey")))
-    return v.table(spark, sf_dir, "orders").select("o_orderkey", k.alias("k")).where("k <= 150").select("o_orderkey", F.when(F.col("k") <= 100, "public").otherwise("evaluation").alias("sample"))
+    o = v.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return hash_ranks(o, ["o_orderpriority"], hash_order(3, "o_orderkey"), "k").where("k <= 150").select("o_orderkey", F.when(F.col("k") <= 100, "public").otherwise("evaluation").alias("sample"))
 
 
 @query(
@@ -65,17 +68,18 @@ def disjoint_controls(spark, sf_dir):
 )
 def perm_within_bins(spark, sf_dir):
     """A permutation within bins: position by id takes the member at the same position by hash."""
-    w = Window.partitionBy("bin")
-    a = v.table(spark, sf_dir, "part").select("p_partkey", F.expr("p_size div 10").alias("bin")).withColumns({"i": F.row_number().over(w.orderBy("p_partkey")), "j": F.row_number().over(w.orderBy(hash_order(4, "p_partkey")))})
-    return a.select("p_partkey", "bin", "i").join(a.select(F.col("p_partkey").alias("mapped"), "bin", F.col("j").alias("i")), ["bin", "i"]).select("p_partkey", "mapped")
+    b = v.table(spark, sf_dir, "part").select("p_partkey", F.expr("p_size div 10").alias("bin"))
+    by_id = row_ranks(b, ["bin"], "p_partkey", "p_partkey", "i")
+    by_hash = hash_ranks(b, ["bin"], hash_order(4, "p_partkey"), "i").withColumnRenamed("p_partkey", "mapped")
+    return by_id.join(by_hash, ["bin", "i"]).select("p_partkey", "mapped")
 
 
 @query("half_sample", "WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('5:' || c_custkey)) AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey FROM r WHERE k <= n // 2")
 def half_sample(spark, sf_dir):
     """Half of each group by hash order."""
-    w = Window.partitionBy("c_mktsegment")
-    r = v.table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(w.orderBy(hash_order(5, "c_custkey"))).alias("k"), F.count("*").over(w).alias("n"))
-    return r.where("k <= n div 2").select("c_custkey")
+    c = v.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    sizes = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    return hash_ranks(c, ["c_mktsegment"], hash_order(5, "c_custkey"), "k").join(sizes, "c_mktsegment").where("k <= n div 2").select("c_custkey")
 
 
 @query("context_views", f"WITH {v.DELTA} SELECT fold, count(*) AS n, round(avg(delta), 6) AS mean FROM delta, (SELECT unnest(range(5))::INT AS fold) WHERE pert % 5 <> fold GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import stats
-from quillon.operators.numbering import numbered, row_ranks, value_ranks
+from quillon.operators.numbering import hash_ranks, numbered, row_ranks, value_ranks
 
 from . import views as v
 from .registry import query
@@ -130,8 +130,8 @@ def next_id(spark, sf_dir):
 def hash_draw(spark, sf_dir):
     """Rank by the hash of seed and key, alternate ranks to two arms within strata."""
     order = F.sha2(F.concat_ws("\n", F.lit("7"), F.col("p_partkey").cast("string")), 256)
-    rk = F.row_number().over(Window.partitionBy("p_type").orderBy(order)).cast("long")
-    return v.table(spark, sf_dir, "part").select("p_partkey", "p_type", rk.alias("rk")).where("rk <= 40").withColumn("arm", F.when(F.col("rk") % 2 == 1, "R1").otherwise("R2"))
+    part = v.table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return hash_ranks(part, ["p_type"], order, "rk").where("rk <= 40").withColumn("arm", F.when(F.col("rk") % 2 == 1, "R1").otherwise("R2"))
 
 
 @query("mid_ranks", "SELECT p_partkey, rank() OVER (PARTITION BY p_type ORDER BY p_size)::DOUBLE + (count(*) OVER (PARTITION BY p_type, p_size) - 1) / 2.0::DOUBLE AS mid FROM part")

@@ -2,6 +2,10 @@
 
 Each takes a streaming DataFrame of events (event_id, ts, user_id, event_type, value) and
 returns a streaming DataFrame; run_once() drives one over the rows that are there.
+
+Rows of a key are put in the order of time and id within a micro-batch, and a micro-batch's rows of one key are held by one
+task: bound micro-batches (maxFilesPerTrigger) where a key may be hot. Rows that come late in a later micro-batch are taken when
+they come. State of a key is a few numbers and has no timeout, as a key's best value and its breaker do not expire.
 """
 
 from __future__ import annotations
