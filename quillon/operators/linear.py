@@ -132,29 +132,49 @@ def bounded_matrix(delta: DataFrame, value: str = "delta", most: int = MOST_CELL
 GROUP_BLOCK = 256
 
 
-def group_products(delta: DataFrame, block: int = GROUP_BLOCK) -> DataFrame:
-    """(p, q, k): inner products of the groups' deltas over the measures, both orders and a group with itself.
-
-    Groups are dealt to square blocks, and a task multiplies the two matrices of one block: each delta is read
-    once a block of groups, not once a group.
-    """
-    d = delta.select("pert", "gene", F.col("delta").cast("double").alias("x"))
+def _block_pairs(rows: DataFrame, value: str, block: int, made: str, of_block):
+    """of_block(left, right, both masks) over square blocks of groups: each row of the long table is read once a block of groups, not
+    once a group. Yields (p, q) and the columns `made`, both orders; of_block gets matrices with 0 where a measure is missing."""
+    d = rows.select("pert", "gene", F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
     parts = d.select("pert").distinct().agg(F.count("*").alias("n")).head().n // block + 1
-    rows = d.withColumn("part", F.pmod(F.xxhash64("pert"), F.lit(parts)).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
-    rows = rows.select("pert", "gene", "x", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    dealt = d.withColumn("part", F.pmod(F.xxhash64("pert"), F.lit(parts)).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
+    dealt = dealt.select("pert", "gene", "x", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index=["part", "pert"], columns="gene", values="x").fillna(0.0)
-        part, names = (m.index.get_level_values(k).to_numpy() for k in (0, 1))
+        wide = pdf.pivot(index=["part", "pert"], columns="gene", values="x")
+        part, names = (wide.index.get_level_values(k).to_numpy() for k in (0, 1))
+        x, there = wide.fillna(0.0).to_numpy(), wide.notna().to_numpy().astype(np.float64)
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        k = m.to_numpy()[left] @ m.to_numpy()[right].T
-        out = pd.DataFrame({"p": np.repeat(names[left], len(right)), "q": np.tile(names[right], len(left)), "k": k.ravel()})
-        return out if i == j else pd.concat([out, out.rename(columns={"p": "q", "q": "p"})[["p", "q", "k"]]])
+        out = pd.DataFrame({"p": np.repeat(names[left], len(right)), "q": np.tile(names[right], len(left))})
+        for name, m in of_block(x[left], x[right], there[left], there[right]).items():
+            out[name] = m.ravel()
+        return out if i == j else pd.concat([out, out.rename(columns={"p": "q", "q": "p"})[out.columns]])
 
-    kind = delta.schema["pert"].dataType.simpleString()
-    return rows.groupBy("i", "j").applyInPandas(multiply, f"p {kind}, q {kind}, k double")
+    kind = rows.schema["pert"].dataType.simpleString()
+    return dealt.groupBy("i", "j").applyInPandas(multiply, f"p {kind}, q {kind}, {made}")
+
+
+def group_products(delta: DataFrame, block: int = GROUP_BLOCK) -> DataFrame:
+    """(p, q, k): inner products of the groups' deltas over the measures, both orders and a group with itself."""
+    return _block_pairs(delta, "delta", block, "k double", lambda a, b, _, __: {"k": a @ b.T})
+
+
+def group_correlations(rows: DataFrame, value: str = "delta", block: int = GROUP_BLOCK) -> DataFrame:
+    """(p, q, n, r): correlation of every two groups over the n measures that both have, both orders; 0 where a side is constant."""
+
+    def of_block(a, b, ma, mb):
+        n = ma @ mb.T
+        d = np.maximum(n, 1)
+        x, y = a @ mb.T / d, ma @ b.T / d
+        vx, vy = (a * a) @ mb.T / d - x * x, ma @ (b * b).T / d - y * y
+        # Rounding leaves a little of a constant side's variance.
+        live = (vx > 1e-13 * (x * x + 1e-300)) & (vy > 1e-13 * (y * y + 1e-300))
+        r = np.where(live, (a @ b.T / d - x * y) / np.sqrt(np.where(live, vx * vy, 1.0)), 0.0)
+        return {"n": n.astype(np.int64), "r": r}
+
+    return _block_pairs(rows, value, block, "n long, r double", of_block).where("p <> q")
 
 
 def _group_matrix(delta: DataFrame) -> tuple[list[int], np.ndarray]:

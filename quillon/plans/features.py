@@ -121,10 +121,10 @@ def template_external_knn(spark, sf_dir):
     """mean response of the five groups that are most alike in another screen."""
     from pyspark.sql import Window
 
-    from quillon.functions import stats
+    from quillon.operators.linear import group_correlations
 
-    e, d = external(spark, sf_dir), v.delta_view(spark, sf_dir).select("pert", "gene", "delta")
-    w = e.selectExpr("pert as p", "gene", "e as x").join(e.selectExpr("pert as q", "gene", "e as y"), "gene").where("p <> q").groupBy("p", "q").agg(F.round(stats.pearson(F.col("x"), F.col("y")), 9).alias("w"))
+    d = v.delta_view(spark, sf_dir).select("pert", "gene", "delta")
+    w = group_correlations(external(spark, sf_dir), "e").select("p", "q", F.round("r", 9).alias("w"))
     k = w.where("w > 0").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("w"), "q"))).where("r <= 5")
     return k.join(d.withColumnRenamed("pert", "q"), "q").groupBy(F.col("p").alias("pert"), "gene").agg(v.r6(F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("value"))
 

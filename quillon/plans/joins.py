@@ -101,10 +101,10 @@ def jaccard_pairs(spark, sf_dir):
 )
 def pairwise_corr(spark, sf_dir):
     """Correlation of groups over the measures both have; 0 below three."""
-    d = v.delta_view(spark, sf_dir).select("pert", "gene", "delta")
-    left, right = d.selectExpr("pert as a", "gene", "delta as x"), d.selectExpr("pert as b", "gene", "delta as y")
-    r = F.when(F.count("*") >= 3, stats.pearson(F.col("x"), F.col("y"))).otherwise(F.lit(0.0))
-    return left.join(right, "gene").where("a < b").groupBy("a", "b").agg(v.r6(r).alias("r"))
+    from quillon.operators.linear import group_correlations
+
+    pairs = group_correlations(v.delta_view(spark, sf_dir)).where("p < q and n > 0")
+    return pairs.select(F.col("p").alias("a"), F.col("q").alias("b"), v.r6(F.when(F.col("n") >= 3, F.col("r")).otherwise(0.0)).alias("r"))
 
 
 @query("loo_exclude", f"WITH {v.LOO} SELECT pert, gene, round(pred, 6) AS pred FROM loo")

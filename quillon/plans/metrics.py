@@ -215,8 +215,9 @@ def ceiling_gap(spark, sf_dir):
 @query("best_neighbour", f"WITH {v.DELTA}, w AS (SELECT a.pert AS p, b.pert AS q, {v.sql_pearson('a.delta', 'b.delta')} AS r FROM delta a JOIN delta b ON a.gene = b.gene AND a.pert <> b.pert GROUP BY 1, 2) SELECT p AS pert, round(max(r), 6) AS best FROM w GROUP BY 1")
 def best_neighbour(spark, sf_dir):
     """The best single neighbour as a hindsight ceiling."""
-    d = v.delta_view(spark, sf_dir).select("pert", "gene", "delta")
-    w = d.selectExpr("pert as p", "gene", "delta as x").join(d.selectExpr("pert as q", "gene", "delta as y"), "gene").where("p <> q").groupBy("p", "q").agg(stats.pearson(F.col("x"), F.col("y")).alias("r"))
+    from quillon.operators.linear import group_correlations
+
+    w = group_correlations(v.delta_view(spark, sf_dir))
     return w.groupBy(F.col("p").alias("pert")).agg(v.r6(F.max("r")).alias("best"))
 
 

@@ -34,10 +34,10 @@ SELECT k.a AS pert, d.gene, round(sum(w * d.delta) / sum(w), 6) AS pred FROM k J
 )
 def knn_transfer(spark, sf_dir):
     """Weighted mean of the five most similar groups of positive weight."""
-    from quillon.functions import stats
+    from quillon.operators.linear import group_correlations
 
     d = v.delta_view(spark, sf_dir).select("pert", "gene", "delta")
-    w = d.selectExpr("pert as a", "gene", "delta as x").join(d.selectExpr("pert as b", "gene", "delta as y"), "gene").where("a <> b").groupBy("a", "b").agg(F.round(stats.pearson(F.col("x"), F.col("y")), 9).alias("w"))
+    w = group_correlations(d).select(F.col("p").alias("a"), F.col("q").alias("b"), F.round("r", 9).alias("w"))
     k = w.where("w > 0").withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))).where("r <= 5")
     return k.join(d.withColumnRenamed("pert", "b"), "b").groupBy(F.col("a").alias("pert"), "gene").agg(v.r6(F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("pred"))
 

@@ -375,3 +375,18 @@ def test_external_kernel_matches_refitting(spark):
         lam = min([0.1, 1.0, 10.0], key=error)
         want = d[free].mean(0) + z[i] @ z[free].T @ np.linalg.solve(k + lam * np.eye(5), y)
         assert (own["lambda"] == lam).all() and np.allclose(own.value, want, atol=2e-6)
+
+
+def test_group_correlations_over_shared_measures(spark):
+    rng = np.random.default_rng(17)
+    rows = [(p, f"g{j}", float(x)) for p in range(9) for j, x in enumerate(rng.standard_normal(15) + 100) if rng.random() < 0.8]
+    rows += [(9, f"g{j}", 5.0) for j in range(15)] + [(10, "g0", 1.0), (10, "g1", None), (10, "other", 2.0)]
+    got = {(r.p, r.q): (r.n, r.r) for r in linear.group_correlations(spark.createDataFrame(rows, "pert int, gene string, delta double"), block=4).collect()}
+    own = {p: {g: x for q, g, x in rows if q == p and x is not None} for p in range(11)}
+    for a in range(11):
+        for b in range(11):
+            if a != b:
+                both = sorted(own[a].keys() & own[b].keys())
+                x, y = np.array([own[a][g] for g in both]), np.array([own[b][g] for g in both])
+                r = np.corrcoef(x, y)[0, 1] if len(both) > 1 and x.std() > 0 and y.std() > 0 else 0.0
+                assert got[a, b][0] == len(both) and got[a, b][1] == pytest.approx(r, abs=1e-6), (a, b)
