@@ -26,9 +26,6 @@ DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
 LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 2}
 SOURCE_WEIGHTS = {"src0": 2}
 SHARE, EPOCHS, SEED = (3, 5), 2, 17
-#: Hexadecimal digits of the order's hash that form the parts in which a leaf is counted, at least; and the rows of a
-#: leaf's part beyond which there are more.
-DIGITS, PART_ROWS = 3, 50_000
 LEAF = ["_domain", "_lang", "_source"]
 
 
@@ -93,9 +90,9 @@ def _plan(docs: DataFrame, domain, share, epochs, weights, seed) -> tuple[DataFr
     leaves = counted.groupBy(*LEAF).agg(F.sum("_n").alias("tokens"), F.count("*").alias("rows"))
     dealt = budgets(leaves, share, epochs, weights).where("tokens > 0")
     dealt = stage(dealt.select(*LEAF, "rows", F.expr("cast(budget div tokens as int)").alias("_full"), (F.col("budget") % F.col("tokens")).alias("_rest")), "op3-budgets")
-    # A part of a leaf is sorted by one task: parts are made so small that it holds PART_ROWS rows or so.
+    # One task sorts the parts of a leaf, one the rows of a part: there are about as many parts as a part of the largest leaf has rows.
     largest = dealt.agg(F.max("rows").alias("n")).head().n or 0
-    digits = next(d for d in range(DIGITS, 17) if largest <= PART_ROWS * 16**d)
+    digits = next(d for d in range(1, 17) if largest <= 256**d)
     placed = salted_join(counted, dealt, LEAF, "_id", "rows").withColumn("_h", _order(F.col("_full"), seed)).withColumn("_part", F.substring("_h", 1, digits))
     parts = placed.groupBy(*LEAF, "_rest", "_part").agg(F.sum("_n").alias("n"))  # 16 ** digits a leaf at most
     upto = parts.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEAF).orderBy("_part")))
