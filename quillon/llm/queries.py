@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import embedding_dedup, licenses, line_dedup, mixing, ngram_join, ogg, packing, quality, style_tree, warc
+from . import embedding_dedup, licenses, line_dedup, mixing, ngram_join, ogg, packing, quality, style_tree, token_alignment, token_counts, warc, whitening
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,9 @@ def queries() -> dict[str, Callable]:
         "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
         "op10_embedding_near_dedup": embedding_dedup.op10_embedding_near_dedup,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_cross_tokenizer_alignment": token_alignment.op12_cross_tokenizer_alignment,
+        "op13_token_counts": token_counts.op13_token_counts,
     }
 
 
