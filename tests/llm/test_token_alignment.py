@@ -91,7 +91,7 @@ def test_units_join_to_the_text_and_their_tokens_to_its_tokens(pair):
         for step in (1, 7, 1000):
             units = [u for s in _steps(text, step) for u in s]
             assert "".join(units) == " " + text
-        whole, parts = pair.encode(" " + text), [pair.encode(u) for u in units]
+        whole, parts = pair.encode([" " + text]), [pair.encode([u]) for u in units]
         if all(p is not None for p in parts):
             for side in (0, 1):
                 assert [i for p in parts for i in p[side].tolist()] == whole[side].tolist(), text
