@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .factor import sign_of
+
 
 def ridge_two(data: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """(keys, bx, bz, b0) of y on x and z with an unpenalised intercept, for each group, by the normal equations."""
@@ -101,7 +103,7 @@ def nnls(g: np.ndarray, b: np.ndarray, sweeps: int = 2000) -> np.ndarray:
 
 
 def components(data: DataFrame) -> DataFrame:
-    """(component, column, loading, share) of the correlation matrix; the largest loading of a component is positive."""
+    """(component, column, loading, share) of the correlation matrix; the first of a component's largest loadings is positive."""
     names, m, _ = gram(data)
     sd = np.sqrt(np.diag(m))
     sd[sd == 0] = 1.0
@@ -109,7 +111,7 @@ def components(data: DataFrame) -> DataFrame:
     order = np.argsort(-values)
     rows = []
     for n, k in enumerate(order):
-        v = vectors[:, k] * np.sign(vectors[np.abs(vectors[:, k]).argmax(), k])
+        v = vectors[:, k] * sign_of(vectors[:, k])
         rows += [(n, c, round(float(x), 6), round(float(max(values[k], 0) / max(values.sum(), 1e-300)), 6)) for c, x in zip(names, v)]
     return data.sparkSession.createDataFrame(rows, "component int, column string, loading double, share double")
 
@@ -280,65 +282,6 @@ def pearson(x: np.ndarray, y: np.ndarray) -> float:
     return float((x * y).sum() / den) if den > 0 else 0.0
 
 
-def loo_columns(i: int, free: np.ndarray, d: np.ndarray, similar: np.ndarray, k: int) -> np.ndarray:
-    """Columns of group i from the groups that are free: their mean response, and the mean of the k most similar by their weight."""
-    mean = d[free].mean(0)
-    w = np.where(free, similar[i], 0.0)
-    near = np.argsort(-w, kind="stable")[:k]
-    near = near[w[near] > 0]
-    return np.column_stack([mean, w[near] @ d[near] / w[near].sum() if len(near) else mean])
-
-
-def nested_loo(delta: DataFrame, similarity: DataFrame, alphas: list[float], k: int = 5, hidden: DataFrame | None = None) -> DataFrame:
-    """(pert, alpha, r, r_mean, r_neighbours): every group held out once, predicted by a ridge stack of the columns of loo_columns().
-
-    Its penalty is chosen among the other groups, each left out of the fit and of the columns in turn, by their mean
-    correlation; of equal ones the first. A held-out group, and the groups that hidden (pert, other) names for it, have no
-    part in any column, fit or choice of its own. similarity: (a, b, w) of groups, both orders.
-    The matrix of the groups is sent to the tasks, after a check of its size; a task takes one held-out group at a time.
-    """
-    groups, _, d = bounded_matrix(delta)
-    at, n = {g: i for i, g in enumerate(groups)}, len(groups)
-    if n < 3:
-        raise ValueError("three groups are the least to leave one out")
-    similar, hide = np.zeros((n, n)), np.eye(n, dtype=bool)
-    for r in similarity.toPandas().itertuples():  # groups x groups values
-        if r.a in at and r.b in at:
-            similar[at[r.a], at[r.b]] = r.w
-    if hidden is not None:
-        for r in hidden.toPandas().itertuples():
-            if r.pert in at and r.other in at:
-                hide[at[r.pert], at[r.other]] = True
-
-    def one(i: int) -> tuple:
-        free = ~hide[i]
-        train = np.flatnonzero(free)
-        columns = {q: loo_columns(q, free & ~hide[q], d, similar, k) for q in train if (free & ~hide[q]).any()}
-        own = {q: moments(x, d[q]) for q, x in columns.items()}
-        total = sum(own.values())
-        best = None
-        for alpha in alphas:
-            score = 0.0
-            for q, x in columns.items():
-                b0, w = solve(total - own[q], "ridge", alpha)
-                score += pearson(b0 + x @ w, d[q])
-            score = round(score / len(columns), 12)
-            if best is None or score > best[0]:
-                best = (score, alpha)
-        b0, w = solve(total, "ridge", best[1])
-        x = loo_columns(i, free, d, similar, k)
-        return (groups[i], best[1], *(round(pearson(p, d[i]), 6) for p in (b0 + x @ w, x[:, 0], x[:, 1])))
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame([one(i) for i in b["i"]], columns=["pert", "alpha", "r", "r_mean", "r_neighbours"])
-
-    spark = delta.sparkSession
-    tasks = spark.range(n).withColumnRenamed("id", "i").repartition(min(n, spark.sparkContext.defaultParallelism))
-    kind = delta.schema["pert"].dataType.simpleString()
-    return tasks.mapInPandas(run, f"pert {kind}, alpha double, r double, r_mean double, r_neighbours double")
-
-
 def mix_ceilings(delta: DataFrame) -> DataFrame:
     """(pert, single, non_negative, free): correlation of each group with its best single other group, and with the best non-negative
     and the best free linear mix of the others and a constant. Hindsight: the group's own response chooses the mix."""
@@ -492,7 +435,7 @@ def redundancy(data: DataFrame, least: float = 0.9) -> DataFrame:
 def merge_clusters(data: DataFrame, training: str, least: float = 0.9) -> DataFrame:
     """(cluster, column, mean, sd, weight): every cluster of redundancy() as its first principal component, from the training rows alone.
 
-    training: SQL condition of these rows. The component is the sum of weight (x - mean) / sd; its largest weight is positive.
+    training: SQL condition of these rows. The component is the sum of weight (x - mean) / sd; the first of its largest weights is positive.
     """
     columns = [c for c in data.columns]
     train = data.where(training)
@@ -504,35 +447,11 @@ def merge_clusters(data: DataFrame, training: str, least: float = 0.9) -> DataFr
         idx = [k for k, c in enumerate(names) if kinds[c].cluster == cluster]
         sd = np.sqrt(np.diag(m)[idx])
         values, vectors = np.linalg.eigh(m[np.ix_(idx, idx)] / np.outer(sd, sd))
-        w = vectors[:, -1] * np.sign(vectors[np.abs(vectors[:, -1]).argmax(), -1])
+        w = vectors[:, -1] * sign_of(vectors[:, -1])
         rows += [(cluster, names[k], float(means[names[k]]), float(s), round(float(x), 6)) for k, s, x in zip(idx, sd, w)]
     return data.sparkSession.createDataFrame(rows, "cluster string, column string, mean double, sd double, weight double")
 
 
-def residual_spectrum(rows: DataFrame, pred: str, truth: str, replicates: int = 99) -> DataFrame:
-    """(component, value, null_p95, p): singular values of what a prediction leaves, against those of residuals whose measures are
-    permuted in each group by a hash. The matrix of the groups is checked for its size; the replicates are dealt to tasks."""
-    groups, genes, r = bounded_matrix(rows.select("pert", "gene", (F.col(truth) - F.col(pred)).alias("residual")), "residual")
-    size = min(r.shape)
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for rep in b["rep"]:
-                own = r
-                if rep >= 0:
-                    own = np.array([row[sorted(range(len(genes)), key=lambda k: hashlib.sha256(f"{rep}:{g}:{genes[k]}".encode()).hexdigest())] for g, row in zip(groups, r)])  # noqa: B023
-                out += [(int(rep), k, float(s)) for k, s in enumerate(np.linalg.svd(own, compute_uv=False)[:size])]
-            yield pd.DataFrame(out, columns=["rep", "component", "value"])
-
-    spark = rows.sparkSession
-    made = spark.range(-1, replicates).withColumnRenamed("id", "rep").repartition(min(replicates + 1, spark.sparkContext.defaultParallelism)).mapInPandas(run, "rep long, component int, value double")
-    null = made.where("rep >= 0").select("component", F.col("value").alias("x"))
-    seen = made.where("rep < 0").select("component", "value")
-    p = (1 + F.count_if(F.col("x") >= F.col("value"))) / F.lit(1.0 + replicates)
-    return seen.join(null, "component").groupBy("component", "value").agg(F.percentile("x", F.lit(0.95)).alias("null_p95"), p.alias("p")).select("component", *(F.round(c, 6).alias(c) for c in ("value", "null_p95", "p")))
-
-
 def null_false_positives(rows: DataFrame, truth: str, features: int = 200, replicates: int = 199, level: float = 0.05) -> DataFrame:
     """(features, rejected, rate): how often a feature that means nothing is called significant, by the permutation null of the measures.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import stats
-from quillon.operators import linear
+from quillon.operators import linear, nested, residuals
 
 from . import views as v
 from .registry import query
@@ -120,7 +120,19 @@ def cluster_merge(spark, sf_dir):
 @query("residual_spectrum")
 def residual_spectrum(spark, sf_dir):
     """Components of the residuals against a permutation null."""
-    return linear.residual_spectrum(v.loo_mean(v.delta_view(spark, sf_dir)), "pred", "delta")
+    return residuals.residual_spectrum(v.loo_mean(v.delta_view(spark, sf_dir)), "pred", "delta")
+
+
+@query("residual_structure")
+def residual_structure(spark, sf_dir):
+    """Shares of the residuals' components against permuted residuals, and whether one group makes a component."""
+    return residuals.residual_structure(v.loo_mean(v.delta_view(spark, sf_dir)), "pred", "delta")
+
+
+@query("residual_loadings")
+def residual_loadings(spark, sf_dir):
+    """Measures and groups with the largest loadings of the first two components."""
+    return residuals.residual_loadings(v.loo_mean(v.delta_view(spark, sf_dir)), "pred", "delta")
 
 
 @query("null_false_positives")
@@ -170,7 +182,7 @@ ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0]
 @query("nested_loo_protocol")
 def nested_loo_protocol(spark, sf_dir):
     """Every group held out once; the stack's penalty is chosen by leave-one-out among the others."""
-    return linear.nested_loo(v.delta_view(spark, sf_dir), _similarity(spark, sf_dir), ALPHAS)
+    return nested.nested_loo(v.delta_view(spark, sf_dir), _similarity(spark, sf_dir), ALPHAS)
 
 
 @query("nested_loo_hidden")
@@ -178,7 +190,7 @@ def nested_loo_hidden(spark, sf_dir):
     """The same, where a held-out group hides the groups of its region as well."""
     nation = v.table(spark, sf_dir, "nation")
     hidden = nation.select(F.col("n_nationkey").alias("pert"), (F.col("n_regionkey") * 10 + F.col("n_nationkey") % 2).alias("r")).join(nation.select(F.col("n_nationkey").alias("other"), (F.col("n_regionkey") * 10 + F.col("n_nationkey") % 2).alias("r")), "r").select("pert", "other")
-    return linear.nested_loo(v.delta_view(spark, sf_dir), _similarity(spark, sf_dir), ALPHAS, hidden=hidden)
+    return nested.nested_loo(v.delta_view(spark, sf_dir), _similarity(spark, sf_dir), ALPHAS, hidden=hidden)
 
 
 #: The models of the factory with their penalties.
