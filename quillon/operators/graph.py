@@ -88,3 +88,39 @@ def closure(edges: DataFrame, child: str, parent: str, rounds: int = 1000) -> Da
     else:
         raise RuntimeError(f"more than {rounds} generations")
     return now.select(F.col("c").alias(child), F.col("a").alias("ancestor"))
+
+
+def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(a, b, w) of a maximum spanning forest of edges (a, b, w), by Boruvka's rounds: each component takes the best edge that leaves it, and
+    components joined in this way become one, by components().
+
+    Of equal weights the edge with the smaller ends is better, so the order is strict and no cycle can close. Ends may be of any
+    type that has an order. Loops, and edges without a weight or an end, are none. Of parallel edges between two components only the best goes on to the next round.
+    """
+    a, b = F.least("a", "b"), F.greatest("a", "b")
+    known = edges.where("a is not null and b is not null and w is not null and not isnan(w) and a <> b").select(a.alias("a"), b.alias("b"), F.col("w").cast("double").alias("w"))
+    live = cut(known.groupBy("a", "b").agg(F.max("w").alias("w")).select(F.col("a").alias("u"), F.col("b").alias("v"), F.struct((-F.col("w")).alias("o"), "a", "b").alias("e")))
+    tree = live.select("e").limit(0)
+    for _ in range(rounds):
+        if live.isEmpty():
+            break
+        both = live.select("u", "v", "e").union(live.select("v", "u", "e"))
+        best = cut(both.groupBy("u").agg(F.min(F.struct("e", "v")).alias("m")).select("u", "m.v", "m.e"))
+        tree = cut(tree.union(best.select("e")).distinct())
+        label = components(best, "u", "v")
+        ends = live.join(label.selectExpr("node as u", "component as cu"), "u").join(label.selectExpr("node as v", "component as cv"), "v").where("cu <> cv")
+        live = cut(ends.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.min("e").alias("e")))
+    else:
+        raise RuntimeError(f"no forest in {rounds} rounds")
+    return tree.select("e.a", "e.b", (-F.col("e.o")).alias("w"))
+
+
+def weakest_links(edges: DataFrame) -> DataFrame:
+    """(grp, nodes, weakest) of edges (grp, a, b, w): in each group, the tree of its maximum spanning forest that holds the group's smallest node: its nodes and its smallest edge."""
+    named = edges.select(F.struct("grp", F.col("a").alias("node")).alias("a"), F.struct("grp", F.col("b").alias("node")).alias("b"), "w")
+    forest = cut(spanning_forest(named))
+    label = components(forest, "a", "b")
+    first = label.groupBy("node.grp").agg(F.min(F.struct("node", "component")).alias("m")).select("grp", F.col("m.component").alias("component"))
+    sizes = label.groupBy("component").agg(F.count("*").alias("nodes"))
+    least = forest.join(label.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.min("w").alias("weakest"))
+    return first.join(sizes, "component").join(least, "component").select("grp", "nodes", "weakest")

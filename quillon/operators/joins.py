@@ -55,3 +55,36 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value:
     w = Window.partitionBy(*by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True)
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_v", "_side")
+
+
+def nearest_lists(points: DataFrame, reach: int, most: int = 20, block: int = 10_000) -> DataFrame:
+    """(id, nearest, list) of points (id, chrom, pos): the distance to the nearest other point of the chromosome at any distance (NULL if there is none), and the ids of
+    the `most` nearest within reach, by distance and id.
+
+    Positions are ranked and dealt to blocks of consecutive ones, each with the `most` positions before and after it from its neighbours: no
+    point lies beyond these in its list. Of the points at one position the first `most` + 1 ids are enough. A position may hold any part of the points.
+    """
+    from pyspark.sql import Window
+
+    from .graph import cut
+    from .numbering import value_ranks
+
+    known = points.select("id", "chrom", F.col("pos").cast("long").alias("pos"))
+    placed = known.where("chrom is not null and pos is not null")
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    few = lambda c: F.slice(F.array_sort(c), 1, most + 1)
+    part = salted.groupBy("chrom", "pos", "salt").agg(few(F.collect_list("id")).alias("ids"))
+    places = cut(part.groupBy("chrom", "pos").agg(few(F.flatten(F.collect_list("ids"))).alias("ids")))
+    ranks = value_ranks(places.select("chrom", "pos"), ["chrom"], "pos").select("chrom", "pos", (F.col("n_upto") - 1).cast("long").alias("rank"))
+    places = places.join(ranks, ["chrom", "pos"])
+    own, at = F.floor(F.col("rank") / block), F.col("rank") % block
+    span = -(-most // block)  # a block may be smaller than a list
+    near = places.withColumn("b", F.explode(F.sequence(F.greatest(own - F.when(at < most, span).otherwise(0), F.lit(0)), own + F.when(at >= block - most, span).otherwise(0))))
+    around = Window.partitionBy("chrom", "b").orderBy("rank").rowsBetween(-most, most)
+    met = near.withColumn("around", F.collect_list(F.struct("pos", "ids")).over(around)).where(own == F.col("b")).select("chrom", "pos", "around")
+    joined = placed.join(met, ["chrom", "pos"])
+    others = F.flatten(F.transform("around", lambda p: F.transform(p["ids"], lambda i: F.struct(F.abs(p["pos"] - F.col("pos")).alias("gap"), i.alias("id")))))
+    others = F.array_sort(F.filter(others, lambda o: o["id"] != F.col("id")))
+    found = joined.select("id", others.alias("o")).select("id", F.get("o", F.lit(0))["gap"].alias("nearest"), F.slice(F.filter("o", lambda o: o["gap"] <= reach), 1, most).alias("o"))
+    found = found.select("id", "nearest", F.transform("o", lambda o: o["id"]).alias("list"))
+    return found.unionByName(known.where("chrom is null or pos is null").select("id", F.lit(None).cast("long").alias("nearest"), F.array().cast(found.schema["list"].dataType).alias("list")))

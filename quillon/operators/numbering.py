@@ -88,3 +88,40 @@ def hash_ranks(df: DataFrame, groups: list[str], order: Column, name: str) -> Da
     rows = df.withColumn("_h", order).withColumn("_block", F.substring("_h", 1, 2)).withColumn("_one", F.lit(1).cast("long"))
     own = F.row_number().over(Window.partitionBy(*groups, "_block").orderBy("_h"))
     return rows.withColumn("_own", own).join(_before(rows, groups, {"_one": None}), [*groups, "_block"]).withColumn(name, F.col("_b__one") + F.col("_own")).drop("_h", "_block", "_one", "_own", "_b__one")
+
+
+def chunk_plan(df: DataFrame, groups: list[str], key: str, size: str, most_items: int, most_size: int, block: int = BLOCK) -> DataFrame:
+    """(groups, chunk, first, last, n, size): each group's rows, in the order of an integer key that does not repeat in it, cut greedily into chunks of at most
+    most_items rows whose sizes add up to at most most_size; a chunk holds at least one row, however large. Chunks are numbered from 0.
+
+    Every row points to the row that would begin the next chunk if it began one. It is found in blocks of rows that also hold the first rows of
+    the block after them. The rows that do begin chunks are those that the pointers lead to from a group's first row: in each round the marked
+    rows mark those a jump ahead, and the jumps double. Sizes are integers; NULL and negative sizes count as 0.
+    """
+    from .graph import cut
+
+    whole = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
+    rows = df.select(*groups, F.col(key).cast("long").alias("_k"), whole.alias("_size"))
+    rows = running_total(rows, groups, "_k", "_k", F.lit(1).cast("long"), "_n", block)
+    rows = running_total(rows, groups, "_k", "_k", F.col("_size"), "_upto", block)
+    rows = cut(rows.select(*groups, (F.col("_n") - 1).alias("_i"), "_k", (F.col("_upto") - F.col("_size")).alias("_p"), "_upto"))
+    ends = rows.groupBy(*groups).agg((F.max("_i") + 1).alias("_i"), F.lit(None).cast("long").alias("_k"), F.max("_upto").alias("_p"))
+    every = rows.drop("_upto").unionByName(ends)
+    step = max(block, most_items)
+    own = F.floor(F.col("_i") / step)
+    near = every.withColumn("_b", F.explode(F.when((F.col("_i") % step < most_items) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))))
+    reach = F.max("_i").over(Window.partitionBy(*groups, "_b").orderBy("_p").rangeBetween(0, most_size))
+    jump = near.withColumn("_far", reach).where(own == F.col("_b")).where("_k is not null")
+    jump = cut(jump.select(*groups, "_i", F.greatest(F.col("_i") + 1, F.least(F.col("_i") + most_items, "_far")).alias("_to")))
+    after = jump
+    marked = cut(rows.where("_i = 0").select(*groups, "_i"))
+    while True:
+        fresh = cut(marked.join(jump, [*groups, "_i"]).select(*groups, F.col("_to").alias("_i")).join(marked, [*groups, "_i"], "left_anti").join(rows.select(*groups, "_i"), [*groups, "_i"], "left_semi"))
+        if fresh.isEmpty():
+            break
+        marked = cut(marked.union(fresh))
+        jump = cut(jump.join(jump.select(*groups, F.col("_i").alias("_to"), F.col("_to").alias("_next")), [*groups, "_to"]).select(*groups, "_i", F.col("_next").alias("_to")))
+    starts = marked.join(after, [*groups, "_i"]).join(rows.select(*groups, "_i", F.col("_k").alias("first"), "_p"), [*groups, "_i"])
+    last = rows.select(*groups, (F.col("_i") + 1).alias("_to"), F.col("_k").alias("last"), "_upto")
+    out = starts.join(last, [*groups, "_to"]).select(*groups, "_i", "first", "last", (F.col("_to") - F.col("_i")).alias("n"), (F.col("_upto") - F.col("_p")).alias("size"))
+    return running_total(out, groups, "_i", "_i", F.lit(1).cast("long"), "_c", block).select(*groups, (F.col("_c") - 1).alias("chunk"), "first", "last", "n", "size")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import stats
-from quillon.operators.graph import closure, components
+from quillon.operators.graph import closure, components, weakest_links
 
 from . import views as v
 from .registry import query
@@ -38,37 +37,11 @@ def connected_components(spark, sf_dir):
     return components(e, "a", "b")
 
 
-#: Edges of a group that one task may hold.
-MOST_EDGES = 5_000_000
-
-
-def _weakest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The smallest edge of the tree of largest weights that holds the smallest node: edges join from the largest down."""
-    if len(pdf) > MOST_EDGES:
-        raise ValueError(f"a group of {len(pdf)} edges; {MOST_EDGES} are the most")
-    parent, size, weakest = {}, {}, {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b, w in pdf.sort_values(["w", "a", "b"], ascending=[False, True, True])[["a", "b", "w"]].itertuples(index=False):
-        x, y = find(a), find(b)
-        if x != y:
-            parent[y] = x
-            size[x] = size.get(x, 1) + size.get(y, 1)
-            weakest[x] = w  # later edges are no larger
-    root = find(min(parent))
-    return pd.DataFrame({"grp": [int(pdf["grp"].iloc[0])], "nodes": [size[root]], "weakest": [round(float(weakest[root]), 6)]})
-
-
 @query("weakest_link")
 def weakest_link(spark, sf_dir):
-    """Weakest edge of a maximum spanning tree; a task holds the edges of one group, whose number is checked."""
+    """Weakest edge of a maximum spanning tree."""
     e = v.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("grp"), (F.col("l_partkey") % 15).alias("a"), (F.col("l_orderkey") % 15).alias("b"), (F.col("l_discount") + F.col("l_quantity") / 100).alias("w"))
-    return e.where("a < b").groupBy("grp", "a", "b").agg(F.max("w").alias("w")).groupBy("grp").applyInPandas(_weakest, "grp int, nodes int, weakest double")
+    return weakest_links(e.where("a < b")).select("grp", F.col("nodes").cast("int").alias("nodes"), v.r6("weakest").alias("weakest"))
 
 
 @query("neighbour_groups", "WITH e AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'P' || l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS node, count(*) AS size FROM u WHERE a <> b GROUP BY 1 HAVING count(*) >= 5")

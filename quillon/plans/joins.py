@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import stats
 from quillon.operators.graph import chain_ends, chain_root
-from quillon.operators.joins import interval_neighbours, jaccard_of_members, priority_lookup, strict_one_to_one
+from quillon.operators.joins import interval_neighbours, jaccard_of_members, nearest_lists, priority_lookup, strict_one_to_one
 
 from . import views as v
 from .registry import query
@@ -147,6 +147,17 @@ def interval_neighbours_query(spark, sf_dir):
     return interval_neighbours(e, 86400, 14400)
 
 
+@query(
+    "nearest_neighbours",
+    """WITH e AS (SELECT event_id AS id, user_id AS chrom, floor(epoch(ts))::BIGINT AS pos FROM events), g AS (SELECT a.id, b.id AS other, abs(a.pos - b.pos) AS gap FROM e a JOIN e b ON a.chrom = b.chrom AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, other) AS n FROM g)
+SELECT e.id, min(gap) AS nearest, coalesce(string_agg(other::VARCHAR, ',' ORDER BY gap, other) FILTER (n <= 20 AND gap <= 86400), '') AS list FROM e LEFT JOIN r USING (id) GROUP BY e.id""",
+)
+def nearest_neighbours(spark, sf_dir):
+    """The nearest other point however far, and up to 20 within a distance, in order."""
+    e = v.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("chrom"), F.unix_timestamp("ts").alias("pos"))
+    return nearest_lists(e, 86400).select("id", "nearest", F.array_join("list", ",").alias("list"))
+
+
 @query("two_sided_lookup", "SELECT a.n_name AS src, b.n_name AS dst, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation b ON b.n_nationkey = c_nationkey GROUP BY 1, 2")
 def two_sided_lookup(spark, sf_dir):
     """Names on both ends of an edge."""

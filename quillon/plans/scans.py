@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators.numbering import runs
+from quillon.operators.numbering import chunk_plan, runs
 from quillon.sources import formats
 
 from . import views as v
@@ -64,6 +64,21 @@ def consecutive_runs(spark, sf_dir):
     return runs(v.table(spark, sf_dir, "part"), ["p_type"], "p_partkey").select("p_type", "first", "last", "n")
 
 
+@query(
+    "bounded_chunks",
+    """WITH RECURSIVE s AS (SELECT p_type AS t, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS i, p_partkey AS k, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS z FROM part),
+p AS (SELECT *, sum(z) OVER (PARTITION BY t ORDER BY i)::BIGINT AS upto FROM s),
+n AS (SELECT a.t, a.i, coalesce(min(b.i), max(a.m)) AS nxt FROM (SELECT *, count(*) OVER (PARTITION BY t) AS m FROM p) a LEFT JOIN p b ON b.t = a.t AND b.i > a.i AND (b.i - a.i >= 24 OR b.upto - (a.upto - a.z) > 400) GROUP BY a.t, a.i),
+c AS (SELECT t, 0::BIGINT AS chunk, i, nxt FROM n WHERE i = 0 UNION ALL SELECT c.t, c.chunk + 1, n.i, n.nxt FROM c JOIN n ON n.t = c.t AND n.i = c.nxt)
+SELECT c.t AS p_type, chunk, min(k) AS first, max(k) AS last, count(*) AS n, sum(z)::BIGINT AS size FROM c JOIN p ON p.t = c.t AND p.i >= c.i AND p.i < c.nxt GROUP BY 1, 2""",
+)
+def bounded_chunks(spark, sf_dir):
+    """Columns of a kind in chunks of at most 24 columns with at most 400 stored values, at least one column each."""
+    stored = v.table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("z"))
+    columns = v.table(spark, sf_dir, "part").select("p_type", "p_partkey").join(stored, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return chunk_plan(columns, ["p_type"], "p_partkey", "z", 24, 400).select("p_type", "chunk", "first", "last", "n", "size")
+
+
 @query("value_sampler", "WITH t AS (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_suppkey LIMIT 5) SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_suppkey IN (SELECT l_suppkey FROM t) OR l_orderkey % 101 = 0) AND l_quantity <> 0")
 def value_sampler(spark, sf_dir):
     """Evenly spaced rows and the five fullest groups (sampling is the feature)."""
