@@ -122,7 +122,7 @@ def nested_loo(delta: DataFrame, similarity: DataFrame, alphas: list[float], k:
     most = apart.groupBy("pert").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).head().n
     # However many of a group's nearest are apart from a held-out group, k of the others are among the first k + most.
     near = similarity.select(F.col("a").alias("q"), F.col("b").alias("z"), F.col("w").cast("double").alias("w")).where("w > 0")
-    near = near.join(apart.select(F.col("pert").alias("q"), "z"), ["q", "z"], "left_anti").join(known.select(F.col("pert").alias("z")), "z", "left_semi")
+    near = near.join(apart.select(F.col("pert").alias("q"), "z"), ["q", "z"], "left_anti").join(known.select(F.col("pert").alias("z")), "z", "left_semi").join(known.select(F.col("pert").alias("q")), "q", "left_semi")
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("w"), "z"))).where(F.col("place") <= k + most)
     members = apart.select(F.col("pert").alias("q"), "z", F.lit(None).cast("double").alias("w"), F.lit(True).alias("apart")).unionByName(near.select("q", "z", "w", F.lit(False).alias("apart")))
     members = cut(members.join(sums.withColumnRenamed("pert", "z"), "z"))

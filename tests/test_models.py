@@ -85,6 +85,7 @@ def test_nested_loo_matches_a_double_loop(spark, hidden):
     hide = [{i} | ({(i + 1) % len(d)} if hidden else set()) for i in range(len(d))]
     alphas = [0.01, 1.0, 100.0, 10_000.0]
     frame = spark.createDataFrame([(i, j) for i, h in enumerate(hide) for j in h], "pert int, other int") if hidden else None
+    pairs = pairs.union(spark.createDataFrame([(50, 1, 0.9), (1, 50, 0.9), (51, 50, 0.9)], "a int, b int, w double"))  # groups without a profile
     got = sorted(map(tuple, nested.nested_loo(delta, pairs, alphas, 2, frame).collect()))
     want = brute_loo(d, similar, alphas, 2, hide)
     assert [g[:2] for g in got] == [w[:2] for w in want]
