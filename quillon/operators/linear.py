@@ -69,9 +69,9 @@ def forward_path(data: DataFrame, y: str, alpha: float) -> DataFrame:
     return data.sparkSession.createDataFrame(rows, "step int, column string, r double")
 
 
-def lasso_weights(g: np.ndarray, b: np.ndarray, lam: float, sweeps: int = 500) -> np.ndarray:
-    """Coordinate descent for 1/2 w'Gw - b'w + lam |w|."""
-    w = np.zeros(len(b))
+def lasso_weights(g: np.ndarray, b: np.ndarray, lam: float, sweeps: int = 500, start: np.ndarray | None = None) -> np.ndarray:
+    """Coordinate descent for 1/2 w'Gw - b'w + lam |w|, from zero or from start."""
+    w = np.zeros(len(b)) if start is None else start.copy()
     for _ in range(sweeps):
         before = w.copy()
         for k in range(len(b)):

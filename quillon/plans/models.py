@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import stats
-from quillon.operators import linear, nested, residuals
+from quillon.operators import linear, nested, residuals, selection
 
 from . import views as v
 from .registry import query
@@ -90,6 +90,48 @@ def lasso_path(spark, sf_dir):
     return linear.lasso_path(linear.design(v.loo_mean(v.delta_view(spark, sf_dir))), "y", [1.0, 0.3, 0.1, 0.03, 0.01])
 
 
+COLUMNS = ["pred", "control", "cells", "product", "square", "level"]
+
+
+def _folded(spark, sf_dir):
+    """The design with its group, and the groups dealt to four folds."""
+    return linear.design(v.loo_mean(v.delta_view(spark, sf_dir)), "pert").withColumn("fold", (F.col("pert") % 4).cast("int"))
+
+
+@query("subset_scores")
+def subset_scores(spark, sf_dir):
+    """Each column alone and the full model without it, from moments by group and fold."""
+    rows = selection.Subsets(_folded(spark, sf_dir), "pert", "fold", COLUMNS, "y", 1.0).single_and_drop_one()
+    return spark.createDataFrame([(c, *(round(x, 6) for x in r)) for c, *r in rows], "column string, single double, full double, drop_one double")  # a row a column
+
+
+@query("greedy_paths")
+def greedy_paths(spark, sf_dir):
+    """Forward and backward paths over the same memo of scored subsets."""
+    engine = selection.Subsets(_folded(spark, sf_dir), "pert", "fold", COLUMNS, "y", 1.0)
+    rows = [(kind, size, c, round(r, 6)) for kind in ("forward", "backward") for size, c, r in engine.path(kind == "forward")]
+    return spark.createDataFrame(rows, "path string, size int, column string, score double")  # a row a step
+
+
+@query("lasso_cv")
+def lasso_cv(spark, sf_dir):
+    """Out-of-fold error of a lasso over a grid of penalties, and the one that is chosen."""
+    grid, k, _ = selection.lasso_cv(_folded(spark, sf_dir), "fold", COLUMNS, "y")
+    return spark.createDataFrame([(round(a, 9), round(e, 9), i == k) for i, (a, e) in enumerate(grid)], "penalty double, mse double, chosen boolean")  # a row a penalty
+
+
+@query("lasso_stability")
+def lasso_stability(spark, sf_dir):
+    """How often halves of the groups keep each column at the chosen penalty."""
+    return selection.lasso_stability(_folded(spark, sf_dir), "pert", "fold", COLUMNS, "y")
+
+
+@query("column_rank")
+def column_rank(spark, sf_dir):
+    """Rank, effective rank and condition of a design with a copy, a mirrored scale and a constant."""
+    return selection.column_rank(_columns(spark, sf_dir).drop("pert"), [*COLUMNS, "copy", "scaled", "fixed"])
+
+
 @query("redundancy", "WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem) SELECT 'quantity' AS i, 'extendedprice' AS j, abs(a) >= 0.9 AS clustered, round(a, 6) AS r FROM c UNION ALL SELECT 'quantity', 'discount', abs(b) >= 0.9, round(b, 6) FROM c UNION ALL SELECT 'extendedprice', 'discount', abs(c) >= 0.9, round(c, 6) FROM c")
 def redundancy(spark, sf_dir):
     """Column pairs that belong to one cluster."""
@@ -159,6 +201,13 @@ def stacking(spark, sf_dir):
     return g.crossJoin(F.broadcast(t)).select("pert", v.r6((F.col("tpt") - F.col("pt")) / (F.col("tpp") - F.col("pp") + 0.5)).alias("w"))  # one row
 
 
+@query("stacking_choice")
+def stacking_choice(spark, sf_dir):
+    """Every group predicted by a stack of the others, whose penalty they choose among themselves."""
+    d = linear.design(v.loo_mean(v.delta_view(spark, sf_dir)), "pert")
+    return selection.stacks(d, "pert", ["pred", "control", "product"], "y", ALPHAS).withColumnRenamed("group", "pert")
+
+
 @query("kernel_ridge_loo")
 def kernel_ridge_loo(spark, sf_dir):
     """Kernel ridge over groups with closed-form leave-one-out errors for a penalty grid."""
