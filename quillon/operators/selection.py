@@ -39,7 +39,7 @@ def summed(moments: DataFrame, keys: list[str], size: int) -> dict:
     """Moments added up by keys, as matrices: one for each value of the keys reaches the driver."""
     rows = moments.select(*keys, F.posexplode("m").alias("p", "x")).groupBy(*keys, "p").agg(F.sum("x").alias("x"))
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("v")).select(*keys, F.col("v.x").alias("x"))
-    return {tuple(r[k] for k in keys): square(r["x"], size) for r in listed.collect()}
+    return {tuple(r[k] for k in keys): square(r["x"], size) for r in listed.collect() if r["x"]}
 
 
 def centred(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -283,8 +283,8 @@ def column_rank(data: DataFrame, columns: list[str]) -> DataFrame:
     means = data.agg(*(F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in columns)).head()
     about = data.select(*((F.col(c).cast("double") - F.lit(means[c] or 0.0)).alias(c) for c in columns))  # sums about the means keep their places
     moments = moment_table(about, [], columns, columns[0])
-    m = square(moments.head()["m"] or [0.0] * ((len(columns) + 2) * (len(columns) + 3) // 2), len(columns) + 2)
-    if m[0, 0] <= 0:
+    m = square(moments.head()["m"], len(columns) + 2)
+    if not m[0, 0] > 0:  # NULL without rows
         return spark.createDataFrame([(len(columns), len(columns), 0, 0.0, None, [])], schema)
     n, _, c = centred(m)
     sd = _spread(n, np.array([*(means[x] or 0.0 for x in columns), 0.0]), c)
