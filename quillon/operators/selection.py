@@ -232,11 +232,11 @@ def stacks(data: DataFrame, group: str, columns: list[str], y: str, alphas: list
     kind = moments.schema["group"].dataType.simpleString()
     parts = moments.count() // HELD + 1
     whole = sum(summed(moments, [], size).values())
-    every = moments.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    every = moments.select(F.col("group").alias("name"), "m", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     mine = moments.select("group", F.pmod(F.xxhash64("group"), F.lit(parts)).cast("int").alias("part"))
 
     def run(held: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        names = rows["group"].tolist()
+        names = rows["name"].tolist()
         m = np.array([square(x, size) for x in rows["m"]]).reshape(-1, size, size)
         c = np.array([centred(x)[2] for x in m])
         out = []
