@@ -22,7 +22,9 @@ from ._common import salted_join, stage, unstage
 #: Members of a block; a task holds the payloads of two blocks at most (about 1.5 times that by chance).
 BLOCK = 256
 #: Rows of keys that a task holds before it lets go of those it has settled.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
+#: Bytes of payloads that are decoded and compared at once; a task with more compares parts of its members with each other.
+BYTES = 32 << 20
 
 _LARGEST = np.iinfo(np.int64).max
 
@@ -166,6 +168,16 @@ def _runner(verify: Verify, decode, with_prev: bool, unordered: bool):
         def check(i, j, col, payload):
             used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
             back = back.reshape(2, -1)
+            size = np.cumsum([payload[u].as_buffer().size for u in used.tolist()])
+            if size[-1] > BYTES and len(used) > 2:
+                part = np.minimum((size - 1) // (BYTES // 2), np.arange(len(used)))  # a member larger than a part is a part
+                part = np.unique(part, return_inverse=True)[1]
+                of = part[back]
+                pairs = of.min(0) * (part[-1] + 1) + of.max(0)
+                if pairs.min() != pairs.max():
+                    for p in np.unique(pairs):
+                        yield from check(i[pairs == p], j[pairs == p], col, payload)
+                    return
             similar = verify(decode([payload[u].as_buffer() for u in used.tolist()]), back[0], back[1])
             ok = similar >= 0
             if ok.any():

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from quillon.llm import _simjoin
 from quillon.llm._common import salted_join
 from quillon.llm._simjoin import _met, connected_components
 
@@ -62,3 +63,28 @@ def test_salted_join_with_a_hot_key(spark):
     assert got.columns == ["k", "g", "id", "v"] and sorted(r.id for r in got.collect()) == list(range(3000)) and all(r.v == f"{r.k}-{r.g}" for r in got.collect())
     assert salted_join(a, b, ["k", "g"], "id", "n", how="left").count() == 3002
     assert salted_join(a, b.limit(0), ["k", "g"], "id", "n").count() == 0
+
+
+def test_large_payloads_are_compared_in_parts(spark, monkeypatch):
+    """The same links, whether a task's sets are decoded at once or some bytes at a time."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, (4, 300))
+    sets = [np.unique(np.where(rng.random(300) < 0.03, rng.integers(0, 1 << 60, 300), base[k % 4])).astype(np.uint64) for k in range(40)]
+    rows = [(7, k, 1, 0, 0, 0, 5, np.array([5], np.int64).tobytes(), s.tobytes()) for k, s in enumerate(sets)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["task", "id", "weight", "part", "i", "j", "key", "keys", "payload"])
+    decode = lambda buffers: [np.frombuffer(b, np.uint64) for b in buffers]
+
+    def links():
+        out = {}
+        for b in _simjoin._runner(_simjoin.jaccard_verify(0.8), decode, False, False)(iter([batch])):
+            for i, n in zip(b.column("id").to_pylist(), b.column("links").to_pylist()):
+                out[i] = out.get(i, 0) + n
+        return out
+
+    whole = links()
+    assert len(whole) == 41 and whole[0] == 9
+    for most in (20_000, 5_000, 100):
+        monkeypatch.setattr(_simjoin, "BYTES", most)
+        assert links() == whole
