@@ -1,10 +1,13 @@
 """Embedding near-duplicates by a pivot-permutation index (operator 10).
 
 Reference points (pivots) are vectors of the table itself, the first by a hash: a documented sample of
-4 sqrt(n), between LEAST_PIVOTS and MOST_PIVOTS, without those near an earlier one. Every vector is described by its PREFIX nearest pivots in
+4 sqrt(n), between LEAST_PIVOTS and MOST_PIVOTS, without those near an earlier one. Every vector is described by its nearest pivots in
 order. It enters an inverted list for each pair of its first HEAD pivots (and its label); vectors that meet in a
-list and share at least SHARED of their PREFIX pivots are candidates, verified by the cosine in double
-precision. The index is approximate only in what it retrieves (recall is measured in the tests); no list is capped.
+list and share at least SHARED of their first HEAD + MORE pivots are candidates, verified by the cosine in double
+precision. Where vectors lean to one side, as text embeddings do, the mean of their unit vectors is subtracted before pivots are ranked
+(the cosine that is verified stays that of the vectors): else few pivots near the mean would be everybody's. The rest of a pair at the threshold t with mean cosine c
+has the cosine (t - c) / (1 - c); the lower it is and the more pivots there are, the more pivots a vector enters with. Where it is below LEAN,
+nearly all vectors are near each other, and the raw vectors are ranked. The index is approximate only in what it retrieves (recall is measured in the tests); no list is capped.
 
 Defined cases: equal vectors of a label are one class, whose members link with each other. Vectors that are null, empty,
 zero, or hold null or non-finite components, and rows with a null label, link with nothing, and so do vectors
@@ -14,6 +17,8 @@ Repeated rows count as vectors of their own. Components may have any finite size
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +27,9 @@ from pyspark.sql import functions as F
 from ._common import BASE, mix64, salted_join, stage, table
 from ._simjoin import bucket_join, connected_components, meeting
 
-THRESHOLD, PREFIX, HEAD, SHARED = 0.93, 10, 6, 3
+THRESHOLD, MORE, SHARED = 0.93, 4, 3
+#: Pivots that a vector enters lists with: at the threshold of an isotropic table, at most, and for each unit that the rest's cosine is lower; the least cosine of the rest.
+HEAD, MOST_HEAD, STEEP, LEAN = 6, 16, 28, 0.5
 LEAST_PIVOTS, MOST_PIVOTS, APART, SEED = 128, 4096, 0.8, 5
 
 
@@ -32,15 +39,54 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _pivots(sample: list[list[float]], length: int, count: int) -> np.ndarray:
-    """Unit pivots of one vector length: the sample's, without those that lie APART or nearer to an earlier one, and seeded random ones up to LEAST_PIVOTS.
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(length, place, n, x): the sums of a partition's unit vectors."""
+    own: dict[int, np.ndarray] = {}
+    for b in batches:
+        for lo in range(0, b.num_rows, 1024):
+            vectors = b.column("embedding").slice(lo, 1024).to_pylist()
+            for length in {len(v) for v in vectors}:
+                m = _unit(np.array([v for v in vectors if len(v) == length], np.float64))
+                own[length] = own.get(length, 0) + np.append(m.sum(0), len(m))
+    for length, x in own.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(length, length)), pa.array(np.arange(length)), pa.array(np.full(length, int(x[-1]))), pa.array(x[:-1])], ["length", "place", "n", "x"])
+
+
+def _lean(classes: DataFrame, lengths: list[int], threshold: float, count: int) -> dict[int, tuple[np.ndarray, int]]:
+    """For each vector length what is subtracted from unit vectors, and how many pivots a vector enters lists with."""
+    summed = classes.where(F.size("embedding").isin(lengths)).select("embedding").mapInArrow(_sums, "length long, place long, n long, x double")
+    rows = summed.groupBy("length", "place").agg((F.sum("x") / F.sum("n")).alias("x")).collect()  # a row a dimension
+    means = {length: np.zeros(length) for length in lengths}
+    for r in rows:
+        means[r.length][r.place] = r.x
+    out = {}
+    for length, mean in means.items():
+        c = float(mean @ mean)
+        rest = (threshold - c) / (1 - c) if c < 1 else 0.0
+        if rest < LEAN:
+            mean, rest = np.zeros(length), threshold
+        out[length] = (mean, min(MOST_HEAD, int(np.ceil(HEAD + STEEP * max(0.0, threshold - rest - 0.01) + max(0.0, np.log2(max(count, 1) / 2048))))))
+    return out
+
+
+def _from(unit: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Unit vectors' directions from the mean."""
+    if not mean.any():
+        return unit
+    rest = unit - mean
+    return rest / np.maximum(np.linalg.norm(rest, axis=1, keepdims=True), 1e-300)
+
+
+def _pivots(sample: list[list[float]], mean: np.ndarray, count: int) -> np.ndarray:
+    """Unit pivots of one vector length, from the mean: the sample's, without those that lie APART or nearer to an earlier one, and seeded random ones up to LEAST_PIVOTS.
 
     So a large group of near copies has one pivot and not a share of them, whose order among each other would say nothing.
     """
+    length = len(mean)
     own = [v for v in sample if len(v) == length]
     kept = np.zeros((0, length))
     if own:
-        m = _unit(np.array(own, np.float64))
+        m = _from(_unit(np.array(own, np.float64)), mean)
         near, stay = m @ m.T, np.ones(len(m), bool)
         for k in range(len(m)):
             if stay[k]:
@@ -50,26 +96,31 @@ def _pivots(sample: list[list[float]], length: int, count: int) -> np.ndarray:
     return np.concatenate([kept, _unit(np.random.default_rng(SEED).standard_normal((more, length)))]) if more else kept
 
 
-def _describer(sample: list[list[float]], count: int):
+def _describer(sample: list[list[float]], count: int, lean: dict[int, tuple[np.ndarray, int]]):
     schema = pa.schema([("id", pa.int64()), ("key_list", pa.list_(pa.int64())), ("keys", pa.binary()), ("payload", pa.binary())])
     pivots: dict[int, np.ndarray] = {}
+    # Keys and places are as many for every vector; a length that enters with fewer pivots repeats its last pair and has empty places.
+    most = max((head for _, head in lean.values()), default=HEAD)
 
     def describe(unit: np.ndarray, label: np.ndarray):
         n, length = unit.shape
+        mean, head = lean.get(length) or (np.zeros(length), HEAD)
         if length not in pivots:
-            pivots[length] = _pivots(sample, length, count)
+            pivots[length] = _pivots(sample, mean, count)
         p = pivots[length]
-        near = unit @ p.T
-        m = min(PREFIX, len(p))
+        near = _from(unit, mean) @ p.T
+        prefix, all_places = head + MORE, most + MORE
+        m = min(prefix, len(p))
         top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(p) else np.tile(np.arange(m), (n, 1))
         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-        if m < PREFIX:
-            top = np.concatenate([top, np.full((n, PREFIX - m), -1)], axis=1)
-        a, b = np.triu_indices(min(HEAD, max(m, 2)), 1)
+        if m < all_places:
+            top = np.concatenate([top, np.full((n, all_places - m), -1)], axis=1)
+        a, b = np.triu_indices(min(head, max(m, 2)), 1)
         low, high = np.minimum(top[:, a], top[:, b]), np.maximum(top[:, a], top[:, b])
         code = (low + 1).astype(np.uint64) * np.uint64(1 << 20) + (high + 1).astype(np.uint64)
         keys = mix64(code * np.uint64(BASE) + mix64(label.astype(np.int64).view(np.uint64) + np.uint64(length << 32))[:, None]).view(np.int64)
-        return top.astype(np.int32), keys
+        width = most * (most - 1) // 2
+        return top.astype(np.int32), np.concatenate([keys, np.repeat(keys[:, -1:], width - keys.shape[1], axis=1)], axis=1)
 
     def run(batches):
         for b in batches:
@@ -88,20 +139,26 @@ def _describer(sample: list[list[float]], count: int):
     return run
 
 
-def _decode(buffers) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.frombuffer(b, np.int32, PREFIX), np.frombuffer(b, np.float64, offset=4 * PREFIX)) for b in buffers]
+def _decoder(places: int):
+    def decode(buffers) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.frombuffer(b, np.int32, places), np.frombuffer(b, np.float64, offset=4 * places)) for b in buffers]
+
+    return decode
 
 
 def _verifier(threshold: float, shared: int):
     def verify(members, i, j):
         tops = np.stack([m[0] for m in members])
-        unit = np.stack([m[1] for m in members])
+        unit = np.zeros((len(members), max(len(m[1]) for m in members)))
+        for k, m in enumerate(members):  # of several lengths, whose pairs never meet
+            unit[k, : len(m[1])] = m[1]
         out = np.full(len(i), -1.0)
-        for x in range(0, len(i), 1 << 14):
-            a, b = tops[i[x : x + (1 << 14)]], tops[j[x : x + (1 << 14)]]
+        step = max(1, (1 << 20) // max(unit.shape[1], tops.shape[1] ** 2 // 8))
+        for x in range(0, len(i), step):
+            a, b = tops[i[x : x + step]], tops[j[x : x + step]]
             common = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any(2).sum(1)
-            cosine = np.einsum("nd,nd->n", unit[i[x : x + (1 << 14)]], unit[j[x : x + (1 << 14)]])
-            out[x : x + (1 << 14)] = np.where((common >= np.minimum(shared, (a >= 0).sum(1))) & (cosine >= threshold), np.minimum(cosine, 1.0), -1.0)
+            cosine = np.einsum("nd,nd->n", unit[i[x : x + step]], unit[j[x : x + step]])
+            out[x : x + step] = np.where((common >= np.minimum(shared, (a >= 0).sum(1))) & (cosine >= threshold), np.minimum(cosine, 1.0), -1.0)
         return out
 
     return verify
@@ -117,12 +174,14 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, shared: in
     n = classes.count()
     count = pivots or int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 4 * n**0.5)))
     sample = [r.embedding for r in classes.orderBy(F.xxhash64("cls", F.lit(SEED)), "cls").select("embedding").limit(count).collect()]  # MOST_PIVOTS rows at most
-    described = stage(classes.select(F.col("cls").alias("id"), "label", "embedding").mapInArrow(_describer(sample, count), "id long, key_list array<long>, keys binary, payload binary"), "op10-index")
+    lean = _lean(classes, sorted({len(v) for v in sample}), threshold, count)
+    places = max((head for _, head in lean.values()), default=HEAD) + MORE
+    described = stage(classes.select(F.col("cls").alias("id"), "label", "embedding").mapInArrow(_describer(sample, count, lean), "id long, key_list array<long>, keys binary, payload binary"), "op10-index")
 
     def items(ids: DataFrame) -> DataFrame:
         return described.drop("key_list").join(ids, "id", "left_semi").join(classes.select(F.col("cls").alias("id"), "weight"), "id")
 
-    links = bucket_join(items, _verifier(threshold, shared), _decode, meeting(described.select("id", F.explode(F.array_distinct("key_list")).alias("key")), "op10", once=True), "op10", unordered=True).where("id is not null")
+    links = bucket_join(items, _verifier(threshold, shared), _decoder(places), meeting(described.select("id", F.explode(F.array_distinct("key_list")).alias("key")), "op10", once=True), "op10", unordered=True).where("id is not null")
     by_class = links.groupBy(F.col("id").alias("cls")).agg(F.sum("links").alias("links"))
     groups = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "op10").withColumnRenamed("id", "cls")
     per = classes.select("cls", "least", "weight").join(by_class, "cls", "left").join(groups, "cls", "left")

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from quillon.llm.embedding_dedup import near_vectors
 
@@ -115,3 +116,38 @@ def test_recall_in_a_large_group_of_near_copies(spark):
     there = sum(map(len, want.values()))
     assert there > 1_000_000 and sum(r.n_links for r in got.values()) / there >= 0.9
     assert sum(r.kept for r in got.values()) == 1 + 2400
+
+
+@pytest.mark.parametrize("lean", [0.4, 0.6, 0.7, 0.8, 0.9])
+def test_recall_where_vectors_lean_to_one_side(spark, lean):
+    """Mean cosines as text embeddings have them; half of the pairs lie just above the threshold."""
+    rng = np.random.default_rng(int(lean * 10))
+    mean = np.eye(64)[0]
+
+    def vectors(n):
+        r = rng.standard_normal((n, 64))
+        r[:, 0] = 0
+        return math.sqrt(lean) * mean + math.sqrt(1 - lean) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+    n = 6000 if lean < 0.9 else 700
+    a = vectors(n)
+    b = rng.standard_normal((n // 6, 64))
+    b -= a[: len(b)] * (a[: len(b)] * b).sum(1, keepdims=True)
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.935 * a[: len(b)] + math.sqrt(1 - 0.935**2) * b
+    rows = [(k, v.tolist(), 1, 0) for k, v in enumerate(np.concatenate([a, near]))]
+    want = sum(map(len, brute(rows).values()))
+    got = sum(r.n_links for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert want >= n // 3 and 0.9 <= got / want <= 1
+
+
+def test_several_lengths_lean_apart(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for length, shift in ((16, 0.0), (24, 3.0)):
+        m = rng.standard_normal((300, length)) + shift
+        m[150:] = m[:150] + rng.standard_normal((150, length)) * 0.02
+        rows += [(len(rows) + k, v.tolist(), 1, 0) for k, v in enumerate(m)]
+    want = sum(len(v) for n in (16, 24) for v in brute([r for r in rows if len(r[1]) == n]).values())
+    got = sum(r.n_links for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert want >= 600 and 0.97 <= got / want <= 1
