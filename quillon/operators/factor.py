@@ -29,9 +29,9 @@ CELLS, REPLICATES, FAN = 1 << 21, 8, 4
 
 def matrix_rows(long: DataFrame, row: str, column: str, value: str) -> tuple[DataFrame, list]:
     """(row, at, x): the values of each row by the places of its columns, and the columns' names in order. NULL and NaN count as 0, values of one cell are added."""
+    long = cut(long.select(row, column, value))
     x = F.col(value).cast("double")
     cells = long.where(x.isNotNull() & ~F.isnan(x)).groupBy(F.col(row).alias("row"), F.col(column).alias("column")).agg(F.sum(x).alias("x"))
-    cells = cut(cells)
     names = sorted(r[0] for r in long.select(column).distinct().collect())  # one name a column
     kind = long.schema[column].dataType.simpleString()
     places = long.sparkSession.createDataFrame(list(zip(names, range(len(names)))), f"column {kind}, at int")

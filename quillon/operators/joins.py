@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def strict_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join of tables with the same keys, once each; any other key fails the query."""
+    """Inner join of tables with the same keys, once each; any other key, NULL among them, and any repeated one fails the query."""
     both = left.withColumn("_l", F.lit(1)).join(right.withColumn("_r", F.lit(1)), key, "full_outer")
-    missing = F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.raise_error(F.concat(F.lit("key on one side only: "), F.col(key).cast("string"))))
-    return both.where(missing.cast("string").isNull()).drop("_l", "_r")
+    both = both.withColumn("_n", F.count("*").over(Window.partitionBy(key)))  # dealt by the key already
+    name = F.coalesce(F.col(key).cast("string"), F.lit("NULL"))
+    wrong = F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.raise_error(F.concat(F.lit("key on one side only: "), name))).when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("key more than once: "), name)))
+    return both.where(wrong.cast("string").isNull()).drop("_l", "_r", "_n")
 
 
 def priority_lookup(labels: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -48,8 +50,6 @@ def interval_neighbours(points: DataFrame, reach: int, close: int) -> DataFrame:
 
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
     """left with the last value of right at or before its time, by a union and a running last value (no range join)."""
-    from pyspark.sql import Window
-
     a = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"))
     b = right.select(*by, at, F.col(value).alias("_v"), F.lit(0).alias("_side"))
     w = Window.partitionBy(*by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
@@ -64,8 +64,6 @@ def nearest_lists(points: DataFrame, reach: int, most: int = 20, block: int = 10
     Positions are ranked and dealt to blocks of consecutive ones, each with the `most` positions before and after it from its neighbours: no
     point lies beyond these in its list. Of the points at one position the first `most` + 1 ids are enough. A position may hold any part of the points.
     """
-    from pyspark.sql import Window
-
     from .graph import cut
     from .numbering import value_ranks
 

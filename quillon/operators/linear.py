@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .factor import sign_of
+from .graph import cut
 
 
 def ridge_two(data: DataFrame, keys: list[str], alpha: float) -> DataFrame:
@@ -137,7 +138,7 @@ GROUP_BLOCK = 256
 def _block_pairs(rows: DataFrame, value: str, block: int, made: str, of_block):
     """of_block(left, right, both masks) over square blocks of groups: each row of the long table is read once a block of groups, not
     once a group. Yields (p, q) and the columns `made`, both orders; of_block gets matrices with 0 where a measure is missing."""
-    d = rows.select("pert", "gene", F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    d = cut(rows.select("pert", "gene", F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)"))  # counted and multiplied
     parts = d.select("pert").distinct().agg(F.count("*").alias("n")).head().n // block + 1
     dealt = d.withColumn("part", F.pmod(F.xxhash64("pert"), F.lit(parts)).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
@@ -181,10 +182,11 @@ def group_correlations(rows: DataFrame, value: str = "delta", block: int = GROUP
 
 def _group_matrix(delta: DataFrame) -> tuple[list[int], np.ndarray]:
     """Kernel of the groups: inner products of their deltas, multiplied on executors; groups x groups values, checked, reach the driver."""
-    n = delta.agg(F.count_distinct("pert").alias("n")).head().n
-    if n * n > MOST_CELLS:
-        raise ValueError(f"{n} groups have more than {MOST_CELLS} pairs")
-    k = group_products(delta).toPandas()
+    products = cut(group_products(delta))
+    n = products.count()
+    if n > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} pairs of groups")
+    k = products.toPandas()
     m = k.pivot(index="p", columns="q", values="k").sort_index().sort_index(axis=1)
     return [int(i) for i in m.index], m.to_numpy()
 
@@ -196,8 +198,9 @@ def kernel_ridge_loo(delta: DataFrame, lambdas: list[float]) -> DataFrame:
     """
     groups, k = _group_matrix(delta)
     rows, mean = [], {}
+    values, u = np.linalg.eigh(k)  # serves all penalties
     for lam in lambdas:
-        h = k @ np.linalg.inv(k + lam * np.eye(len(k)))
+        h = (u * (values / (values + lam))) @ u.T
         e = (np.eye(len(k)) - h) / (1 - np.diag(h))[:, None]
         squares = np.maximum(np.einsum("ij,jk,ik->i", e, k, e), 0)
         mean[lam] = squares.mean()

@@ -103,6 +103,7 @@ def nested_loo(delta: DataFrame, similarity: DataFrame, alphas: list[float], k:
     of its neighbours and its hidden groups among each other.
     """
     kind = delta.schema["pert"].dataType.simpleString()
+    delta = cut(delta.select("pert", "gene", "delta"))
     x = F.col("delta").cast("double")
     known = cut(delta.groupBy("pert").agg(F.coalesce(F.sum(F.when(~F.isnan(x), x)), F.lit(0.0)).alias("s")))
     n = known.count()

@@ -176,7 +176,11 @@ def lasso_fit(m: np.ndarray, grid: np.ndarray, sd: np.ndarray | None = None) ->
 def lasso_cv(data: DataFrame, fold: str, columns: list[str], y: str, count: int = 30, ratio: float = 1e-3) -> tuple[list[tuple[float, float]], int, np.ndarray]:
     """([(penalty, mean squared error)], place of the chosen one, moments of all rows). Each fold is predicted by a fit on the others, standardised
     by the others; errors are averaged over the folds, and of equal ones the larger penalty is chosen."""
-    own = summed(moment_table(data, [fold], columns, y), [fold], len(columns) + 2)
+    return _cv(moment_table(data, [fold], columns, y), fold, columns, count, ratio)
+
+
+def _cv(moments: DataFrame, fold: str, columns: list[str], count: int, ratio: float) -> tuple[list[tuple[float, float]], int, np.ndarray]:
+    own = summed(moments, [fold], len(columns) + 2)
     if not own:
         return [], 0, np.zeros((len(columns) + 2,) * 2)
     total = sum(own.values())
@@ -208,12 +212,12 @@ def lasso_stability(data: DataFrame, group: str, fold: str, columns: list[str],
     its mean absolute weight there; by frequency, then magnitude, then name. The halves' columns are scaled by the deviations over all rows."""
     spark = data.sparkSession
     schema = "place int, column string, frequency double, magnitude double, penalty double"
-    grid, k, total = lasso_cv(data, fold, columns, y, count)
+    moments = cut(moment_table(data, [group, fold], columns, y).withColumnsRenamed({group: "group", fold: "fold"}))
+    grid, k, total = _cv(moments, "fold", columns, count, 1e-3)
     if not grid:
         return spark.createDataFrame([], schema)
     sd = _spread(*centred(total))
-    moments = cut(moment_table(data, [group], columns, y).withColumnRenamed(group, "group"))
-    halves = summed(half_samples(moments.select("group"), replicates).join(moments, "group"), ["replicate"], len(columns) + 2)
+    halves = summed(half_samples(moments.select("group").distinct(), replicates).join(moments, "group"), ["replicate"], len(columns) + 2)
     path = np.array([a for a, _ in grid[: k + 1]])
     weights = np.array([lasso_fit(m, path, sd)[0][-1] for m in halves.values()]).reshape(-1, len(columns))
     kept, size = (np.abs(weights) > 1e-12).sum(0) / max(len(halves), 1), np.abs(weights).mean(0) if len(weights) else np.zeros(len(columns))

@@ -83,8 +83,8 @@ def first_column(df: DataFrame, names: list[str]) -> str:
 
 
 def symbol_column(df: DataFrame, index: str, symbol: str) -> Column:
-    """index, unless over half of its first 1,000 values look like accession ids and a symbol column exists."""
-    share = df.limit(1000).agg(F.avg(F.col(index).rlike("^ENS[A-Z]*\\d{6,}").cast("int")).alias("s")).head().s or 0
+    """index, unless over half of its values look like accession ids and a symbol column exists."""
+    share = df.agg(F.avg(F.col(index).rlike("^ENS[A-Z]*\\d{6,}").cast("int")).alias("s")).head().s or 0
     return F.col(symbol) if share > 0.5 and symbol in df.columns else F.col(index)
 
 

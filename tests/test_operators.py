@@ -38,6 +38,10 @@ def test_strict_join_fails_on_a_missing_key(spark):
     assert strict_one_to_one(a.where("k = 1"), b, "k").collect()[0].b == "z"
     with pytest.raises(Exception, match="one side"):
         strict_one_to_one(a, b, "k").collect()
+    twice = spark.createDataFrame([(1, "x"), (1, "y")], "k int, a string")
+    for left, right in ((twice, b.where("k = 1")), (b.where("k = 1"), twice)):
+        with pytest.raises(Exception, match="more than once"):
+            strict_one_to_one(left, right, "k").collect()
 
 
 def test_as_of_join(spark):
