@@ -175,7 +175,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     repeated = stage(repeated.select("lid", "n", F.coalesce("component", "lid").alias("component"), F.struct(F.col("at_doc").alias("doc_id"), F.col("at_txt").alias("txt"), F.col("at_line").alias("line")).alias("place")), "op1-repeated", compact=True)
     first = repeated.groupBy("component").agg(F.min("place").alias("stays"), F.count("*").alias("lines"))
     gone = stage(salted_join(repeated, first, ["component"], "lid", "lines", total=repeated.count()).select("lid", "n", "stays"), "op1-gone", compact=True)
-    out = salted_join(places, gone, ["lid"], "doc_id", "n")  # copies have one txt.where("struct(doc_id, txt, line) <> stays")
+    # Spread by document: copies of a document have one txt.
+    out = salted_join(places, gone, ["lid"], "doc_id", "n").where("struct(doc_id, txt, line) <> stays")
     lost = stage(out.groupBy("doc_id", "txt").agg(F.collect_set("line").alias("removed")), "op1-removed")  # lines of one document
     for t in (scanned, known, links, repeated, gone):
         unstage(t)
