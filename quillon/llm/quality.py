@@ -3,9 +3,9 @@
 A document is a bag of passages of PASSAGE words (white-space runs; the last may be shorter). Every passage is
 encoded from character and word statistics by a small tanh layer; gated attention weighs the passages and a
 logistic unit scores their weighted sum. Document labels alone train all layers (Adam, on the
-driver) on a bounded sample: the TRAIN_DOCS labelled documents that come first by a hash of their id, of those that
-are not held out, whatever their length; of a document with more than TRAIN_PASSAGES passages the fit uses that many,
-spread evenly over the whole text. Scoring reads every passage of every whole text.
+driver) on a bounded sample of whole documents: of those that are not held out the TRAIN_DOCS labelled ones that come
+first by a hash of their id; one of these is left out if the sample would hold more than TRAIN_PASSAGES passages with it.
+The fit uses every passage of a document of the sample. Scoring reads every passage of every whole text.
 
 Defined cases: a null or empty text is one passage of zeros, scored like any other. A row with a null id is
 scored, and held_out is false. Labels other than 0 and 1 are not used. Without labels of both classes
@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ._common import chunks, span_hashes, table
+from ._common import chunks, span_hashes, stage, table
 
 PASSAGE, HASHED = 64, 24
-TRAIN_DOCS, TRAIN_PASSAGES = 4000, 64
+#: The sample's documents and, over all of them, its passages (64 MB of features, 25 million words).
+TRAIN_DOCS, TRAIN_PASSAGES = 4000, 400_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY, SEED = 16, 8, 25, 128, 0.01, 1e-4, 13
 FEATURES = 16 + HASHED
 
@@ -157,8 +158,7 @@ class AttentionBag:
             self.prior = (float(y.sum()) + 1) / (len(y) + 2)
             return self
         rng = np.random.default_rng(SEED)
-        x = x.astype(np.float64)
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+        self.mean, self.scale = x.mean(0, dtype=np.float64), np.maximum(x.std(0, dtype=np.float64), 1e-3)
         weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -183,48 +183,42 @@ def _remainder(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def spread(passages: np.ndarray, most: int) -> np.ndarray:
-    """At most `most` of the rows, evenly spaced from the first to the last."""
-    return passages if len(passages) <= most else passages[np.arange(most) * (len(passages) - 1) // (most - 1)]
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The passages of each text as one row of bytes, and their number."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 64):
+            part = b.slice(lo, 64)
+            x, counts = passage_features([t or "" for t in part.column("text").to_pylist()])
+            bags = pa.array([p.tobytes() for p in np.split(x, np.cumsum(counts)[:-1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), bags, pa.array(counts)], names=["doc_id", "quality", "x", "n"])
 
 
-def _encoder(most: int):
-    schema = pa.schema([("quality", pa.int32()), ("x", pa.binary())])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
-                x, counts = passage_features([t or "" for t in part.column("text").to_pylist()])
-                bags = np.split(x, np.cumsum(counts)[:-1])
-                yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array([spread(p, most).tobytes() for p in bags], pa.binary())], schema=schema)
-
-    return encode
-
-
-def _with_id(encode):
-    """encode, with the column doc_id put back beside each row."""
-
-    def run(batches):
-        for b in batches:
-            made = pa.Table.from_batches(list(encode([b]))) if b.num_rows else None
-            if made is not None:
-                yield from made.append_column("doc_id", [b.column("doc_id")]).combine_chunks().to_batches()
-
-    return run
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """Places of the sizes, in order, that are taken as long as all taken ones sum up to at most `most`."""
+    taken, total = [], 0
+    for k, n in enumerate(sizes):
+        if total + n <= most:
+            taken.append(k)
+            total += n
+    return taken
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES) -> AttentionBag:
-    """Fit on at most train_docs labelled documents that are not held out, and at most train_passages (2 or more) passages of each."""
+    """Fit on at most train_docs whole labelled documents that are not held out, with at most train_passages passages together."""
     marked = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = marked.where(_remainder(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(SEED))
     # Twice the sample: labels may name documents that are absent. Bounded by the parameter.
     wanted = usable.orderBy(order, "doc_id").limit(2 * train_docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
-    # Passages are encoded before the order is made, so that no whole text is sorted or sent.
-    coded = own.select("quality", "text", "doc_id").mapInArrow(_with_id(_encoder(train_passages)), "quality int, x binary, doc_id long")
-    got = coded.orderBy(order, "doc_id", "x").limit(train_docs).collect()  # train_docs rows of train_passages passages at most
+    # Passages are encoded before the order is made, so that no whole text is sorted or sent; the order is made on their numbers.
+    coded = stage(own.select("doc_id", "quality", "text").mapInArrow(_encode, "doc_id long, quality int, x binary, n long").withColumn("mark", F.xxhash64("x")), "op8-coded")
+    key = [order, F.col("doc_id"), F.col("mark")]
+    first = coded.select("doc_id", "mark", "n").orderBy(*key).limit(train_docs).collect()
+    ids = sorted({(first[k].doc_id, first[k].mark) for k in fitting([r.n for r in first], train_passages)})
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, mark long")  # train_docs rows at most
+    got = coded.join(F.broadcast(chosen), ["doc_id", "mark"]).orderBy(*key).limit(train_docs).collect()
+    got = [got[k] for k in fitting([r.n for r in got], train_passages)]
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
     x = np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32)
     return AttentionBag().fit(x, np.array([len(b) for b in bags], np.int64), np.array([r.quality for r in got], np.float64))

@@ -1,9 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
 
-from quillon.llm.quality import FEATURES, AttentionBag, accept, passage_features, score_documents, spread, train
+from quillon.llm.quality import FEATURES, AttentionBag, accept, passage_features, fitting, score_documents, train
 
 SCHEMA = "doc_id long, text string, score double, quality string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -88,8 +89,7 @@ def test_odd_rows(spark):
 
 
 def test_long_documents_are_in_the_fit(spark):
-    x = np.arange(1000.0)[:, None]
-    assert spread(x, 64)[[0, -1], 0].tolist() == [0, 999] and len(spread(x, 64)) == 64 and len(spread(x[:10], 64)) == 10
+    assert fitting([5, 3, 9, 2, 1], 10) == [0, 1, 3] and fitting([], 1) == [] and fitting([4], 3) == []
     rng = random.Random(3)
     rows, labels = [], []
     for k in range(60):  # all labelled documents are long; junk stands near the end
@@ -101,3 +101,47 @@ def test_long_documents_are_in_the_fit(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: r.score for r in score_documents(docs, train(docs, spark.createDataFrame(labels, LABELS))).collect()}
     assert all((got[k] >= 0.5) == (k % 2 == 0) for k in got)
+    # The sample's bound is on whole documents: 94 passages each.
+    few = train(docs, spark.createDataFrame(labels, LABELS), train_passages=94 * 20)
+    got = {r.doc_id: r.score for r in score_documents(docs, few).collect()}
+    assert all((got[k] >= 0.5) == (k % 2 == 0) for k in got)
+
+
+def test_every_passage_is_in_the_fit(spark):
+    """One passage of junk at any place of a long document is enough to tell it, so none may be left out."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for k in range(240):
+        words = [rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(64 * 100)]
+        if k % 2:
+            at = 64 * rng.randrange(100)
+            words[at : at + 64] = ["XX!!"] * 64
+        rows.append((k, " ".join(words), 0.0, "x"))
+        labels.append((k, 1 - k % 2, 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in score_documents(docs, train(docs, spark.createDataFrame(labels, LABELS))).collect()}
+    held = [k for k in got if got[k].held_out]
+    assert sum((got[k].score >= 0.5) == (k % 2 == 0) for k in held) / len(held) > 0.95
+
+
+def test_scores_match_plain_python():
+    rng = np.random.default_rng(5)
+    counts = np.array([2, 1, 7])
+    x = rng.standard_normal((10, FEATURES)) * 2
+    model = AttentionBag(rng)
+    model.mean, model.scale = rng.standard_normal(FEATURES), rng.uniform(0.5, 2, FEATURES)
+    p = {k: v.tolist() for k, v in model.p.items() if k != "b"}
+    hidden, gate = range(len(p["f"])), range(len(p["w"]))
+    sigmoid = lambda t: 1 / (1 + math.exp(-t))
+    want, at = [], 0
+    for n in counts:
+        bag = []
+        for row in x[at : at + n]:
+            z = [min(8, max(-8, (row[j] - model.mean[j]) / model.scale[j])) for j in range(FEATURES)]
+            h = [math.tanh(sum(z[j] * p["e"][j][k] for j in range(FEATURES)) + p["f"][k]) for k in hidden]
+            raw = sum(p["w"][g] * math.tanh(sum(h[k] * p["v"][k][g] for k in hidden)) * sigmoid(sum(h[k] * p["u"][k][g] for k in hidden)) for g in gate)
+            bag.append((math.exp(raw), h))
+        whole = sum(a for a, _ in bag)
+        want.append(sigmoid(sum(a / whole * h[k] * p["c"][k] for a, h in bag for k in hidden) + float(model.p["b"])))
+        at += n
+    assert np.allclose(model.scores(x, counts), want, atol=1e-12)
