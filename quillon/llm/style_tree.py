@@ -9,9 +9,15 @@ Presentation: the entropy, to base m, of the child sequences that its parent has
 container that all pages lay out alike counts 0. Content: 1 minus the mean entropy, to base m, of the node's texts over
 these pages: a text that one page alone shows has entropy 0, one that all show 1. Prior: 1, or WEAK for presentation by its
 markup, which are elements, roles and class names of menus, headers, footers, sidebars, notices, adverts, forms and
-comments, with all below them; and for all outside an article or main element that has text. A class name counts as such
+comments, with all below them; and for all outside the page's main content. A class name counts as such
 only if every word of it is one of NOISE_WORDS or STRUCTURE: side-effects and comments-on-war are content.
 
+Some markup decides by what it holds. The main content is what stands in article and main elements that have text; but where
+several of them stand beside a longer story (more prose outside links and lists in one container outside them than in all
+of them) they are cards, and what stands outside is the main content. A block whose class speaks of related texts or search
+(LINKED_WORDS) is presentation only if half of its characters or more are in links or lists. The id of a heading is an anchor and says nothing. A form that has most of the
+page's characters besides other presentation is the frame of the page and no presentation; labels of its fields are.
+
 Branches of low importance are removed from each page; of a branch whose prior is 1 only the texts that are of low
 importance themselves, so that what few pages show never goes with its node. A heading stays if the block after it does.
 A branch on fewer than PAGES different pages has content and presentation 1. Inside articles the bounds are stricter.
@@ -35,6 +41,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -55,13 +62,17 @@ RAW = set("script style textarea title noscript iframe noembed noframes xmp temp
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 #: Presentation without importance: elements, roles, and words of class names and ids.
-NOISE = set("nav footer aside form menu dialog head select button svg object audio video canvas fieldset".split())
-NOISE_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+NOISE = set("nav footer aside menu dialog head select button svg object audio video canvas fieldset label legend".split())
+NOISE_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 NOISE_WORDS = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login search social share sharing related recommended recommendations comment comments commentlist disqus reply replies respond reactions pagination pager toolbar widget widgets skip hidden".split())
+#: Those of them that name presentation only where links are.
+LINKED_WORDS = set("related recommended recommendations search".split())
 #: Words that a class name of presentation may hold beside them.
 STRUCTURE = set("area articles bar block bottom box button buttons column container form global group icon icons inner item items left link links list main module outer page panel posts primary right row secondary section site slot thread top unit wrap wrapper".split())
 CONTENT = {"article", "main"}
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that are no prose when the longest story outside of articles is looked for.
+LISTED = HEADING | set("li dt dd td th option".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>|<[a-zA-Z/!?][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"']+)""")
@@ -75,16 +86,23 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _is_noise(name: str) -> bool:
-    """Whether a class name or id is one of presentation, in all its words."""
+#: Kinds of an element: content, a form, presentation if it holds links, presentation.
+NONE, FORM, LINKS, CLEAR = range(4)
+
+
+def _kind_of(name: str) -> int:
+    """The kind that a class name or id gives; it must be one of presentation in all its words."""
     words = [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", name))]
-    return not NOISE_WORDS.isdisjoint(words) and all(w in NOISE_WORDS or w in STRUCTURE for w in words)
+    noise = [w for w in words if w in NOISE_WORDS]
+    if not noise or not all(w in NOISE_WORDS or w in STRUCTURE for w in words):
+        return NONE
+    return LINKS if LINKED_WORDS.issuperset(noise) else CLEAR
 
 
 @lru_cache(maxsize=10_000)
-def _style(tag: str, raw: str) -> tuple[str, bool]:
-    """Name of an element in the tree, and whether it is presentation."""
-    noise = tag in NOISE
+def _style(tag: str, raw: str) -> tuple[str, int]:
+    """Name of an element in the tree, and its kind."""
+    noise = CLEAR if tag in NOISE else FORM if tag == "form" else NONE
     if not raw or "=" not in raw and "hidden" not in raw.lower():
         return tag, noise
     name = tag
@@ -95,12 +113,15 @@ def _style(tag: str, raw: str) -> tuple[str, bool]:
             value = unescape(value)
             words = sorted(w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value)))
             name += f"{'.' if key == 'class' else '#'}{' '.join(words)}"
-            noise = noise or tag not in ("html", "body") and any(map(_is_noise, value.split()))
+            if tag not in ("html", "body") and (key == "class" or tag not in HEADING):
+                noise = max([noise, *map(_kind_of, value.split())])
         elif key == "role":
-            noise = noise or value.strip().lower() in NOISE_ROLES
+            role = value.strip().lower()
+            noise = max(noise, CLEAR if role in NOISE_ROLES else FORM if role == "form" else NONE)
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            noise = True
-    return name, noise
+            noise = CLEAR
+    # A form for a search, or a part of a line that is named so.
+    return name, CLEAR if noise == LINKS and (tag == "form" or tag not in BLOCK) else noise
 
 
 def _hash(text: str) -> int:
@@ -109,29 +130,82 @@ def _hash(text: str) -> int:
 
 
 class _Open:
-    """An open element: its tag, node, presentation, inside an article, and the names of its children (of its block, if it is inline)."""
-
-    __slots__ = ("tag", "node", "parent", "noise", "content", "kids")
-
-    def __init__(self, tag: str, node: int, parent: int, noise: bool, content: bool, kids: list[str]):
-        self.tag, self.node, self.parent, self.noise, self.content, self.kids = tag, node, parent, noise, content, kids
-
-
-def parse(html: str) -> tuple[list[tuple[int, int, bool, bool, bool, str]], dict[int, list[str]]]:
-    """(node, parent, presentation, inside an article, heading, text) of every block in page order; and the child sequences of nodes."""
-    out: list[tuple[int, int, bool, bool, bool, str]] = []
+    """An open element: its tag, node, clear presentation, number of its article and of its outermost form and box of links (0: none), inside a link, and the names of its children (of its block, if it is inline)."""
+
+    __slots__ = ("tag", "node", "parent", "noise", "article", "form", "box", "link", "kids")
+
+    def __init__(self, tag: str, node: int, parent: int, noise: bool, article: int, form: int, box: int, link: bool, kids: list[str]):
+        self.tag, self.node, self.parent, self.noise, self.article, self.form, self.box, self.link, self.kids = tag, node, parent, noise, article, form, box, link, kids
+
+
+class _Block(NamedTuple):
+    """A text: its node, that one's parent, presentation, inside an article, in a heading; what decides on the main content; characters in links."""
+
+    node: int
+    parent: int
+    noise: bool
+    inside: bool
+    heading: bool
+    text: str
+    article: int
+    form: int
+    box: int
+    listed: bool
+    linked: int
+
+
+def _decided(found: list[_Block]) -> list[_Block]:
+    """The blocks, with presentation by forms and boxes of links settled by what they hold."""
+    clear = [b for b in found if not b.noise]
+    if not any(b.form or b.box for b in clear):
+        return found
+    size, linked = Counter(), Counter()
+    for b in clear:
+        if b.box:
+            size[b.box] += len(b.text)
+            linked[b.box] += len(b.text) if b.listed and not b.heading else b.linked
+    gone = {k for k, n in size.items() if 2 * linked[k] >= n}
+    rest = [b for b in clear if b.box not in gone]
+    forms = Counter()
+    for b in rest:
+        forms[b.form] += len(b.text)
+    gone_forms = {k for k, n in forms.items() if k and 2 * n <= forms.total()}
+    return [b._replace(noise=b.noise or b.box in gone or b.form in gone_forms) for b in found]
+
+
+def _cards(found: list[_Block]) -> bool:
+    """Whether the articles are cards beside a longer story."""
+    clear = [b for b in found if not b.noise]
+    if len({b.article for b in clear if b.article}) < 2:
+        return False
+    outside, inside = Counter(), 0
+    for b in clear:
+        own = len(b.text) - b.linked if not b.listed else 0
+        if b.article:
+            inside += own
+        else:
+            outside[b.parent] += own
+    return max(outside.values(), default=0) > inside
+
+
+def parse(html: str) -> tuple[list[_Block], dict[int, list[str]]]:
+    """Every block in page order; and the child sequences of nodes."""
+    out: list[_Block] = []
     layouts: dict[int, list[str]] = {0: []}
-    stack = [_Open("", 0, 0, False, False, layouts[0])]
+    stack = [_Open("", 0, 0, False, 0, 0, 0, False, layouts[0])]
     held: list[str] = []
+    linked = opened = 0
 
     def flush():
+        nonlocal linked
         if held:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
                 top = stack[-1]
                 block = next((e.tag for e in reversed(stack) if e.tag in BLOCK), "")
-                out.append((top.node, top.parent, top.noise, top.content, block in HEADING, text))
+                out.append(_Block(top.node, top.parent, top.noise, top.article > 0, block in HEADING, text, top.article, top.form, top.box, block in LISTED, min(linked, len(text))))
+            linked = 0
 
     def close(index: int):
         flush()
@@ -144,6 +218,8 @@ def parse(html: str) -> tuple[list[tuple[int, int, bool, bool, bool, str]], dict
         if begin > at:
             part = html[at:begin]
             held.append(unescape(part) if "&" in part else part)
+            if stack[-1].link:
+                linked += len(held[-1])
         if not m:
             break
         at = m.end()
@@ -154,7 +230,7 @@ def parse(html: str) -> tuple[list[tuple[int, int, bool, bool, bool, str]], dict
         if m[1] or m[4]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    if tag in BLOCK or any(e.tag in BLOCK for e in stack[k:]) or stack[k].noise != stack[k - 1].noise:
+                    if tag in BLOCK or any(e.tag in BLOCK for e in stack[k:]) or stack[k].noise != stack[k - 1].noise or stack[k].form != stack[k - 1].form:
                         close(k)
                     else:
                         del stack[k:]
@@ -183,29 +259,30 @@ def parse(html: str) -> tuple[list[tuple[int, int, bool, bool, bool, str]], dict
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             continue
         above = stack[-1]
-        name, own = _style(tag, raw)
+        name, kind = _style(tag, raw)
+        opened += 1
         # A heading group inside an article belongs to it.
-        own = own or tag == "header" and not above.content
-        noise, content = above.noise or own, above.content or tag in CONTENT and not own
+        own = kind == CLEAR or tag == "header" and not above.article
+        noise, link = above.noise or own, above.link or tag == "a"
+        article = above.article or (opened if tag in CONTENT and not own else 0)
+        form, box = above.form or (opened if kind == FORM else 0), above.box or (opened if kind == LINKS else 0)
+        if own and not above.noise or form != above.form or box != above.box:
+            flush()
         if tag not in BLOCK:
-            if own and not above.noise:
-                flush()
-            stack.append(_Open(tag, above.node, above.parent, noise, content, above.kids))
+            stack.append(_Open(tag, above.node, above.parent, noise, article, form, box, link, above.kids))
             continue
-        if own and not above.noise:
-            flush()
         above.kids.append(name)
         # Presentation and the inside of articles are branches of their own.
-        node = _hash(f"{above.node}/{name}/{noise:d}{content:d}")
-        stack.append(_Open(tag, node, above.node, noise, content, layouts.setdefault(node, [])))
+        node = _hash(f"{above.node}/{name}/{noise:d}{article > 0:d}")
+        stack.append(_Open(tag, node, above.node, noise, article, form, box, link, layouts.setdefault(node, [])))
         stack[-1].kids.append("<")
     flush()
-    return out, layouts
+    return _decided(out), layouts
 
 
 def blocks(html: str) -> list[tuple[int, bool, str]]:
     """(node, inside an article, text) of every block that is not presentation by its markup, in page order."""
-    return [(node, inside, text) for node, _, noise, inside, _, text in parse(html)[0] if not noise]
+    return [(b.node, b.inside, b.text) for b in parse(html)[0] if not b.noise]
 
 
 _BLOCK = pa.struct([("node", pa.int64()), ("weak", pa.bool_()), ("inside", pa.bool_()), ("heading", pa.bool_()), ("layout", pa.int64()), ("feature", pa.int64()), ("context", pa.int64()), ("text", pa.string())])
@@ -216,18 +293,18 @@ PARSED = "page_id long, url string, rid long, host string, page long, blocks arr
 def describe(html: str) -> tuple[int, list[tuple]]:
     """A page's main content as a hash, and its blocks in page order as rows for the tree."""
     found, layouts = parse(html)
-    article = any(inside and not noise for _, _, noise, inside, _, _ in found)
-    weak = [noise or article and not inside for _, _, noise, inside, _, _ in found]
+    article, cards = any(b.inside and not b.noise for b in found), _cards(found)
+    weak = [b.noise or article and b.inside == cards for b in found]
     size: Counter[int] = Counter()
     for b, w in zip(found, weak):
         if not w:
-            size[b[0]] += len(b[5])
+            size[b.node] += len(b.text)
     main = max(size, key=size.get, default=None)
-    texts = [(b[5], _hash(b[5])) for b, w in zip(found, weak) if not w and b[0] == main]
+    texts = [(b.text, _hash(b.text)) for b, w in zip(found, weak) if not w and b.node == main]
     whole = _hash(" ".join(str(h) for _, h in texts))
     shapes = {k: _hash("/".join(v)) for k, v in layouts.items()}
     rows = []
-    for (node, parent, _, inside, heading, text), w in zip(found, weak):
+    for (node, parent, _, inside, heading, text, *_), w in zip(found, weak):
         feature = 0 if w else _hash(text)
         # What else the main content holds; for a text outside of it that is all of it.
         context = 0 if w else _hash(" ".join(str(h) for t, h in texts if t != text)) if node == main else whole

@@ -200,3 +200,25 @@ def test_mirrors_keep_their_text(spark):
 
 def test_deep_nesting():
     assert len(text_of("<div>" * 20_000 + "deep" + "</div>" * 20_000)) == 1
+
+
+def test_markup_decides_by_what_it_holds(spark):
+    story = "".join(f"<p>Paragraph {k} of the one long story that this page is about.</p>" for k in range(4))
+    told = "\n".join(f"Paragraph {k} of the one long story that this page is about." for k in range(4))
+    links = "<ul><li><a href='/1'>Other one</a><li><a href='/2'>Other two</a></ul>"
+    cards = "<article><h3>Card one</h3><p>Short.</p></article><article><h3>Card two</h3></article>"
+    cases = [
+        (f"<body><nav>m</nav>{cards}<div class='story'>{story}</div>{cards}</body>", told),
+        (f"<body><ul><li>Menu words that go on and on</ul><article>{story}</article><div>Beside</div></body>", told),
+        ("<body><article><p>First post is long enough.</p></article><article><p>Second post is as long.</p></article><div>Welcome</div></body>", "First post is long enough.\nSecond post is as long."),
+        ("<article><p class='related'>Related work: text</p><div id='search'><p>On search</p></div><p>Body</p></article>", "Related work: text\nOn search\nBody"),
+        (f"<article><p>Body</p><div class='related'><h3>Related</h3>{links}</div><div class='related-items'><ul><li>Plain one<li>Plain two</ul></div></article>", "Body"),
+        ("<article><h2 id='login'>Login</h2><p>Body</p><div class='search'><form>Find <label>Words</label></form></div></article>", "Login\nBody"),
+        (f"<body><form action='/'><div class='menu'>m</div><div>{story}</div><label>Field</label></form></body>", told),
+        (f"<body><form action='/'><article>{story}</article></form><footer>f</footer></body>", told),
+        ("<body><form class='search'>Find it here</form><div>Short page</div></body>", "Short page"),
+        ("<body><p>Some text before it.</p><form><p>Your name</p></form></body>", "Some text before it."),
+    ]
+    rows = [(k, f"http://h{k}/", html, 1) for k, (html, _) in enumerate(cases)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
