@@ -49,6 +49,24 @@ def chain_ends(table: DataFrame, key: str, parent: str) -> DataFrame:
     return now.select(F.col("k").alias(key), end("r").alias("root"), end("d").alias("depth"))
 
 
+def chain_hits(table: DataFrame, key: str, parent: str, hit: str) -> DataFrame:
+    """(key, hit): does hit hold in the row or in any row up its parent chain? By pointer doubling: a round doubles the steps that are seen.
+
+    Keys occur once. A parent that is no key ends the chain before it; a row whose chain runs into a cycle sees all of the cycle.
+    """
+    seen = F.coalesce(F.col(hit), F.lit(False))
+    now = cut(table.select(F.col(key).alias("k"), F.when(~seen, F.col(parent)).alias("p"), seen.alias("h")))
+    # As many steps as there are rows have met every row that can be met.
+    for _ in range(now.count().bit_length() + 1):
+        if now.where("p is not null").isEmpty():
+            break
+        # Rows that are decided have no pointer; they are not joined, for all of them would meet in one task.
+        ahead = now.select(F.col("k").alias("p"), F.col("p").alias("next"), F.col("h").alias("more"))
+        met = now.where("p is not null").join(ahead, "p", "left").select("k", "next", F.coalesce("more", F.lit(False)).alias("h"))
+        now = cut(met.select("k", F.when(~F.col("h"), F.col("next")).alias("p"), "h").unionAll(now.where("p is null")))
+    return now.select(F.col("k").alias(key), F.col("h").alias(hit))
+
+
 def chain_root(table: DataFrame, key: str, parent: str) -> DataFrame:
     """(key, root) of chain_ends()."""
     return chain_ends(table, key, parent).drop("depth")

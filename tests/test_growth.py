@@ -1,8 +1,12 @@
 """Operators whose work must grow with their input, compared with brute force, and limits that the order of a sum must not decide."""
 
 import datetime as dt
+import random
+
+from pyspark.sql import functions as F
 
 from quillon import catalog
+from quillon.operators.graph import chain_hits
 
 
 def test_verdict_at_a_limit(spark, tmp_path):
@@ -11,3 +15,32 @@ def test_verdict_at_a_limit(spark, tmp_path):
     rows = [(user * 100 + k, dt.datetime(2024, 1, 1), user, "a", value, "") for user, values in ((1, x), (2, x[::-1]), (3, [44.99] * 12)) for k, value in enumerate(values)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert dict(catalog.queries()["feature_verdict"](spark, str(tmp_path)).collect()) == {1: "too few;noise", 2: "too few;noise", 3: "gain;too few"}
+
+
+def test_chain_hits(spark):
+    rng = random.Random(5)
+    # Chains, ends that are no key, and cycles, with and without a hit.
+    rows = [(k, rng.choice([None, rng.randrange(400), k // 2]), rng.choice([None, False, False, False, False, k % 7 == 0])) for k in range(300)] + [(k, k + 1 if k < 1049 else 1000, False) for k in range(1000, 1050)]
+    up, mark = {k: p for k, p, _ in rows}, {k: bool(h) for k, _, h in rows}
+
+    def hit(k):
+        met = set()
+        while k in up and k not in met:
+            if mark[k]:
+                return True
+            met.add(k)
+            k = up[k]
+        return False
+
+    got = dict(chain_hits(spark.createDataFrame(rows, "k int, p int, h boolean"), "k", "p", "h").collect())
+    assert got == {k: hit(k) for k in up}
+
+
+def test_warm_start_refused(spark, tmp_path):
+    spark.range(2, 3000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    bad = set()
+    for k in range(2, 3000):
+        if k % 29 == 0 or k // 2 in bad:
+            bad.add(k)
+    got = [r.f for r in catalog.queries()["warm_start"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(set(range(2, 3000)) - bad)
