@@ -74,7 +74,8 @@ def chain_root(table: DataFrame, key: str, parent: str) -> DataFrame:
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node of each connected component, by minimum labels and pointer jumping."""
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
+    ends = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    both = cut(edges.select(F.inline(F.array(ends(a, b), ends(b, a)))).distinct())
     now = both.groupBy("u").agg(F.least("u", F.min("v")).alias("c"))
     now = cut(now.selectExpr("u as node", "c"))
     for _ in range(rounds):

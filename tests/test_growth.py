@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillon import catalog
-from quillon.operators.graph import chain_hits
+from quillon.operators.graph import chain_hits, components
 from quillon.operators.neighbours import cosine_neighbours
 
 
