@@ -90,13 +90,50 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     return now.select("node", F.col("c").alias("component"))
 
 
-def closure(edges: DataFrame, child: str, parent: str, rounds: int = 1000) -> DataFrame:
-    """(child, ancestor): all ancestors, a generation a round; only pairs that are new go on, so cycles end by themselves.
+#: Edges from which closure() takes nodes without children apart.
+PEEL = 100_000
+
+
+def closure(edges: DataFrame, child: str, parent: str, rounds: int = 1000, peel: int = PEEL) -> DataFrame:
+    """(child, ancestor): all ancestors.
+
+    Nodes that are nobody's parent are most of a broad graph, and those with the same parents have the same ancestors. While
+    they have half of the edges or more, the others are closed first, by the same function, and each set of parents is
+    looked up once: a pair is then written and not joined. The rest goes by pairs, a generation a round.
+    A row holds the ancestors of one node.
+    """
+    step = cut(edges.select(F.col(child).alias("x"), F.col(parent).alias("b")).where("x <> b").distinct())
+    above = _peeled(step, rounds, peel)
+    pairs = _generations(step, rounds) if above is None else above.select("c", F.explode("up").alias("a"))
+    return pairs.select(F.col("c").alias(child), F.col("a").alias("ancestor"))
+
+
+def _peeled(step: DataFrame, rounds: int, peel: int) -> DataFrame | None:
+    """(c, up): the array of all ancestors of each node with edges (x, b); None where too few nodes are nobody's parent."""
+    n = step.count()
+    if n < max(peel, 1):
+        return None
+    parents = step.select(F.col("b").alias("x")).distinct()
+    inner = cut(step.join(parents, "x", "left_semi"))
+    if 2 * inner.count() > n:
+        return None
+    leaves = cut(step.join(parents, "x", "left_anti").groupBy("x").agg(F.array_sort(F.collect_set("b")).alias("s")))
+    above = _peeled(inner, rounds, peel)
+    if above is None:
+        above = _generations(inner, rounds).groupBy("c").agg(F.collect_list("a").alias("up"))
+    above = cut(above)
+    each = leaves.select("s").distinct().select("s", F.explode("s").alias("c")).join(above, "c", "left")
+    own = F.array("c")
+    sets = each.groupBy("s").agg(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("up").isNull(), own).otherwise(F.concat(own, F.col("up")))))).alias("up"))
+    return above.unionAll(leaves.join(sets, "s").select(F.col("x").alias("c"), "up"))
+
+
+def _generations(step: DataFrame, rounds: int) -> DataFrame:
+    """(c, a): all ancestors by edges (x, b), a generation a round; only pairs that are new go on, so cycles end by themselves.
 
     A generation joins with the direct edges alone: that meets a pair once for each way to it, where doubling
     would meet it once for each ancestor between.
     """
-    step = cut(edges.select(F.col(child).alias("x"), F.col(parent).alias("b")).where("x <> b").distinct())
     now = fresh = step.select(F.col("x").alias("c"), F.col("b").alias("a"))
     for _ in range(rounds):
         grown = fresh.join(step, F.col("a") == F.col("x")).select("c", F.col("b").alias("a")).where("c <> a").distinct()
@@ -106,7 +143,7 @@ def closure(edges: DataFrame, child: str, parent: str, rounds: int = 1000) -> Da
         now = cut(now.union(fresh))
     else:
         raise RuntimeError(f"more than {rounds} generations")
-    return now.select(F.col("c").alias(child), F.col("a").alias("ancestor"))
+    return now
 
 
 def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
