@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.graph import cut
+
 CONTROL = 0
 SCALE = 1e4
 
@@ -17,14 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a join or a group that one task sorts.
+ROWS = 500_000
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The table, dealt by key to tasks of ROWS of so many rows where these are more than the cores; so the memory of one task does not grow with them.
+
+    Smaller tables are left to Spark, which broadcasts or coalesces them.
+    """
+    n = rows // ROWS + 1
+    return df.repartition(n, key) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse long matrix (cell, pert, gene, cnt)."""
+    """Sparse long matrix (cell, pert, gene, cnt). The join, the groups and the windows over a cell share one shuffle."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    joined = line.join(part, line.l_partkey == part.p_partkey).join(order, line.l_orderkey == order.o_orderkey).join(customer, order.o_custkey == customer.c_custkey)
-    return joined.groupBy(F.col("o_orderkey").alias("cell"), F.col("c_nationkey").alias("pert"), F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").alias("cnt"))
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("pert"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("gene"))
+    n, m = line.count(), order.count()
+    genes = dealt(line, "l_partkey", n).join(dealt(part, "l_partkey", n), "l_partkey").select(F.col("l_orderkey").alias("cell"), "gene", "l_quantity")
+    perts = dealt(order, "o_custkey", m).join(dealt(customer, "o_custkey", m), "o_custkey").select(F.col("o_orderkey").alias("cell"), "pert")
+    return dealt(genes, "cell", n).join(dealt(perts, "cell", n), "cell").groupBy("cell", "pert", "gene").agg(F.sum("l_quantity").alias("cnt"))
 
 
 def normalised(matrix: DataFrame) -> DataFrame:
@@ -34,12 +51,16 @@ def normalised(matrix: DataFrame) -> DataFrame:
 
 
 def profiles(matrix: DataFrame) -> DataFrame:
-    """(pert, gene, n_cells, mean): zeros count, so sums are divided by the cells of the group."""
-    cells = matrix.groupBy("pert").agg(F.count_distinct("cell").alias("n_cells"))
-    genes = matrix.select("gene").distinct()
-    sums = matrix.groupBy("pert", "gene").agg(F.sum("x").alias("total"))
+    """(pert, gene, n_cells, mean): zeros count, so sums are divided by the cells of the group.
+
+    The matrix is read once: its sums, and the cells that are met first in a row, are kept by group and measure.
+    """
+    first = (F.row_number().over(Window.partitionBy("cell", "pert").orderBy("gene")) == 1) & F.col("cell").isNotNull()
+    sums = cut(matrix.select("pert", "gene", "x", first.alias("first")).groupBy("pert", "gene").agg(F.sum("x").alias("total"), F.count_if("first").alias("n")))
+    cells = sums.groupBy("pert").agg(F.sum("n").alias("n_cells"))
+    genes = sums.select("gene").distinct()
     grid = cells.crossJoin(genes)  # the groups times the measures, the size of the result; Spark broadcasts a side that is small
-    return grid.join(sums, ["pert", "gene"], "left").select("pert", "gene", "n_cells", (F.coalesce("total", F.lit(0.0)) / F.col("n_cells")).alias("mean"))
+    return grid.join(sums.drop("n"), ["pert", "gene"], "left").select("pert", "gene", "n_cells", (F.coalesce("total", F.lit(0.0)) / F.col("n_cells")).alias("mean"))
 
 
 def deltas(profile: DataFrame, control: int = CONTROL) -> DataFrame:
